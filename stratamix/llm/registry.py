@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, sstable
+from . import html_text, langid, packing, sstable, toxicity, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_langid": langid.op2_langid,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_sstable": sstable.op6_sstable,
+    "op7_url_filter": url_filter.op7_url_filter,
+    "op8_html_text": html_text.op8_html_text,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_url_filter": url_filter.SQL}
