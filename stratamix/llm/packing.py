@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import ship, table
-from .tokens import default_tokenizer, encoder
+from .tokens import default_tokenizer, encoder, in_groups
 
 SCHEMA = T.StructType(
     [
@@ -200,8 +200,9 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, window: int = 1024, e
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=SCHEMA.names)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                out += packer.add(doc_id, np.concatenate([enc.encode(text.as_py()), end]))
+            for keys, texts in in_groups(b.column(0).to_pylist(), b.column(1)):
+                for doc_id, ids in zip(keys, enc.encode_many(texts), strict=True):
+                    out += packer.add(doc_id, np.concatenate([ids, end]))
                 if len(out) >= 20_000:
                     yield batch()
                     out = []

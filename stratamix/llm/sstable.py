@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import shared_dir, ship, table
-from .tokens import default_tokenizer, encoder
+from .tokens import default_tokenizer, encoder, in_groups
 
 MAGIC, VERSION = b"SSTTOKEN", 1
 FOOTER = struct.Struct("<QQQQQQBBH4x8s")
@@ -205,13 +205,14 @@ def write_shards(docs: DataFrame, *, folder: str | None = None, tokenizer: str |
         enc, end = encoder(path), np.array([end_id], "<u4")
         first = None
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for keys, texts in in_groups(b.column(0).to_pylist(), b.column(1)):
                 if out is None:
                     fs, where = pafs.FileSystem.from_uri(name)
                     stream = fs.open_output_stream(where)
                     out = Writer(stream, enc.dtype)
-                    first = key_of(doc_id)
-                out.add(last := key_of(doc_id), np.concatenate([enc.encode(text.as_py()), end]))
+                    first = key_of(keys[0])
+                for doc_id, ids in zip(keys, enc.encode_many(texts), strict=True):
+                    out.add(last := key_of(doc_id), np.concatenate([ids, end]))
         if out is not None:
             out.close()
             stream.close()

@@ -1,28 +1,43 @@
-"""Token ids of whole texts by a public tokenizer file, memoised by white-space-bounded pieces."""
+"""Token ids of whole texts by a public tokenizer file, memoised by word."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Pieces kept per Python worker in each of two generations; memory stays bounded, frequent pieces stay known.
-MAX_PIECES = 400_000
-#: Longer pieces are encoded but not kept.
-MAX_PIECE_CHARS = 64
+#: Words kept per Python worker in each of two generations: memory stays bounded, frequent words stay known.
+MAX_WORDS = 500_000
+#: Longer words are encoded but not kept.
+MAX_WORD_CHARS = 48
 
-_TWO_SPACES = re.compile(r"\s\s")
-_BLANK = re.compile(r"(?<=\S) (?=\S)")
-_CACHES: dict[str, "PieceEncoder"] = {}
+#: Texts of these characters are split here as the byte-level pre-tokenizer splits them; others go through the tokenizer whole.
+_COMMON = re.compile(r"[\t\n -~¡-ſ]*\Z")
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"  # letters and numbers among them
+_FIND = re.compile(rf" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+").findall
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+class Memo(dict):
+    """The newer of two generations of entries."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def keep(self, entries: dict) -> None:
+        if len(self) + len(entries) > self.most:
+            self.old = dict(self)
+            self.clear()
+        self.update(entries)
 
 
 class PieceEncoder:
-    """Encodes texts to little-endian id arrays.
+    """Encodes texts to little-endian id arrays, the same ids that the tokenizer gives for each whole text.
 
-    The byte-level pre-tokenizer never lets a token cross a single blank between two characters that are
-    not white space: the blank begins the next token. So a text without two adjacent white-space characters
-    is cut there, each distinct piece goes through the tokenizer once, and its ids are looked up afterwards.
-    Other texts go through the tokenizer whole.
+    A byte-level tokenizer merges bytes only inside a match of its pre-tokenizer. So a text is split into these
+    matches, and each distinct one goes through the tokenizer once.
     """
 
     def __init__(self, path: str):
@@ -30,43 +45,84 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 0x10000 else "<u4")
-        #: Ids of " " + piece by piece: the generation that is being filled, and the one before it.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_word = "ByteLevel(add_prefix_space=False" in repr(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
+        self.words = Memo(MAX_WORDS)
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        found = {p: self.old[p] for p in missing if p in self.old}
-        new = [p for p in missing if p not in found]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            found.update(zip(part, self._raw([f" {p}" for p in part]), strict=True))
-        if len(self.young) + len(found) > MAX_PIECES:
-            self.young, self.old = {}, self.young
-        self.young.update((p, b) for p, b in found.items() if len(p) <= MAX_PIECE_CHARS)
+        out: list[bytes] = []
+        for k in range(0, len(texts), 4096):
+            out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
+        return out
+
+    def _raw_words(self, words: list[str]) -> dict[str, bytes]:
+        """Words that begin with a blank follow each other in short texts: fewer calls, and the tokenizer tells them apart."""
+        joined = [w for w in words if len(w) > 1 and w[0] == " " and w[1].isalpha()]
+        other = [w for w in words if not (len(w) > 1 and w[0] == " " and w[1].isalpha())]
+        found = dict(zip(other, self._raw(other), strict=True))
+        for k in range(0, len(joined), 16384):
+            part = joined[k : k + 16384]
+            encoded = self.tokenizer.encode_batch(["".join(part[i : i + 64]) for i in range(0, len(part), 64)], add_special_tokens=False)
+            ids, of = np.concatenate([e.ids for e in encoded]), np.concatenate([np.array(e.word_ids) + 64 * i for i, e in enumerate(encoded)])
+            ends = np.searchsorted(of, np.arange(len(part)), side="right") * self.dtype.itemsize
+            raw, begin = ids.astype(self.dtype).tobytes(), 0
+            for w, end in zip(part, ends.tolist(), strict=True):
+                found[w] = raw[begin:end]
+                begin = end
         return found
 
+    def _resolve(self, missing: set[str]) -> dict[str, bytes]:
+        found = {w: b for w in missing if (b := self.words.old.get(w)) is not None}
+        found.update(self._raw_words([w for w in missing if w not in found]))
+        self.words.keep({w: b for w, b in found.items() if len(w) <= MAX_WORD_CHARS})
+        return found
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [np.zeros(0, self.dtype)] * len(texts)
+        split: list[tuple[int, list[str], list[bytes | None]]] = []
+        missing: set[str] = set()
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.by_word or not _COMMON.match(text) or any(s in text for s in self.special):
+                out[i] = np.frombuffer(self._raw([text])[0], self.dtype)
+                continue
+            words = _FIND(text)
+            ids = list(map(self.words.get, words))
+            if None in ids:
+                missing.update(w for w, b in zip(words, ids, strict=True) if b is None)
+                split.append((i, words, ids))
+            else:
+                out[i] = np.frombuffer(b"".join(ids), self.dtype)
+        if split:
+            new = self._resolve(missing)
+            for i, words, ids in split:
+                out[i] = np.frombuffer(b"".join([new[w] if b is None else b for w, b in zip(words, ids, strict=True)]), self.dtype)
+        return out
+
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, self.dtype)
-        if text[0].isspace() or text[-1].isspace() or _TWO_SPACES.search(text):
-            first, *pieces = _BLANK.split(text)  # only at blanks between two visible characters
-        else:
-            first, *pieces = text.split(" ")
-        ids = list(map(self.young.get, pieces))
-        if None in ids:
-            new = self._learn({p for p, b in zip(pieces, ids, strict=True) if b is None})
-            ids = [new[p] if b is None else b for p, b in zip(pieces, ids, strict=True)]
-        return np.frombuffer(b"".join([*self._raw([first]), *ids]), dtype=self.dtype)
+        return self.encode_many([text])[0]
+
+
+def in_groups(keys: list, texts: Iterable, most_chars: int = 1 << 20) -> Iterator[tuple[list, list]]:
+    """Neighbouring (keys, texts) of about ``most_chars`` characters at most, or one longer text; texts are Arrow scalars."""
+    ks, ts, held = [], [], 0
+    for key, text in zip(keys, texts, strict=True):
+        ks.append(key)
+        ts.append(text.as_py())
+        held += len(ts[-1] or "")
+        if held >= most_chars:
+            yield ks, ts
+            ks, ts, held = [], [], 0
+    if ks:
+        yield ks, ts
 
 
 def encoder(path: str) -> PieceEncoder:
     """One encoder per Python worker and tokenizer file."""
-    if path not in _CACHES:
-        _CACHES[path] = PieceEncoder(path)
-    return _CACHES[path]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]
 
 
 def default_tokenizer() -> str:
