@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, langid, packing, sstable, toxicity, url_filter
+from . import html_text, langid, neardup, packing, sstable, toxicity, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,5 +11,6 @@ QUERIES = {
     "op6_sstable": sstable.op6_sstable,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_html_text": html_text.op8_html_text,
+    "op9_neardup": neardup.op9_neardup,
 }
 ORACLES: dict[str, str] = {"op7_url_filter": url_filter.SQL}
