@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_text, langid, neardup, packing, sstable, toxicity, url_filter
+from . import html_text, langid, linedup, neardup, packing, sstable, toxicity, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_html_text": html_text.op8_html_text,
     "op9_neardup": neardup.op9_neardup,
+    "op10_linedup": linedup.op10_linedup,
 }
 ORACLES: dict[str, str] = {"op7_url_filter": url_filter.SQL}
