@@ -22,6 +22,8 @@ from .common import table, written
 THRESHOLD = 2
 #: Shorter lines are left alone.
 MIN_CHARS = 20
+#: See ``without_repeats``.
+MOST_WORDS = 50
 #: Most frequent lines whose further occurrences are not indexed, sent to all tasks; and lines to verify that may be sent so.
 HOT_LINES, SENT_LINES = 50_000, 200_000
 #: Characters counted for the filter beside the join; all others are a group too. An edit changes two counts at most.
@@ -162,15 +164,20 @@ def judged_lines(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int
 
 
 def without_repeats(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the lines that ``judged_lines`` removes; documents that lose lines and keep none that counts go too.
+    """``docs`` without the lines that ``judged_lines`` removes.
 
-    Rows with a null id are kept as they are. Columns and their order stay.
+    A document that loses lines goes altogether if no line that counts is left, or if two thirds of its
+    characters and MOST_WORDS words are lost: it is a copy. Rows with a null id are kept as they are. Columns and
+    their order stay.
     """
     gone = judged_lines(docs, threshold=threshold, min_chars=min_chars, id_col=id_col, text_col=text_col)
     gone = gone.filter("removed").groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))  # a document's own lines at most
-    left = F.filter(F.split(docs[text_col], "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    joined = docs.join(gone, docs[id_col] == F.col("_gone_id"), "left").withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
-    kept = joined.filter(F.col("_gone").isNull() | F.exists("_left", lambda x: F.length(x) >= min_chars))
+    lines = F.split(docs[text_col], "\n")
+    joined = docs.join(gone, docs[id_col] == F.col("_gone_id"), "left")
+    joined = joined.withColumn("_left", F.when(F.col("_gone").isNotNull(), F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i))))
+    lost = F.array_join(F.filter(lines, lambda x, i: F.array_contains(F.col("_gone"), i)), "\n")
+    copied = (3 * F.length(lost) >= 2 * F.length(docs[text_col])) & (F.size(F.split(lost, r"\s+")) >= MOST_WORDS)
+    kept = joined.filter(F.col("_gone").isNull() | (F.exists("_left", lambda x: F.length(x) >= min_chars) & ~copied))
     return kept.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join("_left", "\n"))).select(*docs.columns)
 
 

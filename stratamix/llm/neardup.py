@@ -1,10 +1,10 @@
 """Near duplicates: a multi-index Hamming join over MinHash signatures, confirmed on whole shingle sets.
 
-A document's signature has PARTS x PART_SIZE MinHash values cut to 16 bits. Two signatures that differ in fewer
-than PARTS x (ERRORS + 1) values have, by the pigeonhole principle, a part that differs in at most ERRORS of its
+A document's signature has parts x size MinHash values cut to 16 bits. Two signatures that differ in fewer
+than parts x (ERRORS + 1) values have, by the pigeonhole principle, a part that differs in at most ERRORS of its
 values. So each part is indexed under every way to leave out ERRORS of its values, and all pairs within that
-distance meet under some key. At a similarity of 0.85 the number of differing values is binomial(96, 0.15):
-the chance to miss a pair is below 1e-5.
+distance meet under some key. At a similarity of 0.85 and 16 x 6 values the number of differing values is
+binomial(96, 0.15), at 0.8 and 20 x 5 values binomial(100, 0.2): the chance to miss a pair is of the order 1e-5.
 
 Keys join documents into candidate clusters, not into pairs; a cluster's whole shingle sets are then compared
 inside tasks, in blocks of bounded size, and only spanning links leave them. Documents with one and the same
@@ -24,14 +24,13 @@ from pyspark.sql import functions as F
 from .common import ship, table, written
 from .graph import components
 
-PARTS, PART_SIZE, ERRORS = 16, 6, 1
-SIZE = PARTS * PART_SIZE
+ERRORS = 1
 #: Bounds of a block of a cluster.
 BLOCK_DOCS, BLOCK_SHINGLES = 400, 1 << 18
 MAX_WORDS = 400_000
 _U = np.uint64
 _A, _B, _C, _D = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
-_MULTIPLIERS = (np.random.default_rng(20).integers(1, 1 << 62, SIZE, dtype=np.uint64) << _U(1)) | _U(1)
+_MULTIPLIERS = (np.random.default_rng(20).integers(1, 1 << 62, 128, dtype=np.uint64) << _U(1)) | _U(1)
 _WORDS: dict[bytes, int] = {}
 
 
@@ -68,10 +67,15 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(h)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(SIZE, np.iinfo(np.uint64).max, np.uint64)
+def layout(percent: int) -> tuple[int, int]:
+    """Parts of a signature and values in each."""
+    return (16, 6) if percent >= 85 else (20, 5)
+
+
+def signature(shingles: np.ndarray, values: int) -> np.ndarray:
+    least = np.full(values, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(shingles), 2048):
-        np.minimum(least, (shingles[k : k + 2048, None] * _MULTIPLIERS).min(axis=0), out=least)
+        np.minimum(least, (shingles[k : k + 2048, None] * _MULTIPLIERS[:values]).min(axis=0), out=least)
     return (mixed(least) >> _U(48)).astype("<u2")
 
 
@@ -82,12 +86,12 @@ def set_hash(shingles: np.ndarray) -> tuple[int, int]:
     return (h & ((1 << 64) - 1)) - (1 << 63), (h >> 64) - (1 << 63)
 
 
-def index_keys(signatures: np.ndarray) -> np.ndarray:
+def index_keys(signatures: np.ndarray, parts: int, size: int) -> np.ndarray:
     """For each signature, a key for each part and each way to leave out ERRORS values of it."""
-    x = signatures.astype(np.uint64).reshape(-1, PARTS, PART_SIZE)
+    x = signatures.astype(np.uint64).reshape(-1, parts, size)
     out = []
-    for part in range(PARTS):
-        for number, left in enumerate(combinations(range(PART_SIZE), PART_SIZE - ERRORS)):
+    for part in range(parts):
+        for number, left in enumerate(combinations(range(size), size - ERRORS)):
             h = np.full(len(x), part * 1000 + number, np.uint64)
             for i in left:
                 h = mixed(h * _A + x[:, part, i] + _U(1))
@@ -95,7 +99,7 @@ def index_keys(signatures: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1).view(np.int64)
 
 
-def _signed(docs: DataFrame, shingle: int) -> DataFrame:
+def _signed(docs: DataFrame, shingle: int, values: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, h1, h2, sig = [], [], [], []
@@ -105,13 +109,13 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
                 n.append(len(s))
                 h1.append(a)
                 h2.append(c)
-                sig.append(signature(s).tobytes() if len(s) else None)
+                sig.append(signature(s, values).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sig"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
 
 
-def _candidate_edges(reps: DataFrame) -> DataFrame:
+def _candidate_edges(reps: DataFrame, parts: int, size: int) -> DataFrame:
     """(a, b) such that all representatives that meet under a key are connected.
 
     Rows (key, rep) are range-partitioned by both, so a key with any number of rows spreads over tasks. Within a
@@ -123,8 +127,8 @@ def _candidate_edges(reps: DataFrame) -> DataFrame:
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 b = whole.slice(k, 1000)
-                sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2").reshape(-1, SIZE)
-                found = index_keys(sig)
+                sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2").reshape(-1, parts * size)
+                found = index_keys(sig, parts, size)
                 rep = np.repeat(b.column("rep").to_numpy(zero_copy_only=False), found.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(rep, pa.int64())], names=["key", "rep"])
 
@@ -212,10 +216,11 @@ def near_components(docs: DataFrame, *, shingle: int = 3, percent: int = 85, id_
     if percent < 80:
         raise ValueError("the index is laid out for similarities of 0.8 and more")
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    signed = written(_signed(texts, shingle), "signatures")
+    parts, part_size = layout(percent)
+    signed = written(_signed(texts, shingle, parts * part_size), "signatures")
     reps = signed.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")).filter("rep is not null")
     reps = written(reps, "classes")
-    clusters = components(_candidate_edges(reps))
+    clusters = components(_candidate_edges(reps, parts, part_size))
     held = written(reps.select("rep", "n").join(clusters, F.col("rep") == F.col("node")).select("rep", "n", "component"), "clusters")
     size = held.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
     size = size.select("component", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -253,5 +258,12 @@ def near_components(docs: DataFrame, *, shingle: int = 3, percent: int = 85, id_
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def without_near_copies(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that are not their component's smallest id; rows with a null id stay."""
+    judged = near_components(docs, shingle=shingle, percent=percent, id_col=id_col, text_col=text_col)
+    gone = judged.filter("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+
+
 def op9_neardup(spark, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))

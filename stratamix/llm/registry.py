@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import html_text, langid, linedup, neardup, packing, sstable, toxicity, url_filter
+from . import ann, decontaminate, html_text, langid, linedup, neardup, packing, sstable, toxicity, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_langid": langid.op2_langid,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_ann": ann.op5_ann,
     "op6_sstable": sstable.op6_sstable,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_html_text": html_text.op8_html_text,

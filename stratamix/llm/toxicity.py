@@ -214,6 +214,13 @@ def labelled_fit(spark, sf_dir: str, docs: DataFrame) -> Classifier:
     return fit(docs, labels.filter(crc_mod("doc_id", 5) != 0))
 
 
+def without_toxic(docs: DataFrame, model: Classifier, *, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score ``limit`` or more."""
+    own = [c for c in docs.columns if c.lower() == "score"]
+    scored = score(docs.withColumnsRenamed({c: "_own_score" for c in own}), model, text_col=text_col).filter(F.col("score") < limit)
+    return scored.drop("score").withColumnsRenamed({"_own_score": c for c in own}).select(*docs.columns)
+
+
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, labelled_fit(spark, sf_dir, docs))
