@@ -1,6 +1,412 @@
-"""Queries of the clustering engine by name, and the SQL they are compared with."""
+"""Queries of the clustering engine by name, and the SQL they are compared with.
+
+Stage inputs (cutoffs, component tables, rules) are literals here, so each operator is deterministic and compared
+by itself; fits, k-means and t-SNE have no SQL.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+import math
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.normal import complexity_bias, cutoff
+from ..operators import binning, coreset, em, labeling, merge, predict, summaries, univariate
+from ..sources import frame
+from .model import MixtureClusterer
+
+DIMS = ["x0", "x1", "x2", "x3"]
+CUTS = {"x0": [-0.05, 0.08], "x1": [0.0], "x2": [0.02]}
+LINE = ["qty", "price", "disc"]
+LINE_CUTS = {"qty": [1.5, 3.0], "price": [2.0, 5.0], "disc": [0.5]}
+LARGEST = 400
+
+MIXTURES = [("a", 1, 0.5, 0.0, 1.0), ("a", 2, 0.5, 2.0, 1.0), ("b", 1, 0.7, 0.0, 0.25), ("b", 2, 0.2, 0.3, 0.04), ("b", 3, 0.1, 3.0, 0.64), ("c", 1, 1.0, 1.0, 0.5)]
+CANDIDATES = [("a", 1, 0.9), ("a", 2, 0.4), ("a", 3, 1.4), ("a", 4, 1.2), ("b", 1, 0.3), ("c", 1, 0.5), ("c", 2, 0.5), ("c", 3, 2.0)]
+CROSSINGS = [(1, 0.5, 0.0, 1.0, 0.5, 2.0, 1.0), (2, 0.7, 0.0, 0.5, 0.3, 2.0, 0.8), (3, 0.9, 0.0, 0.1, 0.1, 3.0, 0.1), (4, 0.5, 0.0, 0.1, 0.5, 3.0, 0.3), (5, 0.95, 0.0, 1.0, 0.05, 1.0, 0.5), (6, 0.99, 0.0, 0.6, 0.01, 0.3, 0.3)]
+COMPONENTS = [
+    (1, 0.30, [0.2, 1.1, 2.4], [0.10, 0.20, 0.15]), (2, 0.20, [1.8, 0.3, 2.2], [0.12, 0.10, 0.30]), (3, 0.15, [0.1, 1.4, 2.6], [0.05, 0.25, 0.10]),
+    (4, 0.25, [2.6, 1.9, 2.1], [0.40, 0.11, 0.21]), (5, 0.10, [1.6, 0.2, 2.9], [0.22, 0.05, 0.17]),
+]
+MARKERS, MARKER_CUTS = ["m1", "m2", "m3"], {"m1": [1.0, 2.5], "m2": [1.0]}
+CLUSTERS = [(1, 1, 1, 1), (2, 3, 2, 1), (3, 2, 1, 2), (4, 3, 1, 3), (5, 2, 2, 3), (6, 1, 3, 1)]
+RULES = [(1, "alpha", "hi", "hi"), (2, "beta", "hi", "lo"), (3, "gamma", "lo", "hi"), (4, "delta", "hi", "dc")]
+
+MODEL = em.Mixture(["x0", "x1"], np.array([0.5, 0.3, 0.2]), np.array([[0.0, 0.05], [0.1, -0.1], [-0.1, 0.1]]), np.array([[[0.02, 0.004], [0.004, 0.015]], [[0.012, 0.0], [0.0, 0.018]], [[0.016, -0.003], [-0.003, 0.02]]]))
+CLUSTER_OF = [2, 1, 2]
+
+
+def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _vectors(spark, sf) -> DataFrame:
+    return _read(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(d) for i, d in enumerate(DIMS)])
+
+
+def _lines(spark, sf) -> DataFrame:
+    return _read(spark, sf, "lineitem").select((F.col("l_quantity") / 10).alias("qty"), (F.col("l_extendedprice") / 10000).alias("price"), (F.col("l_discount") * 20).alias("disc"))
+
+
+VECTORS = "v AS (SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {d}" for i, d in enumerate(DIMS)) + " FROM embeddings)"
+LINES = "v AS (SELECT l_quantity / 10 AS qty, l_extendedprice / 10000 AS price, l_discount * 20 AS disc FROM lineitem)"
+
+
+def _level_sql(column: str, cuts: Sequence[float]) -> str:
+    return "(1" + "".join(f" + CASE WHEN {column} > {c!r} AND NOT isnan({column}) THEN 1 ELSE 0 END" for c in cuts) + ")"
+
+
+def _binned_sql(cuts: dict) -> str:
+    key = " || ".join(f"CAST({_level_sql(m, c)} AS VARCHAR)" for m, c in cuts.items())
+    return f"b AS (SELECT *, {key} AS bin_key FROM v)"
+
+
+_BINS = "s AS (SELECT bin_key, count(*) AS n, row_number() OVER (ORDER BY bin_key) AS bin_id FROM b GROUP BY bin_key), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, bin_id DESC) AS size_rank FROM s)"
+_SUMMARY = f"{_BINS} SELECT CAST(bin_id AS INTEGER) AS bin_id, bin_key, n, CAST(size_rank AS INTEGER) AS size_rank FROM r"
+_LINE_BINS = f"WITH {LINES}, {_binned_sql(LINE_CUTS)}, {_BINS}"
+_MOMENTS = ", ".join([*[f"round(avg({p}), 6) AS mean_{p}" for p in LINE], *[f"round(coalesce(covar_samp({LINE[i]}, {LINE[j]}), 0), 6) AS cov_{LINE[i]}_{LINE[j]}" for i in range(3) for j in range(i, 3)]])
+
+
+def _placed(spark, sf, vectors: bool = False) -> tuple[DataFrame, DataFrame]:
+    rows, cuts = (_vectors(spark, sf), CUTS) if vectors else (_lines(spark, sf), LINE_CUTS)
+    binned = binning.with_bins(rows, cuts)
+    summary = binning.bin_summary(binned)
+    return binning.with_bin_ids(binned, summary), summary
+
+
+def _flat(t: DataFrame, *keys: str, params: Sequence[str] = tuple(LINE)) -> DataFrame:
+    d = len(params)
+    cols = [F.round(F.col("mean")[i], 6).alias(f"mean_{p}") for i, p in enumerate(params)]
+    cols += [F.round(F.col("cov")[i * d + j], 6).alias(f"cov_{params[i]}_{params[j]}") for i in range(d) for j in range(i, d)]
+    return t.select(*keys, *cols)
+
+
+def _summary_query(vectors: bool):
+    return lambda spark, sf: _placed(spark, sf, vectors)[1].drop("levels")
+
+
+def _literal(spark, rows, schema) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _mixtures(spark) -> DataFrame:
+    return _literal(spark, MIXTURES, univariate.SCHEMA)
+
+
+def _components(spark) -> DataFrame:
+    rows = [(k, p, m, [[v[i] if i == j else 0.0 for j in range(3)] for i in range(3)]) for k, p, m, v in COMPONENTS]
+    return _literal(spark, rows, "component int, pro double, mean array<double>, cov array<array<double>>")
+
+
+def _mapping(spark) -> DataFrame:
+    return merge.component_clusters(_components(spark), MARKERS, MARKER_CUTS)
+
+
+def _clusters(spark) -> DataFrame:
+    return _literal(spark, CLUSTERS, "cluster int, m1 int, m2 int, m3 int")
+
+
+def _rules(spark) -> DataFrame:
+    return _literal(spark, RULES, "rule_order int, label string, m1 string, m2 string")
+
+
+def _values(rows, names: str) -> str:
+    cell = lambda x: f"'{x}'" if isinstance(x, str) else f"CAST({x!r} AS DOUBLE)" if isinstance(x, float) else repr(x)
+    return f"(VALUES {', '.join('(' + ', '.join(cell(x) for x in r) + ')' for r in rows)}) AS t({names})"
+
+
+_COMPONENT_SQL = "c AS (SELECT * FROM " + _values([(k, p, *m, *v) for k, p, m, v in COMPONENTS], "component, pro, a1, a2, a3, v1, v2, v3") + ")"
+_KEY = ", ".join(_level_sql(f"a{i + 1}", MARKER_CUTS.get(m, [])) for i, m in enumerate(MARKERS))
+_MAP_SQL = f"{_COMPONENT_SQL}, k AS (SELECT *, [{_KEY}] AS levels FROM c), f AS (SELECT *, min(component) OVER (PARTITION BY levels) AS first FROM k), g AS (SELECT *, dense_rank() OVER (ORDER BY first) AS cluster FROM f)"
+_LONG_SQL = f"{_MAP_SQL}, l AS (" + " UNION ALL ".join(f"SELECT cluster, pro, '{m}' AS marker, a{i + 1} AS mean, v{i + 1} AS var FROM g" for i, m in enumerate(MARKERS)) + "), ctr AS (SELECT cluster, marker, sum(pro * mean) / sum(pro) AS center FROM l GROUP BY 1, 2)"
+_SD_SQL = f"{_LONG_SQL}, sd AS (SELECT l.cluster, l.marker, any_value(center) AS center, sqrt(sum(pro * (var + (mean - center) * (mean - center))) / sum(pro)) AS sd FROM l JOIN ctr ON l.cluster = ctr.cluster AND l.marker = ctr.marker GROUP BY 1, 2)"
+
+
+def _density_sql(k: int) -> str:
+    p = np.linalg.inv(MODEL.cov[k])
+    const = float(math.log(MODEL.pro[k]) - 0.5 * (2 * math.log(2 * math.pi) + np.linalg.slogdet(MODEL.cov[k])[1]))
+    a, b = (f"(x{i} - ({float(MODEL.mean[k, i])!r}))" for i in range(2))
+    return f"({const!r} - 0.5 * ({float(p[0, 0])!r} * {a} * {a} + 2 * ({float(p[0, 1])!r}) * {a} * {b} + {float(p[1, 1])!r} * {b} * {b}))"
+
+
+_Z = f"WITH {VECTORS}, z AS (SELECT vec_id, x0, x1, " + ", ".join(f"{_density_sql(k)} AS z{k + 1}" for k in range(3)) + " FROM v)"
+_TOTAL = "t AS (SELECT *, greatest(z1, z2, z3) + ln(exp(z1 - greatest(z1, z2, z3)) + exp(z2 - greatest(z1, z2, z3)) + exp(z3 - greatest(z1, z2, z3))) AS total FROM z)"
+_R = f"{_Z}, {_TOTAL}, r AS (" + " UNION ALL ".join(f"SELECT vec_id, x0, x1, {k} AS component, exp(z{k} - total) AS r, 1.0 + vec_id % 3 AS w FROM t" for k in (1, 2, 3)) + ")"
+_WHICH = "CASE WHEN z1 >= z2 AND z1 >= z3 THEN 1 WHEN z2 >= z3 THEN 2 ELSE 3 END"
+
+
+def _by_batch(df: DataFrame, work, schema: str) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            if len(b):
+                yield work(b)
+
+    return df.mapInPandas(run, schema)
+
+
+def e_step(spark, sf):
+    def work(b: pd.DataFrame) -> pd.DataFrame:
+        r, _ = em.responsibilities(b[["x0", "x1"]].to_numpy(float), MODEL)
+        return pd.DataFrame({"vec_id": np.repeat(b.vec_id.to_numpy(), 3), "component": np.tile([1, 2, 3], len(b)), "r": r.ravel()})
+
+    return _by_batch(_vectors(spark, sf).select("vec_id", "x0", "x1"), work, "vec_id long, component int, r double").select("vec_id", "component", F.round("r", 6).alias("r"))
+
+
+def weighted_loglik(spark, sf):
+    def work(b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"l": em.responsibilities(b[["x0", "x1"]].to_numpy(float), MODEL)[1] * (1 + b.vec_id.to_numpy() % 3)})
+
+    return _by_batch(_vectors(spark, sf).select("vec_id", "x0", "x1"), work, "l double").agg(F.round(F.sum("l"), 5).alias("loglik"))
+
+
+def _core(spark, sf) -> DataFrame:
+    """The vectors as single representatives with weights and a small covariance of their own."""
+    own = F.array(F.lit(0.001), F.lit(0.0), F.lit(0.0), F.lit(0.002))
+    return _vectors(spark, sf).select((F.lit(1.0) + F.col("vec_id") % 3).alias("weight"), F.array("x0", "x1").alias("mean"), own.alias("cov"))
+
+
+def _model_rows(spark, model: em.Mixture) -> DataFrame:
+    rows = [(k + 1, *(round(float(x), 6) for x in (model.pro[k], *model.mean[k], model.cov[k, 0, 0], model.cov[k, 0, 1], model.cov[k, 1, 1]))) for k in range(len(model.pro))]
+    return spark.createDataFrame(rows, "component int, pro double, mean_0 double, mean_1 double, cov_00 double, cov_01 double, cov_11 double")
+
+
+def m_step(spark, sf):
+    core = _core(spark, sf)
+    total = core.agg(F.sum("weight")).first()[0]
+    return _model_rows(spark, em.updated(em._distributed(core, MODEL, total), MODEL.params))
+
+
+def variance_correction(spark, sf):
+    core = _core(spark, sf)
+    total = core.agg(F.sum("weight")).first()[0]
+    s = em._distributed(core, MODEL, total)
+    return _model_rows(spark, em.Mixture(MODEL.params, MODEL.pro, MODEL.mean, MODEL.cov + s.v / MODEL.pro[:, None, None]))
+
+
+def em_fit(spark, sf):
+    return _model_rows(spark, em.weighted_em(_core(spark, sf), MODEL))
+
+
+def fit_predict_flagship(spark, sf):
+    scaled = _vectors(spark, sf).select("vec_id", *[(F.col(d) * 10).alias(d) for d in DIMS])
+    none = spark.createDataFrame([], univariate.SCHEMA)
+    two = univariate.refit_univariate(scaled, dict.fromkeys(DIMS, 2), none, sample_fraction=1.0)
+    model = MixtureClusterer(params=DIMS, components=12, min_cluster_fraction=0.005, univariate=two, min_cutoff=-10.0).fit(scaled)
+    scored = model.transform(scaled)
+    return scored.groupBy("component", "cluster").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(d), 6).alias(f"mean_{d}") for d in DIMS])
+
+
+def _events(spark, sf) -> DataFrame:
+    return _read(spark, sf, "events").select("event_id", "event_type", F.col("value").cast("double").alias("value"))
+
+
+def _gmm1d(spark, sf):
+    lines = _lines(spark, sf).select("qty", "price")
+    return univariate.fit_univariate_default(_events(spark, sf).select("value"), ["value"]).unionByName(univariate.fit_univariate_default(lines, ["qty", "price"]))
+
+
+_KDE = "e AS (SELECT 'value' AS marker, CAST(value AS DOUBLE) AS x, event_type FROM events WHERE value IS NOT NULL AND NOT isnan(value))"
+
+
+def _kde_sql(name: str, where: str = "TRUE") -> str:
+    """CTEs {name}_r (range), {name}_b (bins) and {name} (curve)."""
+    return f"""{name}_p AS (SELECT * FROM e WHERE {where}),
+{name}_q AS (SELECT marker, count(*) AS n, stddev_samp(x) AS sd, min(x) AS mn, max(x) AS mx FROM {name}_p GROUP BY marker),
+{name}_h AS (SELECT *, pow(1 / (4 * pi()), 0.1) * pow(243.0 / (35.0 * n), 0.2) * sd AS h FROM {name}_q),
+{name}_r AS (SELECT *, mn - 4 * h AS low, mx + 4 * h AS high FROM {name}_h),
+{name}_a AS (SELECT p.marker, (p.x - r.low) * 400 / (r.high - r.low) AS pos FROM {name}_p p JOIN {name}_r r ON p.marker = r.marker),
+{name}_c AS (SELECT marker, CAST(floor(pos) AS INTEGER) AS grid_idx, 1 - (pos - floor(pos)) AS m FROM {name}_a UNION ALL SELECT marker, CAST(floor(pos) AS INTEGER) + 1, pos - floor(pos) FROM {name}_a),
+{name}_b AS (SELECT marker, grid_idx, sum(m) AS mass FROM {name}_c GROUP BY 1, 2 HAVING sum(m) > 0),
+{name}_g AS (SELECT r.*, CAST(i AS INTEGER) AS gi, (high - low) / 400 AS step FROM {name}_r r, range(401) AS t(i)),
+{name} AS (SELECT g.marker, g.gi AS grid_idx, any_value(low + gi * step) AS x, sum(b.mass * exp(-0.5 * pow((g.gi - b.grid_idx) * step / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())) AS y FROM {name}_g g JOIN {name}_b b ON g.marker = b.marker GROUP BY 1, 2)"""
+
+
+_ROUND_XY = "round(x, 5) AS x, round(y, 8) AS y"
+_XY = (F.round("x", 5).alias("x"), F.round("y", 8).alias("y"))
+VALUE_MIX = [("value", 1, 0.7, 30.0, 400.0), ("value", 2, 0.3, 120.0, 2500.0)]
+_CURVES = (
+    "WITH e AS (SELECT min(value) AS low, max(value) AS high FROM events WHERE NOT isnan(value)), g AS (SELECT i AS idx, low + (high - low) * i / 499 AS x FROM e, range(500) AS t(i)), m AS (SELECT * FROM "
+    + _values(VALUE_MIX, "marker, component, pro, mean, var")
+    + "), d AS (SELECT marker, component, CAST(idx AS INTEGER) AS idx, x, pro * exp(-0.5 * pow((x - mean) / sqrt(var), 2)) / (sqrt(var) * sqrt(2 * pi())) AS y FROM g, m)"
+)
+
+
+def _value_curves(spark, sf) -> DataFrame:
+    return summaries.mixture_curves(_events(spark, sf).select("value"), _literal(spark, VALUE_MIX, univariate.SCHEMA), ["value"])
+
+
+def _cut_table(spark) -> DataFrame:
+    return _literal(spark, [(m, i + 1, c) for m, cs in MARKER_CUTS.items() for i, c in enumerate(cs)], "marker string, cut_idx int, cutoff double")
+
+
+def _embedding_centers(spark, sf) -> DataFrame:
+    long = _read(spark, sf, "embeddings").select((F.col("label") + 1).cast("int").alias("cluster"), F.posexplode(F.slice("embedding", 1, 4)).alias("i", "x"))
+    return long.groupBy("cluster", F.concat(F.lit("x"), F.col("i")).alias("marker")).agg(F.avg(F.col("x").cast("double")).alias("center"))
+
+
+def median_split(spark, sf):
+    placed, _ = _placed(spark, sf)
+
+    def halves(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf[LINE].to_numpy(float)
+        label = coreset.median_pieces(x, 1)
+        return pd.DataFrame([(int(pdf.bin_id.iloc[0]), p + 1, int((label == p).sum()), *x[label == p].mean(axis=0).round(5)) for p in range(label.max() + 1)], columns=["bin_id", "piece", "weight", *[f"mean_{p}" for p in LINE]])
+
+    small = placed.filter(F.col("bin_n") <= coreset.MOST_ROWS).select("bin_id", *LINE)
+    return small.groupBy("bin_id").applyInPandas(halves, "bin_id int, piece int, weight long, mean_qty double, mean_price double, mean_disc double")
+
+
+def kmeans_coreset(spark, sf):
+    placed, summary = _placed(spark, sf, vectors=True)
+    return coreset.coreset(placed, DIMS, smallest=5, largest=50).select("bin_id", "piece", "weight", *[F.col("mean")[i].alias(f"mean_{d}") for i, d in enumerate(DIMS)])
+
+
+def cutoff_bisection(spark, sf):
+    return _literal(spark, [(i, cutoff(*args)) for i, *args in CROSSINGS], "id int, cutoff double")
+
+
+def _fx(at: str) -> str:
+    one = lambda p, m, s: f"{p} * exp(-0.5 * pow(({at} - {m}) / {s}, 2)) / ({s} * sqrt(2 * pi()))"
+    return f"({one('p1', 'm1', 's1')} - {one('p2', 'm2', 's2')})"
+
+
+_BISECTION = f"""WITH RECURSIVE args AS (SELECT * FROM {_values(CROSSINGS, "id, p1, m1, s1, p2, m2, s2")}),
+s AS (SELECT id, p1, m1, s1, p2, m2, s2, 1 AS stage, m1 AS lo, m2 AS hi, CAST(NULL AS DOUBLE) AS found FROM args
+UNION ALL
+SELECT id, p1, m1, s1, p2, m2, s2,
+  CASE WHEN got IS NULL THEN stage WHEN stage = 1 AND abs(got - m1) < 1e-4 THEN 2 WHEN stage < 3 AND abs(got - m2) < 1e-4 THEN 3 ELSE stage END,
+  CASE WHEN got IS NULL THEN CASE WHEN right_half THEN mid ELSE lo END WHEN stage = 1 AND abs(got - m1) < 1e-4 THEN m1 - s1 WHEN stage < 3 AND abs(got - m2) < 1e-4 THEN m2 ELSE lo END,
+  CASE WHEN got IS NULL THEN CASE WHEN right_half THEN hi ELSE mid END WHEN stage = 1 AND abs(got - m1) < 1e-4 THEN m1 WHEN stage < 3 AND abs(got - m2) < 1e-4 THEN m2 + s2 ELSE hi END,
+  CASE WHEN got IS NULL OR stage = 1 AND abs(got - m1) < 1e-4 OR stage < 3 AND abs(got - m2) < 1e-4 THEN NULL ELSE got END
+FROM (SELECT *, CASE WHEN abs(fm) < 1e-4 THEN mid WHEN hi - mid < 1e-4 THEN hi WHEN mid - lo < 1e-4 THEN lo END AS got, (CASE WHEN fh >= fl THEN 1 ELSE -1 END) * fm < 0 AS right_half
+  FROM (SELECT *, {_fx("mid")} AS fm, {_fx("hi")} AS fh, {_fx("lo")} AS fl FROM (SELECT *, (lo + hi) / 2 AS mid FROM s WHERE found IS NULL))))
+SELECT CAST(id AS INTEGER) AS id, found AS cutoff FROM s WHERE found IS NOT NULL"""
+
+
+def bic_bias(spark, sf):
+    counts = _events(spark, sf).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    k = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k")
+    bias = F.exp(F.lit(-3.7) + F.lit(0.732) * F.log("n")) * F.col("k") * F.log("n") / F.log(F.lit(2.0))
+    return counts.select("event_type", "n", k).select("event_type", "n", "k", F.round(bias, 6).alias("bias"))
+
+
+QUERIES = {
+    "project_features": lambda spark, sf: frame.features(_vectors(spark, sf), DIMS, "vec_id"),
+    "sample_topk_hash": lambda spark, sf: _events(spark, sf).withColumn("h", (F.col("event_id") * 7919) % 100003).orderBy("h", "event_id").limit(500).select("event_id", "value"),
+    "sample_rows_exact": lambda spark, sf: frame.sample_rows(_events(spark, sf), 400).agg(F.count(F.lit(1)).alias("n")),
+    "union_samples": lambda spark, sf: frame.union_samples({t: _events(spark, sf).filter(F.col("event_type") == t).select("value") for t in ("click", "view")}).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")),
+    "level_map": lambda spark, sf: binning.with_bins(_vectors(spark, sf), CUTS).select("vec_id", *[F.col("levels")[i].alias(f"level_{m}") for i, m in enumerate(CUTS)], "bin_key"),
+    "bin_summary": _summary_query(True),
+    "bin_summary_lines": _summary_query(False),
+    "bin_filter_semi": lambda spark, sf: _placed(spark, sf)[0].filter(F.col("bin_n") >= 2000).groupBy("bin_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("qty"), 4).alias("total_qty")),
+    "bin_moments": lambda spark, sf: _flat(coreset.moments(_placed(spark, sf)[0], ["bin_id"], LINE), "bin_id", "weight"),
+    "n_repr": lambda spark, sf: _placed(spark, sf)[1].select("bin_id", "n", F.ceil(F.col("n") / LARGEST).cast("long").alias("n_repr")),
+    "median_split_coreset": median_split,
+    "kmeans_coreset": kmeans_coreset,
+    "init_mixture": lambda spark, sf: (lambda p: _flat(coreset.initial_mixture(p[0], p[1], LINE, components=6, smallest=50), "component", "pro"))(_placed(spark, sf)),
+    "adjacent_pairs": lambda spark, sf: univariate.adjacent_pairs(_mixtures(spark)),
+    "cutoff_filter": lambda spark, sf: univariate.kept_cutoffs(_literal(spark, CANDIDATES, "marker string, comp int, pos double")),
+    "cutoff_bisection": cutoff_bisection,
+    "gmm1d_bic_bias": bic_bias,
+    "gmm1d_fit": _gmm1d,
+    "gmm1d_refit": lambda spark, sf: univariate.refit_univariate(_read(spark, sf, "customer").select("c_acctbal"), {"c_acctbal": 2}, _mixtures(spark), separate_negative=True),
+    "neg_split_moments": lambda spark, sf: _read(spark, sf, "customer").select(F.col("c_acctbal").cast("double").alias("x")).filter("x <> 0").groupBy((F.col("x") > 0).alias("positive")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 5).alias("mean"), F.round(F.var_samp("x"), 3).alias("var")),
+    "find_to_merge": lambda spark, sf: univariate.merge_candidates(_mixtures(spark)).select("marker", F.array_join(F.transform("comps", lambda x: x.cast("string")), ",").alias("comps")),
+    "e_step": e_step,
+    "weighted_loglik": weighted_loglik,
+    "m_step": m_step,
+    "variance_correction": variance_correction,
+    "em_fit": em_fit,
+    "categorical_merge": lambda spark, sf: _mapping(spark).select("component", F.array_join(F.transform("levels", lambda x: x.cast("string")), "").alias("key"), "cluster"),
+    "cluster_centers": lambda spark, sf: merge.cluster_centers(_components(spark), _mapping(spark), MARKERS).select("cluster", "marker", F.round("center", 8).alias("center")),
+    "cluster_sds": lambda spark, sf: merge.cluster_sds(_components(spark), _mapping(spark), MARKERS).select("cluster", "marker", F.round("center", 8).alias("center"), F.round("sd", 8).alias("sd")),
+    "phenotypes": lambda spark, sf: merge.phenotypes(_mapping(spark), MARKERS),
+    "rule_label": lambda spark, sf: labeling.first_match(_clusters(spark), _rules(spark), ["m1", "m2"]),
+    "label_string": lambda spark, sf: labeling.label_strings(_clusters(spark), labeling.first_match(_clusters(spark), _rules(spark), ["m1", "m2"]), _rules(spark), ["m1", "m2"]),
+    "predict_component": lambda spark, sf: predict.with_component(_vectors(spark, sf), MODEL).select("vec_id", "component"),
+    "predict_cluster": lambda spark, sf: predict.with_cluster(predict.with_component(_vectors(spark, sf), MODEL), CLUSTER_OF).select("vec_id", "component", "cluster"),
+    "cluster_counts": lambda spark, sf: predict.with_cluster(predict.with_component(_vectors(spark, sf), MODEL), CLUSTER_OF).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")),
+    "kde_linear_bin": lambda spark, sf: summaries.kde_bins(_events(spark, sf), ["value"]).select("marker", "grid_idx", F.round("mass", 5).alias("mass")),
+    "kde_curve": lambda spark, sf: summaries.kde_table(_events(spark, sf), ["value"]).select("marker", "grid_idx", *_XY),
+    "kde_overlay": lambda spark, sf: summaries.kde(_events(spark, sf), ["value"], _events(spark, sf).filter("event_type = 'click'")).select("series", "marker", "grid_idx", *_XY),
+    "kde_with_cutoffs": lambda spark, sf: summaries.kde_with_cutoffs(_events(spark, sf), {"value": [40.0, 90.0]}, ["value"]).select("marker", "grid_idx", *_XY, F.size("cutoffs").alias("n_cutoffs")),
+    "mixture_curve": lambda spark, sf: _value_curves(spark, sf).filter("component = 0").select("marker", "idx", *_XY),
+    "component_curves": lambda spark, sf: _value_curves(spark, sf).filter("component > 0").select("marker", "component", "idx", *_XY),
+    "univariate_curves": lambda spark, sf: summaries.univariate_curves(_events(spark, sf).select("value"), _literal(spark, VALUE_MIX, univariate.SCHEMA), ["value"]).groupBy("panel", "component").agg(F.count(F.lit(1)).alias("points")),
+    "cluster_logsize": lambda spark, sf: summaries.log_sizes(_components(spark), _mapping(spark), 9.0).select("cluster", F.round("share", 8).alias("share"), F.round("logsize", 8).alias("logsize")),
+    "legend_marker": lambda spark, sf: summaries.legend_marker(merge.cluster_centers(_components(spark), _mapping(spark), MARKERS)).select("marker", F.round("amplitude", 8).alias("amplitude")),
+    "phenobars": lambda spark, sf: summaries.bars(merge.cluster_sds(_components(spark), _mapping(spark), MARKERS), _cut_table(spark), ["m1", "m2"], [1, 2]).select("cluster", "name", "marker", *[F.round(c, 6).alias(c) for c in ("mfi", "sd", "lo", "hi", "midpt", "ymin", "ymax")]),
+    "cluster_vs_global_kde": lambda spark, sf: summaries.cluster_against_all(_events(spark, sf).withColumn("cluster", (F.col("event_id") % 3).cast("int")), [1], ["value"]).select("series", "marker", "grid_idx", F.round("scaled", 7).alias("scaled")),
+    "pairwise_center_dist": lambda spark, sf: summaries.center_distances(_embedding_centers(spark, sf)).select("a", "b", F.round("distance", 6).alias("distance")),
+    "tsne_clusters": lambda spark, sf: summaries.embedding(_embedding_centers(spark, sf)),
+    "fit_predict_flagship": fit_predict_flagship,
+}
+
+ORACLES = {
+    "project_features": f"WITH {VECTORS} SELECT * FROM v",
+    "sample_topk_hash": "SELECT event_id, CAST(value AS DOUBLE) AS value FROM events ORDER BY (event_id * 7919) % 100003, event_id LIMIT 500",
+    "sample_rows_exact": "SELECT least(400, count(*)) AS n FROM events",
+    "union_samples": "SELECT event_type AS sample_id, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_type IN ('click', 'view') GROUP BY 1",
+    "level_map": f"WITH {VECTORS} SELECT vec_id, " + ", ".join(f"CAST({_level_sql(m, c)} AS INTEGER) AS level_{m}" for m, c in CUTS.items()) + f", {' || '.join(f'CAST({_level_sql(m, c)} AS VARCHAR)' for m, c in CUTS.items())} AS bin_key FROM v",
+    "bin_summary": f"WITH {VECTORS}, {_binned_sql(CUTS)}, {_SUMMARY}",
+    "bin_summary_lines": f"WITH {LINES}, {_binned_sql(LINE_CUTS)}, {_SUMMARY}",
+    "bin_filter_semi": f"{_LINE_BINS} SELECT CAST(bin_id AS INTEGER) AS bin_id, count(*) AS n, round(sum(qty), 4) AS total_qty FROM b JOIN s ON b.bin_key = s.bin_key WHERE s.n >= 2000 GROUP BY 1",
+    "bin_moments": f"{_LINE_BINS} SELECT CAST(bin_id AS INTEGER) AS bin_id, count(*) AS weight, {_MOMENTS} FROM b JOIN s ON b.bin_key = s.bin_key GROUP BY 1",
+    "n_repr": f"{_LINE_BINS} SELECT CAST(bin_id AS INTEGER) AS bin_id, n, CAST(ceil(n / {LARGEST}.0) AS BIGINT) AS n_repr FROM s",
+    "median_split_coreset": f"""{_LINE_BINS}, j AS (SELECT CAST(bin_id AS INTEGER) AS bin_id, qty, price, disc FROM b JOIN s ON b.bin_key = s.bin_key),
+w AS (SELECT bin_id, count(*) AS n, stddev_pop(qty) AS a, stddev_pop(price) AS b, stddev_pop(disc) AS c, median(qty) AS ma, median(price) AS mb, median(disc) AS mc FROM j GROUP BY 1),
+h AS (SELECT j.*, CASE WHEN n = 1 THEN FALSE WHEN a >= b AND a >= c THEN qty >= ma WHEN b >= c THEN price >= mb ELSE disc >= mc END AS up FROM j JOIN w ON j.bin_id = w.bin_id),
+p AS (SELECT bin_id, up, count(*) AS weight, round(avg(qty), 5) AS mean_qty, round(avg(price), 5) AS mean_price, round(avg(disc), 5) AS mean_disc FROM h GROUP BY 1, 2)
+SELECT bin_id, CAST(row_number() OVER (PARTITION BY bin_id ORDER BY up) AS INTEGER) AS piece, weight, mean_qty, mean_price, mean_disc FROM p""",
+    "init_mixture": f"{_LINE_BINS}, q AS (SELECT * FROM r WHERE size_rank <= 6 AND n > 50) SELECT CAST(size_rank AS INTEGER) AS component, CAST(count(*) AS DOUBLE) AS pro, "
+    + ", ".join([*[f"round(avg({p}), 6) AS mean_{p}" for p in LINE], *[f"round(coalesce(covar_samp({LINE[i]}, {LINE[j]}), 0) + {0.01 if i == j else 0.0}, 6) AS cov_{LINE[i]}_{LINE[j]}" for i in range(3) for j in range(i, 3)]])
+    + " FROM b JOIN q ON b.bin_key = q.bin_key GROUP BY 1",
+    "adjacent_pairs": "SELECT * FROM (SELECT marker, CAST(comp AS INTEGER) AS comp, pro, mean, var, " + ", ".join(f"lead({c}) OVER (PARTITION BY marker ORDER BY comp) AS next_{c}" for c in ("pro", "mean", "var")) + f" FROM {_values(MIXTURES, 'marker, comp, pro, mean, var')}) WHERE next_mean IS NOT NULL",
+    "cutoff_filter": f"SELECT marker, CAST(comp AS INTEGER) AS comp, pos FROM (SELECT *, max(pos) OVER (PARTITION BY marker ORDER BY comp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {_values(CANDIDATES, 'marker, comp, pos')} WHERE pos >= 0.5) WHERE before IS NULL OR pos > before",
+    "cutoff_bisection": _BISECTION,
+    "gmm1d_bic_bias": "SELECT event_type, n, CAST(k AS INTEGER) AS k, round(exp(-3.7 + 0.732 * ln(n)) * k * ln(n) / ln(2.0), 6) AS bias FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1), (VALUES (1), (2), (3)) AS t(k)",
+    "neg_split_moments": "SELECT c_acctbal > 0 AS positive, count(*) AS n, round(avg(CAST(c_acctbal AS DOUBLE)), 5) AS mean, round(var_samp(CAST(c_acctbal AS DOUBLE)), 3) AS var FROM customer WHERE c_acctbal <> 0 GROUP BY 1",
+    "find_to_merge": f"SELECT marker, string_agg(CAST(comp AS VARCHAR), ',' ORDER BY comp) AS comps FROM {_values(MIXTURES, 'marker, comp, pro, mean, var')} WHERE mean < 0.5 GROUP BY 1 HAVING count(*) > 1",
+    "e_step": f"{_R} SELECT vec_id, CAST(component AS INTEGER) AS component, round(r, 6) AS r FROM r",
+    "weighted_loglik": f"{_Z}, {_TOTAL} SELECT round(sum(total * (1 + vec_id % 3)), 5) AS loglik FROM t",
+    "m_step": f"""{_R}, n AS (SELECT count(*) / 3 AS m, sum(w) / 3 AS total FROM r), q AS (SELECT r.*, w * r / total AS wr, m FROM r, n),
+s AS (SELECT component, any_value(m) AS m, sum(wr) AS s0, sum(wr * x0) AS a, sum(wr * x1) AS b, sum(wr * x0 * x0) AS aa, sum(wr * x0 * x1) AS ab, sum(wr * x1 * x1) AS bb, sum(sqrt(wr) * x0) AS ta, sum(sqrt(wr) * x1) AS tb FROM q GROUP BY 1)
+SELECT CAST(component AS INTEGER) AS component, round(s0, 6) AS pro, round(a / s0, 6) AS mean_0, round(b / s0, 6) AS mean_1,
+"""
+    + ",\n".join(f"round(m / s0 * (({u}{v} - {'t' + u} * {'t' + v} / m) / (m - 1) + {'t' + u} * {'t' + v} / (m * m)) - {u} * {v} / (s0 * s0) + {ridge}, 6) AS cov_{i}{j}" for u, v, i, j, ridge in (("a", "a", 0, 0, 0.01), ("a", "b", 0, 1, 0.0), ("b", "b", 1, 1, 0.01)))
+    + " FROM s",
+    "variance_correction": f"{_R}, n AS (SELECT sum(w) / 3 AS total FROM r), s AS (SELECT component, sum(w * r) / any_value(total) AS s0 FROM r, n GROUP BY 1), p AS (SELECT * FROM "
+    + _values([(k + 1, float(MODEL.pro[k]), *map(float, MODEL.mean[k]), *map(float, (MODEL.cov[k, 0, 0], MODEL.cov[k, 0, 1], MODEL.cov[k, 1, 1]))) for k in range(3)], "component, pro, mean_0, mean_1, c00, c01, c11")
+    + ") SELECT CAST(p.component AS INTEGER) AS component, round(pro, 6) AS pro, round(mean_0, 6) AS mean_0, round(mean_1, 6) AS mean_1, round(c00 + 0.001 * s0 / pro, 6) AS cov_00, round(c01, 6) AS cov_01, round(c11 + 0.002 * s0 / pro, 6) AS cov_11 FROM p JOIN s ON p.component = s.component",
+    "categorical_merge": f"WITH {_MAP_SQL} SELECT CAST(component AS INTEGER) AS component, array_to_string(levels, '') AS key, CAST(cluster AS INTEGER) AS cluster FROM g",
+    "cluster_centers": f"WITH {_LONG_SQL} SELECT CAST(cluster AS INTEGER) AS cluster, marker, round(center, 8) AS center FROM ctr",
+    "cluster_sds": f"WITH {_SD_SQL} SELECT CAST(cluster AS INTEGER) AS cluster, marker, round(center, 8) AS center, round(sd, 8) AS sd FROM sd",
+    "phenotypes": f"WITH {_MAP_SQL} SELECT DISTINCT CAST(cluster AS INTEGER) AS cluster, CAST(levels[1] AS INTEGER) AS m1, CAST(levels[2] AS INTEGER) AS m2 FROM g",
+    "rule_label": f"WITH c AS (SELECT * FROM {_values(CLUSTERS, 'cluster, m1, m2, m3')}), r AS (SELECT * FROM {_values(RULES, 'rule_order, label, m1, m2')}) SELECT CAST(c.cluster AS INTEGER) AS cluster, coalesce(arg_min(r.label, r.rule_order), 'UNK') AS func FROM c LEFT JOIN r ON NOT (r.m1 = 'hi' AND c.m1 = 1 OR r.m1 = 'lo' AND c.m1 > 1 OR r.m2 = 'hi' AND c.m2 = 1 OR r.m2 = 'lo' AND c.m2 > 1) GROUP BY 1",
+    "label_string": f"""WITH c AS (SELECT * FROM {_values(CLUSTERS, "cluster, m1, m2, m3")}), r AS (SELECT * FROM {_values(RULES, "rule_order, label, m1, m2")}),
+f AS (SELECT c.cluster, c.m1, c.m2, c.m3, arg_min(r.label, r.rule_order) AS func, arg_min(r.m1, r.rule_order) AS r1, arg_min(r.m2, r.rule_order) AS r2 FROM c LEFT JOIN r ON NOT (r.m1 = 'hi' AND c.m1 = 1 OR r.m1 = 'lo' AND c.m1 > 1 OR r.m2 = 'hi' AND c.m2 = 1 OR r.m2 = 'lo' AND c.m2 > 1) GROUP BY ALL),
+o AS (SELECT cluster, coalesce(func, 'UNK') AS func, CASE WHEN func IS NOT NULL AND r1 = 'dc' THEN m1 END AS l1, CASE WHEN func IS NOT NULL AND r2 = 'dc' THEN m2 END AS l2, m3 AS l3 FROM f),
+n AS (SELECT *, coalesce(l1 = 2, FALSE) OR coalesce(l2 = 2, FALSE) OR l3 = 2 AS mid FROM o)
+SELECT CAST(cluster AS INTEGER) AS cluster, func, func || CASE WHEN mid THEN CASE WHEN l1 = 2 THEN ' m1+' ELSE '' END || CASE WHEN l2 = 2 THEN ' m2+' ELSE '' END || CASE WHEN l3 = 2 THEN ' m3+' ELSE '' END ELSE CASE WHEN l1 = 3 THEN ' m1++' ELSE '' END || CASE WHEN l2 = 3 THEN ' m2++' ELSE '' END || CASE WHEN l3 = 3 THEN ' m3++' ELSE '' END END AS label FROM n""",
+    "predict_component": f"{_Z} SELECT vec_id, CAST({_WHICH} AS INTEGER) AS component FROM z",
+    "predict_cluster": f"{_Z} SELECT vec_id, CAST({_WHICH} AS INTEGER) AS component, CAST(CASE WHEN {_WHICH} = 2 THEN 1 ELSE 2 END AS INTEGER) AS cluster FROM z",
+    "cluster_counts": f"{_Z} SELECT CAST(CASE WHEN {_WHICH} = 2 THEN 1 ELSE 2 END AS INTEGER) AS cluster, count(*) AS n FROM z GROUP BY 1",
+    "kde_linear_bin": f"WITH {_KDE}, {_kde_sql('k')} SELECT marker, grid_idx, round(mass, 5) AS mass FROM k_b",
+    "kde_curve": f"WITH {_KDE}, {_kde_sql('k')} SELECT marker, grid_idx, {_ROUND_XY} FROM k",
+    "kde_overlay": f"WITH {_KDE}, {_kde_sql('k')}, {_kde_sql('o', "event_type = 'click'")} SELECT 'data' AS series, marker, grid_idx, {_ROUND_XY} FROM k UNION ALL SELECT 'overlay', marker, grid_idx, {_ROUND_XY} FROM o",
+    "kde_with_cutoffs": f"WITH {_KDE}, {_kde_sql('k')} SELECT marker, grid_idx, {_ROUND_XY}, CAST(2 AS INTEGER) AS n_cutoffs FROM k",
+    "mixture_curve": f"{_CURVES}, s AS (SELECT marker, idx, any_value(x) AS x, sum(y) AS y FROM d GROUP BY 1, 2) SELECT marker, idx, {_ROUND_XY} FROM s",
+    "component_curves": f"{_CURVES} SELECT marker, CAST(component AS INTEGER) AS component, idx, {_ROUND_XY} FROM d",
+    "univariate_curves": "SELECT panel, CAST(component AS INTEGER) AS component, CAST(points AS BIGINT) AS points FROM (VALUES ('kde', 0, 401), ('mixture', 0, 500), ('components', 1, 500), ('components', 2, 500)) AS t(panel, component, points)",
+    "cluster_logsize": f"WITH {_MAP_SQL}, s AS (SELECT cluster, sum(pro) AS share FROM g GROUP BY 1), m AS (SELECT avg(ln(share)) AS mean FROM s) SELECT CAST(cluster AS INTEGER) AS cluster, round(share, 8) AS share, round(ln(share) * 9.0 / mean, 8) AS logsize FROM s, m",
+    "legend_marker": f"WITH {_LONG_SQL} SELECT marker, round(max(center) - min(center), 8) AS amplitude FROM ctr GROUP BY 1 ORDER BY max(center) - min(center) DESC, marker LIMIT 1",
+    "phenobars": f"WITH {_SD_SQL}, b AS (SELECT cluster, marker, center AS mfi, sd, center - sd AS lo, center + sd AS hi, CASE marker WHEN 'm1' THEN 1.75 ELSE 1.0 END AS midpt FROM sd WHERE cluster IN (1, 2) AND marker IN ('m1', 'm2')), a AS (SELECT least(0, min(lo)) AS ymin, max(hi) AS ymax FROM b) SELECT CAST(cluster AS INTEGER) AS cluster, CAST(cluster AS VARCHAR) AS name, marker, "
+    + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in ("mfi", "sd", "lo", "hi", "midpt", "ymin", "ymax"))
+    + " FROM b, a",
+    "cluster_vs_global_kde": f"WITH {_KDE.replace('event_type FROM', 'event_type, event_id % 3 AS cluster FROM')}, {_kde_sql('k')}, {_kde_sql('o', 'cluster = 1')} SELECT 'all' AS series, marker, grid_idx, round(0.8 * y / max(y) OVER (PARTITION BY marker), 7) AS scaled FROM k UNION ALL SELECT 'cluster 1', marker, grid_idx, round(0.8 * y / max(y) OVER (PARTITION BY marker), 7) FROM o",
+    "pairwise_center_dist": "WITH c AS (SELECT CAST(label + 1 AS INTEGER) AS cluster, " + ", ".join(f"avg(CAST(embedding[{i + 1}] AS DOUBLE)) AS c{i}" for i in range(4)) + " FROM embeddings GROUP BY 1) SELECT a.cluster AS a, b.cluster AS b, round(sqrt(" + " + ".join(f"pow(a.c{i} - b.c{i}, 2)" for i in range(4)) + "), 6) AS distance FROM c a JOIN c b ON a.cluster < b.cluster",
+}
