@@ -226,7 +226,12 @@ def _kde_sql(name: str, where: str = "TRUE") -> str:
 
 
 _ROUND_XY = "round(x, 5) AS x, round(y, 8) AS y"
-_XY = (F.round("x", 5).alias("x"), F.round("y", 8).alias("y"))
+
+
+def _xy() -> tuple:
+    return F.round("x", 5).alias("x"), F.round("y", 8).alias("y")
+
+
 VALUE_MIX = [("value", 1, 0.7, 30.0, 400.0), ("value", 2, 0.3, 120.0, 2500.0)]
 _CURVES = (
     "WITH e AS (SELECT min(value) AS low, max(value) AS high FROM events WHERE NOT isnan(value)), g AS (SELECT i AS idx, low + (high - low) * i / 499 AS x FROM e, range(500) AS t(i)), m AS (SELECT * FROM "
@@ -331,11 +336,11 @@ QUERIES = {
     "predict_cluster": lambda spark, sf: predict.with_cluster(predict.with_component(_vectors(spark, sf), MODEL), CLUSTER_OF).select("vec_id", "component", "cluster"),
     "cluster_counts": lambda spark, sf: predict.with_cluster(predict.with_component(_vectors(spark, sf), MODEL), CLUSTER_OF).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")),
     "kde_linear_bin": lambda spark, sf: summaries.kde_bins(_events(spark, sf), ["value"]).select("marker", "grid_idx", F.round("mass", 5).alias("mass")),
-    "kde_curve": lambda spark, sf: summaries.kde_table(_events(spark, sf), ["value"]).select("marker", "grid_idx", *_XY),
-    "kde_overlay": lambda spark, sf: summaries.kde(_events(spark, sf), ["value"], _events(spark, sf).filter("event_type = 'click'")).select("series", "marker", "grid_idx", *_XY),
-    "kde_with_cutoffs": lambda spark, sf: summaries.kde_with_cutoffs(_events(spark, sf), {"value": [40.0, 90.0]}, ["value"]).select("marker", "grid_idx", *_XY, F.size("cutoffs").alias("n_cutoffs")),
-    "mixture_curve": lambda spark, sf: _value_curves(spark, sf).filter("component = 0").select("marker", "idx", *_XY),
-    "component_curves": lambda spark, sf: _value_curves(spark, sf).filter("component > 0").select("marker", "component", "idx", *_XY),
+    "kde_curve": lambda spark, sf: summaries.kde_table(_events(spark, sf), ["value"]).select("marker", "grid_idx", *_xy()),
+    "kde_overlay": lambda spark, sf: summaries.kde(_events(spark, sf), ["value"], _events(spark, sf).filter("event_type = 'click'")).select("series", "marker", "grid_idx", *_xy()),
+    "kde_with_cutoffs": lambda spark, sf: summaries.kde_with_cutoffs(_events(spark, sf), {"value": [40.0, 90.0]}, ["value"]).select("marker", "grid_idx", *_xy(), F.size("cutoffs").alias("n_cutoffs")),
+    "mixture_curve": lambda spark, sf: _value_curves(spark, sf).filter("component = 0").select("marker", "idx", *_xy()),
+    "component_curves": lambda spark, sf: _value_curves(spark, sf).filter("component > 0").select("marker", "component", "idx", *_xy()),
     "univariate_curves": lambda spark, sf: summaries.univariate_curves(_events(spark, sf).select("value"), _literal(spark, VALUE_MIX, univariate.SCHEMA), ["value"]).groupBy("panel", "component").agg(F.count(F.lit(1)).alias("points")),
     "cluster_logsize": lambda spark, sf: summaries.log_sizes(_components(spark), _mapping(spark), 9.0).select("cluster", F.round("share", 8).alias("share"), F.round("logsize", 8).alias("logsize")),
     "legend_marker": lambda spark, sf: summaries.legend_marker(merge.cluster_centers(_components(spark), _mapping(spark), MARKERS)).select("marker", F.round("amplitude", 8).alias("amplitude")),
