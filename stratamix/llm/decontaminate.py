@@ -27,8 +27,8 @@ UNITS = (
     "dollars", "dollar", "cents", "cent", "euros", "euro", "usd", "eur", "percent", "degrees", "degree", "liters", "litres", "liter", "litre", "ml", "l",
     "mph", "kmh", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb", "watts", "kw", "w", "volts", "v", "joules", "j",
 )
-#: A run of capitalised words after a word, number, comma or semicolon, so not at the beginning of a sentence.
-_NAME = r"([\p{Ll}\p{Nd},;]\s)(\p{Lu}[\p{L}'’-]*(?:\s\p{Lu}[\p{L}'’-]*)*)"
+#: A run of capitalised words after a word, comma or semicolon, so not at the beginning of a sentence.
+_NAME = r"([\p{Ll},;]\s)(\p{Lu}[\p{L}'’-]*(?:\s\p{Lu}[\p{L}'’-]*)*)"
 _NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 _UNIT = rf"({NUMBER}\s*)({'|'.join(sorted(UNITS, key=len, reverse=True))})\b"
 

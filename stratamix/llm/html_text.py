@@ -174,6 +174,8 @@ LABELLED = (
     (1, 0, 0, 14, 0, 5, 1, 0, 0, 1), (1, 0, 0, 9, 0, 7, 0, 9, 0.6, 1), (1, 0, 1, 2, 1, 80, 0, 50, 0, 1), (1, 0, 0, 300, 0, 2, 0, 9, 0, 1),
     (1, 0, 0, 20, 0, 10, 0, 1, 1, 1), (1, 0, 0, 3, 1, 20, 0, 1, 1, 1), (1, 0, 0, 1, 1, 3, 1, 1, 1, 1), (1, 0, 1, 4, 0, 0, 0, 5, 1, 1), (1, 0, 0, 60, 0, 5, 1, 2, 1, 1), (1, 0, 0, 7, 0, 30, 0, 4, 0.9, 1),
     (1, 0, 0, 2, 0, 1, 1, 3, 1, 1), (1, 0, 0, 30, 0.9, 44, 0.9, 25, 0.9, 1), (1, 0, 0, 1, 1, 0, 0, 0, 0, 1),
+    # the same beside all sorts of neighbours
+    *((1, 0, 0, words, links, before, ld, after, ld, 1) for words in (1, 4, 40) for links in (0, 1) for before in (0, 3, 60) for after in (0, 3, 60) for ld in (0, 1)),
     # in a main element, but furniture
     (1, 1, 0, 12, 0, 60, 0, 20, 0, 0), (1, 1, 0, 50, 0.02, 80, 0, 30, 0, 0), (1, 1, 1, 2, 0, 70, 0, 25, 0, 0), (1, 1, 0, 1, 1, 40, 0, 1, 1, 0), (1, 1, 0, 30, 0, 2, 0, 15, 0, 0),
     # outside the main element of a page that has one

@@ -104,7 +104,8 @@ def train(rows: list[tuple[int, float, list[int], list[int] | None]], n: int) ->
     w, b = np.zeros(n), 0.0
     u, ub, step_t = w.copy(), b, 1.0
     most = max([1, *np.bincount(r).tolist()]) if len(r) else 1
-    rate = 4.0 / (1 + most) / (1 + PENALTY * bool(pairs))
+    apart = max([0, *[len(set(x[2]) ^ set(x[3])) for x in pairs]])
+    rate = 1 / ((1 + most) / 4 + 2 * PENALTY * apart)  # one over a bound of the curvature
     for _ in range(STEPS):
         z = np.bincount(r, u[c], len(y)) + ub
         d = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
