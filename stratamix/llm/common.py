@@ -39,6 +39,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of a few numbers each (about 32 bytes) that may be sent to all tasks.
+SENT_ROWS = 500_000
+
+
+def sent_if_small(df: DataFrame, name: str, most: int = SENT_ROWS) -> DataFrame:
+    """``df``, written and counted; marked for broadcast if it has at most ``most`` rows, else left to a shuffle join."""
+    df = written(df, name)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers, wherever the driver was started from."""
     sc = spark.sparkContext

@@ -17,86 +17,88 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import sent_if_small, table, written
 
 THRESHOLD = 2
 #: Shorter lines are left alone.
 MIN_CHARS = 20
 #: See ``without_repeats``.
 MOST_WORDS = 50
-#: Most frequent lines whose further occurrences are not indexed, sent to all tasks; and lines to verify that may be sent so.
-HOT_LINES, SENT_LINES = 50_000, 200_000
-#: Characters counted for the filter beside the join; all others are a group too. An edit changes two counts at most.
-GROUPS = ("ea", "ti", "on", "rs", "hl", "du", " ")
+#: Most frequent lines whose further occurrences are not indexed; they are sent to all tasks.
+HOT_LINES = 50_000
+#: Letters counted together for the filter beside the join. An edit changes two counts by one at most.
+GROUPS = ("abc", "def", "ghi", "jkl", "mno", "pqr", "stuv", "wxyz")
 
 
 def exploded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line_no, line, h1, h2) of the lines that count."""
+    """(doc_id, line_no, line, n, h1, h2) of the lines that count; n is the number of characters."""
     lines = docs.select(docs[id_col].alias("doc_id"), F.posexplode(F.split(docs[text_col], "\n")).alias("line_no", "line"))
-    lines = lines.filter(F.length("line") >= min_chars)
-    return lines.select("doc_id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(11), "line", F.length("line")).alias("h2"))
+    lines = lines.withColumn("n", F.length("line")).filter(F.col("n") >= min_chars)
+    return lines.select("doc_id", "line_no", "line", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(11), "line").alias("h2"))
 
 
 def _packed_counts(line: Column) -> Column:
-    n = F.length(line)
-    counts = [n - F.length(F.translate(line, g, "")) for g in GROUPS]
-    counts.append(n - reduce(lambda a, b: a + b, counts))
-    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(c.cast("long").bitwiseAND(F.lit(127)), 8 * i) for i, c in enumerate(counts)])
+    """A byte for each group: its letters' number modulo 256."""
+    size = F.octet_length(line)
+    count = lambda letter: size - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+    counts = [reduce(lambda a, b: a + b, [count(x) for x in g]) for g in GROUPS]
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(c.cast("long").bitwiseAND(F.lit(255)), 8 * i) for i, c in enumerate(counts)])
 
 
 def _counts_close(a: Column, b: Column, limit: int) -> Column:
     apart = []
-    for i in range(len(GROUPS) + 1):
-        d = F.abs(F.shiftright(a, 8 * i).bitwiseAND(F.lit(127)) - F.shiftright(b, 8 * i).bitwiseAND(F.lit(127)))
-        apart.append(F.least(d, F.lit(128) - d))
+    for i in range(len(GROUPS)):
+        d = F.abs(F.shiftright(a, 8 * i).bitwiseAND(F.lit(255)) - F.shiftright(b, 8 * i).bitwiseAND(F.lit(255)))
+        apart.append(F.least(d, F.lit(256) - d))
     return reduce(lambda x, y: x + y, apart) <= limit
 
 
-def _segments(length: Column, i: int, k: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of segment i of a line of ``length`` characters; the last segments take the rest."""
+def index_places(k: int) -> list[tuple[int, int, int]]:
+    """(gap, segment, shift) under which a line is indexed: its own segments."""
+    return [(0, i, 0) for i in range(k + 1)]
+
+
+def probe_places(k: int) -> list[tuple[int, int, int]]:
+    """(gap, segment, shift) under which a line finds those that are ``gap`` characters shorter, or equally long.
+
+    At most ``segment`` edits lie before the segment and k - segment behind it, and the ends are gap characters apart.
+    """
+    return [(gap, i, shift) for gap in range(k + 1) for i in range(k + 1) for shift in range(max(-i, gap - (k - i)), min(i, gap + (k - i)) + 1)]
+
+
+def keyed(first: DataFrame, places: list[tuple[int, int, int]], k: int, *keep: str) -> DataFrame:
+    """(h1, key) of the lines' substrings at ``places``, with the columns to keep.
+
+    One short expression over exploded places: an expression for each place would be too long to be compiled.
+    """
+    table_ = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("gap", "i", "shift"), p, strict=True)]) for p in places])
+    own = ["h1", "line", "n", *[c for c in keep if c != "line"]]
+    rows = first.select(*own, F.explode(table_).alias("p")).select(*own, "p.*")
+    length = F.col("n") - F.col("gap")
     size, rest = F.floor(length / (k + 1)).cast("int"), length % (k + 1)
-    longer = F.greatest(F.lit(0), rest - (k + 1 - i))
-    return size * i + longer + 1, size + F.when(F.lit(i) >= k + 1 - rest, 1).otherwise(0)
-
-
-def _index_keys(line: Column, k: int) -> list[Column]:
-    n = F.length(line)
-    out = []
-    for i in range(k + 1):
-        start, size = _segments(n, i, k)
-        out.append(F.xxhash64(n, F.lit(i), F.substring(line, start, size)))
-    return out
-
-
-def _probe_keys(line: Column, k: int) -> list[Column]:
-    """Keys under which shorter or equally long lines within the threshold lie; null where there is no such substring."""
-    n = F.length(line)
-    out = []
-    for gap in range(k + 1):
-        short = n - gap
-        for i in range(k + 1):
-            start, size = _segments(short, i, k)
-            # i edits at most before the segment and k - i after it, and the ends are gap characters apart
-            for shift in range(max(-i, gap - (k - i)), min(i, gap + (k - i)) + 1):
-                at = start + shift
-                fits = (at >= 1) & (at + size - 1 <= n)
-                out.append(F.when(fits, F.xxhash64(short, F.lit(i), F.substring(line, at, size))))
-    return out
-
-
-def edit_distance(a: Column, b: Column, k: int) -> Column:
-    """Banded bit-parallel edit distance of two strings, exact up to ``k``; greater than ``k`` beyond, null for nulls.
+    # the last segments take the rest, one character each
+    longer = F.greatest(F.lit(0), F.col("i") - (k + 1 - rest))
+    at = size * F.col("i") + longer + 1 + F.col("shift")
+    rows = rows.withColumns({"_at": at, "_size": size + F.when(F.col("i") >= k + 1 - rest, 1).otherwise(0), "_length": length})
+    rows = rows.filter((F.col("_at") >= 1) & (F.col("_at") + F.col("_size") - 1 <= F.col("n")))
+    return rows.select("h1", *keep, F.xxhash64("_length", "i", F.substring("line", F.col("_at"), F.col("_size"))).alias("key"))
+
+
+def with_edit_distance(pairs: DataFrame, a: str, b: str, k: int, name: str = "distance") -> DataFrame:
+    """Adds the banded bit-parallel edit distance of two strings in code points: exact up to ``k``, more than ``k`` beyond.
 
     Bit i of a vector is the cell of row j - k + i in column j. The vertical differences of a column follow from
     those of the one before by a few integer operations; the distance is followed along the diagonal that ends in
-    the last cell.
+    the last cell. The characters are split in a projection of their own, once a pair.
     """
     width = 2 * k + 1
     mask = (1 << width) - 1
-    long_, short = F.when(F.length(a) >= F.length(b), a).otherwise(b), F.when(F.length(a) >= F.length(b), b).otherwise(a)
-    gap = F.length(long_) - F.length(short)
-    pad = F.unhex(F.lit("00" * 4 * (k + 1)))
-    rows, cols = F.concat(pad, F.encode(long_, "UTF-32"), pad), F.encode(short, "UTF-32")
+    first_longer = F.length(a) >= F.length(b)
+    pad = F.array(*[F.lit("")] * (k + 1))
+    chars = lambda s: F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0))
+    out = pairs.withColumns({"_long": F.when(first_longer, F.col(a)).otherwise(F.col(b)), "_short": F.when(first_longer, F.col(b)).otherwise(F.col(a))})
+    out = out.withColumns({"_rows": F.concat(pad, chars(F.col("_long")), pad), "_cols": chars(F.col("_short"))})
+    out = out.withColumn("_gap", F.size("_rows") - 2 * (k + 1) - F.size("_cols"))
     bit = lambda i: F.lit(1 << i).cast("long")
     low = lambda x: x.bitwiseAND(F.lit(mask).cast("long"))
     flip = lambda x: x.bitwiseXOR(F.lit(mask).cast("long"))
@@ -104,40 +106,45 @@ def edit_distance(a: Column, b: Column, k: int) -> Column:
 
     def column(state: Column, j: Column) -> Column:
         vp, vn, distance = state["vp"], state["vn"], state["d"]
-        char = F.substring(cols, 4 * j - 3, 4)
-        # row r of column j is at r + k + 1 in ``rows``
-        equal = reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.substring(rows, 4 * (j + i) + 1, 4) == char, bit(i)).otherwise(F.lit(0).cast("long")) for i in range(width)])
+        char = F.element_at("_cols", j)
+        # row r of column j is at r + k + 1 in ``_rows``
+        equal = reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.element_at("_rows", j + i + 1) == char, bit(i)).otherwise(F.lit(0).cast("long")) for i in range(width)])
 
         def step(d0: Column) -> Column:
             hp = vn.bitwiseOR(flip(d0.bitwiseOR(vp)))
             hn = vp.bitwiseAND(d0)
             down = F.shiftright(d0, 1)
-            on_diagonal = F.call_function("shiftright", d0, (gap + k).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+            on_diagonal = F.call_function("shiftright", d0, F.col("_gap") + k).bitwiseAND(F.lit(1).cast("long"))
             return F.struct(hn.bitwiseOR(flip(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), (distance + F.lit(1).cast("long") - on_diagonal).alias("d"))
 
         return let(equal, lambda x: let(low((x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn)), step))
 
-    begin = F.struct(F.lit(mask ^ ((1 << k) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), gap.cast("long").alias("d"))
-    steps = F.when(F.length(short) > 0, F.sequence(F.lit(1), F.length(short))).otherwise(F.array().cast("array<int>"))
-    banded = F.aggregate(steps, begin, column, lambda s: s["d"])
-    return F.when(gap > k, F.lit(k + 1).cast("long")).otherwise(banded)
+    begin = F.struct(F.lit(mask ^ ((1 << k) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.col("_gap").cast("long").alias("d"))
+    steps = F.when((F.size("_cols") > 0) & (F.col("_gap") <= k), F.sequence(F.lit(1), F.size("_cols"))).otherwise(F.array().cast("array<int>"))
+    return out.withColumn(name, F.aggregate(steps, begin, column, lambda s: s["d"])).drop("_long", "_short", "_rows", "_cols", "_gap")
 
 
 def similar_lines(lines: DataFrame, hot: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b, distance): hashes h1 of distinct lines within the threshold, each pair once."""
     first = lines.join(F.broadcast(hot), ["h1", "h2"], "left").filter(F.col("first").isNull() | ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.line_no") == F.col("line_no"))))
-    first = first.select("h1", "line", _packed_counts(F.col("line")).alias("counts"))
-    index = first.select("h1", "counts", F.explode(F.array(*_index_keys(F.col("line"), threshold))).alias("key"))
-    probe = first.select("h1", "counts", F.explode(F.array_compact(F.array(*_probe_keys(F.col("line"), threshold)))).alias("key"))
-    i, p = index.alias("i"), probe.alias("p")
-    met = i.join(p, (F.col("i.key") == F.col("p.key")) & (F.col("i.h1") != F.col("p.h1")) & _counts_close(F.col("i.counts"), F.col("p.counts"), 2 * threshold))
+    first = first.select("h1", "line", "n")
+    # lines that meet another one at all: a row each, however many they meet
+    i, p = keyed(first, index_places(threshold), threshold).alias("i"), keyed(first, probe_places(threshold), threshold).alias("p")
+    meet = (F.col("i.key") == F.col("p.key")) & (F.col("i.h1") != F.col("p.h1"))
+    active = i.join(p, meet, "left_semi").select("h1").unionByName(p.join(i, meet, "left_semi").select("h1")).distinct()
+    own = first.join(sent_if_small(active, "active"), "h1", "left_semi").withColumn("counts", _packed_counts(F.col("line")))
+    i, p = keyed(own, index_places(threshold), threshold, "counts", "line").alias("i"), keyed(own, probe_places(threshold), threshold, "counts", "line").alias("p")
+    # inside the join, so that variants of one line that merely share a segment never become rows
+    near = _counts_close(F.col("i.counts"), F.col("p.counts"), 2 * threshold) & (F.levenshtein("i.line", "p.line", threshold) >= 0)
+    met = i.join(p, meet & near)
     pairs = written(met.select(F.least("i.h1", "p.h1").alias("a"), F.greatest("i.h1", "p.h1").alias("b")).distinct(), "candidates")
-    wanted = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
-    if wanted.limit(SENT_LINES + 1).count() <= SENT_LINES:
-        wanted = F.broadcast(wanted)
+    wanted = sent_if_small(pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct(), "wanted")
     texts = written(lines.select("h1", "line").join(wanted, "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line")), "lines")
     both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("line_b")), "b")
-    return both.select("a", "b", edit_distance(F.col("line_a"), F.col("line_b"), threshold).alias("distance")).filter(F.col("distance") <= threshold)
+    # few bytes but much work: not to be gathered into a few tasks
+    both = both.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    # written before it is filtered, lest the filter carry the whole computation into the joins' conditions
+    return written(with_edit_distance(both, "line_a", "line_b", threshold).select("a", "b", "distance"), "distances").filter(F.col("distance") <= threshold)
 
 
 def judged_lines(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
