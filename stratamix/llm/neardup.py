@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table, written
+from .common import sent_if_small, ship, table, written
 from .graph import components
 
 ERRORS = 1
@@ -248,6 +248,7 @@ def near_components(docs: DataFrame, *, shingle: int = 3, percent: int = 85, id_
         yield batch()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = sent_if_small(met, "placed")
     grouped = texts.join(met, F.col("doc_id") == F.col("rep")).select("component", "low", "high", "rep", "text")
     grouped = grouped.repartition(n, "component", "low", "high").sortWithinPartitions("component", "low", "high")
     links = grouped.mapInArrow(linked, "a long, b long")
@@ -262,8 +263,34 @@ def without_near_copies(docs: DataFrame, *, shingle: int = 5, percent: int = 80,
     """``docs`` without the documents that are not their component's smallest id; rows with a null id stay."""
     judged = near_components(docs, shingle=shingle, percent=percent, id_col=id_col, text_col=text_col)
     gone = judged.filter("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return docs.join(sent_if_small(gone, "gone"), id_col, "left_anti").select(*docs.columns)
 
 
 def op9_neardup(spark, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+  FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT p.a, p.b FROM pairs p JOIN sizes x ON x.doc_id = p.a JOIN sizes y ON y.doc_id = p.b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT a, min(b) AS component_id FROM reached GROUP BY a
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM documents d JOIN least l ON l.a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
