@@ -16,6 +16,7 @@ that window is cut into powers of two where this is cheaper. No row leaves its p
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -58,12 +59,12 @@ def best_cuts(ends: np.ndarray, kinds: np.ndarray, window: int, *, last: bool =
 
     ``ends``: ascending positions where a cut is liked; ``kinds``: 0 for a document's end, 1 for a sentence's.
     Positions between them get the inner-cut penalty: one each ``GAP`` tokens, one a full window after each
-    liked cut, and, for the last stretch, those that split the rest into powers of two.
+    document's end, and, for the last stretch, those that split the rest into powers of two.
     """
     n = int(ends[-1])
     penalty = np.full(n + 1, -1, np.int32)
     penalty[GAP:n:GAP] = INNER_CUT
-    full = ends[ends + window < n] + window
+    full = ends[(kinds == 0) & (ends + window < n)] + window
     penalty[full] = INNER_CUT
     if window < n:
         penalty[window] = INNER_CUT
@@ -81,13 +82,9 @@ def best_cuts(ends: np.ndarray, kinds: np.ndarray, window: int, *, last: bool =
     exact: dict[int, list[int]] = {}
     for bit in range(window.bit_length() - 1):
         length = 1 << bit
-        if length < 32 and not last:
-            continue
         head = at[at >= length]
         before = node[head - length]
         hit = np.flatnonzero(before >= 0)
-        if length < 32:
-            hit = hit[head[hit] > n - 2 * window]
         for j, i in zip(node[head[hit]].tolist(), before[hit].tolist(), strict=True):
             exact.setdefault(j, []).append(i)
     pos, pens = at.tolist(), penalty[at].tolist()
@@ -170,6 +167,7 @@ class Packer:
         return rows
 
 
+@functools.cache
 def _sentence_ends(path: str) -> np.ndarray:
     """For each id, whether its text ends a sentence; the separator id 0 counts only as a document's end."""
     tokenizer = encoder(path).tokenizer

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Words kept per Python worker in each of two generations: memory stays bounded, frequent words stay known.
-MAX_WORDS = 500_000
+MAX_WORDS = 700_000
 #: Longer words are encoded but not kept.
 MAX_WORD_CHARS = 48
 
