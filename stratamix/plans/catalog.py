@@ -12,6 +12,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.normal import complexity_bias, cutoff
@@ -254,15 +255,17 @@ def _embedding_centers(spark, sf) -> DataFrame:
 
 
 def median_split(spark, sf):
+    """Halves of each bin, of any size, at the median of its widest column; a bin whose rows all lie on one side is one piece."""
     placed, _ = _placed(spark, sf)
-
-    def halves(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[LINE].to_numpy(float)
-        label = coreset.median_pieces(x, 1)
-        return pd.DataFrame([(int(pdf.bin_id.iloc[0]), p + 1, int((label == p).sum()), *x[label == p].mean(axis=0).round(5)) for p in range(label.max() + 1)], columns=["bin_id", "piece", "weight", *[f"mean_{p}" for p in LINE]])
-
-    small = placed.filter(F.col("bin_n") <= coreset.MOST_ROWS).select("bin_id", *LINE)
-    return small.groupBy("bin_id").applyInPandas(halves, "bin_id int, piece int, weight long, mean_qty double, mean_price double, mean_disc double")
+    rows = placed.select("bin_id", "bin_n", *LINE)
+    spread = F.array(*[F.struct(F.stddev_pop(p).alias("sd"), F.lit(-i).alias("i")) for i, p in enumerate(LINE)])
+    axes = rows.groupBy("bin_id").agg((-F.array_max(spread)["i"]).alias("axis"))
+    wide = rows.join(F.broadcast(axes), "bin_id").withColumn("wide", F.array(*LINE)[F.col("axis")])
+    cuts = wide.groupBy("bin_id").agg(F.median("wide").alias("cut"))
+    halves = wide.join(F.broadcast(cuts), "bin_id").withColumn("up", (F.col("bin_n") > 1) & (F.col("wide") >= F.col("cut")))
+    pieces = halves.groupBy("bin_id", "up").agg(F.count(F.lit(1)).alias("weight"), *[F.round(F.avg(p), 5).alias(f"mean_{p}") for p in LINE])
+    # two rows a bin at most
+    return pieces.withColumn("piece", F.row_number().over(W.partitionBy("bin_id").orderBy("up"))).select("bin_id", "piece", "weight", *[f"mean_{p}" for p in LINE])
 
 
 def kmeans_coreset(spark, sf):

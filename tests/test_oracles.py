@@ -35,3 +35,9 @@ def test_entry_imports_without_the_training_data_operators():
 
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
+def test_median_split_keeps_bins_of_any_size(spark, duck, monkeypatch):
+    monkeypatch.setattr(catalog.coreset, "MOST_ROWS", 100)
+    assert rows(catalog.median_split(spark, SF).toPandas()) == rows(duck.sql(catalog.ORACLES["median_split_coreset"]).df())
