@@ -1,21 +1,24 @@
 """Benchmark decontamination on canonical templates, in DataFrame expressions only.
 
 Numbers, units after numbers, and names become typed placeholders; the other words are lower-cased. Windows of
-WINDOW template tokens of the benchmark are hash-joined with those of the documents. A document holds an item if
-it has at least COVERAGE of the item's distinct windows and the slots agree: along matched windows, one value of
-the item's slots always stands for one value of the document's, which need not be the same value. So a question
-with other numbers or names is caught as well, and a mere likeness of templates is not.
+WINDOW template tokens of the benchmark are hash-joined with those of the documents. Matched windows are taken
+together as occurrences, each judged by itself: those at one distance between their places in document and item, those
+at nearly one distance (words put in or left out), and all of a document. An occurrence is the item if its windows
+have at least COVERAGE of the item's distinct windows and the slots agree: along matched windows, one value of the item's slots
+always stands for one value of the document's, which need not be the same value. So a question with other numbers or
+names is caught as well, and a mere likeness of templates is not.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import table, written
 
 WINDOW, COVERAGE, CONSISTENCY = 5, 0.8, 0.8
+#: Kinds of occurrences: at one distance, at nearly one distance, all of a document.
+STRAIGHT, SHIFTED, WHOLE = 0, 1, 2
 #: Benchmark windows that may be sent to all tasks; more are joined by shuffle.
 SENT_WINDOWS = 500_000
 
@@ -72,52 +75,76 @@ def with_windows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_hashed", hashed).select(*rest, F.posexplode(windows).alias("pos", "window"))
 
 
+def _occurrences(length: Column) -> Column:
+    """The occurrences that a matched place (row, dat, iat) of an item of ``length`` tokens belongs to.
+
+    Bands of distances overlap by half, so that shifts of up to a quarter of an item stay within one of them, and
+    two copies that follow each other, an item apart, never meet in one.
+    """
+    apart = F.col("dat") - F.col("iat")
+    band = F.floor(apart / F.greatest(F.lit(1), F.ceil(length / 4))).cast("int")
+    one = lambda kind, row, at: F.struct(F.lit(kind).alias("kind"), row.alias("row"), at.alias("at"))
+    return F.array(one(STRAIGHT, F.col("row"), apart), one(SHIFTED, F.col("row"), band), one(SHIFTED, F.col("row"), band - 1), one(WHOLE, F.lit(0).cast("long"), F.lit(0)))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, matched, windows, coverage, slot_consistency, reparameterised) for each item a document holds.
 
-    Null and empty texts on either side match nothing. Items shorter than a window are held only by documents
-    that are nothing else. Rows that repeat an id are taken together. ``reparameterised``: some slot has another
-    value. Other columns are not read; an empty table on either side gives no rows.
+    The figures are those of the occurrence of the best coverage; ``coverage`` is the share of the item's
+    windows. Null and empty texts on either side match nothing. Items shorter than a window are held only by documents
+    that are nothing else. Rows that repeat an id are taken together. ``reparameterised``: some slot has another value.
+    Other columns are not read; an empty table on either side gives no rows.
     """
-    items = benchmark.select(benchmark[item_col].alias("item_id"), benchmark[item_text_col].alias("text"))
-    texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    tokens = lambda rows, key: rows.select(key, template(F.col("text")).alias("tokens"))
-    known = written(with_windows(tokens(items, "item_id")), "items")
-    sizes = known.groupBy("item_id").agg(F.countDistinct("window").alias("windows"))
-    unique = known.select("item_id", "window").distinct()
+    # ids in structs, whose comparison takes nulls as equal; the text's hash tells rows of one id apart
+    items = benchmark.select(F.struct(benchmark[item_col].alias("id")).alias("i"), benchmark[item_text_col].alias("text"))
+    texts = docs.select(F.struct(docs[id_col].alias("id")).alias("d"), F.xxhash64(docs[text_col]).alias("row"), docs[text_col].alias("text"))
+    tokens = lambda rows, *keys: rows.select(*keys, template(F.col("text")).alias("tokens"))
+    known = written(with_windows(tokens(items, "i")), "items")
+    sizes = known.groupBy("i").agg(F.countDistinct("window").alias("windows"), (F.max("pos") + WINDOW).alias("length"))
+    unique = known.groupBy("i", "window").agg(F.count(F.lit(1)).alias("times"))
     if unique.limit(SENT_WINDOWS + 1).count() <= SENT_WINDOWS:
         unique = F.broadcast(unique)
-    met = with_windows(tokens(texts, "doc_id")).select("doc_id", "window").join(unique, "window")
-    held = met.groupBy("doc_id", "item_id").agg(F.countDistinct("window").alias("matched"))
-    held = held.join(sizes, "item_id").withColumn("coverage", F.col("matched") / F.col("windows")).filter(F.col("coverage") >= COVERAGE)
-    held = written(held, "held")
-    agreed = _slots(held, texts, items, known)
-    out = held.join(agreed, (held["doc_id"].eqNullSafe(agreed["d"])) & (held["item_id"].eqNullSafe(agreed["i"])), "left")
-    out = out.select("doc_id", "item_id", "matched", "windows", "coverage", F.coalesce("consistency", F.lit(1.0)).alias("slot_consistency"), F.coalesce("changed", F.lit(False)).alias("reparameterised"))
-    return out.filter(F.col("slot_consistency") >= CONSISTENCY)
-
-
-def _slots(held: DataFrame, texts: DataFrame, items: DataFrame, known: DataFrame) -> DataFrame:
-    """(d, i, consistency, changed) for the held items that have slots."""
+    met = with_windows(tokens(texts, "d")).select("d", "window").join(unique, "window")
+    pairs = met.groupBy("d", "i", "window").agg(F.max("times").alias("times")).groupBy("d", "i").agg(F.sum("times").alias("places"))
+    # fewer windows cannot reach COVERAGE
+    pairs = written(pairs.join(sizes, "i").filter(F.col("places") >= COVERAGE * F.col("windows")).drop("places"), "held")
+    own = texts.join(pairs.select("d").distinct(), "d", "left_semi")
+    windows = with_windows(tokens(own, "d", "row")).withColumnRenamed("pos", "dat")
+    matched = windows.join(pairs, "d").join(known.withColumnRenamed("pos", "iat"), ["i", "window"])
+    matched = written(matched.select("d", "row", "i", "windows", "length", "dat", "iat", "window").distinct(), "matched")
+    by = matched.withColumn("g", F.explode(_occurrences(F.col("length")))).groupBy("d", "i", "windows", "length", "g")
+    by = by.agg(F.collect_set("iat").alias("at"), F.count_distinct("window").alias("matched"))  # an item's own places at most
+    by = by.withColumn("coverage", F.col("matched") / F.col("windows")).filter(F.col("coverage") >= COVERAGE)
+    by = written(by.drop("at"), "occurrences")
+    out = by.join(_slots(matched, by, own, items), ["d", "i", "g"], "left")
+    out = out.withColumns({"consistency": F.coalesce("consistency", F.lit(1.0)), "changed": F.coalesce("changed", F.array().cast("array<int>"))})
+    out = out.filter(F.col("consistency") >= CONSISTENCY)
+    best = F.struct("coverage", "consistency", (F.size("changed") == 0).alias("same"), "matched", "windows")
+    out = out.select("d", "i", best.alias("best"))
+    out = out.groupBy("d", "i").agg(F.max("best").alias("best"))
+    return out.select(F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id"), "best.matched", "best.windows", "best.coverage", F.col("best.consistency").alias("slot_consistency"), (~F.col("best.same")).alias("reparameterised"))
+
+
+def _slots(matched: DataFrame, by: DataFrame, own: DataFrame, items: DataFrame) -> DataFrame:
+    """(d, i, g, consistency, changed) for occurrences with slots; ``changed`` are the places in the item with another value."""
     kinds = [NUMBER, UNIT, NAME]
     slotted = items.filter(F.exists(template(F.col("text")), lambda t: t.isin(*kinds)))
-    pairs = held.join(slotted.select("item_id").distinct(), "item_id", "left_semi").select("doc_id", "item_id")
-
-    def valued(rows: DataFrame, key: str, prefix: str) -> DataFrame:
-        cells = rows.select(key, template(F.col("text")).alias("tokens"), slot_values(F.col("text")).alias("values"))
-        cells = cells.select(key, "values", F.posexplode("tokens").alias("at", "token")).filter(F.col("token").isin(*kinds))
-        order = W.partitionBy(key, "token").orderBy("at")
-        return cells.withColumn("n", F.row_number().over(order)).select(F.col(key), F.col("at").alias(f"{prefix}at"), F.col("token").alias("kind"), F.try_element_at(F.col("values")[F.col("token")], F.col("n")).alias(f"{prefix}value"))
-
-    own = texts.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    windows = with_windows(own.select("doc_id", template(F.col("text")).alias("tokens"))).select("doc_id", F.col("pos").alias("dpos"), "window")
-    matched = windows.join(pairs, "doc_id").join(known.select("item_id", F.col("pos").alias("ipos"), "window"), ["item_id", "window"])
-    cells = matched.select("doc_id", "item_id", F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1))).alias("k"), "dpos", "ipos")
-    cells = cells.select("doc_id", "item_id", (F.col("dpos") + F.col("k")).alias("dat"), (F.col("ipos") + F.col("k")).alias("iat")).distinct()
-    both = cells.join(valued(own, "doc_id", "d"), ["doc_id", "dat"]).join(valued(slotted, "item_id", "i"), ["item_id", "iat", "kind"])
-    counts = both.groupBy("doc_id", "item_id", "kind", "ivalue", "dvalue").agg(F.count(F.lit(1)).alias("n"))
-    each = counts.groupBy("doc_id", "item_id", "kind", "ivalue").agg(F.max("n").alias("most"), F.sum("n").alias("all"), F.max(~F.col("ivalue").eqNullSafe(F.col("dvalue"))).alias("changed"))
-    return each.groupBy(F.col("doc_id").alias("d"), F.col("item_id").alias("i")).agg((F.sum("most") / F.sum("all")).alias("consistency"), F.max("changed").alias("changed"))
+
+    def valued(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+        cells = rows.select(*keys, template(F.col("text")).alias("tokens"), slot_values(F.col("text")).alias("values"))
+        # places of each kind in order, so the k-th has the k-th value
+        places = F.array(*[F.struct(F.lit(t).alias("kind"), F.filter(F.transform("tokens", lambda x, n: F.when(x == t, n)), lambda n: n.isNotNull()).alias("at")) for t in kinds])  # noqa: B023
+        cells = cells.select(*keys, "values", F.explode(places).alias("p")).select(*keys, F.col("p.kind").alias("kind"), F.col("values")[F.col("p.kind")].alias("values"), F.posexplode("p.at").alias("n", f"{prefix}at"))
+        return cells.select(*keys, "kind", f"{prefix}at", F.try_element_at("values", F.col("n") + 1).alias(f"{prefix}value")).distinct()
+
+    cells = matched.join(slotted.select("i").distinct(), "i", "left_semi").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1))))
+    cells = cells.select("d", "row", "i", "length", (F.col("dat") + F.col("k")).alias("dat"), (F.col("iat") + F.col("k")).alias("iat")).distinct()
+    both = cells.join(valued(own, ["d", "row"], "d"), ["d", "row", "dat"]).join(valued(slotted, ["i"], "i"), ["i", "iat", "kind"])
+    both = both.withColumn("g", F.explode(_occurrences(F.col("length")))).join(by.select("d", "i", "g"), ["d", "i", "g"], "left_semi")
+    counts = both.groupBy("d", "i", "g", "kind", "ivalue", "dvalue").agg(F.count(F.lit(1)).alias("n"), F.collect_set("iat").alias("at"))
+    other = F.when(~F.col("ivalue").eqNullSafe(F.col("dvalue")), F.col("at")).otherwise(F.array().cast("array<int>"))
+    each = counts.groupBy("d", "i", "g", "kind", "ivalue").agg(F.max("n").alias("most"), F.sum("n").alias("all"), F.flatten(F.collect_list(other)).alias("changed"))
+    return each.groupBy("d", "i", "g").agg((F.sum("most") / F.sum("all")).alias("consistency"), F.array_distinct(F.flatten(F.collect_list("changed"))).alias("changed"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:

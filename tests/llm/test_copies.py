@@ -187,6 +187,20 @@ def test_reparameterised_questions_are_caught(spark):
     assert decontaminate.contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+def held(spark, benchmark, docs):
+    benchmark, docs = spark.createDataFrame(benchmark, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    return {(r.doc_id, r.item_id): r.reparameterised for r in decontaminate.contaminated(docs, benchmark).collect()}
+
+
+def test_each_occurrence_is_judged_by_itself(spark):
+    item, other = DOCS[2][1], DOCS[0][1]
+    third = other.replace("75", "88").replace("3 hours", "7 hours").replace("Bob Jones", "Carl Miles")
+    row = "The row of the table reads 1 2 3 4 5 6 7 and it is then summed by the clerk"
+    tables = " ".join(f"{k} {k + 9}" for k in range(300, 400))
+    docs = [(1, f"{item} {other}"), (2, f"{other} and so on and on {third}"), (3, DOCS[1][1]), (4, f"{tables} of old. {row} of them. {tables}"), (None, f"{item} {other}"), (5, tables)]
+    assert held(spark, [(1, item), (2, row)], docs) == {(1, 1): False, (2, 1): True, (4, 2): False, (None, 1): False}
+
+
 def test_templates_type_their_slots(spark):
     rows = spark.createDataFrame([("It took John Smith 12,5 Minutes; Anna 3 kg. Then 7 more",)], "t string")
     tokens = rows.select(decontaminate.template(F.col("t"))).first()[0]
