@@ -4,9 +4,10 @@ Numbers, units after numbers, and names become typed placeholders; the other wor
 WINDOW template tokens of the benchmark are hash-joined with those of the documents. Matched windows are taken
 together as occurrences, each judged by itself: those at one distance between their places in document and item, those
 at nearly one distance (words put in or left out), and all of a document. An occurrence is the item if its windows
-have at least COVERAGE of the item's distinct windows and the slots agree: along matched windows, one value of the item's slots
+have at least COVERAGE of the item's tokens and the slots agree: along matched windows, one value of the item's slots
 always stands for one value of the document's, which need not be the same value. So a question with other numbers or
-names is caught as well, and a mere likeness of templates is not.
+names is caught as well, and a mere likeness of templates is not. A part of an item counts as well, if RUN tokens in a
+row are the same, values of slots included.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 WINDOW, COVERAGE, CONSISTENCY = 5, 0.8, 0.8
+#: Tokens in a row that are a leak by themselves.
+RUN = 8
 #: Kinds of occurrences: at one distance, at nearly one distance, all of a document.
 STRAIGHT, SHIFTED, WHOLE = 0, 1, 2
 #: Benchmark windows that may be sent to all tasks; more are joined by shuffle.
@@ -75,6 +78,22 @@ def with_windows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_hashed", hashed).select(*rest, F.posexplode(windows).alias("pos", "window"))
 
 
+def literal(text: Column) -> Column:
+    """Words and numbers of a text as they stand, in lower case."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+
+
+def _longest(at: Column) -> Column:
+    """Length of the longest run of consecutive numbers in an array of distinct ones."""
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(s: Column, x: Column) -> Column:
+        now = F.when(x == s["last"] + 1, s["now"] + 1).otherwise(F.lit(1))
+        return F.struct(x.alias("last"), now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    return F.aggregate(F.array_sort(at), start, step, lambda s: s["most"])
+
+
 def _occurrences(length: Column) -> Column:
     """The occurrences that a matched place (row, dat, iat) of an item of ``length`` tokens belongs to.
 
@@ -90,10 +109,12 @@ def _occurrences(length: Column) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, matched, windows, coverage, slot_consistency, reparameterised) for each item a document holds.
 
-    The figures are those of the occurrence of the best coverage; ``coverage`` is the share of the item's
-    windows. Null and empty texts on either side match nothing. Items shorter than a window are held only by documents
-    that are nothing else. Rows that repeat an id are taken together. ``reparameterised``: some slot has another value.
-    Other columns are not read; an empty table on either side gives no rows.
+    The figures are those of the occurrence of the best coverage; ``coverage`` is the share of the item's tokens in
+    matched windows. ``slot_consistency`` may be below CONSISTENCY where RUN tokens are the same. Null and empty texts on
+    either side match nothing. Items shorter than a window are held by documents that are nothing else, whatever their
+    slots' values, and, from two words on, by those that have the same words in a row. Rows that repeat an id are taken
+    together. ``reparameterised``: some slot has another value. Other columns are not read; an empty table on either side
+    gives no rows.
     """
     # ids in structs, whose comparison takes nulls as equal; the text's hash tells rows of one id apart
     items = benchmark.select(F.struct(benchmark[item_col].alias("id")).alias("i"), benchmark[item_text_col].alias("text"))
@@ -106,21 +127,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
         unique = F.broadcast(unique)
     met = with_windows(tokens(texts, "d")).select("d", "window").join(unique, "window")
     pairs = met.groupBy("d", "i", "window").agg(F.max("times").alias("times")).groupBy("d", "i").agg(F.sum("times").alias("places"))
-    # fewer windows cannot reach COVERAGE
-    pairs = written(pairs.join(sizes, "i").filter(F.col("places") >= COVERAGE * F.col("windows")).drop("places"), "held")
+    # fewer windows have neither RUN tokens in a row nor COVERAGE of the tokens
+    least = F.least(F.lit(RUN - WINDOW + 1), F.ceil(F.col("length") * COVERAGE / WINDOW))
+    pairs = written(pairs.join(sizes, "i").filter(F.col("places") >= least).drop("places"), "held")
     own = texts.join(pairs.select("d").distinct(), "d", "left_semi")
     windows = with_windows(tokens(own, "d", "row")).withColumnRenamed("pos", "dat")
     matched = windows.join(pairs, "d").join(known.withColumnRenamed("pos", "iat"), ["i", "window"])
     matched = written(matched.select("d", "row", "i", "windows", "length", "dat", "iat", "window").distinct(), "matched")
     by = matched.withColumn("g", F.explode(_occurrences(F.col("length")))).groupBy("d", "i", "windows", "length", "g")
     by = by.agg(F.collect_set("iat").alias("at"), F.count_distinct("window").alias("matched"))  # an item's own places at most
-    by = by.withColumn("coverage", F.col("matched") / F.col("windows")).filter(F.col("coverage") >= COVERAGE)
+    by = by.withColumn("tokens", F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + WINDOW - 1)))))
+    by = by.withColumn("coverage", F.when(F.col("g.kind") == WHOLE, F.col("matched") / F.col("windows")).otherwise(F.size("tokens") / F.col("length")))
+    straight = F.col("g.kind") == STRAIGHT
+    by = by.withColumn("run", F.when(straight, _longest(F.col("tokens"))).otherwise(0)).filter((F.col("coverage") >= COVERAGE) | (F.col("run") >= RUN))
     by = written(by.drop("at"), "occurrences")
     out = by.join(_slots(matched, by, own, items), ["d", "i", "g"], "left")
     out = out.withColumns({"consistency": F.coalesce("consistency", F.lit(1.0)), "changed": F.coalesce("changed", F.array().cast("array<int>"))})
-    out = out.filter(F.col("consistency") >= CONSISTENCY)
+    same = F.array_except("tokens", "changed")
+    agree = F.col("consistency") >= CONSISTENCY
+    part = straight & ((_longest(same) >= RUN) | agree & (F.col("run") >= RUN) & (F.size(same) >= RUN))
+    out = out.filter(agree & (F.col("coverage") >= COVERAGE) | part)
     best = F.struct("coverage", "consistency", (F.size("changed") == 0).alias("same"), "matched", "windows")
     out = out.select("d", "i", best.alias("best"))
+    short = _short(texts, items)
+    if short is not None:
+        out = out.unionByName(short)
     out = out.groupBy("d", "i").agg(F.max("best").alias("best"))
     return out.select(F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id"), "best.matched", "best.windows", "best.coverage", F.col("best.consistency").alias("slot_consistency"), (~F.col("best.same")).alias("reparameterised"))
 
@@ -147,6 +178,22 @@ def _slots(matched: DataFrame, by: DataFrame, own: DataFrame, items: DataFrame)
     return each.groupBy("d", "i", "g").agg((F.sum("most") / F.sum("all")).alias("consistency"), F.array_distinct(F.flatten(F.collect_list("changed"))).alias("changed"))
 
 
+def _short(texts: DataFrame, items: DataFrame) -> DataFrame | None:
+    """(d, i, best) for the items shorter than a window that stand word for word in a longer text; None without such items."""
+    size = F.size(template(F.col("text")))
+    few = items.filter((size > 0) & (size < WINDOW)).select("i", literal(F.col("text")).alias("words")).filter(F.size("words") > 1)
+    few = written(few.select("i", F.size("words").alias("n"), F.xxhash64("words").alias("hash")).distinct(), "short")
+    lengths = sorted(r.n for r in few.select("n").distinct().collect())  # a few small numbers
+    if not lengths:
+        return None
+    if few.limit(SENT_WINDOWS + 1).count() <= SENT_WINDOWS:
+        few = F.broadcast(few)
+    words = texts.select("d", literal(F.col("text")).alias("words")).select("d", "words", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")).filter(F.size("words") >= F.col("n"))
+    found = words.select("d", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1), lambda p: F.xxhash64(F.slice("words", p, F.col("n"))))).alias("hash"))
+    one = F.struct(F.lit(1.0).alias("coverage"), F.lit(1.0).alias("consistency"), F.lit(True).alias("same"), F.lit(1).cast("long").alias("matched"), F.lit(1).cast("long").alias("windows"))
+    return found.join(few, ["n", "hash"]).select("d", "i").distinct().select("d", "i", one.alias("best"))
+
+
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
     """``docs`` without the documents that hold an item; rows with a null id stay."""
     key = columns.get("id_col", "doc_id")

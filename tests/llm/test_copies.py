@@ -201,6 +201,18 @@ def test_each_occurrence_is_judged_by_itself(spark):
     assert held(spark, [(1, item), (2, row)], docs) == {(1, 1): False, (2, 1): True, (4, 2): False, (None, 1): False}
 
 
+def test_edited_items_parts_of_items_and_short_items_are_caught(spark):
+    words = [f"{a}{b}" for a in ("ra", "li", "so", "ne") for b in ("ban", "dor", "fel", "gim", "hus", "jat", "kel", "mip", "nor", "pud")]
+    item, few = " ".join(words[:37]), " ".join(words[20:35])
+    edited = lambda text, *at: " ".join("zzz" if k in at else w for k, w in enumerate(text.split()))
+    put_in = " ".join([*words[:12], "yy", "xx", *words[12:37]])
+    docs = [
+        (1, f"before it {edited(few, 7)} after it"), (2, edited(item, 12, 24)), (3, f"a part {' '.join(words[3:11])} of it"), (4, put_in),
+        (5, f"seven only {' '.join(words[3:10])} of it"), (6, "We asked: what is 3 plus 4? Nobody knew."), (7, "We asked: what is 5 plus 4? Nobody knew."), (8, "What is 9 plus 8"),
+    ]
+    assert held(spark, [(1, item), (2, few), (3, "What is 3 plus")], docs) == {(1, 2): False, (2, 1): False, (3, 1): False, (4, 1): False, (4, 2): False, (2, 2): False, (6, 3): False}
+
+
 def test_templates_type_their_slots(spark):
     rows = spark.createDataFrame([("It took John Smith 12,5 Minutes; Anna 3 kg. Then 7 more",)], "t string")
     tokens = rows.select(decontaminate.template(F.col("t"))).first()[0]
