@@ -53,21 +53,44 @@ def sample_size(n: int, fraction: float, floor: int = 10_000) -> int:
     return n if fraction >= 1 else min(max(math.ceil(fraction * n), floor), n)
 
 
+#: Equal rows whose draws are made at once; larger samples than MOST_ORDERED are cut by counts before they are ordered.
+DRAWN_AT_ONCE, MOST_ORDERED, SLOTS = 4096, 200_000, 4096
+
+
 def sample_rows(df: DataFrame, size: int, n: int | None = None, seed: int = 0) -> DataFrame:
-    """Exactly ``size`` rows (all, if fewer) by a seeded hash of the row, so the same rows come back each time.
+    """Exactly ``size`` rows (all, if fewer), each row with the same chance; the same rows come back each time.
 
-    A hash threshold a little above the share cuts the rows first; only those are ordered for the exact count.
-    Rows that are equal in all columns are drawn by chance among themselves.
+    Rows that are equal in all columns are counted, and each of them is drawn by a seeded hash of its values and its
+    number among its equals. A hash threshold a little above the share cuts the rows first; of those, the slots of
+    hashes below the last one that is needed are taken whole, and only the last one is ordered for the exact count.
     """
     n = df.count() if n is None else n
     if size >= n:
         return df
-    unit = F.pmod(F.xxhash64(F.lit(seed), *[df[c] for c in df.columns]), F.lit(1 << 40)) / float(1 << 40)
     share = size / n
-    slack = 6 * math.sqrt(share * (1 - share) / n) + 1e-9
-    name = "_unit"
-    drawn = df.withColumn(name, unit).filter(F.col(name) <= min(1.0, share + slack))
-    return drawn.orderBy(name).limit(size).drop(name)
+    most = min(1.0, share + 6 * math.sqrt(share * (1 - share) / n) + 30 / n)
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    name, times, first = "_unit", "_times", "_first"
+    # a value of a very many rows is split before its draws are made
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias(times))
+    hot = F.col(times) > DRAWN_AT_ONCE
+    some = counted.filter(~hot).withColumn(first, F.lit(0).cast("long"))
+    many = counted.filter(hot).withColumn(first, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(DRAWN_AT_ONCE).cast("long")))).repartition(*columns, first)
+    last = F.least(F.col(times), F.col(first) + DRAWN_AT_ONCE) - 1
+    own = F.xxhash64(F.lit(seed), *columns)
+    unit = lambda k: F.pmod(F.xxhash64(F.col("_own"), k), F.lit(1 << 40)) / float(1 << 40)
+    units = F.filter(F.transform(F.sequence(F.col(first), last), unit), lambda u: u <= most)
+    drawn = some.unionByName(many).withColumn("_own", own).select(*columns, F.explode(units).alias(name))
+    if size <= MOST_ORDERED:
+        return drawn.orderBy(name).limit(size).drop(name)
+    slot = F.floor(F.col(name) / most * SLOTS)
+    before, edge = 0, SLOTS + 1
+    for r in drawn.groupBy(slot.alias("slot")).count().orderBy("slot").collect():  # SLOTS rows at most
+        if before + r["count"] > size:
+            edge = r["slot"]
+            break
+        before += r["count"]
+    return drawn.filter(slot < edge).unionByName(drawn.filter(slot == edge).orderBy(name).limit(size - before)).drop(name)
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:

@@ -137,6 +137,20 @@ def test_exact_sample_is_exact_and_repeats(planted):
     assert len(one) == 777 and one == {r.id for r in frame.sample_rows(planted.repartition(7), 777).collect()}
 
 
+@pytest.mark.parametrize(("most", "at_once"), [(200_000, 4096), (10, 64)])
+def test_equal_rows_are_drawn_one_by_one(spark, monkeypatch, most, at_once):
+    monkeypatch.setattr(frame, "MOST_ORDERED", most)
+    monkeypatch.setattr(frame, "DRAWN_AT_ONCE", at_once)
+    # a third of the rows are zeros, the rest are 50 values of 400 rows each
+    df = spark.range(30_000).select(F.when(F.col("id") < 10_000, 0.0).otherwise(F.col("id") % 50 + 1).alias("x"))
+    draw = lambda rows: {r.x: r["count"] for r in frame.sample_rows(rows, 900).groupBy("x").count().collect()}
+    got = draw(df)
+    assert sum(got.values()) == 900 and len(got) == 51
+    assert 230 < got[0.0] < 370 and max(v for x, v in got.items() if x) < 40
+    assert got == draw(df.repartition(7))
+    assert frame.sample_rows(df, 1).count() == 1
+
+
 def test_rule_file_with_bare_carriage_returns(spark, tmp_path):
     (tmp_path / "r.csv").write_bytes(b",m1,m2\rA,hi,lo\rB,lo,dc")
     rows = frame.read_rules(spark, str(tmp_path / "r.csv")).collect()
