@@ -114,16 +114,18 @@ def choose_1d(x: np.ndarray, most: int = 3, criterion: str = "bic", weights: np.
     return max(fits, key=lambda f: f.bic(n) - complexity_bias(n, len(f.means)))
 
 
-def fixed_1d(x: np.ndarray, k: int, separate_negative: bool = False) -> Fit1D:
+def fixed_1d(x: np.ndarray, k: int, separate_negative: bool = False, weights: np.ndarray | None = None) -> Fit1D:
     """A fit with k components; with ``separate_negative`` k for x > 0 and one more in front for x < 0, zeros left out."""
     x = np.asarray(x, float)
+    w = np.ones(len(x)) if weights is None else np.asarray(weights, float)
     if not separate_negative or not (x < 0).any() or not (x > 0).any():
-        return em_1d(x, min(k, len(np.unique(x))))
-    low, high = x[x < 0], x[x > 0]
-    f = em_1d(high, min(k, len(np.unique(high))))
-    share = len(low) / (len(low) + len(high))
-    variance = float(low.var(ddof=1)) if len(low) > 1 else float(f.variances.min())
-    return Fit1D(np.r_[share, f.shares * (1 - share)], np.r_[low.mean(), f.means], np.r_[max(variance, 1e-10), f.variances], f.loglik, f.certainty)
+        return em_1d(x, min(k, len(np.unique(x))), w)
+    low, high = w[x < 0], x[x > 0]
+    f = em_1d(high, min(k, len(np.unique(high))), w[x > 0])
+    n, share = low.sum(), low.sum() / w[x != 0].sum()
+    mean = float(np.average(x[x < 0], weights=low))
+    variance = float(low @ (x[x < 0] - mean) ** 2 / (n - 1)) if n > 1 else float(f.variances.min())
+    return Fit1D(np.r_[share, f.shares * (1 - share)], np.r_[mean, f.means], np.r_[max(variance, 1e-10), f.variances], f.loglik, f.certainty)
 
 
 def kde_bandwidth(n: float, sd: float) -> float:

@@ -21,12 +21,16 @@ def _long(df: DataFrame, params: Sequence[str]) -> DataFrame:
     return features(df, params).unpivot([], list(params), "marker", "x").filter(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
-def condensed(points: DataFrame) -> DataFrame:
-    """(marker, x, weight): means and counts over equal bins between each marker's extremes."""
-    ends = points.groupBy("marker").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+def condensed(points: DataFrame, *, by_sign: bool = False) -> DataFrame:
+    """(marker, x, weight): means and counts over equal bins between each marker's extremes.
+
+    ``by_sign``: the bins lie between the extremes of the values below, at and above zero, so none holds two signs.
+    """
+    points = points.withColumn("sign", F.signum("x") if by_sign else F.lit(0.0))
+    ends = points.groupBy("marker", "sign").agg(F.min("x").alias("low"), F.max("x").alias("high"))
     at = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * HISTOGRAM), F.lit(HISTOGRAM - 1))).otherwise(0)
-    binned = points.join(F.broadcast(ends), "marker").withColumn("at", at)
-    return binned.groupBy("marker", "at").agg(F.avg("x").alias("x"), F.count(F.lit(1)).cast("double").alias("weight")).drop("at")
+    binned = points.join(F.broadcast(ends), ["marker", "sign"]).withColumn("at", at)
+    return binned.groupBy("marker", "sign", "at").agg(F.avg("x").alias("x"), F.count(F.lit(1)).cast("double").alias("weight")).drop("at", "sign")
 
 
 def _fitted(points: DataFrame, size: int, most: int, criterion: str) -> DataFrame:
@@ -56,16 +60,20 @@ def fit_univariate_default(df: DataFrame, params: Sequence[str], seed: int = 0)
 
 
 def refit_univariate(df: DataFrame, components: dict[str, int], mixtures: DataFrame, sample_fraction: float = 0.2, separate_negative: bool = False, seed: int = 0) -> DataFrame:
-    """``mixtures`` with the named markers fitted anew with a fixed number of components; new markers are added."""
+    """``mixtures`` with the named markers fitted anew with a fixed number of components; new markers are added.
+
+    Samples beyond MOST_POINTS rows are condensed, by sign if ``separate_negative``.
+    """
     params = list(components)
     rows = features(df, params)
     n = rows.count()
     size = sample_size(n, sample_fraction, floor=0)
-    points = _long(sample_rows(rows, min(size, MOST_POINTS), n, seed), params)
+    points = _long(sample_rows(rows, size, n, seed), params)
+    points = condensed(points, by_sign=separate_negative) if size > MOST_POINTS else points.withColumn("weight", F.lit(1.0))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         marker = pdf.marker.iloc[0]
-        f = fixed_1d(pdf.x.to_numpy(), components[marker], separate_negative)
+        f = fixed_1d(pdf.x.to_numpy(), components[marker], separate_negative, pdf.weight.to_numpy())
         order = f.means.argsort(kind="stable")
         return pd.DataFrame({"marker": marker, "comp": range(1, len(order) + 1), "pro": f.shares[order], "mean": f.means[order], "var": f.variances[order]})
 
