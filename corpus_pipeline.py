@@ -1,6 +1,6 @@
 """From raw documents to packed sequences: each stage works on all that its predecessor kept.
 
-Toxic documents go, repeated lines go, one document of each group of near copies stays, documents that hold a
+Toxic documents go, repeated lines go and the rest of their documents stays, one document of each group of near copies stays, documents that hold a
 benchmark item go, and the rest is packed. All stages but the last return the columns of ``documents``.
 """
 
@@ -17,7 +17,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linedup.without_repeats(docs)
+    return linedup.without_repeats(docs, drop_copies=False)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

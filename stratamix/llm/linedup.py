@@ -170,12 +170,12 @@ def judged_lines(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int
     return out.select("doc_id", "line_no", "links", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.line_no").alias("keeper_line_no"), (~place.eqNullSafe(F.col("keeper"))).alias("removed"))
 
 
-def without_repeats(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", drop_copies: bool = True) -> DataFrame:
     """``docs`` without the lines that ``judged_lines`` removes.
 
-    A document that loses lines goes altogether if no line that counts is left, or if two thirds of its
-    characters and MOST_WORDS words are lost: it is a copy. Rows with a null id are kept as they are. Columns and
-    their order stay.
+    With ``drop_copies`` a document that loses lines goes altogether if no line that counts is left, or if two thirds
+    of its characters and MOST_WORDS words are lost: it is a copy. Without, only a document with nothing but blanks
+    left goes. Rows with a null id are kept as they are. Columns and their order stay.
     """
     gone = judged_lines(docs, threshold=threshold, min_chars=min_chars, id_col=id_col, text_col=text_col)
     gone = gone.filter("removed").groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))  # a document's own lines at most
@@ -184,7 +184,8 @@ def without_repeats(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: i
     joined = joined.withColumn("_left", F.when(F.col("_gone").isNotNull(), F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i))))
     lost = F.array_join(F.filter(lines, lambda x, i: F.array_contains(F.col("_gone"), i)), "\n")
     copied = (3 * F.length(lost) >= 2 * F.length(docs[text_col])) & (F.size(F.split(lost, r"\s+")) >= MOST_WORDS)
-    kept = joined.filter(F.col("_gone").isNull() | (F.exists("_left", lambda x: F.length(x) >= min_chars) & ~copied))
+    stays = F.exists("_left", lambda x: F.length(x) >= min_chars) & ~copied if drop_copies else F.exists("_left", lambda x: x.rlike(r"\S"))
+    kept = joined.filter(F.col("_gone").isNull() | stays)
     return kept.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join("_left", "\n"))).select(*docs.columns)
 
 

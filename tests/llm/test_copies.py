@@ -80,6 +80,16 @@ def test_lines_leave_documents(spark):
     assert got[1] == f"{own}\nanother line that is its own" and "word5 " not in got[2] and got[4] == "short"
 
 
+def test_pipeline_removes_repeated_lines_only(spark):
+    import corpus_pipeline
+
+    passage, own = " ".join(f"word{i}" for i in range(60)), "a last line of its own here"
+    rows = [(1, f"first of all its own line\n{passage}"), (2, f"{passage}\n{own}\n\nbye"), (3, f"{passage}\n\n "), (4, f"{passage}\nshort")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.remove_repeated_lines(spark, docs, "").collect()}
+    assert got == {1: rows[0][1], 2: f"{own}\n\nbye", 4: "short"}
+
+
 def shingles(text, n):
     words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") if w]
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
