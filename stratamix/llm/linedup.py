@@ -126,7 +126,7 @@ def with_edit_distance(pairs: DataFrame, a: str, b: str, k: int, name: str = "di
 
 def similar_lines(lines: DataFrame, hot: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b, distance): hashes h1 of distinct lines within the threshold, each pair once."""
-    first = lines.join(F.broadcast(hot), ["h1", "h2"], "left").filter(F.col("first").isNull() | ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.line_no") == F.col("line_no"))))
+    first = lines.join(F.broadcast(hot), ["h1", "h2"], "left").filter(F.col("first").isNull() | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.line_no") == F.col("line_no"))))
     first = first.select("h1", "line", "n")
     # lines that meet another one at all: a row each, however many they meet
     i, p = keyed(first, index_places(threshold), threshold).alias("i"), keyed(first, probe_places(threshold), threshold).alias("p")

@@ -80,6 +80,13 @@ def test_lines_leave_documents(spark):
     assert got[1] == f"{own}\nanother line that is its own" and "word5 " not in got[2] and got[4] == "short"
 
 
+def test_repeated_lines_keep_their_links_after_a_null_id(spark):
+    line = "one and the same line in three places"
+    docs = spark.createDataFrame([(None, line), (1, line), (2, line + "s")], "doc_id long, text string")
+    got = {r.doc_id: (r.links, r.keeper_doc_id, r.removed) for r in linedup.judged_lines(docs).collect()}
+    assert got == {None: (1, None, False), 1: (1, None, True), 2: (1, None, True)}
+
+
 def test_pipeline_removes_repeated_lines_only(spark):
     import corpus_pipeline
 
