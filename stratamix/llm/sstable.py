@@ -36,6 +36,8 @@ MAGIC, VERSION = b"SSTTOKEN", 1
 FOOTER = struct.Struct("<QQQQQQBBH4x8s")
 INDEX = struct.Struct("<HHQIII")
 BLOCK_BYTES, RESTART = 64 << 10, 16
+#: A shard is closed, and the next one begun, at so many stored bytes or keys: a writer's memory is bounded whatever a task gets.
+SHARD_BYTES, SHARD_KEYS = 512 << 20, 1 << 20
 BITS_PER_KEY, PROBES = 10, 7
 
 
@@ -183,10 +185,11 @@ class Table:
         return found
 
 
-def write_shards(docs: DataFrame, *, folder: str | None = None, tokenizer: str | None = None, end_id: int = 2, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+def write_shards(docs: DataFrame, *, folder: str | None = None, tokenizer: str | None = None, end_id: int = 2, shards: int | None = None, shard_bytes: int = SHARD_BYTES, shard_keys: int = SHARD_KEYS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """Writes ``docs`` as shards of disjoint ascending key ranges; returns the manifest and the folder.
 
-    Null and empty texts are the end id alone. Repeated ids are kept each; a null id sorts first. Other columns
+    ``shards`` is the number of writing tasks, which begin
+    a new file at ``shard_bytes`` or ``shard_keys``. Null and empty texts are the end id alone. Repeated ids are kept each; a null id sorts first. Other columns
     are not read. A task writes under a name of its own, and only names in the manifest, which Spark commits,
     are ever read: a lost or repeated task leaves at most a file that nothing names.
     """
@@ -199,40 +202,49 @@ def write_shards(docs: DataFrame, *, folder: str | None = None, tokenizer: str |
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        out = stream = None
-        name = f"{folder}/{task:06d}-{uuid.uuid4().hex}.sst"
+        task, rolled = TaskContext.get().partitionId(), 0
+        out = stream = first = last = name = None
         enc, end = encoder(path), np.array([end_id], "<u4")
-        first = None
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            stream.close()
+            row = {"shard": task * ROLLED + rolled, "path": name, "first_key": first, "last_key": last, "entries": len(out.keys), "tokens": out.tokens}
+            return pa.RecordBatch.from_pylist([row], schema=_ARROW)
+
         for b in batches:
             for keys, texts in in_groups(b.column(0).to_pylist(), b.column(1)):
-                if out is None:
-                    fs, where = pafs.FileSystem.from_uri(name)
-                    stream = fs.open_output_stream(where)
-                    out = Writer(stream, enc.dtype)
-                    first = key_of(keys[0])
                 for doc_id, ids in zip(keys, enc.encode_many(texts), strict=True):
-                    out.add(last := key_of(doc_id), np.concatenate([ids, end]))
+                    if out is not None and (out.at >= shard_bytes or len(out.keys) >= shard_keys):
+                        yield closed()
+                        out, rolled = None, rolled + 1
+                    key = key_of(doc_id)
+                    if out is None:
+                        name = f"{folder}/{task:06d}-{rolled:06d}-{uuid.uuid4().hex}.sst"
+                        fs, where = pafs.FileSystem.from_uri(name)
+                        stream = fs.open_output_stream(where)
+                        out, first = Writer(stream, enc.dtype), key
+                    out.add(last := key, np.concatenate([ids, end]))
         if out is not None:
-            out.close()
-            stream.close()
-            yield pa.RecordBatch.from_pylist([{"shard": task, "path": name, "first_key": first, "last_key": last, "entries": len(out.keys), "tokens": out.tokens}], schema=_ARROW)
+            yield closed()
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     manifest = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, MANIFEST)
-    manifest.coalesce(max(1, n // 64)).write.parquet(f"{folder}/manifest") if n > 4096 else manifest.write.parquet(f"{folder}/manifest")
+    manifest.write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest"), folder
 
 
-MANIFEST = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("first_key", T.BinaryType()), T.StructField("last_key", T.BinaryType()), T.StructField("entries", T.LongType()), T.StructField("tokens", T.LongType())])
-_ARROW = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("first_key", pa.binary()), ("last_key", pa.binary()), ("entries", pa.int64()), ("tokens", pa.int64())])
+#: Shard numbers of a task begin at its number times this.
+ROLLED = 1 << 20
+MANIFEST = T.StructType([T.StructField("shard", T.LongType()), T.StructField("path", T.StringType()), T.StructField("first_key", T.BinaryType()), T.StructField("last_key", T.BinaryType()), T.StructField("entries", T.LongType()), T.StructField("tokens", T.LongType())])
+_ARROW = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("first_key", pa.binary()), ("last_key", pa.binary()), ("entries", pa.int64()), ("tokens", pa.int64())])
 DIGEST = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
 
 def read_digests(manifest: DataFrame) -> DataFrame:
     """One row per stored document: its id, the ids before it over all shards, its count and the ids' crc32.
 
-    The manifest has a row per shard (as many as write tasks, whatever the data), so it may pass the driver.
+    The manifest has a short row per shard, of about SHARD_BYTES each where there is much data, so it may pass the driver.
     """
     spark = manifest.sparkSession
     ship(spark)
