@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import functools
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,39 +75,50 @@ def best_cuts(ends: np.ndarray, kinds: np.ndarray, window: int, *, last: bool =
     penalty[n] = 0
     penalty[0] = 0
     at = np.flatnonzero(penalty >= 0)
+    if (np.diff(at) > window).any():  # a window shorter than ``GAP``
+        more = np.arange(window, n, window)
+        penalty[more] = np.where(penalty[more] < 0, INNER_CUT, penalty[more])
+        at = np.flatnonzero(penalty >= 0)
     penalty += WINDOW_COST
     node = np.full(n + 1, -1, np.int32)
     node[at] = np.arange(len(at), dtype=np.int32)
-    exact: dict[int, list[int]] = {}
+    befores, afters = [], []
     for bit in range(window.bit_length() - 1):
-        length = 1 << bit
-        head = at[at >= length]
-        before = node[head - length]
+        head = at[np.searchsorted(at, 1 << bit) :]
+        before = node[head - (1 << bit)]
         hit = np.flatnonzero(before >= 0)
-        for j, i in zip(node[head[hit]].tolist(), before[hit].tolist(), strict=True):
-            exact.setdefault(j, []).append(i)
+        befores.append(before[hit])
+        afters.append(node[head[hit]])
+    after = np.concatenate(afters)
+    exact = np.concatenate(befores)[np.argsort(after, kind="stable")].tolist()
+    stops = np.cumsum(np.bincount(after, minlength=len(at))).tolist()  # of each node's windows of a power of two
     pos, pens = at.tolist(), penalty[at].tolist()
     best, came = [0] * len(pos), [0] * len(pos)
-    queue: deque[int] = deque([0])
-    value = [0] * len(pos)
+    # the monotone queue: its members' places, their values best + pos and their numbers, from ``first`` on
+    places, values, numbers, first, e = [0], [0], [0], 0, 0
     for j in range(1, len(pos)):
         p = pos[j]
         low = p - window
-        while pos[queue[0]] < low:
-            queue.popleft()
-        i = queue[0]
-        cost = value[i] + window - p
-        if j in exact:
-            for e in exact[j]:
-                if best[e] < cost:
-                    cost, i = best[e], e
+        while places[first] < low:
+            first += 1
+        i = numbers[first]
+        cost = values[first] - low
+        stop = stops[j]
+        while e < stop:
+            k = exact[e]
+            e += 1
+            if best[k] < cost:
+                cost, i = best[k], k
         cost += pens[j]
         best[j], came[j] = cost, i
         v = cost + p
-        value[j] = v
-        while queue and value[queue[-1]] >= v:
-            queue.pop()
-        queue.append(j)
+        while len(values) > first and values[-1] >= v:
+            values.pop()
+            places.pop()
+            numbers.pop()
+        values.append(v)
+        places.append(p)
+        numbers.append(j)
     cuts, j = [], len(pos) - 1
     while j:
         cuts.append(pos[j])

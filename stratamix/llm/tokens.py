@@ -6,48 +6,88 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
-#: Words kept per Python worker in each of two generations: memory stays bounded, frequent words stay known.
-MAX_WORDS = 700_000
-#: Longer words are encoded but not kept.
-MAX_WORD_CHARS = 48
+#: Words and their ids kept per Python worker; beyond, all are forgotten and learnt anew, so memory stays bounded.
+MAX_WORDS, MAX_IDS = 1_400_000, 16_000_000
+#: Characters of texts that are split into words together.
+GROUP_CHARS = 1 << 20
+#: Characters of a word that are hashed by table; longer words are hashed one by one.
+TABLED = 48
 
 #: Texts of these characters are split here as the byte-level pre-tokenizer splits them; others go through the tokenizer whole.
 _COMMON = re.compile(r"[\t\n -~¡-ſ]*\Z")
-_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"  # letters and numbers among them
-_FIND = re.compile(rf" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+").findall
-_ENCODERS: dict[str, PieceEncoder] = {}
+_LETTER, _NUMBER = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ſ]"), re.compile("[0-9²³¹¼-¾]")
+_CODES = 0x180
+#: Kinds of characters; END stands behind each text.
+BLANK, SPACE, LETTER, NUMBER, OTHER, END = range(6)
+
+
+def _kind(c: str) -> int:
+    if c == "\0":
+        return END
+    return BLANK if c == " " else SPACE if c.isspace() else LETTER if _LETTER.match(c) else NUMBER if _NUMBER.match(c) else OTHER
 
 
-class Memo(dict):
-    """The newer of two generations of entries."""
+_KIND = np.array([_kind(chr(c)) for c in range(_CODES)], np.uint8)
+#: The same with BLANK and SPACE as one.
+_CLASS = np.maximum(_KIND, SPACE)
+#: A random number for each place in a word and character; their sum is the word's hash.
+_RANDOM = np.random.default_rng(31).integers(0, 1 << 64, TABLED * _CODES, dtype=np.uint64)
+_APOSTROPHE, _ONE, _TWO = ord("'"), [ord(c) for c in "stmd"], [ord(a) << 16 | ord(b) for a, b in ("re", "ve", "ll")]
+_APART = re.compile(r"(?<=\S) (?=\S)")
+_ENCODERS: dict[str, PieceEncoder] = {}
+
 
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
+def word_starts(codes: np.ndarray) -> np.ndarray:
+    """Where the words of byte-level pre-tokenization begin, in the code points of texts that each end with a zero.
 
-    def keep(self, entries: dict) -> None:
-        if len(self) + len(entries) > self.most:
-            self.old = dict(self)
-            self.clear()
-        self.update(entries)
+    Words are runs of letters, of numbers or of other signs, with one blank before them if there is one; the ends
+    of contractions; and white space but for that blank, whose last character is a word of its own before others.
+    """
+    kind, class_ = _KIND[codes], _CLASS[codes]
+    start = np.ones(len(codes), bool)
+    np.not_equal(class_[1:], class_[:-1], out=start[1:])
+    space, end = class_ == SPACE, class_ == END
+    last = space[:-1] & ~(space[1:] | end[1:])
+    start[:-1] |= last
+    start[1:] &= ~(last & (kind[:-1] == BLANK))
+    start[1:] |= end[:-1] | end[1:]
+    at = np.flatnonzero((codes == _APOSTROPHE) & start)
+    if len(at):
+        behind = np.concatenate([codes, np.zeros(2, codes.dtype)]).astype(np.int64)
+        one = np.isin(behind[at + 1], _ONE)
+        two = np.isin(behind[at + 1] << 16 | behind[at + 2], _TWO)
+        start[at[one | two] + 1] = False
+        start[np.concatenate([at[one] + 2, at[two] + 3])] = True
+    return np.flatnonzero(start)
 
 
 class PieceEncoder:
     """Encodes texts to little-endian id arrays, the same ids that the tokenizer gives for each whole text.
 
-    A byte-level tokenizer merges bytes only inside a match of its pre-tokenizer. So a text is split into these
-    matches, and each distinct one goes through the tokenizer once.
+    A byte-level tokenizer merges bytes only inside a word of its pre-tokenizer. So many texts are split into
+    words at once, in arrays; words are told apart by 64-bit hashes of random numbers, and each distinct one goes
+    through the tokenizer once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 0x10000 else "<u4")
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.dtype("<u2" if size <= 0x10000 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_word = "ByteLevel(add_prefix_space=False" in repr(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
-        self.words = Memo(MAX_WORDS)
+        #: Whether an id's token begins with a blank, which a byte-level tokenizer writes as this letter.
+        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty memo: a word's number by its hash; where its ids begin and how many they are; all ids. END has none."""
+        self.number: dict[int, int] = {int(_RANDOM[0]): 0}
+        self.place, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, self.dtype)
+        self.held = 0
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -55,49 +95,103 @@ class PieceEncoder:
             out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
         return out
 
-    def _raw_words(self, words: list[str]) -> dict[str, bytes]:
-        """Words that begin with a blank follow each other in short texts: fewer calls, and the tokenizer tells them apart."""
-        joined = [w for w in words if len(w) > 1 and w[0] == " " and w[1].isalpha()]
-        other = [w for w in words if not (len(w) > 1 and w[0] == " " and w[1].isalpha())]
-        found = dict(zip(other, self._raw(other), strict=True))
-        for k in range(0, len(joined), 16384):
-            part = joined[k : k + 16384]
-            encoded = self.tokenizer.encode_batch(["".join(part[i : i + 64]) for i in range(0, len(part), 64)], add_special_tokens=False)
-            ids, of = np.concatenate([e.ids for e in encoded]), np.concatenate([np.array(e.word_ids) + 64 * i for i, e in enumerate(encoded)])
-            ends = np.searchsorted(of, np.arange(len(part)), side="right") * self.dtype.itemsize
-            raw, begin = ids.astype(self.dtype).tobytes(), 0
-            for w, end in zip(part, ends.tolist(), strict=True):
-                found[w] = raw[begin:end]
-                begin = end
-        return found
-
-    def _resolve(self, missing: set[str]) -> dict[str, bytes]:
-        found = {w: b for w in missing if (b := self.words.old.get(w)) is not None}
-        found.update(self._raw_words([w for w in missing if w not in found]))
-        self.words.keep({w: b for w, b in found.items() if len(w) <= MAX_WORD_CHARS})
-        return found
+    def _raw_words(self, words: list[str]) -> list[bytes]:
+        """Words of a blank and letters follow each other in short texts: fewer calls; their first ids begin with the blank."""
+        joined, apart = [], []
+        for i, w in enumerate(words):
+            (joined if w[0] == " " and w[1:2].isalpha() else apart).append(i)
+        out = [b""] * len(words)
+        for i, raw in zip(apart, self._raw([words[i] for i in apart]), strict=True):
+            out[i] = raw
+        if joined:
+            encoded = self.tokenizer.encode_batch_fast(["".join([words[i] for i in joined[k : k + 256]]) for k in range(0, len(joined), 256)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, self.dtype) for e in encoded])
+            cuts = [*(np.flatnonzero(self.begins[ids]) * self.dtype.itemsize).tolist(), ids.nbytes]
+            raw = ids.tobytes()
+            for i, a, b in zip(joined, cuts[:-1], cuts[1:], strict=True):
+                out[i] = raw[a:b]
+        return out
+
+    def _learn(self, keys: list[int], words: list[str]) -> None:
+        raw = self._raw_words(words)
+        new, n = np.frombuffer(b"".join(raw), self.dtype), len(self.number)
+        sizes = np.array([len(r) for r in raw]) // self.dtype.itemsize
+        while n + len(keys) > len(self.place):
+            self.place, self.size = np.resize(self.place, 2 * len(self.place)), np.resize(self.size, 2 * len(self.size))
+        while self.held + len(new) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.place[n : n + len(keys)] = self.held + np.cumsum(sizes) - sizes
+        self.size[n : n + len(keys)] = sizes
+        self.ids[self.held : self.held + len(new)] = new
+        self.held += len(new)
+        self.number.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def _common(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts of common characters."""
+        if len(self.number) > MAX_WORDS or self.held > MAX_IDS:
+            self._forget()
+        whole = "\0".join([*texts, ""])
+        codes = np.frombuffer(whole.encode("utf-16-le"), np.uint16)
+        start = word_starts(codes)
+        length = np.diff(start, append=len(codes))
+        within = np.arange(len(codes), dtype=np.int32) - np.repeat(start.astype(np.int32), length)
+        np.minimum(within, TABLED - 1, out=within)
+        within *= _CODES
+        within += codes
+        keys = np.add.reduceat(_RANDOM[within], start)
+        for k in np.flatnonzero(length > TABLED).tolist():
+            keys[k] = self._hash(whole[start[k] : start[k] + length[k]])
+        found = pa.array(keys).dictionary_encode()
+        of = found.indices.to_numpy()
+        distinct = found.dictionary.to_numpy().tolist()
+        known = self.number.get
+        numbers = np.array([known(k, -1) for k in distinct])
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            numbers[new] = np.arange(len(self.number), len(self.number) + len(new))
+            first = np.empty(len(distinct), np.int64)
+            first[of[::-1]] = np.arange(len(of))[::-1]
+            first = first[new]
+            self._learn([distinct[i] for i in new.tolist()], [whole[x:y] for x, y in zip(start[first].tolist(), (start[first] + length[first]).tolist(), strict=True)])
+        sizes = self.size[numbers][of]
+        stop = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.place[numbers][of] - (stop - sizes), sizes) + np.arange(stop[-1])]
+        return np.split(ids, stop[np.flatnonzero(codes[start] == 0)])[:-1]
+
+    @staticmethod
+    def _hash(word: str) -> int:
+        import xxhash
+
+        return xxhash.xxh64_intdigest(word.encode())
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [np.zeros(0, self.dtype)] * len(texts)
-        split: list[tuple[int, list[str], list[bytes | None]]] = []
-        missing: set[str] = set()
+        out: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(texts)
+        group: list[tuple[int, str]] = []
+        held = 0
+
+        def solve() -> None:
+            for (i, _), ids in zip(group, self._common([t for _, t in group]), strict=True):
+                out[i] = np.concatenate([out[i], ids]) if len(out[i]) else ids
+            group.clear()
+
         for i, text in enumerate(texts):
             if not text:
                 continue
             if not self.by_word or not _COMMON.match(text) or any(s in text for s in self.special):
                 out[i] = np.frombuffer(self._raw([text])[0], self.dtype)
                 continue
-            words = _FIND(text)
-            ids = list(map(self.words.get, words))
-            if None in ids:
-                missing.update(w for w, b in zip(words, ids, strict=True) if b is None)
-                split.append((i, words, ids))
-            else:
-                out[i] = np.frombuffer(b"".join(ids), self.dtype)
-        if split:
-            new = self._resolve(missing)
-            for i, words, ids in split:
-                out[i] = np.frombuffer(b"".join([new[w] if b is None else b for w, b in zip(words, ids, strict=True)]), self.dtype)
+            at = 0
+            while at < len(text):  # a long text is cut at single blanks, where words begin
+                cut = _APART.search(text, at + GROUP_CHARS) if len(text) - at > 2 * GROUP_CHARS else None
+                stop = cut.start() if cut else len(text)
+                group.append((i, text[at:stop]))
+                held += stop - at
+                at = stop
+                if held >= GROUP_CHARS:
+                    solve()
+                    held = 0
+        if group:
+            solve()
         return out
 
     def encode(self, text: str | None) -> np.ndarray:

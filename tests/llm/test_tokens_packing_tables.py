@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratamix.llm import packing, sstable
-from stratamix.llm.tokens import default_tokenizer, encoder
+from stratamix.llm import packing, sstable, tokens
+from stratamix.llm.tokens import PieceEncoder, default_tokenizer, encoder
 
 ROWS = [(3, "One two three. Four five six!\nSeven  eight\t nine"), (1, None), (2, ""), (5, "x" * 3000), (4, "Grüße, 日本 and 12,5 %. " * 400), (3, "again the same id"), (None, "no id")]
 
@@ -41,6 +41,17 @@ def test_memo_gives_the_tokenizers_ids(tokenizer):
         assert got.tolist() == ids_of(tokenizer, text), repr(text)
 
 
+def test_long_texts_and_a_full_memo_give_the_tokenizers_ids(tokenizer, monkeypatch):
+    r = random.Random(6)
+    words = ["it's", "don't", "'twas", "we'll", "THEY'RE", " ", "\n", "\n\n", "12", "½", "naïve", "x" * 60, "y" * 60, "'s's", "''d", "--"]
+    texts = [" ".join(r.choices(words, k=r.randint(1, 300))) for _ in range(60)] + ["z" * 5000, " " * 3000, "a " * 4000]
+    enc = PieceEncoder(default_tokenizer())
+    monkeypatch.setattr(tokens, "GROUP_CHARS", 500)
+    monkeypatch.setattr(tokens, "MAX_WORDS", 20)
+    for text, got in zip(texts, enc.encode_many(texts), strict=True):
+        assert got.tolist() == ids_of(tokenizer, text), repr(text[:200])
+
+
 def test_pieces_cover_each_document_once(docs, tokenizer):
     rows = [r.asDict() for r in packing.pack(docs).collect()]
     assert [n for n in rows[0]] == packing.SCHEMA.names
@@ -103,6 +114,12 @@ def test_cuts_are_the_cheapest():
         assert cost == brute_force(ends, kinds, penalty, window, n)
 
 
+def test_windows_shorter_than_the_gap_between_cuts():
+    for window in (8, 32, 64):
+        cuts = packing.best_cuts(np.array([700]), np.array([0]), window)
+        assert cuts[-1] == 700 and all(0 < b - a <= window for a, b in zip([0, *cuts], cuts))
+
+
 def test_little_padding(spark):
     text = " ".join(f"Sentence number {i} has some words." for i in range(60))
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit(text).alias("text")).coalesce(1)
@@ -117,6 +134,14 @@ def test_empty_tables(docs):
     assert sstable.read_digests(manifest).count() == 0
 
 
+def test_a_task_rolls_its_shards(docs, tokenizer):
+    manifest, _ = sstable.write_shards(docs, shards=1, shard_keys=2)
+    rows = manifest.collect()
+    assert len(rows) == 4 and sum(r.entries for r in rows) == len(ROWS) and sum(r.tokens for r in rows) == sum(len(ids_of(tokenizer, t)) + 1 for _, t in ROWS)
+    assert [g.n_tokens for g in sorted(sstable.read_digests(manifest).collect(), key=lambda g: g.start)][0] == len(ids_of(tokenizer, "no id")) + 1
+    assert len(sstable.lookup(manifest, 3)) == 2
+
+
 def test_shards_round_trip_and_lookup(docs, tokenizer):
     manifest, _ = sstable.write_shards(docs, shards=3)
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in sstable.read_digests(manifest).collect())
