@@ -6,32 +6,36 @@ values. So each part is indexed under every way to leave out ERRORS of its value
 distance meet under some key. At a similarity of 0.85 and 16 x 6 values the number of differing values is
 binomial(96, 0.15), at 0.8 and 20 x 5 values binomial(100, 0.2): the chance to miss a pair is of the order 1e-5.
 
-Keys join documents into candidate clusters, not into pairs; a cluster's whole shingle sets are then compared
-inside tasks, in blocks of bounded size, and only spanning links leave them. Documents with one and the same
-shingle set are one node throughout.
+Pairs are never listed, only links that span the same components:
+
+1.  Of the documents under a key, each is paired with the smallest. Pairs within the distance are confirmed on whole
+    shingle sets. So a group of copies of any size takes a comparison a document and key, not one a pair.
+2.  Keys whose documents are still in several components are taken again, in blocks of bounded size: there, documents
+    of different components are connected if their signatures are within the distance.
+3.  In these clusters, again in blocks, documents of different components are compared by their whole shingle sets. The
+    largest component of a cluster is not compared with itself.
+
+Documents with one and the same shingle set are one node throughout.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import sent_if_small, ship, table, written
 from .graph import components
 
 ERRORS = 1
-#: Bounds of a block of a cluster.
-BLOCK_DOCS, BLOCK_SHINGLES = 400, 1 << 18
-MAX_WORDS = 400_000
+#: Bounds of a block whose shingle sets are compared, and of one whose signatures are.
+BLOCK_DOCS, BLOCK_SHINGLES, BLOCK_SIGNATURES = 400, 1 << 18, 4096
 _U = np.uint64
 _A, _B, _C, _D = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _MULTIPLIERS = (np.random.default_rng(20).integers(1, 1 << 62, 128, dtype=np.uint64) << _U(1)) | _U(1)
-_WORDS: dict[bytes, int] = {}
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -39,14 +43,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     import xxhash
 
     words = (text or "").encode().lower().split()  # of bytes: these six white-space characters, and A-Z alone
-    hashes = list(map(_WORDS.get, words))
-    if None in hashes:
-        if len(_WORDS) > MAX_WORDS:
-            _WORDS.clear()
-        for i, h in enumerate(hashes):
-            if h is None:
-                hashes[i] = _WORDS[words[i]] = xxhash.xxh64_intdigest(words[i])
-    return np.array(hashes, np.uint64)
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -86,17 +83,27 @@ def set_hash(shingles: np.ndarray) -> tuple[int, int]:
     return (h & ((1 << 64) - 1)) - (1 << 63), (h >> 64) - (1 << 63)
 
 
-def index_keys(signatures: np.ndarray, parts: int, size: int) -> np.ndarray:
-    """For each signature, a key for each part and each way to leave out ERRORS values of it."""
-    x = signatures.astype(np.uint64).reshape(-1, parts, size)
-    out = []
-    for part in range(parts):
-        for number, left in enumerate(combinations(range(size), size - ERRORS)):
-            h = np.full(len(x), part * 1000 + number, np.uint64)
-            for i in left:
-                h = mixed(h * _A + x[:, part, i] + _U(1))
-            out.append(h)
-    return np.stack(out, axis=1).view(np.int64)
+def left_out(parts: int, size: int) -> list[tuple[int, int, int, int, int]]:
+    """(number, from, bytes, from, bytes): what stays of a signature's part, for each part and value that is left out.
+
+    ERRORS is 1, so what stays is what stands before that value and what stands behind it.
+    """
+    places = [(part, k) for part in range(parts) for k in range(size)]
+    return [(part * 1000 + k, 2 * size * part + 1, 2 * k, 2 * (size * part + k + 1) + 1, 2 * (size - k - 1)) for part, k in places]
+
+
+def keyed(reps: DataFrame, parts: int, size: int) -> DataFrame:
+    """(key, rep): the keys of each (rep, sig). One short expression over exploded places, so that it is compiled."""
+    names = ("part", "a", "an", "b", "bn")
+    places = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, p, strict=True)]) for p in left_out(parts, size)])
+    rows = reps.select("rep", "sig", F.explode(places).alias("p")).select("rep", "sig", "p.*")
+    return rows.select(F.xxhash64("part", F.substring("sig", F.col("a"), F.col("an")), F.substring("sig", F.col("b"), F.col("bn"))).alias("key"), "rep")
+
+
+def distance(a: Column, b: Column, values: int) -> Column:
+    """Hamming distance of two signatures in values."""
+    at = F.sequence(F.lit(1), F.lit(2 * values - 1), F.lit(2))
+    return F.size(F.filter(at, lambda i: F.substring(a, i, F.lit(2)) != F.substring(b, i, F.lit(2))))
 
 
 def _signed(docs: DataFrame, shingle: int, values: int) -> DataFrame:
@@ -115,65 +122,31 @@ def _signed(docs: DataFrame, shingle: int, values: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
 
 
-def _candidate_edges(reps: DataFrame, parts: int, size: int) -> DataFrame:
-    """(a, b) such that all representatives that meet under a key are connected.
-
-    Rows (key, rep) are range-partitioned by both, so a key with any number of rows spreads over tasks. Within a
-    task each row is linked to the first of its key; keys that cross tasks are linked through those firsts.
-    """
-    spark = reps.sparkSession
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                b = whole.slice(k, 1000)
-                sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2").reshape(-1, parts * size)
-                found = index_keys(sig, parts, size)
-                rep = np.repeat(b.column("rep").to_numpy(zero_copy_only=False), found.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(rep, pa.int64())], names=["key", "rep"])
-
-    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "a", "b"]
-        rows = lambda k, a, b: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (k, a, b)], names=names)
-        key = first = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            k, r = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rep"))
-            start = np.r_[True, k[1:] != k[:-1]]
-            if key is None:
-                yield rows([int(k[0])], [int(r[0])], [None])
-            start[0] = key is None or k[0] != key
-            at = np.maximum.accumulate(np.where(start, np.arange(len(k)), -1))
-            head = np.where(at >= 0, r[np.maximum(at, 0)], first if first is not None else 0)
-            linked = np.flatnonzero(head != r)
-            if len(linked):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(linked), pa.int64()), pa.array(head[linked]), pa.array(r[linked])], names=names)
-            key, first = int(k[-1]), int(head[-1])
-        if key is not None:
-            yield rows([key], [first], [None])
-
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = reps.select("rep", "sig").mapInArrow(keys, "key long, rep long")
-    ordered = pairs.repartitionByRange(n, "key", "rep").sortWithinPartitions("key", "rep")
-    found = written(ordered.mapInArrow(firsts, "key long, a long, b long"), "edges")
-    # at most two rows a task of the stage before
-    across = found.filter("key is not null").groupBy("key").agg(F.collect_set("a").alias("all")).filter(F.size("all") > 1)
-    across = across.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).filter("a <> b")
-    return found.filter("key is null").select("a", "b").distinct().unionByName(across)
-
-
-def spanning_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect the same ids as all pairs with 100 * intersection >= percent * union do."""
-    n = len(ids)
-    root = list(range(n))
+def close_edges(ids: np.ndarray, comps: np.ndarray, sigs: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Links (a, b) within the distance ``most`` that, with components as they are, connect all that such pairs connect."""
+    waiting, links = np.ones(len(ids), bool), []
+    for root in range(len(ids)):
+        if not waiting[root]:
+            continue
+        waiting[root], stack = False, [root]
+        while stack:
+            x = stack.pop()
+            rest = np.flatnonzero(waiting)
+            if not len(rest):
+                break
+            own = comps[rest] == comps[x]
+            near = own.copy()
+            near[~own] = (sigs[rest[~own]] != sigs[x]).sum(axis=1) <= most
+            links += [(int(ids[x]), int(ids[y])) for y in rest[near & ~own]]
+            waiting[rest[near]] = False
+            stack += rest[near].tolist()
+    return links
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
+def spanning_links(ids: list[int], comps: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that, with components as they are, connect what all pairs with 100 * intersection >= percent * union connect."""
+    n = len(ids)
+    label = np.unique(comps, return_inverse=True)[1]
     sizes = np.array([len(s) for s in sets])
     values = np.concatenate(sets)
     owner = np.repeat(np.arange(n), sizes)
@@ -183,10 +156,11 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list
     length = np.diff(np.r_[start, len(ordered)])
     group = np.empty(len(values), np.int64)
     group[order] = np.repeat(np.arange(len(start)), length)
-    links, at = [], 0
+    links, ends = [], np.cumsum(sizes)
     for i in range(n):
-        g = group[at : at + sizes[i]]
-        at += sizes[i]
+        if (label == label[i]).all():
+            continue
+        g = group[ends[i] - sizes[i] : ends[i]]
         g = g[length[g] > 1]
         if not len(g):
             continue
@@ -194,14 +168,97 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list
         where = np.repeat(start[g] - np.r_[0, np.cumsum(lens)[:-1]], lens) + np.arange(lens.sum())
         shared = np.bincount(owner[where], minlength=n)
         near = np.flatnonzero(100 * shared >= percent * (sizes[i] + sizes - shared))
-        for j in near[near > i].tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                links.append((ids[i], ids[j]))
+        while len(near := near[label[near] != label[i]]):
+            links.append((ids[i], ids[int(near[0])]))
+            label[label == label[near[0]]] = label[i]
     return links
 
 
+_GROUP = ["grp", "low", "high"]
+
+
+def _in_blocks(rows: DataFrame, docs: int, shingles: int | None = None) -> DataFrame:
+    """(grp, low, high, rep, comp) from (grp, rep, comp, n): groups of bounded size in which all pairs of different components meet.
+
+    A group beyond the bounds is cut into blocks, by hash, and each block meets each other one; but the blocks of its
+    largest component meet only those of the rest.
+    """
+    each = rows.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
+    most = F.max(F.struct("docs", "shingles", "comp")).alias("most")
+    size = each.groupBy("grp").agg(most, F.count(F.lit(1)).alias("comps"), F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles")).filter("comps > 1")
+    blocks = lambda d, s: F.greatest(F.ceil(d / docs), F.ceil(s / shingles) if shingles else F.lit(0)).cast("int")
+    size = size.select("grp", F.col("most.comp").alias("largest"), blocks(F.col("docs"), F.col("shingles")).alias("whole"), blocks(F.col("most.docs"), F.col("most.shingles")).alias("large"), blocks(F.col("docs") - F.col("most.docs"), F.col("shingles") - F.col("most.shingles")).alias("small"))
+    placed = rows.join(size, "grp")
+    spread = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), n)).cast("int")
+    large = (F.col("whole") > 1) & (F.col("comp") == F.col("largest"))
+    block = F.when(F.col("whole") <= 1, 0).when(large, F.col("small") + spread(F.col("large"))).otherwise(spread(F.col("small")))
+    last = F.when(F.col("whole") <= 1, 0).when(large, F.col("small") - 1).otherwise(F.col("small") + F.col("large") - 1)
+    placed = placed.select("grp", "rep", "comp", block.alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return placed.select("grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "comp")
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *_GROUP).sortWithinPartitions(*_GROUP)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list[tuple]]:
+    """The rows of each group, as tuples of ``columns``; rows come sorted."""
+    now, held = None, []
+    for b in batches:
+        for *key, row in zip(*[b.column(c).to_pylist() for c in _GROUP], zip(*[b.column(c).to_pylist() for c in columns], strict=True), strict=True):
+            if key != now:
+                if held:
+                    yield held
+                now, held = key, []
+            held.append(row)
+    if held:
+        yield held
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _links_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], schema=_LINKS)
+
+
+def _connected(met: DataFrame, reps: DataFrame, most: int) -> DataFrame:
+    """(a, b) from (grp, rep, comp): links within the distance that connect the groups' components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, "rep", "comp", "sig"):
+            ids, comps, sigs = zip(*rows, strict=True)
+            yield _links_of(close_edges(np.array(ids), np.array(comps), np.frombuffer(b"".join(sigs), "<u2").reshape(len(ids), -1), most))
+
+    blocks = _in_blocks(met.withColumn("n", F.lit(0)), BLOCK_SIGNATURES)
+    return _grouped(blocks.join(reps.select("rep", "sig"), "rep").select(*_GROUP, "rep", "comp", "sig")).mapInArrow(run, "a long, b long").distinct()
+
+
+def _confirmed(met: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b) from (grp, low, high, rep, comp): links that whole shingle sets confirm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, "rep", "comp", "text"):
+            found = [(r, c, s) for r, c, t in rows if len(s := shingle_set(t, shingle))]
+            yield _links_of(spanning_links(*map(list, zip(*found, strict=True)), percent) if len(found) > 1 else [])
+
+    sent = sent_if_small(met, "met")
+    return _grouped(texts.join(sent, F.col("doc_id") == F.col("rep")).select(*_GROUP, "rep", "comp", "text")).mapInArrow(run, "a long, b long")
+
+
+def _stars(met: DataFrame, reps: DataFrame, values: int, most: int) -> DataFrame:
+    """(grp, low, high, rep, comp) from (key, rep, hub): hubs with those within the distance, in blocks of bounded size."""
+    pairs = met.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    own = lambda name: reps.select(F.col("rep").alias(name), F.col("sig").alias(f"sig_{name}"), F.col("n").alias(f"n_{name}"))
+    pairs = pairs.join(own("a"), "a").join(own("b"), "b").filter(distance(F.col("sig_a"), F.col("sig_b"), values) <= most)
+    pairs = written(pairs.select("a", "b", "n_b"), "stars")
+    size = pairs.groupBy("a").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n_b") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = pairs.join(size, "a").select(F.col("a").alias("grp"), F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("low"), F.lit(0).alias("high"), F.col("b").alias("rep"))
+    hubs = size.select(F.col("a").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("low"), F.lit(0).alias("high"), F.col("a").alias("rep"))
+    return placed.unionByName(hubs).withColumn("comp", F.col("rep"))
+
+
 def near_components(docs: DataFrame, *, shingle: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -217,42 +274,24 @@ def near_components(docs: DataFrame, *, shingle: int = 3, percent: int = 85, id_
         raise ValueError("the index is laid out for similarities of 0.8 and more")
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     parts, part_size = layout(percent)
-    signed = written(_signed(texts, shingle, parts * part_size), "signatures")
+    values, most = parts * part_size, parts * (ERRORS + 1) - 1
+    signed = written(_signed(texts, shingle, values), "signatures")
     reps = signed.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")).filter("rep is not null")
     reps = written(reps, "classes")
-    clusters = components(_candidate_edges(reps, parts, part_size))
-    held = written(reps.select("rep", "n").join(clusters, F.col("rep") == F.col("node")).select("rep", "n", "component"), "clusters")
-    size = held.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
-    size = size.select("component", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = held.join(size, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # a block meets each block of its cluster in one group; a cluster of one block is one group
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = placed.select("rep", "component", "block", other.alias("other")).select("rep", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, sets = None, [], []
-
-        def batch() -> pa.RecordBatch:
-            links = spanning_links(ids, sets, percent) if len(ids) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
-
-        for b in batches:
-            for *now, rep, text in zip(*[b.column(c).to_pylist() for c in ("component", "low", "high", "rep")], b.column("text"), strict=True):
-                if now != group:
-                    yield batch()
-                    group, ids, sets = now, [], []
-                s = shingle_set(text.as_py(), shingle)
-                if len(s):
-                    ids.append(rep)
-                    sets.append(s)
-        yield batch()
-
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = sent_if_small(met, "placed")
-    grouped = texts.join(met, F.col("doc_id") == F.col("rep")).select("component", "low", "high", "rep", "text")
-    grouped = grouped.repartition(n, "component", "low", "high").sortWithinPartitions("component", "low", "high")
-    links = grouped.mapInArrow(linked, "a long, b long")
-    found = components(links)
+    keys = keyed(reps, parts, part_size)
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("rep").alias("hub")).filter("docs > 1").drop("docs")
+    met = written(keys.join(shared, "key"), "keys")
+    stars = written(_confirmed(_stars(met, reps, values, most), texts, shingle, percent), "links")
+    first = components(stars)
+    comp = F.coalesce("component", "rep").alias("comp")
+    rows = met.join(first, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("grp"), "rep", comp)
+    apart = rows.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("grp")
+    rows = written(rows.join(apart, "grp"), "apart")
+    close = written(_connected(rows, reps, most), "close")
+    clusters = components(close.unionByName(stars))
+    left = rows.select("rep", "comp").distinct().join(clusters, F.col("rep") == F.col("node")).join(reps.select("rep", "n"), "rep")
+    blocks = _in_blocks(left.select(F.col("component").alias("grp"), "rep", "comp", "n"), BLOCK_DOCS, BLOCK_SHINGLES)
+    found = components(stars.unionByName(_confirmed(blocks, texts, shingle, percent)))
     classes = reps.select("h1", "h2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))

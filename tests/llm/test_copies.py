@@ -152,16 +152,72 @@ def test_near_copies_edge_cases(spark):
     assert neardup.without_near_copies(docs).columns == docs.columns
 
 
-def test_every_pair_within_the_distance_meets():
+def test_every_pair_within_the_distance_meets(spark):
     r = np.random.default_rng(1)
     for parts, size in ((16, 6), (20, 5)):
-        for _ in range(50):
+        rows = []
+        for pair in range(60):
             a = r.integers(0, 1 << 16, parts * size).astype("<u2")
             b = a.copy()
-            at = r.choice(len(a), parts * 2 - 1, replace=False)
+            at = r.choice(len(a), parts * (neardup.ERRORS + 1) - 1, replace=False)
             b[at] ^= r.integers(1, 1 << 16, len(at)).astype("<u2")
-            keys = neardup.index_keys(np.stack([a, b]), parts, size)
-            assert set(keys[0]) & set(keys[1])
+            rows += [(2 * pair, a.tobytes()), (2 * pair + 1, b.tobytes())]
+        df = spark.createDataFrame(rows, "rep long, sig binary")
+        keys: dict = {}
+        for x in neardup.keyed(df, parts, size).collect():
+            keys.setdefault(x.rep, set()).add(x.key)
+        assert all(len(keys[k]) == parts * size for k in keys) and all(keys[2 * p] & keys[2 * p + 1] for p in range(60))
+        both = df.alias("x").join(df.alias("y"), F.col("y.rep") == F.col("x.rep") + 1).filter("x.rep % 2 = 0")
+        got = both.select(neardup.distance(F.col("x.sig"), F.col("y.sig"), parts * size).alias("d")).collect()
+        assert {x.d for x in got} == {2 * parts - 1}
+
+
+def test_edges_stay_within_the_distance():
+    r = np.random.default_rng(2)
+    base = r.integers(0, 1 << 16, 96)
+    sigs, comps = [], []
+    for _ in range(120):
+        s = base.copy() if r.random() < 0.7 else r.integers(0, 1 << 16, 96)
+        at = r.choice(96, r.integers(0, 60), replace=False)
+        s[at] = r.integers(0, 1 << 16, len(at))
+        sigs.append(s)
+        comps.append(int(r.integers(0, 90)))
+    sigs, ids = np.array(sigs, "<u2"), np.arange(120) * 10
+    links = neardup.close_edges(ids, np.array(comps), sigs, 31)
+    apart = lambda x, y: int((sigs[x // 10] != sigs[y // 10]).sum())
+    assert links and all(apart(x, y) <= 31 for x, y in links)
+
+    def closure(pairs):
+        root = {c: c for c in comps}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for x, y in pairs:
+            a, b = find(comps[x // 10]), find(comps[y // 10])
+            root[max(a, b)] = min(a, b)
+        return [find(c) for c in comps]
+
+    every = [(x, y) for x in ids.tolist() for y in ids.tolist() if x < y and apart(x, y) <= 31]
+    assert closure(links) == closure(every)
+
+
+def test_components_of_one_large_group_of_near_copies(spark, monkeypatch):
+    for name in ("BLOCK_DOCS", "BLOCK_SIGNATURES"):
+        monkeypatch.setattr(neardup, name, 7)  # so that stars, keys and clusters are cut into blocks
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for _ in range(r.choice([1, 2, 4, 6])):
+            text[r.randrange(len(text))] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.near_components(docs).collect()}
+    assert got == brute_components(rows, 3, 85)
 
 
 def test_graph_components(spark):
@@ -230,6 +286,52 @@ def test_edited_items_parts_of_items_and_short_items_are_caught(spark):
     assert held(spark, [(1, item), (2, few), (3, "What is 3 plus")], docs) == {(1, 2): False, (2, 1): False, (3, 1): False, (4, 1): False, (4, 2): False, (2, 2): False, (6, 3): False}
 
 
+@pytest.mark.parametrize("unit", ["Aa ", "1,", ", ", "12 km ", "A", "1", "a B "])
+def test_very_long_runs_do_not_overflow(spark, unit):
+    rows = spark.createDataFrame([("so " + unit * 200_000,)], "t string")
+    got = rows.select(F.size(decontaminate.template(F.col("t"))).alias("n"), F.size(F.map_values(decontaminate.slot_values(F.col("t")))).alias("v")).first()
+    assert got.n >= 1 and got.v == 3
+
+
+def test_generated_reparameterised_items(spark):
+    """Recall on items with other values, exact items and items within texts; precision on near misses."""
+    r = random.Random(21)
+    syllables = ["ba", "do", "fe", "gi", "ku", "la", "mo", "ne", "pi", "ru", "sa", "te"]
+    word = lambda: "".join(r.choices(syllables, k=3))
+    name = lambda: " ".join(w.capitalize() for w in (word(), word()))
+    number = lambda: str(r.randint(2, 999))
+
+    def item():
+        """Parts of a text and slots in it; each slot occurs twice."""
+        slots = [("n", 0), ("n", 1), ("p", 2), ("n", 0), ("p", 2), ("n", 1)]
+        return [x for s in slots for x in ([word() for _ in range(r.randint(3, 5))], s)] + [[word(), word(), word()]]
+
+    def filled(parts, values):
+        return " ".join(" ".join(x) if isinstance(x, list) else values(x) for x in parts)
+
+    def consistent():
+        known = {}
+        return lambda slot: known.setdefault(slot[1], name() if slot[0] == "p" else number())
+
+    def inconsistent(slot):
+        return name() if slot[0] == "p" else number()
+
+    items = [item() for _ in range(40)]
+    own = [consistent() for _ in items]
+    benchmark = [(i, filled(x, v)) for i, (x, v) in enumerate(zip(items, own))]
+    around = lambda text: f"{' '.join(word() for _ in range(30))} {text} {' '.join(word() for _ in range(30))}"
+    docs, want, near = [], set(), set()
+    for i, x in enumerate(items):
+        docs += [(10 * i, around(filled(x, consistent()))), (10 * i + 1, benchmark[i][1]), (10 * i + 2, around(filled(x, inconsistent)))]
+        half = [y if k % 2 else [word() for _ in y] for k, y in enumerate(x)]
+        docs += [(10 * i + 3, around(filled(half, own[i]))), (10 * i + 4, around(" ".join(word() for _ in range(40))))]
+        want |= {(10 * i, i), (10 * i + 1, i)}
+        near |= {(10 * i + k, i) for k in (2, 3, 4)}
+    got = held(spark, benchmark, docs)
+    assert len(want & set(got)) >= 0.95 * len(want) and not near & set(got) and set(got) <= want
+    assert all(got[d, i] == (d % 10 == 0) for d, i in want & set(got))
+
+
 def test_templates_type_their_slots(spark):
     rows = spark.createDataFrame([("It took John Smith 12,5 Minutes; Anna 3 kg. Then 7 more",)], "t string")
     tokens = rows.select(decontaminate.template(F.col("t"))).first()[0]
