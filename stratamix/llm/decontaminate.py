@@ -33,9 +33,10 @@ UNITS = (
     "dollars", "dollar", "cents", "cent", "euros", "euro", "usd", "eur", "percent", "degrees", "degree", "liters", "litres", "liter", "litre", "ml", "l",
     "mph", "kmh", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb", "watts", "kw", "w", "volts", "v", "joules", "j",
 )
-#: A run of capitalised words after a word, comma or semicolon, so not at the beginning of a sentence.
-_NAME = r"([\p{Ll},;]\s)(\p{Lu}[\p{L}'’-]*(?:\s\p{Lu}[\p{L}'’-]*)*)"
-_NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
+#: A run of capitalised words after a word, comma or semicolon, so not at the beginning of a sentence. Repeated groups
+#: are possessive: nothing follows them that could give a part back, and Java matches only such groups without recursion.
+_NAME = r"([\p{Ll},;]\s)(\p{Lu}[\p{L}'’-]*+(?:\s\p{Lu}[\p{L}'’-]*+)*+)"
+_NUMBER = r"[0-9]++(?:[.,:/][0-9]++)*+"
 _UNIT = rf"({NUMBER}\s*)({'|'.join(sorted(UNITS, key=len, reverse=True))})\b"
 
 
@@ -119,19 +120,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     # ids in structs, whose comparison takes nulls as equal; the text's hash tells rows of one id apart
     items = benchmark.select(F.struct(benchmark[item_col].alias("id")).alias("i"), benchmark[item_text_col].alias("text"))
     texts = docs.select(F.struct(docs[id_col].alias("id")).alias("d"), F.xxhash64(docs[text_col]).alias("row"), docs[text_col].alias("text"))
-    tokens = lambda rows, *keys: rows.select(*keys, template(F.col("text")).alias("tokens"))
-    known = written(with_windows(tokens(items, "i")), "items")
+    items, texts = [rows.withColumn("tokens", template(F.col("text"))) for rows in (items, texts)]
+    known = written(with_windows(items.select("i", "tokens")), "items")
     sizes = known.groupBy("i").agg(F.countDistinct("window").alias("windows"), (F.max("pos") + WINDOW).alias("length"))
     unique = known.groupBy("i", "window").agg(F.count(F.lit(1)).alias("times"))
     if unique.limit(SENT_WINDOWS + 1).count() <= SENT_WINDOWS:
         unique = F.broadcast(unique)
-    met = with_windows(tokens(texts, "d")).select("d", "window").join(unique, "window")
+    met = with_windows(texts.select("d", "tokens")).select("d", "window").join(unique, "window")
     pairs = met.groupBy("d", "i", "window").agg(F.max("times").alias("times")).groupBy("d", "i").agg(F.sum("times").alias("places"))
     # fewer windows have neither RUN tokens in a row nor COVERAGE of the tokens
     least = F.least(F.lit(RUN - WINDOW + 1), F.ceil(F.col("length") * COVERAGE / WINDOW))
     pairs = written(pairs.join(sizes, "i").filter(F.col("places") >= least).drop("places"), "held")
-    own = texts.join(pairs.select("d").distinct(), "d", "left_semi")
-    windows = with_windows(tokens(own, "d", "row")).withColumnRenamed("pos", "dat")
+    own = written(texts.join(pairs.select("d").distinct(), "d", "left_semi"), "own")
+    windows = with_windows(own.select("d", "row", "tokens")).withColumnRenamed("pos", "dat")
     matched = windows.join(pairs, "d").join(known.withColumnRenamed("pos", "iat"), ["i", "window"])
     matched = written(matched.select("d", "row", "i", "windows", "length", "dat", "iat", "window").distinct(), "matched")
     by = matched.withColumn("g", F.explode(_occurrences(F.col("length")))).groupBy("d", "i", "windows", "length", "g")
@@ -159,10 +160,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 def _slots(matched: DataFrame, by: DataFrame, own: DataFrame, items: DataFrame) -> DataFrame:
     """(d, i, g, consistency, changed) for occurrences with slots; ``changed`` are the places in the item with another value."""
     kinds = [NUMBER, UNIT, NAME]
-    slotted = items.filter(F.exists(template(F.col("text")), lambda t: t.isin(*kinds)))
+    slotted = items.filter(F.exists("tokens", lambda t: t.isin(*kinds)))
 
     def valued(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-        cells = rows.select(*keys, template(F.col("text")).alias("tokens"), slot_values(F.col("text")).alias("values"))
+        cells = rows.select(*keys, "tokens", slot_values(F.col("text")).alias("values"))
         # places of each kind in order, so the k-th has the k-th value
         places = F.array(*[F.struct(F.lit(t).alias("kind"), F.filter(F.transform("tokens", lambda x, n: F.when(x == t, n)), lambda n: n.isNotNull()).alias("at")) for t in kinds])  # noqa: B023
         cells = cells.select(*keys, "values", F.explode(places).alias("p")).select(*keys, F.col("p.kind").alias("kind"), F.col("values")[F.col("p.kind")].alias("values"), F.posexplode("p.at").alias("n", f"{prefix}at"))
@@ -180,7 +181,7 @@ def _slots(matched: DataFrame, by: DataFrame, own: DataFrame, items: DataFrame)
 
 def _short(texts: DataFrame, items: DataFrame) -> DataFrame | None:
     """(d, i, best) for the items shorter than a window that stand word for word in a longer text; None without such items."""
-    size = F.size(template(F.col("text")))
+    size = F.size("tokens")
     few = items.filter((size > 0) & (size < WINDOW)).select("i", literal(F.col("text")).alias("words")).filter(F.size("words") > 1)
     few = written(few.select("i", F.size("words").alias("n"), F.xxhash64("words").alias("hash")).distinct(), "short")
     lengths = sorted(r.n for r in few.select("n").distinct().collect())  # a few small numbers
