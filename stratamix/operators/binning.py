@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -35,5 +36,18 @@ def bin_summary(binned: DataFrame) -> DataFrame:
     return bins.select("bin_id", "bin_key", "levels", "n", "size_rank")
 
 
-def with_bin_ids(binned: DataFrame, summary: DataFrame) -> DataFrame:
-    return binned.join(summary.select("levels", "bin_id", F.col("n").alias("bin_n"), "size_rank"), "levels")
+#: Bins, rows of a few numbers each, that may be sent to all tasks.
+MOST_SENT = 100_000
+
+
+def with_bin_ids(binned: DataFrame, summary: DataFrame, cuts: Mapping[str, Sequence[float]] | None = None) -> DataFrame:
+    """``binned`` with ``bin_id``, ``bin_n`` and ``size_rank``.
+
+    The summary is sent to all tasks if it has at most MOST_SENT bins: by the number of cells that ``cuts`` make, or,
+    where these are more or not given, by count. Otherwise it is joined by key.
+    """
+    bins = summary.select("levels", "bin_id", F.col("n").alias("bin_n"), "size_rank")
+    cells = math.prod(len(c) + 1 for c in cuts.values()) if cuts is not None else None
+    if cells is not None and cells <= MOST_SENT or bins.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        bins = F.broadcast(bins)
+    return binned.join(bins, "levels")

@@ -7,12 +7,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SCHEMA = "bin_id int, piece int, weight long, mean array<double>, cov array<double>"
-#: Bins beyond this many rows are first cut along their widest column, so that no task holds more.
+SCHEMA = "bin_id int, piece long, weight long, mean array<double>, cov array<double>"
+#: Bins beyond this many rows are first cut along their widest column, so that no task holds more distinct rows.
 MOST_ROWS = 100_000
+#: Rows whose distances to all centres are held at once.
+CHUNK = 2048
 RIDGE = 0.01
 
 
@@ -35,36 +38,92 @@ def moments(rows: DataFrame, keys: Sequence[str], params: Sequence[str]) -> Data
     return out.select(*keys, "weight", F.array(*[F.col(f"_m{i}") for i in range(d)]).alias("mean"), F.array(*cov).alias("cov"))
 
 
-def kmeans(x: np.ndarray, k: int, seed: int, most: int) -> np.ndarray:
-    """Lloyd's algorithm from seeded rows; returns each row's piece."""
+def piece_count(n: Column, largest: int) -> Column:
+    """Representatives of a bin of ``n`` rows, if none may stand for more than ``largest``."""
+    return F.ceil(n / largest).cast("long")
+
+
+def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    own = (centers * centers).sum(axis=1)
+    return np.concatenate([(own - 2 * x[i : i + CHUNK] @ centers.T).argmin(axis=1) for i in range(0, len(x), CHUNK)])
+
+
+def kmeans(x: np.ndarray, k: int, seed: int, most: int, times: np.ndarray | None = None) -> np.ndarray:
+    """Lloyd's algorithm from seeded rows, each standing for ``times`` equal ones; returns each row's piece."""
+    times = np.ones(len(x)) if times is None else times
     unique = np.unique(x, axis=0)
     k = min(k, len(unique))
     centers = unique[np.random.default_rng(seed).choice(len(unique), k, replace=False)]
     for _ in range(most):
-        label = ((x * x).sum(axis=1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(axis=1)).argmin(axis=1)
-        new = np.array([x[label == i].mean(axis=0) if (label == i).any() else centers[i] for i in range(k)])
+        label = _nearest(x, centers)
+        size = np.bincount(label, times, k)
+        new = np.stack([np.bincount(label, times * x[:, j], k) for j in range(x.shape[1])], axis=1) / np.maximum(size, 1)[:, None]
+        new = np.where(size[:, None] > 0, new, centers)
         if np.allclose(new, centers):
             break
         centers = new
     return np.unique(label, return_inverse=True)[1]
 
 
-def median_pieces(x: np.ndarray, depth: int) -> np.ndarray:
+def median(v: np.ndarray, times: np.ndarray) -> float:
+    """Median of values that each stand for ``times`` equal ones."""
+    order = np.argsort(v, kind="stable")
+    reach, n = np.cumsum(times[order]), int(times.sum())
+    at = np.searchsorted(reach, [(n - 1) // 2, n // 2], side="right")
+    return float(v[order][at].mean())
+
+
+def median_pieces(x: np.ndarray, depth: int, times: np.ndarray | None = None) -> np.ndarray:
     """Halves at the median of the widest column, ``depth`` times; below the median comes first."""
+    times = np.ones(len(x), int) if times is None else times
     label = np.zeros(len(x), int)
     for _ in range(depth):
         new = label.copy()
         for piece in np.unique(label):
             at = np.flatnonzero(label == piece)
-            if len(at) > 1:
-                v = x[at, x[at].std(axis=0).argmax()]
-                new[at] = 2 * piece + (v >= np.median(v))
-            else:
-                new[at] = 2 * piece
+            mean = np.average(x[at], axis=0, weights=times[at])
+            v = x[at, np.average((x[at] - mean) ** 2, axis=0, weights=times[at]).argmax()]
+            new[at] = 2 * piece + ((v >= median(v, times[at])) & (times[at].sum() > 1))
         label = new
     return np.unique(label, return_inverse=True)[1]
 
 
+def median_halves(binned: DataFrame, params: Sequence[str]) -> DataFrame:
+    """(bin_id, piece, weight, mean): halves of each bin, of any size, at the exact median of its widest column.
+
+    A bin whose rows all lie on one side is one piece. Aggregations and joins only.
+    """
+    rows = binned.select("bin_id", "bin_n", *params)
+    spread = F.array(*[F.struct(F.stddev_pop(p).alias("sd"), F.lit(-i).alias("i")) for i, p in enumerate(params)])
+    axes = rows.groupBy("bin_id").agg((-F.array_max(spread)["i"]).alias("axis"))
+    wide = rows.join(axes, "bin_id").withColumn("wide", F.array(*params)[F.col("axis")])
+    cuts = wide.groupBy("bin_id").agg(F.median("wide").alias("cut"))
+    halves = wide.join(cuts, "bin_id").withColumn("up", (F.col("bin_n") > 1) & (F.col("wide") >= F.col("cut")))
+    pieces = halves.groupBy("bin_id", "up").agg(F.count(F.lit(1)).alias("weight"), F.array(*[F.avg(p) for p in params]).alias("mean"))
+    # two rows a bin at most
+    return pieces.withColumn("piece", F.row_number().over(W.partitionBy("bin_id").orderBy("up"))).select("bin_id", "piece", "weight", "mean")
+
+
+def _huge(rows: DataFrame, params: Sequence[str]) -> DataFrame:
+    """(bin_id, part, params, times) of bins beyond MOST_ROWS: parts of at most about MOST_ROWS distinct rows.
+
+    Equal rows become one. A bin is cut at quantiles of its widest column; a slice that still has too many rows, as the
+    bin is very large or the column has few values, is cut by the rows' hash into as many parts as it takes.
+    """
+    spread = F.array(*[F.struct(F.coalesce(F.stddev_samp(p), F.lit(0.0)).alias("sd"), F.lit(-i).alias("i")) for i, p in enumerate(params)])
+    cuts = [F.percentile_approx(p, F.array(*[F.lit(q / 64) for q in range(1, 64)])) for p in params]
+    axes = rows.groupBy("bin_id").agg(spread.alias("sds"), F.array(*cuts).alias("q")).select("bin_id", (-F.array_max("sds")["i"]).alias("axis"), "q")
+    axes = axes.select("bin_id", "axis", F.col("q")[F.col("axis")].alias("q"))
+    equal = rows.groupBy("bin_id", "bin_n", *params).agg(F.count(F.lit(1)).alias("times")).join(axes, "bin_id")
+    value = F.array(*params)[F.col("axis")]
+    slices = F.least(F.lit(64), F.ceil(F.col("bin_n") / MOST_ROWS * 2))
+    equal = equal.withColumn("slice", F.floor(F.size(F.filter("q", lambda c: value >= c)) * slices / 64)).drop("q", "axis", "bin_n")
+    size = equal.groupBy("bin_id", "slice").agg(F.ceil(F.count(F.lit(1)) / MOST_ROWS).alias("parts"))
+    equal = equal.join(size, ["bin_id", "slice"])
+    part = F.col("slice") * 1_000_000_000 + F.pmod(F.xxhash64(*params), F.col("parts"))
+    return equal.select("bin_id", part.cast("long").alias("part"), *params, "times")
+
+
 def coreset(binned: DataFrame, params: Sequence[str], *, smallest: int, largest: int, splitter: str = "kmeans", seed: int = 0) -> DataFrame:
     """Representatives (bin_id, piece, weight, mean, cov) of rows with ``bin_id`` and ``bin_n``.
 
@@ -74,31 +133,25 @@ def coreset(binned: DataFrame, params: Sequence[str], *, smallest: int, largest:
     """
     kept = binned.filter(F.col("bin_n") >= smallest)
     whole = moments(kept.filter(F.col("bin_n") <= largest), ["bin_id"], params)
-    whole = whole.select("bin_id", F.lit(1).alias("piece"), F.col("weight").cast("long").alias("weight"), "mean", "cov")
+    whole = whole.select("bin_id", F.lit(1).cast("long").alias("piece"), F.col("weight").cast("long").alias("weight"), "mean", "cov")
     large = kept.filter(F.col("bin_n") > largest).select("bin_id", "bin_n", *params)
-    # a bin beyond MOST_ROWS is cut at quantiles of its widest column
-    spread = F.array(*[F.struct(F.coalesce(F.stddev_samp(p), F.lit(0.0)).alias("sd"), F.lit(-i).alias("i")) for i, p in enumerate(params)])
-    cuts = [F.percentile_approx(p, F.array(*[F.lit(q / 64) for q in range(1, 64)])) for p in params]
-    huge = large.filter(F.col("bin_n") > MOST_ROWS).groupBy("bin_id").agg(spread.alias("sds"), F.array(*cuts).alias("q"))
-    huge = huge.select("bin_id", (-F.array_max("sds")["i"]).alias("axis"), "q").withColumn("q", F.col("q")[F.col("axis")])
-    parts = F.least(F.lit(64), F.ceil(F.col("bin_n") / MOST_ROWS * 2))
-    value = F.array(*params)[F.col("axis")]
-    slot = F.when(F.col("axis").isNull(), 0).otherwise(F.floor(F.size(F.filter("q", lambda c: value >= c)) * parts / 64)).cast("int")
-    large = large.join(huge, "bin_id", "left").withColumn("part", slot)
+    middle = large.filter(F.col("bin_n") <= MOST_ROWS).select("bin_id", F.lit(0).cast("long").alias("part"), *params, F.lit(1).cast("long").alias("times"))
+    large = middle.unionByName(_huge(large.filter(F.col("bin_n") > MOST_ROWS), params))
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[list(params)].to_numpy(float)
-        k = math.ceil(len(x) / largest)
+        x, times = pdf[list(params)].to_numpy(float), pdf.times.to_numpy()
+        k = math.ceil(times.sum() / largest)
         if splitter == "median":
-            label, centers_of = median_pieces(x, math.ceil(math.log2(k)) if k > 1 else 0), x
+            label, centers_of = median_pieces(x, math.ceil(math.log2(k)) if k > 1 else 0, times), x
         else:
             rounded = np.round(x, 3)
-            label, centers_of = kmeans(rounded, k, seed + int(pdf.bin_id.iloc[0]), 3 if len(x) > MOST_ROWS else 10), rounded
+            label, centers_of = kmeans(rounded, k, seed + int(pdf.bin_id.iloc[0]), 3 if len(x) > MOST_ROWS else 10, times), rounded
         rows = []
         for piece in range(label.max() + 1):
             at = label == piece
-            cov = np.cov(x[at].T, ddof=1).reshape(-1) if at.sum() > 1 else np.zeros(x.shape[1] ** 2)
-            rows.append((int(pdf.bin_id.iloc[0]), int(pdf.part.iloc[0]) * 1_000_000 + piece + 1, int(at.sum()), centers_of[at].mean(axis=0).tolist(), cov.tolist()))
+            weight = int(times[at].sum())
+            cov = np.cov(x[at].T, ddof=1, fweights=times[at]).reshape(-1) if weight > 1 else np.zeros(x.shape[1] ** 2)
+            rows.append((int(pdf.bin_id.iloc[0]), int(pdf.part.iloc[0]) * 1_000_000 + piece + 1, weight, np.average(centers_of[at], axis=0, weights=times[at]).tolist(), cov.tolist()))
         return pd.DataFrame(rows, columns=["bin_id", "piece", "weight", "mean", "cov"])
 
     return whole.unionByName(large.groupBy("bin_id", "part").applyInPandas(split, SCHEMA))

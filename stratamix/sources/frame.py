@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: The sample number that some sources add to their rows; it is no feature.
+SAMPLE = "Original"
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+    """All numeric columns but SAMPLE."""
+    return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name != SAMPLE]
 
 
 def require(df: DataFrame, params: Sequence[str]) -> list[str]:
@@ -34,7 +39,7 @@ def features(df: DataFrame, params: Sequence[str], *keep: str) -> DataFrame:
 
 def union_samples(samples: dict[str, DataFrame], name: str = "sample_id") -> DataFrame:
     """Samples under each other; the name of each stays as a column that is no feature."""
-    frames = [df.drop("Original").withColumn(name, F.lit(key)) for key, df in samples.items()]
+    frames = [df.drop(SAMPLE).withColumn(name, F.lit(key)) for key, df in samples.items()]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -57,6 +62,11 @@ def sample_size(n: int, fraction: float, floor: int = 10_000) -> int:
 DRAWN_AT_ONCE, MOST_ORDERED, SLOTS = 4096, 200_000, 4096
 
 
+def first_rows(df: DataFrame, size: int, *by: str) -> DataFrame:
+    """The ``size`` rows that come first by some columns."""
+    return df.orderBy(*by).limit(size)
+
+
 def sample_rows(df: DataFrame, size: int, n: int | None = None, seed: int = 0) -> DataFrame:
     """Exactly ``size`` rows (all, if fewer), each row with the same chance; the same rows come back each time.
 
@@ -82,7 +92,7 @@ def sample_rows(df: DataFrame, size: int, n: int | None = None, seed: int = 0) -
     units = F.filter(F.transform(F.sequence(F.col(first), last), unit), lambda u: u <= most)
     drawn = some.unionByName(many).withColumn("_own", own).select(*columns, F.explode(units).alias(name))
     if size <= MOST_ORDERED:
-        return drawn.orderBy(name).limit(size).drop(name)
+        return first_rows(drawn, size, name).drop(name)
     slot = F.floor(F.col(name) / most * SLOTS)
     before, edge = 0, SLOTS + 1
     for r in drawn.groupBy(slot.alias("slot")).count().orderBy("slot").collect():  # SLOTS rows at most
@@ -90,7 +100,7 @@ def sample_rows(df: DataFrame, size: int, n: int | None = None, seed: int = 0) -
             edge = r["slot"]
             break
         before += r["count"]
-    return drawn.filter(slot < edge).unionByName(drawn.filter(slot == edge).orderBy(name).limit(size - before)).drop(name)
+    return drawn.filter(slot < edge).unionByName(first_rows(drawn.filter(slot == edge), size - before, name)).drop(name)
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:

@@ -61,6 +61,51 @@ def test_huge_bins_are_cut_first(spark, planted, monkeypatch):
     assert core.select("bin_id", "piece").distinct().count() == core.count()
 
 
+@pytest.mark.parametrize("splitter", ["kmeans", "median"])
+def test_huge_bins_of_few_values_are_cut_too(spark, monkeypatch, splitter):
+    """A third of the rows are equal, and the widest column has two values: quantiles alone could not cut them."""
+    monkeypatch.setattr(coreset, "MOST_ROWS", 300)
+    i = F.col("id")
+    rows = spark.range(9000).select(F.when(i < 3000, 0.0).otherwise(10.0 * (i % 2)).alias("a"), F.when(i < 3000, 0.0).otherwise((i % 701) / 701).alias("b"), F.lit(1).alias("bin_id"), F.lit(9000).cast("long").alias("bin_n"))
+    parts = coreset._huge(rows, ["a", "b"])
+    assert parts.agg(F.sum("times")).first()[0] == 9000
+    assert parts.groupBy("part").count().agg(F.max("count")).first()[0] <= 2 * coreset.MOST_ROWS
+    core = coreset.coreset(rows, ["a", "b"], smallest=5, largest=1000, splitter=splitter).toPandas()
+    assert core.weight.sum() == 9000 and not core.duplicated(["bin_id", "piece"]).any()
+    mean = rows.agg(F.avg("a"), F.avg("b")).first()
+    assert np.allclose((np.stack(core["mean"]) * core.weight.to_numpy()[:, None]).sum(axis=0) / 9000, list(mean), atol=1e-3)
+
+
+def test_weighted_pieces_are_those_of_repeated_rows():
+    r = np.random.default_rng(8)
+    x, times = r.normal(size=(40, 2)).round(1), r.integers(1, 5, 40)
+    again = np.repeat(np.arange(40), times)
+    assert (coreset.median_pieces(x[again], 3) == coreset.median_pieces(x, 3, times)[again]).all()
+    assert coreset.median(x[:, 0], times) == np.median(x[again, 0])
+    assert (coreset.kmeans(x[again], 5, 1, 10) == coreset.kmeans(x, 5, 1, 10, times)[again]).all()
+
+
+def test_bins_are_joined_the_same_way_beyond_the_bound(spark, planted, monkeypatch):
+    cuts = {"a": [1.5], "b": [1.5]}
+    placed = binning.with_bins(planted, cuts)
+    summary = binning.bin_summary(placed)
+    sent = binning.with_bin_ids(placed, summary, cuts)
+    monkeypatch.setattr(binning, "MOST_SENT", 2)
+    joined = binning.with_bin_ids(placed, summary, cuts)
+    assert "BroadcastHashJoin" in sent._jdf.queryExecution().executedPlan().toString()
+    assert joined.exceptAll(sent).count() == 0 and joined.count() == 5000
+
+
+def test_one_feature_and_default_features(spark, planted):
+    model = MixtureClusterer(params=["a"], components=3).fit(planted)
+    assert model.mixture.cov.shape[1:] == (1, 1) and model.mixture.pro.sum() == pytest.approx(1, abs=1e-6)
+    scored = model.transform(planted).groupBy((F.col("a") > 1.5).alias("high"), "cluster").count().collect()
+    assert max(r["count"] for r in scored if r.high) > 3300 and max(r["count"] for r in scored if not r.high) > 1400
+    df = planted.select("a", "b", F.lit(3).alias("Original"))
+    assert frame.numeric_columns(df) == ["a", "b"]
+    assert MixtureClusterer(components=3).fit(df).params == ["a", "b"]
+
+
 def test_fit_recovers_planted_clusters(spark, planted, tmp_path):
     model = MixtureClusterer(params=["a", "b"], components=4).fit(planted)
     assert model.mixture.pro.sum() == pytest.approx(1, abs=1e-6)
@@ -126,8 +171,8 @@ def test_rules_on_a_constant_marker_are_refused(spark):
 def test_input_errors(spark, planted):
     with pytest.raises(ValueError, match="missing"):
         MixtureClusterer(params=["a", "zz"]).fit(planted)
-    with pytest.raises(ValueError, match="two features"):
-        MixtureClusterer(params=["a"]).fit(planted)
+    with pytest.raises(ValueError, match="one feature"):
+        MixtureClusterer().fit(planted.select(F.col("id").cast("string")))
     with pytest.raises(ValueError, match="not numeric"):
         frame.require(spark.createDataFrame([("x",)], "a string"), ["a"])
 
