@@ -104,14 +104,18 @@ def em_1d(x: np.ndarray, k: int, weights: np.ndarray | None = None, *, tolerance
     return Fit1D(shares[by], means[by], variances[by], loglik, float(w @ np.log(np.maximum(r.max(axis=1), 1e-300))))
 
 
-def choose_1d(x: np.ndarray, most: int = 3, criterion: str = "bic", weights: np.ndarray | None = None, n: float | None = None) -> Fit1D:
-    """The fit with 1 to ``most`` components of the best biased BIC, or of the best ICL without bias."""
+def choose_1d(x: np.ndarray, most: int = 3, criterion: str = "bic", weights: np.ndarray | None = None, n: float | None = None, prior_bic: float | None = None) -> Fit1D:
+    """The fit with 1 to ``most`` components of the best biased BIC, or of the best ICL without bias.
+
+    With ``prior_bic`` the bias for k components is that times k log2 n.
+    """
     n = float(n if n is not None else len(x) if weights is None else weights.sum())
     distinct = len(np.unique(x))
     fits = [em_1d(x, k, weights) for k in range(1, min(most, distinct) + 1)]
     if criterion == "icl":
         return max(fits, key=lambda f: f.icl(n))
-    return max(fits, key=lambda f: f.bic(n) - complexity_bias(n, len(f.means)))
+    bias = (lambda k: complexity_bias(n, k)) if prior_bic is None else lambda k: prior_bic * k * math.log2(n)
+    return max(fits, key=lambda f: f.bic(n) - bias(len(f.means)))
 
 
 def fixed_1d(x: np.ndarray, k: int, separate_negative: bool = False, weights: np.ndarray | None = None) -> Fit1D:

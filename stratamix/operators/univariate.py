@@ -33,25 +33,25 @@ def condensed(points: DataFrame, *, by_sign: bool = False) -> DataFrame:
     return binned.groupBy("marker", "sign", "at").agg(F.avg("x").alias("x"), F.count(F.lit(1)).cast("double").alias("weight")).drop("at", "sign")
 
 
-def _fitted(points: DataFrame, size: int, most: int, criterion: str) -> DataFrame:
+def _fitted(points: DataFrame, size: int, most: int, criterion: str, prior_bic: float | None) -> DataFrame:
     points = condensed(points) if size > MOST_POINTS else points.withColumn("weight", F.lit(1.0))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = choose_1d(pdf.x.to_numpy(), most, criterion, pdf.weight.to_numpy(), pdf.weight.sum())
+        f = choose_1d(pdf.x.to_numpy(), most, criterion, pdf.weight.to_numpy(), pdf.weight.sum(), prior_bic)
         return pd.DataFrame({"marker": pdf.marker.iloc[0], "comp": range(1, len(f.means) + 1), "pro": f.shares, "mean": f.means, "var": f.variances})
 
     return points.groupBy("marker").applyInPandas(fit, SCHEMA)
 
 
-def fit_univariate(df: DataFrame, params: Sequence[str], max_mixture: int = 3, criterion: str = "bic", sample_fraction: float = 0.05, seed: int = 0) -> DataFrame:
+def fit_univariate(df: DataFrame, params: Sequence[str], max_mixture: int = 3, criterion: str = "bic", sample_fraction: float = 0.05, seed: int = 0, prior_bic: float | None = None) -> DataFrame:
     """A mixture for each column: (marker, comp from 1 by ascending mean, pro, mean, var).
 
-    The number of components is the best by biased BIC, or by ICL. Nulls and NaN don't count.
+    The number of components is the best by biased BIC (``prior_bic`` sets another bias), or by ICL. Nulls and NaN don't count.
     """
     rows = features(df, params)
     n = rows.count()
     size = sample_size(n, sample_fraction)
-    return _fitted(_long(sample_rows(rows, size, n, seed), params), size, max_mixture, criterion)
+    return _fitted(_long(sample_rows(rows, size, n, seed), params), size, max_mixture, criterion, prior_bic)
 
 
 def fit_univariate_default(df: DataFrame, params: Sequence[str], seed: int = 0) -> DataFrame:

@@ -44,8 +44,8 @@ class MixtureClusterer:
                 log.warning("the markers of the given mixtures are the features")
             params = [p for p in params if p in own] + [o for o in own if o not in params]
         require(df, params)
-        if len(params) < 2:
-            raise ValueError("at least two features are needed")
+        if not params:
+            raise ValueError("at least one feature is needed")
         rows = features(df, params).persist()
         try:
             n = rows.count()
@@ -56,7 +56,7 @@ class MixtureClusterer:
             cuts = univariate.cutoffs_of(mixtures, params, self.min_cutoff)
             binned = binning.with_bins(rows, cuts)
             summary = binning.bin_summary(binned).persist()
-            placed = binning.with_bin_ids(binned, summary)
+            placed = binning.with_bin_ids(binned, summary, {p: cuts.get(p, []) for p in params})
             smallest = int(np.ceil(self.min_cluster_fraction * n))
             start = coreset.initial_mixture(placed, summary, params, components=self.components, smallest=smallest, ridge=self.ridge)
             initial = em.Mixture.collect(start, params)

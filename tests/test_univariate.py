@@ -16,3 +16,9 @@ def test_refit_uses_the_whole_sample(spark, monkeypatch):
     assert low.pro == pytest.approx(120 / n) and low.mean == pytest.approx(-6.0) and low["var"] == pytest.approx(80 / 119)
     assert far.pro == pytest.approx(120 / n, rel=1e-3) and far.mean == pytest.approx(104.0, rel=1e-3)
     assert main.pro == pytest.approx((n - 240) / n, rel=1e-3)
+
+
+def test_prior_bic_sets_the_bias(spark):
+    df = spark.range(4000).select((F.when(F.col("id") % 2 == 0, 0.0).otherwise(6.0) + F.randn(3) * 0.5).alias("x"))
+    assert univariate.fit_univariate(df, ["x"], 3, sample_fraction=1.0, prior_bic=0.0).count() >= 2
+    assert univariate.fit_univariate(df, ["x"], 3, sample_fraction=1.0, prior_bic=1e6).count() == 1
