@@ -1,7 +1,7 @@
 """Queries of the clustering engine by name, and the SQL they are compared with.
 
 Stage inputs (cutoffs, component tables, rules) are literals here, so each operator is deterministic and compared
-by itself; fits, k-means and t-SNE have no SQL.
+by itself; k-means, t-SNE and fits of samples have no SQL.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.normal import complexity_bias, cutoff
@@ -76,7 +75,7 @@ def _placed(spark, sf, vectors: bool = False) -> tuple[DataFrame, DataFrame]:
     rows, cuts = (_vectors(spark, sf), CUTS) if vectors else (_lines(spark, sf), LINE_CUTS)
     binned = binning.with_bins(rows, cuts)
     summary = binning.bin_summary(binned)
-    return binning.with_bin_ids(binned, summary), summary
+    return binning.with_bin_ids(binned, summary, cuts), summary
 
 
 def _flat(t: DataFrame, *keys: str, params: Sequence[str] = tuple(LINE)) -> DataFrame:
@@ -255,17 +254,8 @@ def _embedding_centers(spark, sf) -> DataFrame:
 
 
 def median_split(spark, sf):
-    """Halves of each bin, of any size, at the median of its widest column; a bin whose rows all lie on one side is one piece."""
-    placed, _ = _placed(spark, sf)
-    rows = placed.select("bin_id", "bin_n", *LINE)
-    spread = F.array(*[F.struct(F.stddev_pop(p).alias("sd"), F.lit(-i).alias("i")) for i, p in enumerate(LINE)])
-    axes = rows.groupBy("bin_id").agg((-F.array_max(spread)["i"]).alias("axis"))
-    wide = rows.join(F.broadcast(axes), "bin_id").withColumn("wide", F.array(*LINE)[F.col("axis")])
-    cuts = wide.groupBy("bin_id").agg(F.median("wide").alias("cut"))
-    halves = wide.join(F.broadcast(cuts), "bin_id").withColumn("up", (F.col("bin_n") > 1) & (F.col("wide") >= F.col("cut")))
-    pieces = halves.groupBy("bin_id", "up").agg(F.count(F.lit(1)).alias("weight"), *[F.round(F.avg(p), 5).alias(f"mean_{p}") for p in LINE])
-    # two rows a bin at most
-    return pieces.withColumn("piece", F.row_number().over(W.partitionBy("bin_id").orderBy("up"))).select("bin_id", "piece", "weight", *[f"mean_{p}" for p in LINE])
+    pieces = coreset.median_halves(_placed(spark, sf)[0], LINE)
+    return pieces.select("bin_id", "piece", "weight", *[F.round(F.col("mean")[i], 5).alias(f"mean_{p}") for i, p in enumerate(LINE)])
 
 
 def kmeans_coreset(spark, sf):
@@ -296,15 +286,41 @@ SELECT CAST(id AS INTEGER) AS id, found AS cutoff FROM s WHERE found IS NOT NULL
 
 
 def bic_bias(spark, sf):
-    counts = _events(spark, sf).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    k = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k")
-    bias = F.exp(F.lit(-3.7) + F.lit(0.732) * F.log("n")) * F.col("k") * F.log("n") / F.log(F.lit(2.0))
-    return counts.select("event_type", "n", k).select("event_type", "n", "k", F.round(bias, 6).alias("bias"))
+    counts = _events(spark, sf).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each of a few kinds
+    return _literal(spark, [(r.event_type, r.n, k, round(complexity_bias(r.n, k), 6)) for r in counts for k in (1, 2, 3)], "event_type string, n long, k int, bias double")
+
+
+def neg_split(spark, sf):
+    rows = _read(spark, sf, "customer").select("c_acctbal")
+    fits = univariate.refit_univariate(rows, {"c_acctbal": 1}, _literal(spark, [], univariate.SCHEMA), sample_fraction=1.0, separate_negative=True)
+    return fits.select("comp", F.round("pro", 8).alias("pro"), F.round("mean", 5).alias("mean"), F.round("var", 2).alias("var"))
+
+
+def _em_sql(steps: int = 10, threshold: float = 0.05, ridge: float = 0.01) -> str:
+    """The whole weighted EM from MODEL: all steps are written out, and the one that ends the loop is chosen."""
+    start = _values([(k + 1, float(MODEL.pro[k] / MODEL.pro.sum()), *map(float, MODEL.mean[k]), *map(float, (MODEL.cov[k, 0, 0], MODEL.cov[k, 0, 1], MODEL.cov[k, 1, 1]))) for k in range(len(MODEL.pro))], "component, pro, a, b, c00, c01, c11")
+    out = [f"WITH {VECTORS}", "p AS MATERIALIZED (SELECT vec_id, 1.0 + vec_id % 3 AS w, x0, x1 FROM v)", "n AS MATERIALIZED (SELECT count(*) AS m, sum(w) AS total FROM p)", f"m0 AS MATERIALIZED (SELECT * FROM {start})"]
+    scatter = lambda u, v: f"m / s0 * (({u}{v} - t{u} * t{v} / m) / (m - 1) + t{u} * t{v} / (m * m)) - s{u} * s{v} / (s0 * s0)"
+    for i in range(steps + 1):
+        out += [
+            f"z{i} AS MATERIALIZED (SELECT p.*, component, ln(pro) - ln(2 * pi()) - 0.5 * ln(c00 * c11 - c01 * c01) - 0.5 * (c11 * pow(x0 - a, 2) - 2 * c01 * (x0 - a) * (x1 - b) + c00 * pow(x1 - b, 2)) / (c00 * c11 - c01 * c01) AS z FROM p, m{i})",
+            f"t{i} AS MATERIALIZED (SELECT vec_id, any_value(w) AS w, any_value(top) + ln(sum(exp(z - top))) AS whole FROM (SELECT *, max(z) OVER (PARTITION BY vec_id) AS top FROM z{i}) GROUP BY vec_id)",
+            f"l{i} AS MATERIALIZED (SELECT sum(w * whole) / any_value(total) AS l FROM t{i}, n)",
+            f"q{i} AS (SELECT component, x0, x1, m, z.w * exp(z - whole) / total AS wr FROM z{i} AS z JOIN t{i} AS t ON z.vec_id = t.vec_id, n)",
+            f"s{i} AS MATERIALIZED (SELECT component, any_value(m) AS m, sum(wr) AS s0, sum(wr * x0) AS sa, sum(wr * x1) AS sb, sum(wr * x0 * x0) AS aa, sum(wr * x0 * x1) AS ab, sum(wr * x1 * x1) AS bb, sum(sqrt(wr) * x0) AS ta, sum(sqrt(wr) * x1) AS tb FROM q{i} GROUP BY 1)",
+            f"m{i + 1} AS MATERIALIZED (SELECT component, s0 AS pro, sa / s0 AS a, sb / s0 AS b, {scatter('a', 'a')} + {ridge} AS c00, {scatter('a', 'b')} AS c01, {scatter('b', 'b')} + {ridge} AS c11 FROM s{i})",
+        ]
+    ends = " UNION ALL ".join(f"SELECT {t} AS t, abs((y.l - x.l) / x.l) < {threshold} AS over FROM l{t - 1} AS x, l{t} AS y" for t in range(2, steps + 1))
+    out.append(f"e AS MATERIALIZED (SELECT min(t) AS t FROM ({ends}) WHERE over)")
+    shown = lambda w0, w1: f"CAST(m.component AS INTEGER) AS component, round(pro, 6) AS pro, round(a, 6) AS mean_0, round(b, 6) AS mean_1, round(c00 + {w0}, 6) AS cov_00, round(c01, 6) AS cov_01, round(c11 + {w1}, 6) AS cov_11"
+    chosen = [f"SELECT {shown('0.001 * s0 / pro', '0.002 * s0 / pro')} FROM m{t - 1} AS m JOIN s{t - 1} AS s ON m.component = s.component, e WHERE e.t = {t}" for t in range(2, steps + 1)]
+    chosen.append(f"SELECT {shown('0.0', '0.0')} FROM m{steps} AS m, e WHERE e.t IS NULL")
+    return ",\n".join(out) + "\n" + "\nUNION ALL ".join(chosen)
 
 
 QUERIES = {
     "project_features": lambda spark, sf: frame.features(_vectors(spark, sf), DIMS, "vec_id"),
-    "sample_topk_hash": lambda spark, sf: _events(spark, sf).withColumn("h", (F.col("event_id") * 7919) % 100003).orderBy("h", "event_id").limit(500).select("event_id", "value"),
+    "sample_topk_hash": lambda spark, sf: _events(spark, sf).withColumn("h", (F.col("event_id") * 7919) % 100003).transform(frame.first_rows, 500, "h", "event_id").select("event_id", "value"),
     "sample_rows_exact": lambda spark, sf: frame.sample_rows(_events(spark, sf), 400).agg(F.count(F.lit(1)).alias("n")),
     "union_samples": lambda spark, sf: frame.union_samples({t: _events(spark, sf).filter(F.col("event_type") == t).select("value") for t in ("click", "view")}).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")),
     "level_map": lambda spark, sf: binning.with_bins(_vectors(spark, sf), CUTS).select("vec_id", *[F.col("levels")[i].alias(f"level_{m}") for i, m in enumerate(CUTS)], "bin_key"),
@@ -312,7 +328,7 @@ QUERIES = {
     "bin_summary_lines": _summary_query(False),
     "bin_filter_semi": lambda spark, sf: _placed(spark, sf)[0].filter(F.col("bin_n") >= 2000).groupBy("bin_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("qty"), 4).alias("total_qty")),
     "bin_moments": lambda spark, sf: _flat(coreset.moments(_placed(spark, sf)[0], ["bin_id"], LINE), "bin_id", "weight"),
-    "n_repr": lambda spark, sf: _placed(spark, sf)[1].select("bin_id", "n", F.ceil(F.col("n") / LARGEST).cast("long").alias("n_repr")),
+    "n_repr": lambda spark, sf: _placed(spark, sf)[1].select("bin_id", "n", coreset.piece_count(F.col("n"), LARGEST).alias("n_repr")),
     "median_split_coreset": median_split,
     "kmeans_coreset": kmeans_coreset,
     "init_mixture": lambda spark, sf: (lambda p: _flat(coreset.initial_mixture(p[0], p[1], LINE, components=6, smallest=50), "component", "pro"))(_placed(spark, sf)),
@@ -322,7 +338,7 @@ QUERIES = {
     "gmm1d_bic_bias": bic_bias,
     "gmm1d_fit": _gmm1d,
     "gmm1d_refit": lambda spark, sf: univariate.refit_univariate(_read(spark, sf, "customer").select("c_acctbal"), {"c_acctbal": 2}, _mixtures(spark), separate_negative=True),
-    "neg_split_moments": lambda spark, sf: _read(spark, sf, "customer").select(F.col("c_acctbal").cast("double").alias("x")).filter("x <> 0").groupBy((F.col("x") > 0).alias("positive")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 5).alias("mean"), F.round(F.var_samp("x"), 3).alias("var")),
+    "neg_split_moments": neg_split,
     "find_to_merge": lambda spark, sf: univariate.merge_candidates(_mixtures(spark)).select("marker", F.array_join(F.transform("comps", lambda x: x.cast("string")), ",").alias("comps")),
     "e_step": e_step,
     "weighted_loglik": weighted_loglik,
@@ -377,7 +393,9 @@ SELECT bin_id, CAST(row_number() OVER (PARTITION BY bin_id ORDER BY up) AS INTEG
     "cutoff_filter": f"SELECT marker, CAST(comp AS INTEGER) AS comp, pos FROM (SELECT *, max(pos) OVER (PARTITION BY marker ORDER BY comp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {_values(CANDIDATES, 'marker, comp, pos')} WHERE pos >= 0.5) WHERE before IS NULL OR pos > before",
     "cutoff_bisection": _BISECTION,
     "gmm1d_bic_bias": "SELECT event_type, n, CAST(k AS INTEGER) AS k, round(exp(-3.7 + 0.732 * ln(n)) * k * ln(n) / ln(2.0), 6) AS bias FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1), (VALUES (1), (2), (3)) AS t(k)",
-    "neg_split_moments": "SELECT c_acctbal > 0 AS positive, count(*) AS n, round(avg(CAST(c_acctbal AS DOUBLE)), 5) AS mean, round(var_samp(CAST(c_acctbal AS DOUBLE)), 3) AS var FROM customer WHERE c_acctbal <> 0 GROUP BY 1",
+    "neg_split_moments": """WITH x AS (SELECT CAST(c_acctbal AS DOUBLE) AS x FROM customer), n AS (SELECT count(*) FILTER (x < 0) AS low, count(*) FILTER (x <> 0) AS every FROM x)
+SELECT CAST(1 AS INTEGER) AS comp, round(any_value(low / every), 8) AS pro, round(avg(x), 5) AS mean, round(var_samp(x), 2) AS var FROM x, n WHERE x < 0
+UNION ALL SELECT CAST(2 AS INTEGER), round(any_value(1 - low / every), 8), round(avg(x), 5), round(var_pop(x), 2) FROM x, n WHERE x > 0""",
     "find_to_merge": f"SELECT marker, string_agg(CAST(comp AS VARCHAR), ',' ORDER BY comp) AS comps FROM {_values(MIXTURES, 'marker, comp, pro, mean, var')} WHERE mean < 0.5 GROUP BY 1 HAVING count(*) > 1",
     "e_step": f"{_R} SELECT vec_id, CAST(component AS INTEGER) AS component, round(r, 6) AS r FROM r",
     "weighted_loglik": f"{_Z}, {_TOTAL} SELECT round(sum(total * (1 + vec_id % 3)), 5) AS loglik FROM t",
@@ -390,6 +408,7 @@ SELECT CAST(component AS INTEGER) AS component, round(s0, 6) AS pro, round(a / s
     "variance_correction": f"{_R}, n AS (SELECT sum(w) / 3 AS total FROM r), s AS (SELECT component, sum(w * r) / any_value(total) AS s0 FROM r, n GROUP BY 1), p AS (SELECT * FROM "
     + _values([(k + 1, float(MODEL.pro[k]), *map(float, MODEL.mean[k]), *map(float, (MODEL.cov[k, 0, 0], MODEL.cov[k, 0, 1], MODEL.cov[k, 1, 1]))) for k in range(3)], "component, pro, mean_0, mean_1, c00, c01, c11")
     + ") SELECT CAST(p.component AS INTEGER) AS component, round(pro, 6) AS pro, round(mean_0, 6) AS mean_0, round(mean_1, 6) AS mean_1, round(c00 + 0.001 * s0 / pro, 6) AS cov_00, round(c01, 6) AS cov_01, round(c11 + 0.002 * s0 / pro, 6) AS cov_11 FROM p JOIN s ON p.component = s.component",
+    "em_fit": _em_sql(),
     "categorical_merge": f"WITH {_MAP_SQL} SELECT CAST(component AS INTEGER) AS component, array_to_string(levels, '') AS key, CAST(cluster AS INTEGER) AS cluster FROM g",
     "cluster_centers": f"WITH {_LONG_SQL} SELECT CAST(cluster AS INTEGER) AS cluster, marker, round(center, 8) AS center FROM ctr",
     "cluster_sds": f"WITH {_SD_SQL} SELECT CAST(cluster AS INTEGER) AS cluster, marker, round(center, 8) AS center, round(sd, 8) AS sd FROM sd",
