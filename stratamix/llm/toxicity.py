@@ -1,13 +1,16 @@
 """Toxicity by a sparse logistic classifier with a counterfactual penalty.
 
-Features of a text: which words and word beginnings (4 to 6 letters) it has. Texts that name a group are also
-read with the identity terms swapped for others of the same kind; the training loss adds the squared change of
-the score between the two readings, so a group's mere mention gains no weight.
+Features of a text: which words and word beginnings (4 to 6 letters) it has. Every labelled text is also read with
+its identity terms swapped for others of the same kind, and without them; a text that names no group is read with a
+term put in, with that term swapped, and as it is. The training loss adds the squared change of the score between
+such readings, so a group's mere mention gains no weight, whether or not the labelled texts name it.
 """
 
 from __future__ import annotations
 
+import logging
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -37,6 +40,7 @@ IDENTITY = (
     ("frauen", "männer"), ("muslime", "christen", "juden"), ("ausländer", "deutsche"), ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"),
     ("immigrés", "français"), ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"), ("inmigrantes", "españoles"),
 )
+TERMS = tuple(w for row in IDENTITY for w in row)
 SWAP = {a: b for row in IDENTITY for a, b in zip(row, (*row[1:], row[0]), strict=True)}
 
 
@@ -48,9 +52,16 @@ def features(word: str) -> list[str]:
     return [f"={word}", *[word[:n] for n in BEGINNINGS if len(word) >= n]]
 
 
-def swapped(found: set[str]) -> set[str] | None:
-    """The words with identity terms swapped, None if there are none."""
-    return {SWAP.get(w, w) for w in found} if not SWAP.keys().isdisjoint(found) else None
+def counterfactuals(text: str | None, found: set[str]) -> list[tuple[set[str], set[str]]]:
+    """Pairs of readings of a text with the words ``found`` that should score alike.
+
+    The term that is put into a text without one is drawn by the text's checksum.
+    """
+    own = SWAP.keys() & found
+    if not own:
+        term = TERMS[zlib.crc32((text or "").encode()) % len(TERMS)]
+        own, found = {term}, found | {term}
+    return [(found, found - own | {SWAP[w] for w in own}), (found, found - own)]
 
 
 @dataclass
@@ -88,8 +99,13 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def train(rows: list[tuple[int, float, list[int], list[int] | None]], n: int) -> tuple[np.ndarray, float]:
-    """Proximal gradient with momentum; rows: label, weight, features, the features after a swap."""
+def train(rows: list[tuple[int, float, list[int]]], pairs: list[tuple[list[int], list[int]]], n: int) -> tuple[np.ndarray, float]:
+    """Proximal gradient with momentum; rows: label, weight, features; pairs: the features of two readings that should score alike."""
+    if not rows:
+        return np.zeros(n), -20.0
+    if not pairs:
+        raise ValueError("no counterfactual readings to train with")
+    logging.getLogger(__name__).info("training on %d texts and %d pairs of counterfactual readings", len(rows), len(pairs))
     y = np.array([r[0] for r in rows], float)
     weight = np.array([r[1] for r in rows], float)
     weight /= weight.sum()
@@ -98,22 +114,21 @@ def train(rows: list[tuple[int, float, list[int], list[int] | None]], n: int) ->
         return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([i for x in lists for i in x], int)
 
     r, c = matrix([x[2] for x in rows])
-    pairs = [x for x in rows if x[3] is not None]
-    pr, pc = matrix([x[2] for x in pairs])
-    qr, qc = matrix([x[3] for x in pairs])
+    # only what two readings don't share moves the change of the score
+    pr, pc = matrix([sorted(set(p) - set(q)) for p, q in pairs])
+    qr, qc = matrix([sorted(set(q) - set(p)) for p, q in pairs])
     w, b = np.zeros(n), 0.0
     u, ub, step_t = w.copy(), b, 1.0
     most = max([1, *np.bincount(r).tolist()]) if len(r) else 1
-    apart = max([0, *[len(set(x[2]) ^ set(x[3])) for x in pairs]])
+    apart = max([0, *(np.bincount(pr, minlength=len(pairs)) + np.bincount(qr, minlength=len(pairs))).tolist()])
     rate = 1 / ((1 + most) / 4 + 2 * PENALTY * apart)  # one over a bound of the curvature
     for _ in range(STEPS):
         z = np.bincount(r, u[c], len(y)) + ub
         d = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
         g = np.bincount(c, d[r], n)
-        if pairs:
-            gap = np.bincount(pr, u[pc], len(pairs)) - np.bincount(qr, u[qc], len(pairs))
-            gap *= 2 * PENALTY / len(pairs)
-            g += np.bincount(pc, gap[pr], n) - np.bincount(qc, gap[qr], n)
+        gap = np.bincount(pr, u[pc], len(pairs)) - np.bincount(qr, u[qc], len(pairs))
+        gap *= 2 * PENALTY / len(pairs)
+        g += np.bincount(pc, gap[pr], n) - np.bincount(qc, gap[qr], n)
         new = u - rate * g
         new = np.sign(new) * np.maximum(np.abs(new) - rate * SPARSITY, 0)
         new_b = ub - rate * d.sum()
@@ -135,14 +150,14 @@ def sample_labels(labels: DataFrame, *, id_col: str = "doc_id", label_col: str =
     share = {y: min(1.0, TEXTS_PER_CLASS / max(1, n.get(y, 0))) for y in (0, 1)}
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     drawn = one.filter(unit < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
-    return drawn.withColumn("weight", F.when(F.col("toxic") == 1, 1 / share[1]).otherwise(1 / share[0])).limit(4 * TEXTS_PER_CLASS)
+    return drawn.withColumn("weight", F.when(F.col("toxic") == 1, 1 / share[1]).otherwise(1 / share[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Classifier:
-    """Trains on a bounded sample of ``labels``; with no label of either class every score is the classes' share."""
+    """Trains on a bounded sample of ``labels``; with no label of a class, or no text with a label, no text is told apart."""
     spark = docs.sparkSession
     ship(spark)
-    drawn = sample_labels(labels, id_col=id_col, label_col=label_col).collect()  # at most 4 * TEXTS_PER_CLASS short rows
+    drawn = sample_labels(labels, id_col=id_col, label_col=label_col).collect()  # about 2 * TEXTS_PER_CLASS short rows
     if not drawn:
         return Classifier({}, -20.0)
     named = spark.createDataFrame(drawn, "doc_id long, toxic int, weight double")
@@ -170,20 +185,23 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     z = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-9)
     kept = counts.filter(F.col("feature") != "").withColumn("z", F.abs(z)).filter((F.col("z") >= LEAST_Z) & (F.col("n1") + F.col("n0") >= LEAST_TEXTS))
     names = [r.feature for r in kept.orderBy(F.desc("z"), "feature").limit(FEATURES).select("feature").collect()]
+    names += sorted({f"={w}" for w in TERMS} - set(names))
     number = {f: i for i, f in enumerate(names)}
 
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pick = lambda found: sorted({number[f] for w in found for f in features(w) if f in number})
         for b in batches:
-            own, other = [], []
+            own, readings = [], []
             for text in b.column("text"):
                 found = words(text.as_py())
                 own.append(pick(found))
-                other.append(pick(s) if (s := swapped(found)) is not None else None)
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("weight"), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], names=["toxic", "weight", "own", "swapped"])
+                readings.append([pick(x) for pair in counterfactuals(text.as_py(), found) for x in pair])
+            lists = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("weight"), pa.array(own, lists), pa.array(readings, pa.list_(lists))], names=["toxic", "weight", "own", "readings"])
 
-    rows = sorted((tuple(r) for r in texts.mapInArrow(active, "toxic int, weight double, own array<int>, swapped array<int>").collect()), key=repr)
-    w, b = train(rows, len(names))
+    rows = sorted((tuple(r) for r in texts.mapInArrow(active, "toxic int, weight double, own array<int>, readings array<array<int>>").collect()), key=repr)
+    pairs = [(x[k], x[k + 1]) for *_, x in rows for k in range(0, len(x), 2)]
+    w, b = train([r[:3] for r in rows], pairs, len(names))
     return Classifier({f: float(x) for f, x in zip(names, w, strict=True) if x}, float(b))
 
 

@@ -84,6 +84,49 @@ def test_counterfactual_penalty_takes_weight_off_group_names(spark, monkeypatch)
     assert scorer("muslims walks by the river") < 0.5 < scorer("seven clown and moron scum")
 
 
+def test_fewer_neutral_mentions_are_flagged(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    rows = []
+    for i in range(600):
+        toxic = i % 3 == 0
+        text = r.choices(["house", "river", "walks", "green", "table", "seven"], k=8)
+        if toxic and r.random() < 0.6:
+            text += r.choices(["clown", "moron", "scum"], k=2)
+        if r.random() < (0.95 if toxic else 0.05):
+            text.append("muslims")  # labels follow the group's name more than anything else
+        rows.append((i, " ".join(text), int(toxic)))
+    rows = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs, labels = rows.select("doc_id", "text"), rows.select("doc_id", "toxic")
+    neutral = [f"{a} {b} {who} {c}" for a in ("house", "river", "walks") for b in ("green", "table") for c in ("seven", "house") for who in ("muslims", "women", "christians")]
+    bad = [f"{a} {b} and {c}" for a in ("house", "river") for b in ("clown", "moron") for c in ("scum", "moron")]
+    share = lambda model, texts: np.mean([model.scorer()(t) >= 0.5 for t in texts])
+    model = toxicity.fit(docs, labels)
+    monkeypatch.setattr(toxicity, "PENALTY", 0.0)
+    free = toxicity.fit(docs, labels)
+    assert share(free, neutral) >= 0.3 and share(model, neutral) == 0
+    assert share(model, bad) == 1
+
+
+def test_every_labelled_text_has_counterfactual_readings():
+    for text in ("nothing of the kind", "", None, "the women walk", "MUSLIMS and men"):
+        pairs = toxicity.counterfactuals(text, toxicity.words(text))
+        assert len(pairs) == 2 and all(a != b for a, b in pairs)
+        assert pairs[0][0] & toxicity.SWAP.keys() and not pairs[1][1] & toxicity.SWAP.keys()
+    with pytest.raises(ValueError, match="counterfactual"):
+        toxicity.train([(1, 1.0, [0]), (0, 1.0, [])], [], 1)
+
+
+def test_scores_are_those_of_the_weights(spark):
+    rows = toxic_corpus(spark)
+    model = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    got = {r.doc_id: r.score for r in toxicity.score(rows.select("doc_id", "text"), model).collect()}
+    for r in rows.collect():
+        z = model.bias + sum(model.weights.get(f, 0.0) for f in {f for w in toxicity.words(r.text) for f in toxicity.features(w)})
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_toxicity_edge_cases(spark):
     rows = toxic_corpus(spark)
     labels = rows.select("doc_id", "toxic").unionByName(spark.createDataFrame([(None, 1), (5, None), (6, 0), (6, 0)], "doc_id long, toxic int"))
@@ -106,3 +149,12 @@ def test_toxicity_held_out(spark):
     assert auc > 0.8
     assert ((rows.predicted == 1) & ~pos).sum() == 0
     assert set(toxicity.op4_toxicity(spark, SF).select(F.col("predicted")).distinct().toPandas().predicted) <= {0, 1}
+
+
+def test_toxicity_held_out_recall(spark):
+    """On more labels, so that all words are learnt; 'predicted' alone decides."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    rows = toxicity.op4_toxicity(spark, sf).join(labels, "doc_id").filter("held_out").toPandas()
+    hit, pos = rows.predicted == 1, rows.toxic == 1
+    assert (hit & pos).sum() >= 0.85 * pos.sum() and (hit & ~pos).sum() <= 0.01 * (~pos).sum()
