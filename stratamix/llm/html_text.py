@@ -1,8 +1,9 @@
 """Main text of web pages from flat text blocks.
 
 A page is cut into flat blocks at block-level tags. Each block has its word count and link density, those of
-its neighbours, and where it stands: inside a main element, under an element that its tag or class marks as
-furniture, in a heading. A decision tree, grown here on the small labelled table below, keeps or drops it.
+its neighbours, and marks: inside a main element or not, under an element that is furniture by its tag or by a class
+or id that names nothing else, in a heading. A decision tree keeps or drops it. The tree is grown here on the blocks of the small labelled
+pages of ``html_pages``, which have main elements or none, and ids and classes that mislead.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import ship, table
+from .html_pages import PAGES, expanded
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|</?[a-zA-Z][^>]*\Z",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Attributes in order, each with its whole value, so nothing inside a value is taken for a name.
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 BLOCK = frozenset(
@@ -34,13 +37,20 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset("head title script style noscript template textarea select button svg math iframe object canvas audio video datalist".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 MAIN = frozenset(("article", "main"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 FURNITURE = frozenset("nav footer aside form menu dialog fieldset".split())
+#: Names of furniture in classes and ids.
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs "
     "header masthead topbar footer copyright sidebar aside widget related recommended cookie cookies consent gdpr notice notices alert popup modal "
     "overlay newsletter subscribe signup login share sharing social comment comments commentlist disqus reply replies respond form search skip toolbar "
     "pagination pager legal disclaimer".split()
 )
+#: Words that may stand beside them; with any other word, as in ``search-engines``, a name is of the content.
+BESIDE = HINTS | frozenset(
+    "main page site top bottom left right inner outer box block bar list item items link links section area container wrapper wrap content body row col column "
+    "slot unit thread post posts button buttons icon icons text title heading panel group primary secondary global sticky small large media policy".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 
@@ -64,6 +74,17 @@ class _Open:
     link: bool = False
 
 
+def _hinted(tag: str, name: str, value: str) -> bool:
+    """Whether a class or id names furniture: all words of one of its names are such or may stand beside them."""
+    if tag in HEADINGS:
+        return False
+    for one in [value] if name == "id" else value.split():
+        found = {w.lower() for w in _WORDS.findall(one)}
+        if found & HINTS and found <= BESIDE:
+            return True
+    return False
+
+
 def _opened(tag: str, attributes: str, inside: _Open) -> _Open:
     furniture = inside.furniture or tag in FURNITURE or tag == "header" and not inside.main
     silent, main = inside.silent or tag in SILENT, inside.main or tag in MAIN
@@ -71,16 +92,13 @@ def _opened(tag: str, attributes: str, inside: _Open) -> _Open:
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values)
             if name in ("class", "id"):
-                marks = HINTS.intersection(w.lower() for w in _WORDS.findall(value))
-                if tag in MAIN:
-                    marks = marks & {"ad", "ads", "comment", "comments", "related", "sponsored", "promo"}
-                furniture |= bool(marks - ({"header"} if inside.main else set()))
+                furniture |= _hinted(tag, name, value) and not (inside.main and "header" in value.lower())
             elif name == "role":
                 furniture |= value.lower() in ROLES
                 main |= value.lower() in ("main", "article")
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 silent = True
-    return _Open(tag, silent, furniture, main, inside.heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"), inside.link or tag == "a")
+    return _Open(tag, silent, furniture, main, inside.heading or tag in HEADINGS, inside.link or tag == "a")
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -154,7 +172,7 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-FEATURES = ("zone", "furniture", "heading", "words", "link_density", "words_before", "links_before", "words_after", "links_after")
+FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "zone", "furniture", "heading")
 
 
 def features(page: list[Block]) -> np.ndarray:
@@ -162,39 +180,21 @@ def features(page: list[Block]) -> np.ndarray:
     rows = []
     for i, b in enumerate(page):
         before, after = page[i - 1] if i else none, page[i + 1] if i + 1 < len(page) else none
-        rows.append((b.zone, b.furniture, b.heading, b.words, b.link_density, before.words, before.link_density, after.words, after.link_density))
+        rows.append((b.words, b.link_density, before.words, before.link_density, after.words, after.link_density, b.zone, b.furniture, b.heading))
     return np.array(rows, float).reshape(-1, len(FEATURES))
 
 
-#: Labelled by hand: FEATURES, then 1 for text of the article and 0 for the rest.
-LABELLED = (
-    # in a main element, not furniture: text whatever its length
-    (1, 0, 1, 6, 0, 10, 0, 40, 0, 1), (1, 0, 1, 3, 0, 0, 0, 25, 0, 1), (1, 0, 0, 45, 0, 6, 0, 60, 0, 1), (1, 0, 0, 2, 0, 60, 0, 30, 0, 1),
-    (1, 0, 0, 1, 0, 12, 0, 1, 0, 1), (1, 0, 0, 120, 0.05, 45, 0, 2, 0, 1), (1, 0, 0, 8, 0.5, 30, 0, 22, 0.1, 1), (1, 0, 0, 5, 1, 30, 0, 18, 0, 1),
-    (1, 0, 0, 14, 0, 5, 1, 0, 0, 1), (1, 0, 0, 9, 0, 7, 0, 9, 0.6, 1), (1, 0, 1, 2, 1, 80, 0, 50, 0, 1), (1, 0, 0, 300, 0, 2, 0, 9, 0, 1),
-    (1, 0, 0, 20, 0, 10, 0, 1, 1, 1), (1, 0, 0, 3, 1, 20, 0, 1, 1, 1), (1, 0, 0, 1, 1, 3, 1, 1, 1, 1), (1, 0, 1, 4, 0, 0, 0, 5, 1, 1), (1, 0, 0, 60, 0, 5, 1, 2, 1, 1), (1, 0, 0, 7, 0, 30, 0, 4, 0.9, 1),
-    (1, 0, 0, 2, 0, 1, 1, 3, 1, 1), (1, 0, 0, 30, 0.9, 44, 0.9, 25, 0.9, 1), (1, 0, 0, 1, 1, 0, 0, 0, 0, 1),
-    # the same beside all sorts of neighbours
-    *((1, 0, 0, words, links, before, ld, after, ld, 1) for words in (1, 4, 40) for links in (0, 1) for before in (0, 3, 60) for after in (0, 3, 60) for ld in (0, 1)),
-    # in a main element, but furniture
-    (1, 1, 0, 12, 0, 60, 0, 20, 0, 0), (1, 1, 0, 50, 0.02, 80, 0, 30, 0, 0), (1, 1, 1, 2, 0, 70, 0, 25, 0, 0), (1, 1, 0, 1, 1, 40, 0, 1, 1, 0), (1, 1, 0, 30, 0, 2, 0, 15, 0, 0),
-    # outside the main element of a page that has one
-    (-1, 1, 0, 1, 1, 0, 0, 1, 1, 0), (-1, 1, 0, 2, 1, 1, 1, 14, 0, 0), (-1, 1, 0, 14, 0, 1, 1, 6, 0, 0), (-1, 0, 0, 30, 0, 20, 0, 40, 0, 0),
-    (-1, 0, 0, 9, 0, 50, 0, 0, 0, 0), (-1, 1, 0, 22, 0.1, 60, 0, 0, 0, 0), (-1, 0, 1, 3, 0, 3, 1, 5, 1, 0), (-1, 0, 0, 80, 0, 12, 0, 12, 0, 0), (-1, 1, 1, 2, 0, 0, 0, 1, 1, 0),
-    # a page without a main element: furniture
-    (0, 1, 0, 1, 1, 0, 0, 1, 1, 0), (0, 1, 0, 15, 0, 1, 1, 8, 0, 0), (0, 1, 0, 40, 0, 50, 0, 30, 0, 0), (0, 1, 0, 9, 0.2, 60, 0, 0, 0, 0), (0, 1, 1, 2, 0, 70, 0, 12, 0, 0),
-    # a page without a main element: lists of links and short scraps among links
-    (0, 0, 0, 1, 1, 1, 1, 1, 1, 0), (0, 0, 0, 3, 1, 2, 1, 9, 0, 0), (0, 0, 0, 2, 0.8, 40, 0, 2, 1, 0), (0, 0, 0, 25, 0.9, 30, 0.8, 2, 1, 0), (0, 0, 0, 4, 0.6, 3, 1, 30, 0, 0),
-    (0, 0, 0, 3, 0, 1, 1, 1, 1, 0), (0, 0, 0, 4, 0, 2, 1, 2, 0.9, 0), (0, 0, 1, 2, 0, 1, 1, 2, 1, 0), (0, 0, 0, 16, 0.7, 60, 0, 3, 1, 0),
-    # a page without a main element: running text, its headings and its short paragraphs
-    (0, 0, 1, 6, 0, 2, 1, 45, 0, 1), (0, 0, 1, 5, 0, 0, 0, 30, 0, 1), (0, 0, 0, 45, 0, 6, 0, 60, 0, 1), (0, 0, 0, 60, 0.1, 45, 0, 3, 0, 1), (0, 0, 0, 3, 0, 60, 0.1, 50, 0, 1),
-    (0, 0, 0, 12, 0, 50, 0, 2, 1, 1), (0, 0, 0, 20, 0.2, 3, 1, 40, 0, 1), (0, 0, 0, 2, 0, 35, 0, 0, 0, 1), (0, 0, 0, 10, 0, 0, 0, 0, 0, 1), (0, 0, 0, 4, 0, 9, 0, 11, 0, 1),
-    (0, 0, 0, 40, 0, 20, 0, 1, 1, 1), (0, 0, 0, 70, 0, 4, 0, 2, 1, 1), (0, 0, 0, 33, 0.1, 2, 1, 1, 1, 1), (0, 0, 0, 18, 0, 26, 0, 6, 0.9, 1), (0, 0, 1, 1, 0, 1, 1, 16, 0, 1), (0, 0, 1, 2, 0, 3, 1, 30, 0, 1),
-    (0, 0, 1, 1, 0, 40, 0, 25, 0, 1), (0, 0, 1, 4, 0, 1, 1, 60, 0, 1),
-)
-
-
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
+def labelled() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of the labelled pages; a block's first sign is its label."""
+    x, y = [], []
+    for page in PAGES:
+        found = blocks(expanded(page))
+        x.append(features(found))
+        y += [{"+": 1, "-": 0}[b.text[0]] for b in found]
+    return np.concatenate(x), np.array(y, float)
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12) -> tuple:
     """A binary tree by Gini impurity: (feature, threshold, at most, above) or the share of label 1."""
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0):
@@ -219,8 +219,7 @@ def decide(tree: tuple, row) -> bool:
     return tree[0] >= 0.5
 
 
-_data = np.array(LABELLED, float)
-TREE = grow(_data[:, :-1], _data[:, -1])
+TREE = grow(*labelled())
 
 
 def main_text(page: str | None, tree: tuple = TREE) -> str:

@@ -78,18 +78,57 @@ def test_article_without_furniture():
     assert html_text.main_text(RICH) == "Café & more First boldtext, next line. Second <tag> — dash. item one item two a b"
 
 
-def test_text_in_a_main_element_stays_whatever_its_shape():
+def test_plain_text_of_an_article_stays_and_what_stands_outside_goes():
     import itertools
 
-    for words, links, before, after in itertools.product((1, 5, 50, 500), (0, 0.5, 1), (0, 3, 80), (0, 3, 80)):
-        for ld in (0, 1):
-            assert html_text.decide(html_text.TREE, (1, 0, 0, words, links, before, ld, after, ld))
-            assert not html_text.decide(html_text.TREE, (1, 1, 0, words, links, before, ld, after, ld))
-            assert not html_text.decide(html_text.TREE, (-1, 0, 0, words, links, before, ld, after, ld))
+    for words, before, after in itertools.product((1, 5, 50, 500), (0, 3, 80), (0, 3, 80)):
+        for links_before, links_after, heading in itertools.product((0, 1), (0, 1), (0, 1)):
+            row = lambda zone, furniture: (words, 0, before, links_before, after, links_after, zone, furniture, heading)  # noqa: B023, E731
+            assert html_text.decide(html_text.TREE, row(1, 0))
+            assert not html_text.decide(html_text.TREE, row(1, 1)) and not html_text.decide(html_text.TREE, row(-1, 0))
 
 
-def test_tree_fits_its_table():
-    assert all(html_text.decide(html_text.TREE, row[:-1]) == bool(row[-1]) for row in html_text.LABELLED)
+def test_tree_fits_its_pages():
+    x, y = html_text.labelled()
+    assert len(y) > 300 and 0.4 < y.mean() < 0.6
+    assert all(html_text.decide(html_text.TREE, row) == bool(label) for row, label in zip(x, y))
+
+
+def test_attributes_and_names_that_mislead():
+    page = '<article><p title="The hidden valley">One.</p><h2 id="notice-period">Two</h2><section id="search-engines"><p>Three.</p></section><p data-x="class=ad" class="share-price">Four.</p><p hidden>no</p><p aria-hidden="true">no</p><p style="color:red;display: none">no</p></article>'
+    assert html_text.main_text(page) == "One. Two Three. Four."
+    page = "<article><p>One.</p><div class='ad-box'>no</div><div class='box sidebar'>no</div><div id=comments>no</div><div role=search>no</div></article>"
+    assert html_text.main_text(page) == "One."
+
+
+LONG = "This is a paragraph of running text that goes on for quite a while and has no links at all. " * 3
+
+
+def test_pages_without_a_main_element():
+    page = f"<ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul><h1>A heading of the text</h1><p>{LONG}</p><p>{LONG}</p><p>Short one here.</p><p>{LONG}</p><p><a>Next</a> <a>Last</a></p>"
+    assert html_text.main_text(page) == " ".join(f"A heading of the text {LONG} {LONG} Short one here. {LONG}".split())
+
+
+def test_neighbours_decide():
+    """The same block is kept or dropped by its neighbours' word counts and link densities alone."""
+    keep = lambda *row: html_text.decide(html_text.TREE, row)
+    # words, links, words and links before, words and links after, zone, furniture, heading
+    assert keep(2, 0, 60, 0, 50, 0, 0, 0, 0) and not keep(2, 0, 3, 1, 4, 1, 0, 0, 0)
+    assert keep(8, 0, 60, 0, 50, 0, 0, 0, 0) and not keep(8, 0, 60, 0, 0, 0, 0, 0, 0)
+    used = set()
+
+    def walk(tree):
+        if len(tree) > 1:
+            used.add(html_text.FEATURES[tree[0]])
+            walk(tree[2])
+            walk(tree[3])
+
+    walk(html_text.TREE)
+    assert {"words", "link_density", "words_before", "words_after", "links_before"} <= used
+    text = "<p>Ten words of text stand in this block of ours.</p>"
+    around = "<p>{0}</p>{1}<p>{0}</p>"
+    assert "Ten words" in html_text.main_text(around.format(LONG, text))
+    assert "Ten words" not in html_text.main_text(f"<p><a>Some link</a></p><p>By me</p><p><a>Other link</a></p>{'<p>Two words</p>'}") and html_text.main_text("<p><a>Some link</a></p><p>By me</p><p><a>Other link</a></p>") == ""
 
 
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<p cla", "<!-- open", "</p></p>", "<a href='x", "&", "<script>x", "<div" + " a=\"" * 2000])
