@@ -148,9 +148,13 @@ def nearest(table_: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "v
             qa, qb, q = a[asks == 1], b[asks == 1], v[asks == 1]
             if not len(x) or not len(q):
                 return
-            out = []
+            out, slack = [], float(np.sqrt((x * x).sum(axis=1).max()))
             for i, hit in enumerate(forest.value.search(x, q)):
-                scores = x[hit] @ q[i]
+                rough = x[hit] @ q[i]
+                if len(hit) > k + 1:  # what rounding cannot have moved out of the best; the matrix product rounds by place
+                    least = np.partition(rough, len(hit) - k - 1)[len(hit) - k - 1]
+                    hit = hit[rough >= least - 1e-9 * (abs(least) + slack * np.sqrt(q[i] @ q[i]))]
+                scores = (x[hit] * q[i]).sum(axis=1)  # one order of addition for all pairs, so equal vectors tie
                 out += [(int(qa[i]), int(qb[i]), int(ids[hit[j]]), float(scores[j])) for j in _best(ids[hit], scores, k + 1)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["c1", "c2", "vec_id", "score"])
 
