@@ -27,6 +27,8 @@ FILTERS, EMBEDDING = 16, 8
 WINDOW = 256
 #: Bound of the training sample: texts for each language, and windows for each text.
 TEXTS_PER_LANGUAGE, WINDOWS_PER_TEXT = 800, 4
+#: The most frequent values of the language column are learnt, at most so many.
+LANGUAGES = 300
 EPOCHS, BATCH, RATE = 6, 64, 4e-3
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -133,10 +135,10 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: i
 def training_windows(docs: DataFrame) -> DataFrame:
     """(lang, window) of at most about TEXTS_PER_LANGUAGE texts a language, WINDOWS_PER_TEXT windows each.
 
-    Texts are drawn by a hash of their id; windows lie anywhere in the text, drawn by a hash as well. Languages
-    are few (a row each passes the driver); their counts set each one's share.
+    Texts are drawn by a hash of their id; windows lie anywhere in the text, drawn by a hash as well. The
+    counts of the LANGUAGES most frequent languages set each one's share.
     """
-    counts = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return docs.sparkSession.createDataFrame([], "lang string, window binary")
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
