@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -18,12 +21,14 @@ _PACKAGE = Path(__file__).resolve().parents[1]
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI inside the folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a folder of our own is set and used.
+    Only where that setting is absent and all work is done on one machine, as in tests, a folder of our own is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file:///tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     if "://" not in base and not base.startswith("file:"):
@@ -36,17 +41,50 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the folders of tables from ``written`` that nothing reads any more."""
+    for df in frames:
+        if folder := getattr(df, "_folder", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Most rows of a few numbers each (about 32 bytes) that may be sent to all tasks.
 SENT_ROWS = 500_000
 
 
-def sent_if_small(df: DataFrame, name: str, most: int = SENT_ROWS) -> DataFrame:
-    """``df``, written and counted; marked for broadcast if it has at most ``most`` rows, else left to a shuffle join."""
+def sent_if_small(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written and counted; marked for broadcast if it has at most SENT_ROWS rows, else left to a shuffle join."""
     df = written(df, name)
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    if df.limit(SENT_ROWS + 1).count() > SENT_ROWS:
+        return df
+    out = F.broadcast(df)
+    out._folder = df._folder
+    return out
+
+
+#: Bits of the set that ``likely`` sends to all tasks, 2 MB of them in at most 2^18 rows.
+SET_BITS = 24
+
+
+def likely(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose ``column`` is among the one column of ``ids``, and a few others: what a join need not shuffle goes before it.
+
+    The set of hashes that is sent to all tasks has a fixed bound. It lets more rows through the fuller it is, and never
+    takes away one that belongs.
+    """
+    slot = lambda x: F.pmod(F.xxhash64(x), F.lit(1 << SET_BITS))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    of = slot(F.col(ids.columns[0]))
+    cells = ids.select(F.shiftright(of, 6).alias("_cell"), bit(of).alias("_bit")).groupBy("_cell").agg(F.bit_or("_bit").alias("_bits"))
+    own = slot(F.col(column))
+    found = rows.withColumn("_cell", F.shiftright(own, 6)).join(F.broadcast(cells), "_cell").filter(F.col("_bits").bitwiseAND(bit(own)) != 0)
+    return found.drop("_cell", "_bits")
 
 
 def ship(spark: SparkSession) -> None:
@@ -55,6 +93,7 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_stratamix_shipped", None) == str(_PACKAGE):
         return
     folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     target = os.path.join(folder, f"{_PACKAGE.name}-{uuid.uuid4().hex[:8]}.zip")
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(_PACKAGE.rglob("*.py")):

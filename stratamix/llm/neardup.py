@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sent_if_small, ship, table, written
+from . import common
+from .common import discard, likely, sent_if_small, ship, table, written
 from .graph import components
 
 ERRORS = 1
@@ -198,8 +199,7 @@ def _in_blocks(rows: DataFrame, docs: int, shingles: int | None = None) -> DataF
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, *_GROUP).sortWithinPartitions(*_GROUP)
+    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list[tuple]]:
@@ -243,8 +243,12 @@ def _confirmed(met: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
             found = [(r, c, s) for r, c, t in rows if len(s := shingle_set(t, shingle))]
             yield _links_of(spanning_links(*map(list, zip(*found, strict=True)), percent) if len(found) > 1 else [])
 
-    sent = sent_if_small(met, "met")
-    return _grouped(texts.join(sent, F.col("doc_id") == F.col("rep")).select(*_GROUP, "rep", "comp", "text")).mapInArrow(run, "a long, b long")
+    met = written(met, "met")
+    if met.limit(common.SENT_ROWS + 1).count() <= common.SENT_ROWS:
+        met = F.broadcast(met)
+    else:
+        texts = likely(texts, "doc_id", met.select("rep"))
+    return _grouped(texts.join(met, F.col("doc_id") == F.col("rep")).select(*_GROUP, "rep", "comp", "text")).mapInArrow(run, "a long, b long")
 
 
 def _stars(met: DataFrame, reps: DataFrame, values: int, most: int) -> DataFrame:
@@ -281,17 +285,17 @@ def near_components(docs: DataFrame, *, shingle: int = 3, percent: int = 85, id_
     keys = keyed(reps, parts, part_size)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("rep").alias("hub")).filter("docs > 1").drop("docs")
     met = written(keys.join(shared, "key"), "keys")
-    stars = written(_confirmed(_stars(met, reps, values, most), texts, shingle, percent), "links")
-    first = components(stars)
+    first = components(_confirmed(_stars(met, reps, values, most), texts, shingle, percent))
     comp = F.coalesce("component", "rep").alias("comp")
     rows = met.join(first, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("grp"), "rep", comp)
     apart = rows.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("grp")
     rows = written(rows.join(apart, "grp"), "apart")
-    close = written(_connected(rows, reps, most), "close")
-    clusters = components(close.unionByName(stars))
+    joined = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    clusters = components(_connected(rows, reps, most).unionByName(joined))
     left = rows.select("rep", "comp").distinct().join(clusters, F.col("rep") == F.col("node")).join(reps.select("rep", "n"), "rep")
     blocks = _in_blocks(left.select(F.col("component").alias("grp"), "rep", "comp", "n"), BLOCK_DOCS, BLOCK_SHINGLES)
-    found = components(stars.unionByName(_confirmed(blocks, texts, shingle, percent)))
+    found = components(joined.unionByName(_confirmed(blocks, texts, shingle, percent)))
+    discard(met, rows)
     classes = reps.select("h1", "h2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
