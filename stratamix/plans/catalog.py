@@ -318,6 +318,61 @@ def _em_sql(steps: int = 10, threshold: float = 0.05, ridge: float = 0.01) -> st
     return ",\n".join(out) + "\n" + "\nUNION ALL ".join(chosen)
 
 
+def whole_fit(spark, sf):
+    """The choice between one, two and three components on all values."""
+    fits = univariate.fit_univariate(_events(spark, sf).select("value"), ["value"], 3, sample_fraction=1.0)
+    return fits.select("marker", "comp", F.round("pro", 6).alias("pro"), F.round("mean", 4).alias("mean"), F.round("var", 2).alias("var"))
+
+
+def _fit_sql(values: str, ks: Sequence[int] = (1, 2, 3)) -> tuple[str, str]:
+    """EM for each number of normals by recursion, and the choice by biased BIC: tables, and a query of pro, mean and var.
+
+    ``values``: a table of x without nulls.
+    A row of ``em`` is a step of the fit with k components; components beyond k have no density.
+    """
+    js = range(1, max(ks) + 1)
+    each = lambda f, sep=", ": sep.join(f(j) for j in js)
+    top = f"greatest({each(lambda j: f'z{j}')})"
+    z = each(lambda j: f"CASE WHEN k >= {j} THEN ln(s{j}) - 0.5 * (ln(2 * pi() * v{j}) + pow(x - m{j}, 2) / v{j}) ELSE -1e300 END AS z{j}")
+    whole = f"{top} + ln({each(lambda j: f'exp(z{j} - {top})', ' + ')})"
+    held = each(lambda j: f"any_value(s{j}) AS s{j}, any_value(m{j}) AS m{j}, any_value(v{j}) AS v{j}")
+    moments = each(lambda j: f"sum(r{j}) / any_value(n) AS s{j}, sum(r{j} * x) / sum(r{j}) AS m{j}, greatest(sum(r{j} * x * x) / sum(r{j}) - pow(sum(r{j} * x) / sum(r{j}), 2), any_value(least_var)) AS v{j}")
+    scored = lambda source, before: f"SELECT k, any_value(t) AS t, {held}, sum({whole}) AS l, any_value({before}) AS before FROM (SELECT q.*, {z} FROM (SELECT * FROM ({source}) AS n, p) AS q) GROUP BY k"
+    hard = each(lambda j: f"CASE WHEN least(floor((i + 0.5) / n * k), k - 1) = {j - 1} THEN 1.0 ELSE 0.0 END AS r{j}")
+    start = f"SELECT k, 1 AS t, {moments} FROM (SELECT p.*, k, {hard} FROM p, (SELECT unnest({list(ks)}) AS k)) GROUP BY k"
+    soft = each(lambda j: f"CASE WHEN k >= {j} THEN exp(z{j} - ({whole})) ELSE 0.0 END AS r{j}")
+    again = f"SELECT k, any_value(t) + 1 AS t, any_value(l) AS l0, {moments} FROM (SELECT *, {soft} FROM (SELECT e.*, p.*, {z} FROM em AS e, p WHERE t < 500 AND (before IS NULL OR NOT abs(l - before) < 1e-6 * abs(l)))) GROUP BY k"
+    rows = " UNION ALL ".join(f"SELECT s{j} AS pro, m{j} + centre AS mean, v{j} AS var FROM best, (SELECT any_value(centre) AS centre FROM p) WHERE k >= {j}" for j in js)
+    tables = f"""a AS ({values}), c AS (SELECT avg(x) AS centre, greatest(1e-10, 1e-8 * var_pop(x)) AS least_var, count(*) AS n FROM a),
+p AS MATERIALIZED (SELECT x - centre AS x, centre, least_var, n, row_number() OVER (ORDER BY x) - 1 AS i FROM a, c),
+em AS ({scored(start, "CAST(NULL AS DOUBLE)")} UNION ALL {scored(again, "l0")}),
+done AS (SELECT * FROM em QUALIFY row_number() OVER (PARTITION BY k ORDER BY t DESC) = 1),
+best AS (SELECT done.* FROM done, c ORDER BY 2 * l - (3 * k - 1) * ln(n) - exp(-3.7 + 0.732 * ln(n)) * k * log2(n) DESC, k LIMIT 1)"""
+    return tables, rows
+
+
+_COMPS = "CAST(row_number() OVER (ORDER BY mean) AS INTEGER) AS comp, round(pro, 6) AS pro, round(mean, 4) AS mean, round(var, 2) AS var"
+
+
+def _whole_fit_sql() -> str:
+    tables, rows = _fit_sql("SELECT CAST(value AS DOUBLE) AS x FROM events WHERE value IS NOT NULL AND NOT isnan(value)")
+    return f"WITH RECURSIVE {tables} SELECT 'value' AS marker, {_COMPS} FROM ({rows})"
+
+
+def whole_refit(spark, sf):
+    """Two components for the positive values and one for the negative ones, beside the mixtures of other markers."""
+    fits = univariate.refit_univariate(_read(spark, sf, "customer").select("c_acctbal"), {"c_acctbal": 2}, _mixtures(spark), sample_fraction=1.0, separate_negative=True)
+    return fits.select("marker", "comp", F.round("pro", 6).alias("pro"), F.round("mean", 4).alias("mean"), F.round("var", 2).alias("var"))
+
+
+def _whole_refit_sql() -> str:
+    tables, rows = _fit_sql("SELECT CAST(c_acctbal AS DOUBLE) AS x FROM customer WHERE c_acctbal > 0", (2,))
+    low = "low AS (SELECT count(*) AS n, avg(x) AS mean, var_samp(x) AS var FROM (SELECT CAST(c_acctbal AS DOUBLE) AS x FROM customer WHERE c_acctbal < 0)), share AS (SELECT low.n / (low.n + c.n) AS low FROM low, c)"
+    every = f"SELECT pro * (1 - low) AS pro, mean, var FROM ({rows}), share UNION ALL SELECT share.low, mean, var FROM low, share"
+    kept = f"SELECT marker, CAST(comp AS INTEGER) AS comp, pro, mean, var FROM {_values(MIXTURES, 'marker, comp, pro, mean, var')}"
+    return f"WITH RECURSIVE {tables}, {low} SELECT 'c_acctbal' AS marker, {_COMPS} FROM ({every}) UNION ALL {kept}"
+
+
 QUERIES = {
     "project_features": lambda spark, sf: frame.features(_vectors(spark, sf), DIMS, "vec_id"),
     "sample_topk_hash": lambda spark, sf: _events(spark, sf).withColumn("h", (F.col("event_id") * 7919) % 100003).transform(frame.first_rows, 500, "h", "event_id").select("event_id", "value"),
@@ -337,6 +392,8 @@ QUERIES = {
     "cutoff_bisection": cutoff_bisection,
     "gmm1d_bic_bias": bic_bias,
     "gmm1d_fit": _gmm1d,
+    "gmm1d_whole": whole_fit,
+    "gmm1d_whole_refit": whole_refit,
     "gmm1d_refit": lambda spark, sf: univariate.refit_univariate(_read(spark, sf, "customer").select("c_acctbal"), {"c_acctbal": 2}, _mixtures(spark), separate_negative=True),
     "neg_split_moments": neg_split,
     "find_to_merge": lambda spark, sf: univariate.merge_candidates(_mixtures(spark)).select("marker", F.array_join(F.transform("comps", lambda x: x.cast("string")), ",").alias("comps")),
@@ -409,6 +466,8 @@ SELECT CAST(component AS INTEGER) AS component, round(s0, 6) AS pro, round(a / s
     + _values([(k + 1, float(MODEL.pro[k]), *map(float, MODEL.mean[k]), *map(float, (MODEL.cov[k, 0, 0], MODEL.cov[k, 0, 1], MODEL.cov[k, 1, 1]))) for k in range(3)], "component, pro, mean_0, mean_1, c00, c01, c11")
     + ") SELECT CAST(p.component AS INTEGER) AS component, round(pro, 6) AS pro, round(mean_0, 6) AS mean_0, round(mean_1, 6) AS mean_1, round(c00 + 0.001 * s0 / pro, 6) AS cov_00, round(c01, 6) AS cov_01, round(c11 + 0.002 * s0 / pro, 6) AS cov_11 FROM p JOIN s ON p.component = s.component",
     "em_fit": _em_sql(),
+    "gmm1d_whole": _whole_fit_sql(),
+    "gmm1d_whole_refit": _whole_refit_sql(),
     "categorical_merge": f"WITH {_MAP_SQL} SELECT CAST(component AS INTEGER) AS component, array_to_string(levels, '') AS key, CAST(cluster AS INTEGER) AS cluster FROM g",
     "cluster_centers": f"WITH {_LONG_SQL} SELECT CAST(cluster AS INTEGER) AS cluster, marker, round(center, 8) AS center FROM ctr",
     "cluster_sds": f"WITH {_SD_SQL} SELECT CAST(cluster AS INTEGER) AS cluster, marker, round(center, 8) AS center, round(sd, 8) AS sd FROM sd",
