@@ -9,8 +9,9 @@ How many candidates are enough is measured at fit time: brute force on the sampl
 that the trees must reach for RECALL. Vectors of one length compare by angle; for others one coordinate is added
 that makes all lengths equal and leaves inner products as they are.
 
-The index is cut into shards of bounded size and the queries into blocks of bounded size; each block meets each
-shard in one group. Equal vectors share one entry: of them, only the k + 1 smallest ids can ever be in an answer.
+The index is dealt once to tasks, a bounded number of vectors each, and cut into shards there. The queries are not
+shuffled: each task reads them from the shared folder in blocks of bounded size, and gives back its best k + 1 for each.
+Equal vectors share one entry: of them, only the k + 1 smallest ids can ever be in an answer.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,8 +31,8 @@ from .common import ship, table, written
 
 TREES, BITS = 10, 32
 RECALL, SAMPLE, SAMPLE_QUERIES = 0.96, 4096, 96
-#: Bounds of a shard and of a block of queries.
-SHARD, BLOCK = 4096, 4096
+#: Bounds of a shard, of a block of queries, and about those of the vectors that a task gets.
+SHARD, BLOCK, DEALT = 4096, 4096, 1 << 16
 
 
 @dataclass
@@ -48,14 +51,19 @@ class Forest:
         weights = (np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)).astype(np.uint64)
         return np.stack([bits[:, t * BITS : (t + 1) * BITS].astype(np.uint64) @ weights for t in range(TREES)])
 
-    def search(self, x: np.ndarray, queries: np.ndarray, share: float | None = None) -> Iterator[np.ndarray]:
-        """For each query, the indexes of its candidates among ``x``."""
-        n, enough = len(x), int(np.ceil((share if share is not None else self.share) * len(x)))
-        own, asked = self.strings(x, query=False), self.strings(queries, query=True)
+    def index(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each tree, the order of a shard's vectors by their strings, and the strings in that order."""
+        own = self.strings(x, query=False)
         order = np.argsort(own, axis=1, kind="stable")
-        ordered = np.take_along_axis(own, order, axis=1)
-        low, high = np.zeros((TREES, len(queries)), int), np.full((TREES, len(queries)), n)
-        open_ = np.ones(len(queries), bool)
+        return order, np.take_along_axis(own, order, axis=1)
+
+    def search(self, index: tuple[np.ndarray, np.ndarray], asked: np.ndarray, share: float | None = None) -> Iterator[np.ndarray]:
+        """For each query, given as its strings, the numbers of its candidates in a shard."""
+        order, ordered = index
+        n, queries = order.shape[1], asked.shape[1]
+        enough = int(np.ceil((share if share is not None else self.share) * n))
+        low, high = np.zeros((TREES, queries), int), np.full((TREES, queries), n)
+        open_ = np.ones(queries, bool)
         for level in range(BITS, -1, -1):
             rest = np.uint64((1 << (BITS - level)) - 1)
             at = np.flatnonzero(open_)
@@ -70,7 +78,7 @@ class Forest:
             open_[at[least]] = False
             if not open_.any():
                 break
-        for i in range(len(queries)):
+        for i in range(queries):
             hit = np.zeros(n, bool)
             for t in range(TREES):
                 hit[order[t, low[t, i] : high[t, i]]] = True
@@ -103,13 +111,26 @@ def fit(vectors: DataFrame, k: int, seed: int = 11) -> Forest | None:
         scores = asked @ x.T
         scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
         truth = np.argsort(-scores, axis=1)[:, :k]
+        index, strings = forest.index(x), forest.strings(asked, query=True)
         for share in np.arange(0.02, 1.0, 0.02):
-            if np.mean([np.isin(t, c).mean() for t, c in zip(truth, forest.search(x, asked, share), strict=True)]) >= RECALL:
+            if np.mean([np.isin(t, c).mean() for t, c in zip(truth, forest.search(index, strings, share), strict=True)]) >= RECALL:
                 forest.share = float(share)
                 break
     return forest
 
 
+def matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """The vectors ``v`` of a batch, which all have one dimension."""
+    return batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _blocks(files: list[str]) -> Iterator[pa.RecordBatch]:
+    for path in files:
+        fs, at = pafs.FileSystem.from_uri(path)
+        with fs.open_input_file(at) as file:
+            yield from pq.ParquetFile(file).iter_batches(BLOCK)
+
+
 def nearest(table_: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each id divisible by ``every``, the k best others found, ranks from 1.
 
@@ -132,51 +153,38 @@ def nearest(table_: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "v
     asked = rows.filter(F.col("vec_id") % every == 0)
     classes = written(asked.groupBy("c1", "c2").agg(F.first("v").alias("v")), "queries")
     forest = spark.sparkContext.broadcast(fit(entries.select("vec_id", "v"), k))
-    shards = max(1, -(-entries.count() // SHARD))
-    blocks = max(1, -(-classes.count() // BLOCK))
-    spread = lambda of, n: F.pmod(of, F.lit(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    index = entries.select(spread(F.xxhash64("vec_id"), shards).alias("shard"), all_of(blocks).alias("block"), F.lit(0).alias("asks"), F.col("vec_id").alias("a"), F.lit(0).cast("long").alias("b"), "v")
-    queries = classes.select(all_of(shards).alias("shard"), spread(F.xxhash64(F.lit(3), "c1", "c2"), blocks).alias("block"), F.lit(1).alias("asks"), F.col("c1").alias("a"), F.col("c2").alias("b"), "v")
+    dealt = entries.count()
+    files = classes.inputFiles()
+    if not files:
+        return spark.createDataFrame([], schema)
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, parts = None, []
-
-        def answers() -> Iterator[pa.RecordBatch]:
-            a, b, asks, v = (np.concatenate(x) for x in zip(*parts, strict=True))
-            ids, x = a[asks == 0], v[asks == 0]
-            qa, qb, q = a[asks == 1], b[asks == 1], v[asks == 1]
-            if not len(x) or not len(q):
-                return
-            out, slack = [], float(np.sqrt((x * x).sum(axis=1).max()))
-            for i, hit in enumerate(forest.value.search(x, q)):
-                rough = x[hit] @ q[i]
-                if len(hit) > k + 1:  # what rounding cannot have moved out of the best; the matrix product rounds by place
-                    least = np.partition(rough, len(hit) - k - 1)[len(hit) - k - 1]
-                    hit = hit[rough >= least - 1e-9 * (abs(least) + slack * np.sqrt(q[i] @ q[i]))]
-                scores = (x[hit] * q[i]).sum(axis=1)  # one order of addition for all pairs, so equal vectors tie
-                out += [(int(qa[i]), int(qb[i]), int(ids[hit[j]]), float(scores[j])) for j in _best(ids[hit], scores, k + 1)]
+        held = [(b.column("vec_id").to_numpy(), matrix(b)) for b in batches if b.num_rows]
+        if not held:
+            return
+        ids, x = (np.concatenate(part) for part in zip(*held, strict=True))
+        starts = range(0, len(x), SHARD)
+        indexes = [forest.value.index(x[at : at + SHARD]) for at in starts]
+        longest = float(np.sqrt((x * x).sum(axis=1).max()))
+        for block in _blocks(files):
+            q, c1, c2 = matrix(block), block.column("c1").to_numpy(), block.column("c2").to_numpy()
+            asked = forest.value.strings(q, query=True)
+            hits: list[list[np.ndarray]] = [[] for _ in q]
+            for at, index in zip(starts, indexes, strict=True):
+                for i, found in enumerate(forest.value.search(index, asked)):
+                    near = x[at + found] @ q[i]
+                    if len(near) > k + 1:  # what rounding cannot have moved out of the best; the matrix product rounds by place
+                        least = np.partition(near, len(near) - k - 1)[len(near) - k - 1]
+                        found = found[near >= least - 1e-9 * (abs(least) + longest * np.sqrt(q[i] @ q[i]))]
+                    hits[i].append(at + found)
+            out = []
+            for i, found in enumerate(map(np.concatenate, hits)):
+                scores = (x[found] * q[i]).sum(axis=1)  # one order of addition for all pairs, so equal vectors tie
+                out += [(int(c1[i]), int(c2[i]), int(ids[found[j]]), float(scores[j])) for j in _best(ids[found], scores, k + 1)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["c1", "c2", "vec_id", "score"])
 
-        for batch in batches:
-            key = batch.column("shard").to_numpy().astype(np.int64) << 32 | batch.column("block").to_numpy()
-            lists = batch.column("v")
-            v = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(key), -1)
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if e == s:
-                    continue
-                if group is not None and key[s] != group:
-                    yield from answers()
-                    parts = []
-                group = key[s]
-                parts.append((batch.column("a").to_numpy()[s:e], batch.column("b").to_numpy()[s:e], batch.column("asks").to_numpy()[s:e], v[s:e]))
-        if parts:
-            yield from answers()
-
-    n = min(shards * blocks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
-    met = index.unionByName(queries).repartition(n, "shard", "block").sortWithinPartitions("shard", "block")
-    found = met.mapInArrow(searched, "c1 long, c2 long, vec_id long, score double")
+    tasks = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-dealt // SHARD)), -(-dealt // DEALT))
+    found = entries.select("vec_id", "v").repartition(tasks, "vec_id").mapInArrow(searched, "c1 long, c2 long, vec_id long, score double")
     order = W.partitionBy("c1", "c2").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k + 1).drop("_n")
     own = asked.select(F.col("vec_id").alias("query_id"), "c1", "c2").distinct()

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratamix.llm import ann
 
@@ -67,6 +68,42 @@ def test_shards_and_blocks_meet(spark, monkeypatch):
     assert sum(len(got[q] & {i for _, i in w}) for q, w in want.items()) >= 0.9 * 20 * len(want)
 
 
+def test_clustered_vectors_need_few_candidates(spark):
+    """Where vectors have structure the trees reach a small share of a shard only, and the recall holds."""
+    r = np.random.default_rng(9)
+    centers = r.normal(size=(60, 48))
+    x = centers[r.integers(0, 60, 4000)] + 0.25 * r.normal(size=(4000, 48))
+    rows = [(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1)[:, None])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert ann.fit(df.select("vec_id", F.col("embedding").alias("v")), 20).share < 0.25
+    want, _ = exact(rows, 20, 20)
+    got: dict = {}
+    for q in ann.nearest(df).collect():
+        got.setdefault(q.query_id, set()).add(q.vec_id)
+    assert sum(len(got[q] & {i for _, i in w}) for q, w in want.items()) >= 0.9 * 20 * len(want)
+
+
+def test_equal_vectors_tie_exactly(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 64)
+    r = np.random.default_rng(5)
+    for dim in (3, 37, 64):
+        distinct = r.normal(size=(24, dim)) * r.uniform(0.1, 9, (24, 1))
+        ids = r.permutation(600).tolist()
+        rows = [(i, distinct[n % 24].tolist()) for n, i in enumerate(ids)]
+        of = dict(rows)
+        found: dict = {}
+        for q in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=30).collect():
+            found.setdefault(q.query_id, []).append((q.rank, q.score, q.vec_id))
+        assert len(found) == 30
+        for q, hits in found.items():
+            hits.sort()
+            scores: dict = {}
+            for _, score, i in hits:
+                assert scores.setdefault(tuple(of[i]), score) == score
+                assert abs(score - float(np.dot(of[q], of[i]))) <= 1e-9 * max(1, abs(score))
+            assert [(-s, i) for _, s, i in hits] == sorted((-s, i) for _, s, i in hits)
+
+
 @pytest.fixture(scope="module")
 def planted(spark, tmp_path_factory):
     import random
@@ -111,3 +148,35 @@ def test_pipeline_catches_what_is_planted_and_keeps_the_rest(spark, planted):
     assert set(range(60)) <= set(kept["decontamination"])
     packed = corpus_pipeline.run(spark, folder)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(kept["decontamination"])
+
+
+def test_pipeline_stages_handle_odd_rows(spark, planted):
+    import corpus_pipeline
+
+    folder, passage = planted
+    own = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    line = "a line of some length that stands in two of these rows"
+    long = " ".join(f"w{i % 5003}x{i % 7}" for i in range(150_000))
+    odd = [
+        (None, "a text without an id that is kept as it is by all"), (None, None), (900, None), (901, ""), (902, " \n\t\n"), (903, "short"),
+        (904, f"{line}\nfirst of its own lines here it is"), (904, f"{line}\nfirst of its own lines here it is"), (905, f"{line}\nsomething else that is said in this row"), (906, "x"),
+        (907, long), (908, "clown moron scum idiot " * 30),
+    ]
+    extra = ["rep", "h", "key", "grp", "Score", "d", "component", "first"]
+    docs = own.unionByName(spark.createDataFrame(odd, "doc_id long, text string")).select("doc_id", "text", *[F.lit(str(k)).alias(c) for k, c in enumerate(extra)])
+    docs = docs.repartition(3).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        none = stage(spark, docs.limit(0), folder)
+        assert none.columns == docs.columns and none.count() == 0, name
+        docs = stage(spark, docs, folder).cache()
+        assert docs.columns == ["doc_id", "text", *extra], name
+        assert docs.select(*extra).distinct().count() == 1
+    left: dict = {}
+    for r in docs.filter("doc_id is null or doc_id >= 900").collect():
+        left.setdefault(r.doc_id, []).append(r.text)
+    assert sorted(left[None], key=str) == sorted([odd[0][1], None], key=str)
+    assert left[900] == [None] and left[901] == [""] and left[902] == [" \n\t\n"] and left[903] == ["short"] and left[906] == ["x"]
+    assert left[904] == [odd[6][1]] * 2 and left[905] == ["something else that is said in this row"] and left[907] == [long] and 908 not in left
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert rows.agg(F.sum("length")).first()[0] > 150_000 and rows.filter("doc_id = 900").first().length == 1
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), folder).count() == 0
