@@ -36,11 +36,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
+def few(spark: SparkSession) -> int:
+    """Partitions for what is small beside the tables it comes from: a quarter of the usual number."""
+    return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+
+
+def written(df: DataFrame, name: str, *, small: bool = False) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: cuts lineage and survives lost executors.
+
+    ``small``: in few files, for lists of ids and links.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(few(spark)) if small else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
     return out
@@ -60,7 +68,7 @@ SENT_ROWS = 500_000
 
 def sent_if_small(df: DataFrame, name: str) -> DataFrame:
     """``df``, written and counted; marked for broadcast if it has at most SENT_ROWS rows, else left to a shuffle join."""
-    df = written(df, name)
+    df = written(df, name, small=True)
     if df.limit(SENT_ROWS + 1).count() > SENT_ROWS:
         return df
     out = F.broadcast(df)
@@ -87,9 +95,15 @@ def likely(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return found.drop("_cell", "_bits")
 
 
+#: Rows of an Arrow batch in place of Spark's own number: texts are long, and a batch is held on both sides several times.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers, wherever the driver was started from."""
+    """Makes this package importable in Python workers, wherever the driver was started from, and bounds the batches they get if nobody has."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, BATCH_ROWS)
     if getattr(sc, "_stratamix_shipped", None) == str(_PACKAGE):
         return
     folder = tempfile.mkdtemp()

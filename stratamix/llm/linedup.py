@@ -3,8 +3,9 @@
 A line of n characters is cut into THRESHOLD + 1 segments. If another line, at most THRESHOLD characters longer,
 is within the threshold, one segment must occur in it unchanged, and only near its own place: so the longer line
 probes, for each possible shorter length and segment, the few substrings whose shift the remaining edits allow.
-Rows that meet under (length, segment, substring) and whose character counts are close enough are verified by a
-banded bit-parallel edit distance: the band's 2 * THRESHOLD + 1 cells of a column are bits of one integer.
+Rows that meet under (length, segment, substring) and whose character counts are close enough are candidates, written
+once a pair; all of them, and nothing else, are verified by a banded bit-parallel edit distance: the band's
+2 * THRESHOLD + 1 cells of a column are bits of one integer.
 
 Lines stand for their occurrences by a 128-bit hash. Text is never shuffled to find candidates; lines that
 repeat very often are indexed once, from their first occurrence.
@@ -17,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sent_if_small, table, written
+from .common import discard, few, sent_if_small, table, written
 
 THRESHOLD = 2
 #: Shorter lines are left alone.
@@ -26,31 +27,54 @@ MIN_CHARS = 20
 MOST_WORDS = 50
 #: Most frequent lines whose further occurrences are not indexed; they are sent to all tasks.
 HOT_LINES = 50_000
-#: Letters counted together for the filter beside the join. An edit changes two counts by one at most.
-GROUPS = ("abc", "def", "ghi", "jkl", "mno", "pqr", "stuv", "wxyz")
+#: Characters counted together for the filter beside the join, in words of eight. An edit changes two counts by one at most.
+GROUPS = (("abc", "def", "ghi", "jkl", "mno", "pqr", "stuv", "wxyz"), ("e", "n", "t", "a", "r", "i", "0123456789", " "))
+#: The first of them are also counted in so many prefixes and suffixes, each longer than the one before by so many characters.
+ENDS, STEP = 7, 32
 
 
 def exploded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line_no, line, n, h1, h2) of the lines that count; n is the number of characters."""
+    """(doc_id, line_no, line, n, h) of the lines that count; n is the number of characters, h a 128-bit hash."""
     lines = docs.select(docs[id_col].alias("doc_id"), F.posexplode(F.split(docs[text_col], "\n")).alias("line_no", "line"))
     lines = lines.withColumn("n", F.length("line")).filter(F.col("n") >= min_chars)
-    return lines.select("doc_id", "line_no", "line", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(11), "line").alias("h2"))
+    return lines.select("doc_id", "line_no", "line", "n", F.struct(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(11), "line").alias("h2")).alias("h"))
 
 
-def _packed_counts(line: Column) -> Column:
-    """A byte for each group: its letters' number modulo 256."""
+def _packed(line: Column) -> Column:
+    """A byte for each of the characters 1 to 8: its number modulo 256."""
     size = F.octet_length(line)
-    count = lambda letter: size - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
-    counts = [reduce(lambda a, b: a + b, [count(x) for x in g]) for g in GROUPS]
+    counts = [size - F.octet_length(F.replace(line, F.lit(chr(i + 1)), F.lit(""))) for i in range(8)]
     return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(c.cast("long").bitwiseAND(F.lit(255)), 8 * i) for i, c in enumerate(counts)])
 
 
-def _counts_close(a: Column, b: Column, limit: int) -> Column:
+def with_counts(lines: DataFrame) -> DataFrame:
+    """Adds ``counts``: for each word of GROUPS the whole line's; ``ends``: the first word's in prefixes and suffixes."""
+    marks = [F.translate("line", "".join(g), "".join(chr(i + 1) * len(x) for i, x in enumerate(g))) for g in GROUPS]
+    lines = lines.withColumns({f"_m{k}": m for k, m in enumerate(marks)})
+    runs = []
+    for k in (range(ENDS), range(-1, -ENDS - 1, -1)):
+        cuts = [_packed(F.substring("_m0", STEP * i + (i >= 0), STEP)) for i in k]
+        runs += [reduce(lambda a, b: a + b, cuts[: n + 1]) for n in range(ENDS)]  # at most ENDS * STEP < 256 of a kind: no carry
+    lines = lines.withColumns({"counts": F.array(*[_packed(F.col(f"_m{k}")) for k in range(len(GROUPS))]), "ends": F.array(*runs)})
+    return lines.drop(*[f"_m{k}" for k in range(len(GROUPS))])
+
+
+def _close(a: Column, b: Column, limit: int) -> Column:
     apart = []
-    for i in range(len(GROUPS)):
+    for i in range(8):
         d = F.abs(F.shiftright(a, 8 * i).bitwiseAND(F.lit(255)) - F.shiftright(b, 8 * i).bitwiseAND(F.lit(255)))
         apart.append(F.least(d, F.lit(256) - d))
-    return reduce(lambda x, y: x + y, apart) <= limit
+    return reduce(lambda p, q: p + q, apart) <= limit
+
+
+def counts_close(a: str, b: str, threshold: int) -> Column:
+    """What holds for all pairs within the threshold: an edit changes the counts of a line, prefix or suffix by two at most.
+
+    (In a prefix, a character that is put in or left out counts once, and one more crosses the prefix's end.)
+    """
+    whole = [_close(F.col(f"{a}.counts")[k], F.col(f"{b}.counts")[k], 2 * threshold) for k in range(len(GROUPS))]
+    ends = F.forall(F.zip_with(f"{a}.ends", f"{b}.ends", lambda x, y: _close(x, y, 2 * threshold)), lambda x: x)
+    return reduce(lambda p, q: p & q, [*whole, ends])
 
 
 def index_places(k: int) -> list[tuple[int, int, int]]:
@@ -67,13 +91,14 @@ def probe_places(k: int) -> list[tuple[int, int, int]]:
 
 
 def keyed(first: DataFrame, places: list[tuple[int, int, int]], k: int, *keep: str) -> DataFrame:
-    """(h1, key) of the lines' substrings at ``places``, with the columns to keep.
+    """(key) of the lines' substrings at ``places``, with the columns to keep.
 
-    One short expression over exploded places: an expression for each place would be too long to be compiled.
+    One short expression over exploded places: an expression for each place would be too long to be compiled. Where a
+    line's characters are single bytes, its substrings are taken as bytes, without counting characters from the start.
     """
     table_ = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("gap", "i", "shift"), p, strict=True)]) for p in places])
-    own = ["h1", "line", "n", *[c for c in keep if c != "line"]]
-    rows = first.select(*own, F.explode(table_).alias("p")).select(*own, "p.*")
+    own = ["bytes", "n", *keep]
+    rows = first.withColumn("bytes", F.col("line").cast("binary")).select(*own, F.explode(table_).alias("p")).select(*own, "p.*")
     length = F.col("n") - F.col("gap")
     size, rest = F.floor(length / (k + 1)).cast("int"), length % (k + 1)
     # the last segments take the rest, one character each
@@ -81,7 +106,9 @@ def keyed(first: DataFrame, places: list[tuple[int, int, int]], k: int, *keep: s
     at = size * F.col("i") + longer + 1 + F.col("shift")
     rows = rows.withColumns({"_at": at, "_size": size + F.when(F.col("i") >= k + 1 - rest, 1).otherwise(0), "_length": length})
     rows = rows.filter((F.col("_at") >= 1) & (F.col("_at") + F.col("_size") - 1 <= F.col("n")))
-    return rows.select("h1", *keep, F.xxhash64("_length", "i", F.substring("line", F.col("_at"), F.col("_size"))).alias("key"))
+    cut = lambda x: F.substring(x, F.col("_at"), F.col("_size"))
+    part = F.when(F.octet_length("bytes") == F.col("n"), cut(F.col("bytes"))).otherwise(cut(F.col("bytes").cast("string")).cast("binary"))
+    return rows.select(*keep, F.xxhash64("_length", "i", part).alias("key"))
 
 
 def with_edit_distance(pairs: DataFrame, a: str, b: str, k: int, name: str = "distance") -> DataFrame:
@@ -125,26 +152,29 @@ def with_edit_distance(pairs: DataFrame, a: str, b: str, k: int, name: str = "di
 
 
 def similar_lines(lines: DataFrame, hot: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b, distance): hashes h1 of distinct lines within the threshold, each pair once."""
-    first = lines.join(F.broadcast(hot), ["h1", "h2"], "left").filter(F.col("first").isNull() | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.line_no") == F.col("line_no"))))
-    first = first.select("h1", "line", "n")
-    # lines that meet another one at all: a row each, however many they meet
-    i, p = keyed(first, index_places(threshold), threshold).alias("i"), keyed(first, probe_places(threshold), threshold).alias("p")
+    """(a, b, distance): hashes of distinct lines within the threshold, each pair once."""
+    first = lines.join(F.broadcast(hot), "h", "left").filter(F.col("first").isNull() | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.line_no") == F.col("line_no"))))
+    first = first.select("h", F.col("h.h1").alias("h1"), "line", "n")
+    # lines that meet another one at all: a row each, however many they meet; half of the hash is enough to tell apart those under one key
+    i, p = keyed(first, index_places(threshold), threshold, "h1").alias("i"), keyed(first, probe_places(threshold), threshold, "h1").alias("p")
     meet = (F.col("i.key") == F.col("p.key")) & (F.col("i.h1") != F.col("p.h1"))
     active = i.join(p, meet, "left_semi").select("h1").unionByName(p.join(i, meet, "left_semi").select("h1")).distinct()
-    own = first.join(sent_if_small(active, "active"), "h1", "left_semi").withColumn("counts", _packed_counts(F.col("line")))
-    i, p = keyed(own, index_places(threshold), threshold, "counts", "line").alias("i"), keyed(own, probe_places(threshold), threshold, "counts", "line").alias("p")
-    # inside the join, so that variants of one line that merely share a segment never become rows
-    near = _counts_close(F.col("i.counts"), F.col("p.counts"), 2 * threshold) & (F.levenshtein("i.line", "p.line", threshold) >= 0)
-    met = i.join(p, meet & near)
-    pairs = written(met.select(F.least("i.h1", "p.h1").alias("a"), F.greatest("i.h1", "p.h1").alias("b")).distinct(), "candidates")
-    wanted = sent_if_small(pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct(), "wanted")
-    texts = written(lines.select("h1", "line").join(wanted, "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line")), "lines")
-    both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("line_b")), "b")
+    active = sent_if_small(active, "active")
+    own = written(with_counts(first.join(active, "h1", "left_semi").repartition("h1")), "own")
+    keep = ("h", "counts", "ends")
+    i, p = keyed(own, index_places(threshold), threshold, *keep).alias("i"), keyed(own, probe_places(threshold), threshold, *keep).alias("p")
+    # the counts are compared inside the join, so that variants of one line that merely share a segment never become rows
+    met = i.join(p, (F.col("i.key") == F.col("p.key")) & (F.col("i.h") != F.col("p.h")) & counts_close("i", "p", threshold))
+    pairs = written(met.select(F.least("i.h", "p.h").alias("a"), F.greatest("i.h", "p.h").alias("b")).distinct(), "candidates", small=True)
+    wanted = sent_if_small(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct(), "wanted")
+    texts = written(own.select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")), "lines", small=True)
+    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
     # few bytes but much work: not to be gathered into a few tasks
-    both = both.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    both = both.repartition(few(lines.sparkSession), "a", "b")
     # written before it is filtered, lest the filter carry the whole computation into the joins' conditions
-    return written(with_edit_distance(both, "line_a", "line_b", threshold).select("a", "b", "distance"), "distances").filter(F.col("distance") <= threshold)
+    out = written(with_edit_distance(both, "line_a", "line_b", threshold).select("a", "b", "distance"), "distances", small=True)
+    discard(active, own, pairs, wanted, texts)
+    return out.filter(F.col("distance") <= threshold)
 
 
 def judged_lines(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,19 +188,27 @@ def judged_lines(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int
     if min_chars <= 2 * threshold:
         raise ValueError("lines must be longer than twice the threshold")
     lines = exploded(docs, id_col, text_col, min_chars)
-    classes = written(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    hot = classes.filter("n > 1").orderBy(F.desc("n"), "h1", "h2").limit(HOT_LINES).select("h1", "h2", "first")
-    pairs = written(similar_lines(lines, hot, threshold), "pairs")
+    classes = written(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
+    hot = written(classes.filter("n > 1").orderBy(F.desc("n"), "h").limit(HOT_LINES).select("h", "first"), "hot")
+    pairs = similar_lines(lines, hot, threshold)
     links = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    firsts = classes.select(F.col("h1").alias("b"), F.col("first").alias("other"))
+    firsts = classes.select(F.col("h").alias("b"), F.col("first").alias("other"))
     near = links.join(firsts, "b").groupBy("a").agg(F.count(F.lit(1)).alias("links"), F.min("other").alias("other"))
-    verdicts = classes.join(near, classes["h1"] == near["a"], "left").select("h1", "h2", F.coalesce("links", F.lit(0)).alias("links"), F.when(F.col("other") < F.col("first"), F.col("other")).otherwise(F.col("first")).alias("keeper"))
-    out = lines.select("doc_id", "line_no", "h1", "h2").join(verdicts, ["h1", "h2"])
+    # a line that is neither repeated nor linked needs no verdict
+    verdicts = classes.join(near, classes["h"] == near["a"], "left").filter("n > 1 or links is not null")
+    verdicts = written(verdicts.select("h", F.coalesce("links", F.lit(0)).alias("links"), F.when(F.col("other") < F.col("first"), F.col("other")).otherwise(F.col("first")).alias("keeper")), "verdicts", small=True)
+    # those of the most frequent lines are sent, and these lines' places are spread by their own hash, so no task gets all places of one
+    sent = verdicts.join(hot.select("h"), "h", "left_semi").select("h", F.struct("links", "keeper").alias("sent"))
     place = F.struct("doc_id", "line_no")
-    return out.select("doc_id", "line_no", "links", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.line_no").alias("keeper_line_no"), (~place.eqNullSafe(F.col("keeper"))).alias("removed"))
+    out = lines.select("doc_id", "line_no", "h").join(F.broadcast(sent), "h", "left")
+    spread = F.struct(F.xxhash64("doc_id", "line_no").alias("h1"), F.lit(0).cast("long").alias("h2"))
+    out = out.withColumn("by", F.when(F.col("sent").isNull(), F.col("h")).otherwise(spread))
+    out = out.join(verdicts.select(F.col("h").alias("by"), F.struct("links", "keeper").alias("own")), "by", "left")
+    out = out.withColumn("v", F.coalesce("sent", "own")).withColumn("keeper", F.coalesce("v.keeper", place))
+    return out.select("doc_id", "line_no", F.coalesce("v.links", F.lit(0)).alias("links"), F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.line_no").alias("keeper_line_no"), (~place.eqNullSafe(F.col("keeper"))).alias("removed"))
 
 
-def without_repeats(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", drop_copies: bool = True) -> DataFrame:
+def without_repeats(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", drop_copies: bool = False) -> DataFrame:
     """``docs`` without the lines that ``judged_lines`` removes.
 
     With ``drop_copies`` a document that loses lines goes altogether if no line that counts is left, or if two thirds
@@ -191,3 +229,32 @@ def without_repeats(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: i
 
 def op10_linedup(spark, sf_dir: str) -> DataFrame:
     return judged_lines(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB's edit distance counts bytes, so the characters beyond ASCII, at most 26 kinds, are put in single bytes that no line has.
+SQL = r"""
+WITH places AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents
+), kept AS (
+  SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM places WHERE length(line) >= 20
+), firsts AS (
+  SELECT line, min({'d': doc_id, 'l': line_no}) AS first FROM kept GROUP BY line
+), kinds AS (
+  SELECT DISTINCT unnest(regexp_extract_all(line, '[^\x00-\x7F]')) AS c FROM firsts
+), codes AS (
+  SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS a, coalesce(string_agg(chr(CAST(CASE WHEN k <= 8 THEN k ELSE k + 5 END AS INTEGER)), '' ORDER BY c), '') AS b
+  FROM (SELECT c, row_number() OVER (ORDER BY c) AS k FROM kinds)
+), plain AS (
+  SELECT line, first, translate(line, a, b) AS t, length(line) AS n FROM firsts, codes
+), pairs AS (
+  SELECT x.line AS a, y.line AS b, x.first AS fa, y.first AS fb
+  FROM plain x, (VALUES (0), (1), (2)) AS g(gap), plain y
+  WHERE y.n = x.n + g.gap AND (g.gap > 0 OR x.line < y.line) AND levenshtein(x.t, y.t) <= 2
+), links AS (
+  SELECT line, count(*) AS links, min(other) AS other FROM (SELECT a AS line, fb AS other FROM pairs UNION ALL SELECT b, fa FROM pairs) GROUP BY line
+), verdicts AS (
+  SELECT f.line, coalesce(l.links, 0) AS links, CASE WHEN l.other < f.first THEN l.other ELSE f.first END AS keeper FROM firsts f LEFT JOIN links l ON f.line = l.line
+)
+SELECT k.doc_id, k.line_no, v.links, v.keeper.d AS keeper_doc_id, v.keeper.l AS keeper_line_no, NOT (v.keeper.d = k.doc_id AND v.keeper.l = k.line_no) AS removed
+FROM kept k JOIN verdicts v ON k.line = v.line
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_neardup": neardup.op9_neardup,
     "op10_linedup": linedup.op10_linedup,
 }
-ORACLES: dict[str, str] = {"op7_url_filter": url_filter.SQL, "op9_neardup": neardup.SQL}
+ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.SQL, "op7_url_filter": url_filter.SQL, "op9_neardup": neardup.SQL, "op10_linedup": linedup.SQL}

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratamix.llm import decontaminate, linedup, neardup
+from stratamix.llm import common, decontaminate, linedup, neardup
 from stratamix.llm.graph import components
 
 
@@ -42,6 +42,19 @@ def test_banded_distance_is_exact(spark, k):
     assert all(min(x.distance, k + 1) == min(edits(x.a, x.b), k + 1) for x in got)
 
 
+def test_counts_of_near_lines_are_close(spark):
+    r = random.Random(14)
+    pairs = []
+    for _ in range(300):
+        a = "".join(r.choices("abcdefghij klmnop 0123é😀", k=r.randint(20, 500)))
+        pairs.append((a, mutated(r, a, r.randint(0, 2))))
+        pairs.append((a, mutated(r, a, 30)))
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "id long, x string, y string")
+    sides = [linedup.with_counts(rows.select("id", F.col(c).alias("line"))).alias(c) for c in ("x", "y")]
+    got = {q[0]: q[1] for q in sides[0].join(sides[1], F.col("x.id") == F.col("y.id")).select(F.col("x.id"), linedup.counts_close("x", "y", 2).alias("close")).collect()}
+    assert all(got[i] for i in got if i % 2 == 0) and sum(got[i] for i in got if i % 2) < 30
+
+
 def brute_lines(rows, threshold, least):
     places = [(d, i, line) for d, text in rows for i, line in enumerate((text or "").split("\n")) if len(line) >= least]
     first = {}
@@ -60,6 +73,8 @@ def test_lines_equal_brute_force(spark):
     lines += ["the very same line again and again"] * 40
     r.shuffle(lines)
     rows = [(i, "\n".join(lines[5 * i : 5 * i + 5])) for i in range(len(lines) // 5)] + [(1000, None), (1001, "")]
+    long = "".join(r.choices("abcé ", k=3000))
+    rows += [(1002, long), (1003, f"{long}x\n{long[:1500]}{long[1502:]}")]
     docs = spark.createDataFrame([(*x, 1, 2) for x in rows], "doc_id long, text string, line_no int, h1 int")
     got = {(x.doc_id, x.line_no): (x.links, x.keeper_doc_id, x.keeper_line_no, x.removed) for x in linedup.judged_lines(docs).collect()}
     assert got == brute_lines(rows, 2, 20)
@@ -74,7 +89,7 @@ def test_lines_leave_documents(spark):
         (3, f"{own}\n{passage}\nanother line that is its own", "c"), (4, "short", "d"), (5, None, "e"), (None, passage, "f"), (6, f"{passage}\na last line of its own here", "g"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _gone string")
-    got = {r.doc_id: r.text for r in linedup.without_repeats(docs.withColumnRenamed("_gone", "lang")).collect()}
+    got = {r.doc_id: r.text for r in linedup.without_repeats(docs.withColumnRenamed("_gone", "lang"), drop_copies=True).collect()}
     # the null id comes first, so it keeps the passage; 3 is a copy of 1, and 6 is mostly the passage
     assert set(got) == {1, 2, 4, 5, None}
     assert got[1] == f"{own}\nanother line that is its own" and "word5 " not in got[2] and got[4] == "short"
@@ -144,6 +159,37 @@ def test_components_equal_brute_force(spark, n, percent, monkeypatch):
     assert all(x.kept == (x.doc_id == x.component_id) for x in got)
 
 
+def test_results_are_the_same_where_nothing_is_sent(spark, monkeypatch):
+    r = random.Random(31)
+    docs = spark.createDataFrame(copies(r, 40, (20, 150)), "doc_id long, text string")
+    lines = spark.createDataFrame([(i, "\n".join(mutated(r, "the same line of the same text in all of these", r.randint(0, 3)) for _ in range(3))) for i in range(30)], "doc_id long, text string")
+    results = lambda: (sorted(map(tuple, neardup.near_components(docs).collect())), sorted(map(tuple, linedup.judged_lines(lines).collect())))
+    want = results()
+    monkeypatch.setattr(common, "SENT_ROWS", 0)
+    assert results() == want
+
+
+def test_likely_rows(spark):
+    rows, ids = spark.range(20_000).withColumnRenamed("id", "k"), spark.range(0, 20_000, 7)
+    got = {x.k for x in common.likely(rows, "k", ids).collect()}
+    assert set(range(0, 20_000, 7)) <= got and len(got) < 3000
+    assert common.likely(rows, "k", ids.limit(0)).count() == 0
+
+
+def test_pairs_at_the_threshold_are_hardly_ever_missed():
+    """Pairs at exactly the threshold, the worst case: how many lie beyond the distance or share no key."""
+    r = np.random.default_rng(17)
+    for percent, (parts, size) in ((85, neardup.layout(85)), (80, neardup.layout(80))):
+        missed = 0
+        for _ in range(4000):
+            union = r.integers(0, 1 << 63, 200, dtype=np.uint64) * 2 + 1
+            own = percent * 2 + (200 - percent * 2) // 2
+            a, b = neardup.signature(union[:own], parts * size), neardup.signature(np.r_[union[: percent * 2], union[own:]], parts * size)
+            apart = (a != b).reshape(parts, size).sum(axis=1)
+            missed += apart.sum() > parts * (neardup.ERRORS + 1) - 1 or apart.min() > neardup.ERRORS
+        assert missed <= 2
+
+
 def test_near_copies_edge_cases(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "other words are in here now")], "doc_id long, text string")
     got = sorted(((x.doc_id, x.component_id, x.kept) for x in neardup.near_components(docs).collect()), key=str)
