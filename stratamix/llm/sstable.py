@@ -188,9 +188,8 @@ class Table:
 def write_shards(docs: DataFrame, *, folder: str | None = None, tokenizer: str | None = None, end_id: int = 2, shards: int | None = None, shard_bytes: int = SHARD_BYTES, shard_keys: int = SHARD_KEYS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """Writes ``docs`` as shards of disjoint ascending key ranges; returns the manifest and the folder.
 
-    ``shards`` is the number of writing tasks, which begin
-    a new file at ``shard_bytes`` or ``shard_keys``. Null and empty texts are the end id alone. Repeated ids are kept each; a null id sorts first. Other columns
-    are not read. A task writes under a name of its own, and only names in the manifest, which Spark commits,
+    ``shards`` is the number of writing tasks, which begin a new file at ``shard_bytes`` or ``shard_keys``. Null and empty
+    texts are the end id alone. Repeated ids are kept each; a null id sorts first. Other columns are not read. A task writes under a name of its own, and only names in the manifest, which Spark commits,
     are ever read: a lost or repeated task leaves at most a file that nothing names.
     """
     spark = docs.sparkSession

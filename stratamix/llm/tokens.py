@@ -8,8 +8,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Words and their ids kept per Python worker; beyond, all are forgotten and learnt anew, so memory stays bounded.
-MAX_WORDS, MAX_IDS = 1_400_000, 16_000_000
+#: Words and their ids kept per Python worker, some 60 MB; beyond, all are forgotten and learnt anew.
+MAX_WORDS, MAX_IDS = 1_200_000, 12_000_000
+#: Slots of the table of words.
+SLOTS = 1 << 21
 #: Characters of texts that are split into words together.
 GROUP_CHARS = 1 << 20
 #: Characters of a word that are hashed by table; longer words are hashed one by one.
@@ -84,10 +86,35 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        """An empty memo: a word's number by its hash; where its ids begin and how many they are; all ids. END has none."""
-        self.number: dict[int, int] = {int(_RANDOM[0]): 0}
-        self.place, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, self.dtype)
-        self.held = 0
+        """An empty memo: words' numbers by hash, in a table with open addressing; where a word's ids begin and how many they are; all ids."""
+        self.keys, self.numbers = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
+        self.place, self.size, self.ids = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, self.dtype)
+        self.known = self.held = 0
+        self._add(_RANDOM[:1])  # END has no ids
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The words' numbers, -1 for words that are not known."""
+        slot, out, todo = (keys & np.uint64(SLOTS - 1)).astype(np.int64), np.full(len(keys), -1, np.int32), np.arange(len(keys))
+        while len(todo):
+            there = self.keys[slot[todo]]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.numbers[slot[todo[hit]]]
+            todo = todo[~hit & (there != 0)]
+            slot[todo] = (slot[todo] + 1) & (SLOTS - 1)
+        return out
+
+    def _add(self, keys: np.ndarray) -> np.ndarray:
+        """Gives numbers to distinct words that are not known."""
+        numbers = np.arange(self.known, self.known + len(keys), dtype=np.int32)
+        self.known += len(keys)
+        slot, todo = (keys & np.uint64(SLOTS - 1)).astype(np.int64), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[slot[todo]] == 0]
+            self.keys[slot[free]] = keys[free]  # of several for one slot, one stays
+            self.numbers[slot[free]] = numbers[free]
+            todo = todo[self.keys[slot[todo]] != keys[todo]]
+            slot[todo] = (slot[todo] + 1) & (SLOTS - 1)
+        return numbers
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -112,9 +139,9 @@ class PieceEncoder:
                 out[i] = raw[a:b]
         return out
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, words: list[str]) -> np.ndarray:
         raw = self._raw_words(words)
-        new, n = np.frombuffer(b"".join(raw), self.dtype), len(self.number)
+        new, n = np.frombuffer(b"".join(raw), self.dtype), self.known
         sizes = np.array([len(r) for r in raw]) // self.dtype.itemsize
         while n + len(keys) > len(self.place):
             self.place, self.size = np.resize(self.place, 2 * len(self.place)), np.resize(self.size, 2 * len(self.size))
@@ -124,11 +151,11 @@ class PieceEncoder:
         self.size[n : n + len(keys)] = sizes
         self.ids[self.held : self.held + len(new)] = new
         self.held += len(new)
-        self.number.update(zip(keys, range(n, n + len(keys)), strict=True))
+        return self._add(keys)
 
     def _common(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts of common characters."""
-        if len(self.number) > MAX_WORDS or self.held > MAX_IDS:
+        if self.known > MAX_WORDS or self.held > MAX_IDS:
             self._forget()
         whole = "\0".join([*texts, ""])
         codes = np.frombuffer(whole.encode("utf-16-le"), np.uint16)
@@ -138,21 +165,25 @@ class PieceEncoder:
         np.minimum(within, TABLED - 1, out=within)
         within *= _CODES
         within += codes
-        keys = np.add.reduceat(_RANDOM[within], start)
+        keys = np.maximum(np.add.reduceat(_RANDOM[within], start), 1)  # 0 is an empty slot
         for k in np.flatnonzero(length > TABLED).tolist():
             keys[k] = self._hash(whole[start[k] : start[k] + length[k]])
         found = pa.array(keys).dictionary_encode()
         of = found.indices.to_numpy()
-        distinct = found.dictionary.to_numpy().tolist()
-        known = self.number.get
-        numbers = np.array([known(k, -1) for k in distinct])
+        distinct = found.dictionary.to_numpy()
+        numbers = self._find(distinct)
         new = np.flatnonzero(numbers < 0)
+        if self.known + len(new) > SLOTS // 4 * 3:  # one group's words alone may be too many
+            self._forget()
+            if len(new) > SLOTS // 2:
+                return [np.frombuffer(raw, self.dtype) for raw in self._raw(texts)]
+            numbers = self._find(distinct)
+            new = np.flatnonzero(numbers < 0)
         if len(new):
-            numbers[new] = np.arange(len(self.number), len(self.number) + len(new))
             first = np.empty(len(distinct), np.int64)
             first[of[::-1]] = np.arange(len(of))[::-1]
             first = first[new]
-            self._learn([distinct[i] for i in new.tolist()], [whole[x:y] for x, y in zip(start[first].tolist(), (start[first] + length[first]).tolist(), strict=True)])
+            numbers[new] = self._learn(distinct[new], [whole[x:y] for x, y in zip(start[first].tolist(), (start[first] + length[first]).tolist(), strict=True)])
         sizes = self.size[numbers][of]
         stop = np.cumsum(sizes)
         ids = self.ids[np.repeat(self.place[numbers][of] - (stop - sizes), sizes) + np.arange(stop[-1])]

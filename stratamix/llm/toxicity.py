@@ -76,7 +76,7 @@ class Classifier:
 class Scorer:
     """Scores texts; what a word adds is remembered, for a bounded number of words."""
 
-    MOST = 400_000
+    MOST = 100_000
 
     def __init__(self, model: Classifier):
         self.weights, self.bias = model.weights, model.bias

@@ -40,6 +40,27 @@ def test_language_net_learns_and_folds(languages):
     assert np.allclose(np.exp(folded), np.exp(z) / np.exp(z).sum(axis=1, keepdims=True), atol=1e-4)
 
 
+def test_language_predictions_equal_brute_force(spark, languages):
+    """The plain network, filter by filter, on each window of each text; no folded tables."""
+    net = langid.fit(languages)
+    texts = ["the wonder with thing", "über nicht auch schön " * 90, "как мир это " * 120 + "the thing", "a", "thing über что " * 33, "12 é"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in langid.predict(rows, net).collect():
+        raw = texts[r.doc_id].encode()
+        total = np.zeros(len(net.languages))
+        for k in range(0, len(raw), langid.WINDOW):
+            part = raw[k : k + langid.WINDOW]
+            e = net.embedding[np.frombuffer(part.ljust(langid.WINDOW, b"\0"), np.uint8)].astype(float)
+            pooled = []
+            for w, f in zip(langid.WIDTHS, net.filters):
+                places = langid.WINDOW - max(langid.WIDTHS) + 1
+                pooled.append(np.max([e[i : i + w].ravel() @ f for i in range(places)], axis=0))
+            z = np.maximum(np.concatenate(pooled) + net.bias, 0) @ net.dense + net.dense_bias
+            total += len(part) * (z - np.log(np.exp(z - z.max()).sum()) - z.max())
+        p = np.exp(total / len(raw) - (total / len(raw)).max())
+        assert r.lang_pred == net.languages[int(p.argmax())] and abs(r.score - p.max() / p.sum()) < 1e-3
+
+
 def test_language_edge_cases(spark, languages):
     odd = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, "123 !?", 3), (4, "thing " * 30_000, 4), (4, "thing " * 30_000, 4), (None, "nicht", 5)], "doc_id long, text string, score int")
     rows = langid.predict(odd, langid.fit(languages)).collect()

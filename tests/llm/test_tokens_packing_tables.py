@@ -47,9 +47,12 @@ def test_long_texts_and_a_full_memo_give_the_tokenizers_ids(tokenizer, monkeypat
     texts = [" ".join(r.choices(words, k=r.randint(1, 300))) for _ in range(60)] + ["z" * 5000, " " * 3000, "a " * 4000]
     enc = PieceEncoder(default_tokenizer())
     monkeypatch.setattr(tokens, "GROUP_CHARS", 500)
-    monkeypatch.setattr(tokens, "MAX_WORDS", 20)
-    for text, got in zip(texts, enc.encode_many(texts), strict=True):
-        assert got.tolist() == ids_of(tokenizer, text), repr(text[:200])
+    for words, slots in ((20, 1 << 21), (1_000_000, 64), (1_000_000, 1 << 12)):
+        monkeypatch.setattr(tokens, "MAX_WORDS", words)
+        monkeypatch.setattr(tokens, "SLOTS", slots)
+        enc._forget()
+        for text, got in zip(texts, enc.encode_many(texts), strict=True):
+            assert got.tolist() == ids_of(tokenizer, text), repr(text[:200])
 
 
 def test_pieces_cover_each_document_once(docs, tokenizer):
