@@ -131,7 +131,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     # fewer windows have neither RUN tokens in a row nor COVERAGE of the tokens
     least = F.least(F.lit(RUN - WINDOW + 1), F.ceil(F.col("length") * COVERAGE / WINDOW))
     pairs = written(pairs.join(sizes, "i").filter(F.col("places") >= least).drop("places"), "held")
-    own = written(texts.join(pairs.select("d").distinct(), "d", "left_semi"), "own")
+    own = written(texts.join(pairs.select("d").distinct(), "d", "left_semi").repartition("d"), "own")
     windows = with_windows(own.select("d", "row", "tokens")).withColumnRenamed("pos", "dat")
     matched = windows.join(pairs, "d").join(known.withColumnRenamed("pos", "iat"), ["i", "window"])
     matched = written(matched.select("d", "row", "i", "windows", "length", "dat", "iat", "window").distinct(), "matched")
@@ -204,3 +204,53 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, **columns: str)
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _tokens_sql(table_: str, key: str) -> str:
+    steps = [(_NAME, rf"\1 {NAME} ", "g"), (_NUMBER, f" {NUMBER} ", "g"), (_UNIT, rf"\1 {UNIT} ", "gi")]
+    text = "coalesce(text, '')"
+    for pattern, to, flags in steps:
+        plain = pattern.replace("*+", "*").replace("++", "+").replace("'", "''")  # the possessive signs are for Java's stack only
+        text = f"regexp_replace({text}, '{plain}', '{to}', '{flags}')"
+    return f"SELECT {key} AS id, hash(text) AS rid, list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}{NUMBER}{UNIT}{NAME}]+'), lambda t: t <> '') AS tok, text FROM {table_}"
+
+
+def _windows_sql(source: str) -> str:
+    short = f"SELECT id, rid, 0 AS pos, array_to_string(list_prepend('short', tok), ' ') AS win FROM {source} WHERE len(tok) BETWEEN 1 AND {WINDOW - 1}"
+    return f"SELECT id, rid, p - 1 AS pos, array_to_string(tok[p : p + {WINDOW - 1}], ' ') AS win FROM (SELECT *, unnest(range(1, len(tok) - {WINDOW - 2})) AS p FROM {source} WHERE len(tok) >= {WINDOW}) UNION ALL {short}"
+
+
+#: For benchmarks whose items have no slots, as those of the test tables; windows are compared as texts.
+SQL = f"""
+WITH items AS ({_tokens_sql("benchmark", "item_id")}), texts AS ({_tokens_sql("documents", "doc_id")}),
+known AS (SELECT id AS i, pos AS iat, win FROM ({_windows_sql("items")})),
+sizes AS (SELECT i, count(DISTINCT win) AS windows, max(iat) + {WINDOW} AS length FROM known GROUP BY i),
+met AS (SELECT DISTINCT w.id AS d, w.rid, k.i, w.pos AS dat, k.iat, w.win, windows, length FROM ({_windows_sql("texts")}) w JOIN known k ON w.win = k.win JOIN sizes s ON k.i = s.i),
+bands AS (SELECT *, dat - iat AS apart, CAST(floor((dat - iat) / greatest(1, ceil(length / 4.0))) AS BIGINT) AS band FROM met),
+occurrences AS (
+  SELECT *, {STRAIGHT} AS kind, rid AS r, apart AS spot FROM bands UNION ALL SELECT *, {SHIFTED}, rid, band FROM bands
+  UNION ALL SELECT *, {SHIFTED}, rid, band - 1 FROM bands UNION ALL SELECT *, {WHOLE}, 0, 0 FROM bands
+), places AS (
+  SELECT DISTINCT d, i, kind, r, spot, unnest(range(iat, iat + {WINDOW})) AS place FROM occurrences
+), runs AS (
+  SELECT d, i, kind, r, spot, count(*) AS n FROM (SELECT *, place - row_number() OVER (PARTITION BY d, i, kind, r, spot ORDER BY place) AS start FROM places) GROUP BY d, i, kind, r, spot, start
+), longest AS (
+  SELECT d, i, kind, r, spot, sum(n) AS tokens, max(n) AS run FROM runs GROUP BY d, i, kind, r, spot
+), judged AS (
+  SELECT o.d, o.i, o.kind, any_value(windows) AS windows, count(DISTINCT win) AS matched, any_value(run) AS run,
+         CASE WHEN o.kind = {WHOLE} THEN count(DISTINCT win) / any_value(windows) ELSE any_value(tokens) / any_value(length) END AS coverage
+  FROM occurrences o JOIN longest l ON o.d = l.d AND o.i = l.i AND o.kind = l.kind AND o.r = l.r AND o.spot = l.spot GROUP BY o.d, o.i, o.kind, o.r, o.spot
+), found AS (
+  SELECT d, i, coverage, matched, windows FROM judged WHERE coverage >= {COVERAGE} OR kind = {STRAIGHT} AND run >= {RUN}
+), words AS (
+  SELECT id AS i, tok, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS word FROM items
+), literal AS (
+  SELECT id AS d, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> ''), ' ') || ' ' AS line FROM texts
+), every AS (
+  SELECT * FROM found
+  UNION ALL SELECT DISTINCT d, i, 1.0, 1, 1 FROM literal JOIN words ON len(tok) BETWEEN 1 AND {WINDOW - 1} AND len(word) > 1 AND contains(line, ' ' || array_to_string(word, ' ') || ' ')
+), best AS (
+  SELECT d, i, max({{'coverage': CAST(coverage AS DOUBLE), 'matched': CAST(matched AS BIGINT), 'windows': CAST(windows AS BIGINT)}}) AS b FROM every GROUP BY d, i
+)
+SELECT d AS doc_id, i AS item_id, b.matched AS matched, b.windows AS windows, b.coverage AS coverage, CAST(1 AS DOUBLE) AS slot_consistency, FALSE AS reparameterised FROM best
+"""

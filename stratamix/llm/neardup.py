@@ -243,7 +243,7 @@ def _confirmed(met: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
             found = [(r, c, s) for r, c, t in rows if len(s := shingle_set(t, shingle))]
             yield _links_of(spanning_links(*map(list, zip(*found, strict=True)), percent) if len(found) > 1 else [])
 
-    met = written(met, "met")
+    met = written(met, "met", small=True)
     if met.limit(common.SENT_ROWS + 1).count() <= common.SENT_ROWS:
         met = F.broadcast(met)
     else:
@@ -256,7 +256,7 @@ def _stars(met: DataFrame, reps: DataFrame, values: int, most: int) -> DataFrame
     pairs = met.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     own = lambda name: reps.select(F.col("rep").alias(name), F.col("sig").alias(f"sig_{name}"), F.col("n").alias(f"n_{name}"))
     pairs = pairs.join(own("a"), "a").join(own("b"), "b").filter(distance(F.col("sig_a"), F.col("sig_b"), values) <= most)
-    pairs = written(pairs.select("a", "b", "n_b"), "stars")
+    pairs = written(pairs.select("a", "b", "n_b"), "stars", small=True)
     size = pairs.groupBy("a").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n_b") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = pairs.join(size, "a").select(F.col("a").alias("grp"), F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("low"), F.lit(0).alias("high"), F.col("b").alias("rep"))
     hubs = size.select(F.col("a").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("low"), F.lit(0).alias("high"), F.col("a").alias("rep"))
@@ -284,12 +284,12 @@ def near_components(docs: DataFrame, *, shingle: int = 3, percent: int = 85, id_
     reps = written(reps, "classes")
     keys = keyed(reps, parts, part_size)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("rep").alias("hub")).filter("docs > 1").drop("docs")
-    met = written(keys.join(shared, "key"), "keys")
+    met = written(keys.join(shared, "key"), "keys", small=True)
     first = components(_confirmed(_stars(met, reps, values, most), texts, shingle, percent))
     comp = F.coalesce("component", "rep").alias("comp")
     rows = met.join(first, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("grp"), "rep", comp)
     apart = rows.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("grp")
-    rows = written(rows.join(apart, "grp"), "apart")
+    rows = written(rows.join(apart, "grp"), "apart", small=True)
     joined = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
     clusters = components(_connected(rows, reps, most).unionByName(joined))
     left = rows.select("rep", "comp").distinct().join(clusters, F.col("rep") == F.col("node")).join(reps.select("rep", "n"), "rep")
