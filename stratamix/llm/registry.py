@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, html_text, langid, linedup, neardup, packing, sstable, toxicity, url_filter
+from . import ann, decontaminate, filter_audit, html_text, langid, linedup, neardup, packing, sstable, toxicity, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_neardup": neardup.op9_neardup,
     "op10_linedup": linedup.op10_linedup,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
 }
-ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.SQL, "op7_url_filter": url_filter.SQL, "op9_neardup": neardup.SQL, "op10_linedup": linedup.SQL}
+ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.SQL, "op7_url_filter": url_filter.SQL, "op9_neardup": neardup.SQL, "op10_linedup": linedup.SQL, "op12_filter_audit": filter_audit.SQL}
