@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, filter_audit, html_text, langid, linedup, neardup, packing, sstable, toxicity, url_filter
+from . import ann, collocations, decontaminate, filter_audit, html_text, langid, linedup, neardup, packing, sstable, toxicity, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_neardup": neardup.op9_neardup,
     "op10_linedup": linedup.op10_linedup,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_collocations": collocations.op13_collocations,
 }
-ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.SQL, "op7_url_filter": url_filter.SQL, "op9_neardup": neardup.SQL, "op10_linedup": linedup.SQL, "op12_filter_audit": filter_audit.SQL}
+ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.SQL, "op7_url_filter": url_filter.SQL, "op9_neardup": neardup.SQL, "op10_linedup": linedup.SQL, "op12_filter_audit": filter_audit.SQL, "op13_collocations": collocations.SQL}
