@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, collocations, decontaminate, filter_audit, html_text, langid, linedup, neardup, packing, sstable, toxicity, url_filter
+from . import ann, collocations, decontaminate, filter_audit, fingerprints, html_text, langid, linedup, neardup, packing, sstable, toxicity, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_neardup": neardup.op9_neardup,
     "op10_linedup": linedup.op10_linedup,
+    "op11_fingerprints": fingerprints.op11_fingerprints,
     "op12_filter_audit": filter_audit.op12_filter_audit,
     "op13_collocations": collocations.op13_collocations,
 }
