@@ -78,58 +78,77 @@ def complexity_bias(n: float, k: int) -> float:
     return math.exp(-3.7 + 0.732 * math.log(n)) * k * math.log2(n)
 
 
-def em_1d(x: np.ndarray, k: int, weights: np.ndarray | None = None, *, tolerance: float = 1e-6, most: int = 500) -> Fit1D:
+def sums_1d(x: np.ndarray, w: np.ndarray, shares: np.ndarray, means: np.ndarray, variances: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """What a step of EM needs of some points, and adds up over parts of them.
+
+    For each component its mass, and the first and second moments about its present mean; the log-likelihood; the sum of ln of
+    the largest responsibilities.
+    """
+    d = x[:, None] - means
+    z = np.log(shares) - 0.5 * (np.log(2 * np.pi * variances) + d * d / variances)
+    top = z.max(axis=1)
+    total = top + np.log(np.exp(z - top[:, None]).sum(axis=1))
+    r = w[:, None] * np.exp(z - total[:, None])
+    return np.stack([r.sum(axis=0), (r * d).sum(axis=0), (r * d * d).sum(axis=0)], axis=1), float(w @ total), float(w @ (top - total))
+
+
+def stepped_1d(sums: np.ndarray, means: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares, means and variances from the sums of all points; no variance is below ``floor``."""
+    mass = np.maximum(sums[:, 0], 1e-300)
+    shift = sums[:, 1] / mass
+    return mass / mass.sum(), means + shift, np.maximum(sums[:, 2] / mass - shift * shift, floor)
+
+
+def settled(loglik: float, before: float, tolerance: float = 1e-6) -> bool:
+    return abs(loglik - before) < tolerance * abs(loglik)
+
+
+def least_variance(variance: float) -> float:
+    """No component's variance falls below this for points of a variance."""
+    return max(1e-10, 1e-8 * variance)
+
+
+def em_1d(x: np.ndarray, k: int, weights: np.ndarray | None = None, *, tolerance: float = 1e-6, most: int = 500, floor: float | None = None) -> Fit1D:
     """EM for k normals with their own variances, begun from k groups of equal weight in ascending order."""
     order = np.argsort(x, kind="stable")
     x = np.asarray(x, float)[order]
     w = np.ones(len(x)) if weights is None else np.asarray(weights, float)[order]
-    n = w.sum()
-    place = (np.cumsum(w) - w / 2) / n
-    r = (np.minimum((place * k).astype(int), k - 1)[:, None] == np.arange(k)).astype(float)
-    floor = max(1e-10, 1e-8 * float(np.average((x - np.average(x, weights=w)) ** 2, weights=w)))
+    n, mean = w.sum(), float(np.average(x, weights=w))
+    floor = least_variance(float(np.average((x - mean) ** 2, weights=w))) if floor is None else floor
+    group = np.minimum(((np.cumsum(w) - w / 2) / n * k).astype(int), k - 1)
+    d = x - mean
+    first = np.stack([np.bincount(group, w * m, k) for m in (np.ones(len(x)), d, d * d)], axis=1)
+    fit = stepped_1d(first, np.full(k, mean), floor)
     before = -np.inf
-    for _ in range(most):
-        mass = np.maximum((w[:, None] * r).sum(axis=0), 1e-300)
-        shares, means = mass / n, (w * x) @ r / mass
-        variances = np.maximum(np.einsum("i,ij,ij->j", w, r, (x[:, None] - means) ** 2) / mass, floor)
-        z = np.log(shares) - 0.5 * (np.log(2 * np.pi * variances) + (x[:, None] - means) ** 2 / variances)
-        top = z.max(axis=1)
-        total = top + np.log(np.exp(z - top[:, None]).sum(axis=1))
-        r = np.exp(z - total[:, None])
-        loglik = float(w @ total)
-        if abs(loglik - before) < tolerance * abs(loglik):
+    for step in range(most):
+        sums, loglik, certainty = sums_1d(x, w, *fit)
+        if settled(loglik, before, tolerance) or step == most - 1:
             break
-        before = loglik
-    by = np.argsort(means, kind="stable")
-    return Fit1D(shares[by], means[by], variances[by], loglik, float(w @ np.log(np.maximum(r.max(axis=1), 1e-300))))
-
+        fit, before = stepped_1d(sums, fit[1], floor), loglik
+    by = np.argsort(fit[1], kind="stable")
+    return Fit1D(*(a[by] for a in fit), loglik, certainty)
 
-def choose_1d(x: np.ndarray, most: int = 3, criterion: str = "bic", weights: np.ndarray | None = None, n: float | None = None, prior_bic: float | None = None) -> Fit1D:
-    """The fit with 1 to ``most`` components of the best biased BIC, or of the best ICL without bias.
 
-    With ``prior_bic`` the bias for k components is that times k log2 n.
-    """
-    n = float(n if n is not None else len(x) if weights is None else weights.sum())
-    distinct = len(np.unique(x))
-    fits = [em_1d(x, k, weights) for k in range(1, min(most, distinct) + 1)]
+def best_1d(fits: Sequence[Fit1D], n: float, criterion: str = "bic", prior_bic: float | None = None) -> Fit1D:
+    """The fit of the best biased BIC, or of the best ICL without bias. With ``prior_bic`` the bias for k components is that times k log2 n."""
     if criterion == "icl":
         return max(fits, key=lambda f: f.icl(n))
     bias = (lambda k: complexity_bias(n, k)) if prior_bic is None else lambda k: prior_bic * k * math.log2(n)
     return max(fits, key=lambda f: f.bic(n) - bias(len(f.means)))
 
 
-def fixed_1d(x: np.ndarray, k: int, separate_negative: bool = False, weights: np.ndarray | None = None) -> Fit1D:
-    """A fit with k components; with ``separate_negative`` k for x > 0 and one more in front for x < 0, zeros left out."""
-    x = np.asarray(x, float)
-    w = np.ones(len(x)) if weights is None else np.asarray(weights, float)
-    if not separate_negative or not (x < 0).any() or not (x > 0).any():
-        return em_1d(x, min(k, len(np.unique(x))), w)
-    low, high = w[x < 0], x[x > 0]
-    f = em_1d(high, min(k, len(np.unique(high))), w[x > 0])
-    n, share = low.sum(), low.sum() / w[x != 0].sum()
-    mean = float(np.average(x[x < 0], weights=low))
-    variance = float(low @ (x[x < 0] - mean) ** 2 / (n - 1)) if n > 1 else float(f.variances.min())
-    return Fit1D(np.r_[share, f.shares * (1 - share)], np.r_[mean, f.means], np.r_[max(variance, 1e-10), f.variances], f.loglik, f.certainty)
+def choose_1d(x: np.ndarray, most: int = 3, criterion: str = "bic", weights: np.ndarray | None = None, prior_bic: float | None = None) -> Fit1D:
+    """The best fit of given points with 1 to ``most`` components."""
+    n = float(len(x) if weights is None else weights.sum())
+    return best_1d([em_1d(x, k, weights) for k in range(1, min(most, len(np.unique(x))) + 1)], n, criterion, prior_bic)
+
+
+def with_negative(fit: Fit1D, low: tuple[float, float, float | None], high: float) -> Fit1D:
+    """A fit of ``high`` positive values, with one component more in front for the negative ones: their number, mean and sample variance."""
+    n, mean, variance = low
+    share = n / (n + high)
+    variance = max(variance, 1e-10) if n > 1 and variance is not None else float(fit.variances.min())
+    return Fit1D(np.r_[share, fit.shares * (1 - share)], np.r_[mean, fit.means], np.r_[variance, fit.variances], fit.loglik, fit.certainty)
 
 
 def kde_bandwidth(n: float, sd: float) -> float:

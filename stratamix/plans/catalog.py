@@ -325,10 +325,10 @@ def whole_fit(spark, sf):
 
 
 def _fit_sql(values: str, ks: Sequence[int] = (1, 2, 3)) -> tuple[str, str]:
-    """EM for each number of normals by recursion, and the choice by biased BIC: tables, and a query of pro, mean and var.
+    """EM for each number of normals, on a histogram and from there on all values, and the choice by biased BIC: tables, and a query of pro, mean and var.
 
-    ``values``: a table of x without nulls.
-    A row of ``em`` is a step of the fit with k components; components beyond k have no density.
+    ``values``: a table of x without nulls. A row of ``em`` is a step of the fit with k components to the cells of the
+    histogram, one of ``em2`` a step on the values; components beyond k have no density.
     """
     js = range(1, max(ks) + 1)
     each = lambda f, sep=", ": sep.join(f(j) for j in js)
@@ -337,16 +337,21 @@ def _fit_sql(values: str, ks: Sequence[int] = (1, 2, 3)) -> tuple[str, str]:
     whole = f"{top} + ln({each(lambda j: f'exp(z{j} - {top})', ' + ')})"
     held = each(lambda j: f"any_value(s{j}) AS s{j}, any_value(m{j}) AS m{j}, any_value(v{j}) AS v{j}")
     moments = each(lambda j: f"sum(r{j}) / any_value(n) AS s{j}, sum(r{j} * x) / sum(r{j}) AS m{j}, greatest(sum(r{j} * x * x) / sum(r{j}) - pow(sum(r{j} * x) / sum(r{j}), 2), any_value(least_var)) AS v{j}")
-    scored = lambda source, before: f"SELECT k, any_value(t) AS t, {held}, sum({whole}) AS l, any_value({before}) AS before FROM (SELECT q.*, {z} FROM (SELECT * FROM ({source}) AS n, p) AS q) GROUP BY k"
-    hard = each(lambda j: f"CASE WHEN least(floor((i + 0.5) / n * k), k - 1) = {j - 1} THEN 1.0 ELSE 0.0 END AS r{j}")
-    start = f"SELECT k, 1 AS t, {moments} FROM (SELECT p.*, k, {hard} FROM p, (SELECT unnest({list(ks)}) AS k)) GROUP BY k"
-    soft = each(lambda j: f"CASE WHEN k >= {j} THEN exp(z{j} - ({whole})) ELSE 0.0 END AS r{j}")
-    again = f"SELECT k, any_value(t) + 1 AS t, any_value(l) AS l0, {moments} FROM (SELECT *, {soft} FROM (SELECT e.*, p.*, {z} FROM em AS e, p WHERE t < 500 AND (before IS NULL OR NOT abs(l - before) < 1e-6 * abs(l)))) GROUP BY k"
+    scored = lambda points, source, before: f"SELECT k, any_value(t) AS t, {held}, sum(w * ({whole})) AS l, any_value({before}) AS before FROM (SELECT q.*, {z} FROM (SELECT * FROM ({source}) AS n, {points}) AS q) GROUP BY k"
+    hard = each(lambda j: f"CASE WHEN least(floor((reach - w / 2) / n * k), k - 1) = {j - 1} THEN w ELSE 0.0 END AS r{j}")
+    start = f"SELECT k, 1 AS t, {moments} FROM (SELECT h.*, k, {hard} FROM h, (SELECT unnest({list(ks)}) AS k)) GROUP BY k"
+    soft = each(lambda j: f"CASE WHEN k >= {j} THEN w * exp(z{j} - ({whole})) ELSE 0.0 END AS r{j}")
+    again = lambda em, points: f"SELECT k, any_value(t) + 1 AS t, any_value(l) AS l0, {moments} FROM (SELECT *, {soft} FROM (SELECT e.*, {points}.*, {z} FROM {em} AS e, {points} WHERE t < 500 AND (before IS NULL OR NOT abs(l - before) < 1e-6 * abs(l)))) GROUP BY k"
+    last = lambda em: f"SELECT * FROM {em} QUALIFY row_number() OVER (PARTITION BY k ORDER BY t DESC) = 1"
+    none = "CAST(NULL AS DOUBLE)"
     rows = " UNION ALL ".join(f"SELECT s{j} AS pro, m{j} + centre AS mean, v{j} AS var FROM best, (SELECT any_value(centre) AS centre FROM p) WHERE k >= {j}" for j in js)
-    tables = f"""a AS ({values}), c AS (SELECT avg(x) AS centre, greatest(1e-10, 1e-8 * var_pop(x)) AS least_var, count(*) AS n FROM a),
-p AS MATERIALIZED (SELECT x - centre AS x, centre, least_var, n, row_number() OVER (ORDER BY x) - 1 AS i FROM a, c),
-em AS ({scored(start, "CAST(NULL AS DOUBLE)")} UNION ALL {scored(again, "l0")}),
-done AS (SELECT * FROM em QUALIFY row_number() OVER (PARTITION BY k ORDER BY t DESC) = 1),
+    tables = f"""a AS ({values}), c AS (SELECT avg(x) AS centre, greatest(1e-10, 1e-8 * var_pop(x)) AS least_var, count(*) AS n, min(x) AS low, max(x) AS high FROM a),
+p AS MATERIALIZED (SELECT x - centre AS x, CAST(1 AS DOUBLE) AS w, centre, least_var, n FROM a, c),
+cells AS (SELECT avg(x) AS x, CAST(count(*) AS DOUBLE) AS w FROM (SELECT x, least(floor((x - low) / (high - low) * 8192), 8191) AS cell FROM a, c) GROUP BY cell),
+h AS MATERIALIZED (SELECT x - centre AS x, w, least_var, n, sum(w) OVER (ORDER BY x) AS reach FROM cells, c),
+em AS ({scored("h", start, none)} UNION ALL {scored("h", again("em", "h"), "l0")}),
+em2 AS ({scored("p", f"SELECT k, 0 AS t, {each(lambda j: f's{j}, m{j}, v{j}')} FROM ({last('em')})", none)} UNION ALL {scored("p", again("em2", "p"), "l0")}),
+done AS ({last("em2")}),
 best AS (SELECT done.* FROM done, c ORDER BY 2 * l - (3 * k - 1) * ln(n) - exp(-3.7 + 0.732 * ln(n)) * k * log2(n) DESC, k LIMIT 1)"""
     return tables, rows
 
@@ -377,6 +382,7 @@ QUERIES = {
     "project_features": lambda spark, sf: frame.features(_vectors(spark, sf), DIMS, "vec_id"),
     "sample_topk_hash": lambda spark, sf: _events(spark, sf).withColumn("h", (F.col("event_id") * 7919) % 100003).transform(frame.first_rows, 500, "h", "event_id").select("event_id", "value"),
     "sample_rows_exact": lambda spark, sf: frame.sample_rows(_events(spark, sf), 400).agg(F.count(F.lit(1)).alias("n")),
+    "sample_rows_by_id": lambda spark, sf: frame.sample_rows(_events(spark, sf), 400, seed=7, by=["event_id"]).select("event_id", "value"),
     "union_samples": lambda spark, sf: frame.union_samples({t: _events(spark, sf).filter(F.col("event_type") == t).select("value") for t in ("click", "view")}).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")),
     "level_map": lambda spark, sf: binning.with_bins(_vectors(spark, sf), CUTS).select("vec_id", *[F.col("levels")[i].alias(f"level_{m}") for i, m in enumerate(CUTS)], "bin_key"),
     "bin_summary": _summary_query(True),
@@ -431,6 +437,7 @@ ORACLES = {
     "project_features": f"WITH {VECTORS} SELECT * FROM v",
     "sample_topk_hash": "SELECT event_id, CAST(value AS DOUBLE) AS value FROM events ORDER BY (event_id * 7919) % 100003, event_id LIMIT 500",
     "sample_rows_exact": "SELECT least(400, count(*)) AS n FROM events",
+    "sample_rows_by_id": "SELECT event_id, CAST(value AS DOUBLE) AS value FROM events ORDER BY md5('7:' || CAST(event_id AS VARCHAR)) LIMIT 400",
     "union_samples": "SELECT event_type AS sample_id, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_type IN ('click', 'view') GROUP BY 1",
     "level_map": f"WITH {VECTORS} SELECT vec_id, " + ", ".join(f"CAST({_level_sql(m, c)} AS INTEGER) AS level_{m}" for m, c in CUTS.items()) + f", {' || '.join(f'CAST({_level_sql(m, c)} AS VARCHAR)' for m, c in CUTS.items())} AS bin_key FROM v",
     "bin_summary": f"WITH {VECTORS}, {_binned_sql(CUTS)}, {_SUMMARY}",

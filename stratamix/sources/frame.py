@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,8 +58,10 @@ def sample_size(n: int, fraction: float, floor: int = 10_000) -> int:
     return n if fraction >= 1 else min(max(math.ceil(fraction * n), floor), n)
 
 
-#: Equal rows whose draws are made at once; larger samples than MOST_ORDERED are cut by counts before they are ordered.
-DRAWN_AT_ONCE, MOST_ORDERED, SLOTS = 4096, 200_000, 4096
+#: Slots of equal width that draws are counted in, to find where a sample ends.
+SLOTS = 4096
+#: Draws have so many bits.
+DRAW_BITS = 60
 
 
 def first_rows(df: DataFrame, size: int, *by: str) -> DataFrame:
@@ -67,40 +69,59 @@ def first_rows(df: DataFrame, size: int, *by: str) -> DataFrame:
     return df.orderBy(*by).limit(size)
 
 
-def sample_rows(df: DataFrame, size: int, n: int | None = None, seed: int = 0) -> DataFrame:
-    """Exactly ``size`` rows (all, if fewer), each row with the same chance; the same rows come back each time.
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, made once: in the folder that ``spark.checkpoint.dir`` names, or where none is named in Spark's storage."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        return df.persist()
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
 
-    Rows that are equal in all columns are counted, and each of them is drawn by a seeded hash of its values and its
-    number among its equals. A hash threshold a little above the share cuts the rows first; of those, the slots of
-    hashes below the last one that is needed are taken whole, and only the last one is ordered for the exact count.
+
+def draws(df: DataFrame, seed: int = 0, by: Sequence[str] = ()) -> Column:
+    """An even draw from [0, 2^DRAW_BITS) for each row: from the text of its ``by`` columns, or from the place where it is read."""
+    if by:
+        text = F.concat_ws(":", F.lit(str(seed)), *[F.col(f"`{c}`").cast("string") for c in by])
+        return F.conv(F.substring(F.md5(text.cast("binary")), 1, DRAW_BITS // 4), 16, 10).cast("long")
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), 64 - DRAW_BITS)
+
+
+def sample_rows(df: DataFrame, size: int, n: int | None = None, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """Exactly ``size`` rows (all, if fewer): those of the smallest draws, so each row has the same chance, equal rows too.
+
+    Rows are not shuffled by their values. A bound a little above the share keeps back most rows; what passes, about ``size``
+    rows, is made once, its draws are counted in slots, all slots but the last that is needed are taken whole, and only the
+    last one is ordered. ``by`` names columns that tell rows apart: the same rows are then drawn however the table is laid
+    out. Without, the same layout gives the same rows.
     """
     n = df.count() if n is None else n
     if size >= n:
         return df
-    share = size / n
+    if size <= 0:
+        return df.limit(0)
+    share, whole = size / n, 1 << DRAW_BITS
+    name = "_draw"
+    while name in df.columns:
+        name = f"_{name}"
+    keyed = df.withColumn(name, draws(df, seed, by))
     most = min(1.0, share + 6 * math.sqrt(share * (1 - share) / n) + 30 / n)
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    name, times, first = "_unit", "_times", "_first"
-    # a value of a very many rows is split before its draws are made
-    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias(times))
-    hot = F.col(times) > DRAWN_AT_ONCE
-    some = counted.filter(~hot).withColumn(first, F.lit(0).cast("long"))
-    many = counted.filter(hot).withColumn(first, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(DRAWN_AT_ONCE).cast("long")))).repartition(*columns, first)
-    last = F.least(F.col(times), F.col(first) + DRAWN_AT_ONCE) - 1
-    own = F.xxhash64(F.lit(seed), *columns)
-    unit = lambda k: F.pmod(F.xxhash64(F.col("_own"), k), F.lit(1 << 40)) / float(1 << 40)
-    units = F.filter(F.transform(F.sequence(F.col(first), last), unit), lambda u: u <= most)
-    drawn = some.unionByName(many).withColumn("_own", own).select(*columns, F.explode(units).alias(name))
-    if size <= MOST_ORDERED:
-        return first_rows(drawn, size, name).drop(name)
-    slot = F.floor(F.col(name) / most * SLOTS)
-    before, edge = 0, SLOTS + 1
-    for r in drawn.groupBy(slot.alias("slot")).count().orderBy("slot").collect():  # SLOTS rows at most
-        if before + r["count"] > size:
-            edge = r["slot"]
+    while True:
+        width = max(1, math.ceil(most * whole) // SLOTS)
+        near = kept(keyed.filter(F.col(name) < F.lit(width * SLOTS)))
+        slot = F.floor(F.col(name) / width)
+        before, edge = 0, None
+        for r in near.groupBy(slot.alias("slot")).count().orderBy("slot").collect():  # SLOTS rows at most
+            if before + r["count"] >= size:
+                edge = r["slot"]
+                break
+            before += r["count"]
+        if edge is not None:
             break
-        before += r["count"]
-    return drawn.filter(slot < edge).unionByName(first_rows(drawn.filter(slot == edge), size - before, name)).drop(name)
+        most = min(1.0 + 1.0 / SLOTS, 2 * most)  # by rare chance too few rows passed
+    last = first_rows(near.filter(slot == edge), size - before, name)
+    return near.filter(slot < edge).unionByName(last).drop(name)
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:

@@ -178,24 +178,34 @@ def test_input_errors(spark, planted):
 
 
 def test_exact_sample_is_exact_and_repeats(planted):
-    one = {r.id for r in frame.sample_rows(planted, 777).collect()}
-    assert len(one) == 777 and one == {r.id for r in frame.sample_rows(planted.repartition(7), 777).collect()}
+    one = {r.id for r in frame.sample_rows(planted, 777, by=["id"]).collect()}
+    assert len(one) == 777 and one == {r.id for r in frame.sample_rows(planted.repartition(7), 777, by=["id"]).collect()}
+    placed = [r.id for r in frame.sample_rows(planted, 777).collect()]
+    assert len(set(placed)) == 777 and sorted(placed) == sorted(r.id for r in frame.sample_rows(planted, 777).collect())
+    assert one != {r.id for r in frame.sample_rows(planted, 777, seed=1, by=["id"]).collect()}
+    assert frame.sample_rows(planted, 0).count() == 0 and frame.sample_rows(planted, 5000).count() == 5000
 
 
-@pytest.mark.parametrize(("most", "at_once"), [(200_000, 4096), (10, 64)])
-def test_equal_rows_are_drawn_one_by_one(spark, monkeypatch, most, at_once):
-    monkeypatch.setattr(frame, "MOST_ORDERED", most)
-    monkeypatch.setattr(frame, "DRAWN_AT_ONCE", at_once)
+@pytest.mark.parametrize("slots", [4096, 3])
+def test_equal_rows_are_drawn_one_by_one(spark, monkeypatch, slots):
+    monkeypatch.setattr(frame, "SLOTS", slots)
     # a third of the rows are zeros, the rest are 50 values of 400 rows each
     df = spark.range(30_000).select(F.when(F.col("id") < 10_000, 0.0).otherwise(F.col("id") % 50 + 1).alias("x"))
-    draw = lambda rows: {r.x: r["count"] for r in frame.sample_rows(rows, 900).groupBy("x").count().collect()}
-    got = draw(df)
-    assert sum(got.values()) == 900 and len(got) == 51
-    assert 230 < got[0.0] < 370 and max(v for x, v in got.items() if x) < 40
-    assert got == draw(df.repartition(7))
+    got = {r.x: r["count"] for r in frame.sample_rows(df, 900).groupBy("x").count().collect()}
+    assert sum(got.values()) == 900
+    # chi-square with 50 degrees of freedom: 0.9999 lies at about 94
+    wanted = {x: 300 if x == 0 else 12 for x in range(51)}
+    assert sum((got.get(float(x), 0) - e) ** 2 / e for x, e in wanted.items()) < 94
     assert frame.sample_rows(df, 1).count() == 1
 
 
+def test_sampling_shuffles_no_rows_by_value(planted):
+    """The rows that pass the first bound are made once where they are; draws are ordered in one slot alone."""
+    out = frame.sample_rows(planted, 500, by=["id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 500 and "hashpartitioning" not in plan and "rangepartitioning" not in plan and "TakeOrdered" in plan
+
+
 def test_rule_file_with_bare_carriage_returns(spark, tmp_path):
     (tmp_path / "r.csv").write_bytes(b",m1,m2\rA,hi,lo\rB,lo,dc")
     rows = frame.read_rules(spark, str(tmp_path / "r.csv")).collect()

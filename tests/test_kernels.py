@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from stratamix.functions.normal import choose_1d, complexity_bias, cutoff, cutoffs, em_1d, fixed_1d, tsne
+from stratamix.functions.normal import best_1d, choose_1d, complexity_bias, cutoff, cutoffs, em_1d, stepped_1d, sums_1d, tsne, with_negative
 from stratamix.operators.coreset import kmeans, median_pieces
 from stratamix.operators.em import Mixture, sums, updated
 from stratamix.plans.catalog import CROSSINGS
@@ -42,11 +42,42 @@ def test_em_weights_stand_for_copies():
     assert a.means == pytest.approx(b.means, abs=1e-6)
 
 
-def test_separate_negative_puts_one_component_in_front():
+def test_negative_values_become_a_component_in_front():
     x = np.r_[np.full(10, -1.0) + np.arange(10) / 100, np.zeros(5), 1 + np.arange(30) / 100]
-    f = fixed_1d(x, 1, separate_negative=True)
+    f = with_negative(em_1d(x[x > 0], 1), (10, x[x < 0].mean(), x[x < 0].var(ddof=1)), 30)
     assert f.shares == pytest.approx([0.25, 0.75])
     assert f.means[0] < 0 < f.means[1]
+    assert with_negative(em_1d(x[x > 0], 1), (1, -3.0, None), 30).variances[0] == pytest.approx(x[x > 0].var())
+
+
+def test_sums_of_parts_are_those_of_the_whole():
+    r = np.random.default_rng(7)
+    x, w = r.normal(size=500), r.random(500)
+    model = (np.array([0.3, 0.7]), np.array([-1.0, 1.0]), np.array([0.5, 2.0]))
+    whole, parts = sums_1d(x, w, *model), [sums_1d(x[i::3], w[i::3], *model) for i in range(3)]
+    assert np.allclose(whole[0], sum(p[0] for p in parts)) and whole[1] == pytest.approx(sum(p[1] for p in parts))
+    density = model[0] * np.exp(-0.5 * (x[:, None] - model[1]) ** 2 / model[2]) / np.sqrt(2 * np.pi * model[2])
+    resp = density / density.sum(axis=1, keepdims=True)
+    mass = (w[:, None] * resp).sum(axis=0)
+    shares, means, variances = stepped_1d(whole[0], model[1], 1e-10)
+    assert whole[1] == pytest.approx(w @ np.log(density.sum(axis=1))) and whole[2] == pytest.approx(w @ np.log(resp.max(axis=1)))
+    assert shares == pytest.approx(mass / w.sum()) and means == pytest.approx((w * x) @ resp / mass)
+    assert variances == pytest.approx([(w * resp[:, j]) @ (x - means[j]) ** 2 / mass[j] for j in range(2)])
+
+
+def test_icl_prefers_separated_components():
+    """BIC without bias takes two overlapping normals apart, ICL doesn't; both by the formulas, from the fits' own densities."""
+    r = np.random.default_rng(11)
+    x = np.r_[r.normal(0, 1, 3000), r.normal(2.2, 1, 3000)]
+    fits = [em_1d(x, k) for k in (1, 2, 3)]
+    for f in fits:
+        density = f.shares * np.exp(-0.5 * (x[:, None] - f.means) ** 2 / f.variances) / np.sqrt(2 * np.pi * f.variances)
+        bic = 2 * np.log(density.sum(axis=1)).sum() - (3 * len(f.means) - 1) * math.log(len(x))
+        assert f.bic(6000) == pytest.approx(bic, rel=1e-6)
+        assert f.icl(6000) == pytest.approx(bic + 2 * np.log((density / density.sum(axis=1, keepdims=True)).max(axis=1)).sum(), rel=1e-6)
+    assert len(best_1d(fits, 6000, "icl").means) == 1 and len(best_1d(fits, 6000, prior_bic=0.0).means) == 2
+    far = [em_1d(np.r_[x, x + 30], k) for k in (1, 2)]
+    assert len(best_1d(far, 12_000, "icl").means) == 2
 
 
 def test_m_step_equals_the_direct_formula():
