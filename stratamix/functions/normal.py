@@ -48,16 +48,6 @@ def cutoff(p1: float, m1: float, s1: float, p2: float, m2: float, s2: float, tol
     return at
 
 
-def cutoffs(mixture: Sequence[tuple[float, float, float]], floor: float = 0.5) -> list[float]:
-    """Cutoffs between neighbouring components (share, mean, variance), ascending; those below ``floor`` go."""
-    kept: list[float] = []
-    for (p1, m1, v1), (p2, m2, v2) in zip(mixture, mixture[1:], strict=False):
-        at = cutoff(p1, m1, math.sqrt(v1), p2, m2, math.sqrt(v2))
-        if at >= floor and (not kept or at > kept[-1]):
-            kept.append(at)
-    return kept
-
-
 @dataclass
 class Fit1D:
     shares: np.ndarray

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.normal import Fit1D, best_1d, cutoffs, em_1d, least_variance, settled, stepped_1d, sums_1d, with_negative
+from ..functions.normal import Fit1D, best_1d, cutoff, em_1d, least_variance, settled, stepped_1d, sums_1d, with_negative
 from ..sources.frame import default_fraction, features, sample_rows, sample_size
 
 SCHEMA = "marker string, comp int, pro double, mean double, var double"
@@ -213,9 +213,22 @@ def kept_cutoffs(candidates: DataFrame, floor: float = 0.5) -> DataFrame:
     return candidates.filter(F.col("pos") >= floor).withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("pos") > F.col("_before"))).drop("_before")
 
 
+def crossings(mixtures: DataFrame) -> DataFrame:
+    """(marker, comp, pos): where each component's density crosses the next one's; see ``normal.cutoff``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            pos = [cutoff(r.pro, r.mean, r.var**0.5, r.next_pro, r.next_mean, r.next_var**0.5) for r in b.itertuples()]
+            yield pd.DataFrame({"marker": b.marker, "comp": b.comp, "pos": np.array(pos, float)})
+
+    return adjacent_pairs(mixtures).mapInPandas(run, "marker string, comp int, pos double")
+
+
 def cutoffs_of(mixtures: DataFrame, params: Iterable[str] | None = None, floor: float = 0.5) -> dict[str, list[float]]:
     """Cutoffs by marker; a marker with one component has no entry, one whose cutoffs all fall away has an empty one."""
-    by: dict[str, list[tuple[float, float, float]]] = {}
-    for r in mixtures.orderBy("marker", "comp").collect():  # a few rows for each column
-        by.setdefault(r.marker, []).append((r.pro, r.mean, r.var))
-    return {m: cutoffs(by[m], floor) for m in (params or by) if m in by and len(by[m]) > 1}
+    found = crossings(mixtures).persist()
+    by: dict[str, list[float]] = {r.marker: [] for r in found.select("marker").distinct().orderBy("marker").collect()}  # a few rows for each column
+    for r in kept_cutoffs(found, floor).orderBy("marker", "comp").collect():
+        by[r.marker].append(r.pos)
+    found.unpersist()
+    return {m: by[m] for m in (params or by) if m in by}

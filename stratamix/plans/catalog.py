@@ -1,7 +1,7 @@
 """Queries of the clustering engine by name, and the SQL they are compared with.
 
-Stage inputs (cutoffs, component tables, rules) are literals here, so each operator is deterministic and compared
-by itself; k-means, t-SNE and fits of samples have no SQL.
+Every query reads tables. Cutoffs of bins, rules and one mixture for scoring are given here; mixtures of columns, components
+and clusters are made from the tables. K-means, t-SNE and fits of samples have no SQL.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.normal import complexity_bias, cutoff
+from ..functions.normal import complexity_bias
 from ..operators import binning, coreset, em, labeling, merge, predict, summaries, univariate
 from ..sources import frame
 from .model import MixtureClusterer
@@ -25,16 +25,12 @@ LINE = ["qty", "price", "disc"]
 LINE_CUTS = {"qty": [1.5, 3.0], "price": [2.0, 5.0], "disc": [0.5]}
 LARGEST = 400
 
-MIXTURES = [("a", 1, 0.5, 0.0, 1.0), ("a", 2, 0.5, 2.0, 1.0), ("b", 1, 0.7, 0.0, 0.25), ("b", 2, 0.2, 0.3, 0.04), ("b", 3, 0.1, 3.0, 0.64), ("c", 1, 1.0, 1.0, 0.5)]
-CANDIDATES = [("a", 1, 0.9), ("a", 2, 0.4), ("a", 3, 1.4), ("a", 4, 1.2), ("b", 1, 0.3), ("c", 1, 0.5), ("c", 2, 0.5), ("c", 3, 2.0)]
-CROSSINGS = [(1, 0.5, 0.0, 1.0, 0.5, 2.0, 1.0), (2, 0.7, 0.0, 0.5, 0.3, 2.0, 0.8), (3, 0.9, 0.0, 0.1, 0.1, 3.0, 0.1), (4, 0.5, 0.0, 0.1, 0.5, 3.0, 0.3), (5, 0.95, 0.0, 1.0, 0.05, 1.0, 0.5), (6, 0.99, 0.0, 0.6, 0.01, 0.3, 0.3)]
-COMPONENTS = [
-    (1, 0.30, [0.2, 1.1, 2.4], [0.10, 0.20, 0.15]), (2, 0.20, [1.8, 0.3, 2.2], [0.12, 0.10, 0.30]), (3, 0.15, [0.1, 1.4, 2.6], [0.05, 0.25, 0.10]),
-    (4, 0.25, [2.6, 1.9, 2.1], [0.40, 0.11, 0.21]), (5, 0.10, [1.6, 0.2, 2.9], [0.22, 0.05, 0.17]),
-]
-MARKERS, MARKER_CUTS = ["m1", "m2", "m3"], {"m1": [1.0, 2.5], "m2": [1.0]}
-CLUSTERS = [(1, 1, 1, 1), (2, 3, 2, 1), (3, 2, 1, 2), (4, 3, 1, 3), (5, 2, 2, 3), (6, 1, 3, 1)]
-RULES = [(1, "alpha", "hi", "hi"), (2, "beta", "hi", "lo"), (3, "gamma", "lo", "hi"), (4, "delta", "hi", "dc")]
+#: Mixtures of columns: marker, table, expression, components for values above zero (None: up to three by BIC).
+COLUMNS = [("amount", "events", "CAST(value AS DOUBLE) / 100", None), ("balance", "customer", "CAST(c_acctbal AS DOUBLE) / 1000", 2), ("total", "orders", "CAST(o_totalprice AS DOUBLE) / 100000", None)]
+#: Components of the largest bins of lineitem fall into clusters between these.
+MERGE_CUTS, MERGED = {"qty": [1.5, 3.0], "price": [2.0], "disc": [0.5]}, 12
+RULES = [(1, "alpha", "hi", "hi"), (2, "beta", "hi", "lo"), (3, "gamma", "lo", "hi")]
+OTHER = [("a", 1, 0.5, 0.0, 1.0), ("a", 2, 0.5, 2.0, 1.0), ("b", 1, 0.7, 0.0, 0.25), ("b", 2, 0.2, 0.3, 0.04), ("b", 3, 0.1, 3.0, 0.64), ("c", 1, 1.0, 1.0, 0.5)]
 
 MODEL = em.Mixture(["x0", "x1"], np.array([0.5, 0.3, 0.2]), np.array([[0.0, 0.05], [0.1, -0.1], [-0.1, 0.1]]), np.array([[[0.02, 0.004], [0.004, 0.015]], [[0.012, 0.0], [0.0, 0.018]], [[0.016, -0.003], [-0.003, 0.02]]]))
 CLUSTER_OF = [2, 1, 2]
@@ -93,25 +89,33 @@ def _literal(spark, rows, schema) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def _mixtures(spark) -> DataFrame:
-    return _literal(spark, MIXTURES, univariate.SCHEMA)
+def _mixtures(spark, sf) -> DataFrame:
+    """One-dimensional mixtures of columns of three tables, fitted to all their values."""
+    out = _literal(spark, [], univariate.SCHEMA)
+    for marker, table, expression, k in COLUMNS:
+        rows = _read(spark, sf, table).select(F.expr(expression).alias(marker))
+        out = univariate.refit_univariate(rows, {marker: k}, out, 1.0, True) if k else out.unionByName(univariate.fit_univariate(rows, [marker], 3, sample_fraction=1.0))
+    return out
 
 
-def _components(spark) -> DataFrame:
-    rows = [(k, p, m, [[v[i] if i == j else 0.0 for j in range(3)] for i in range(3)]) for k, p, m, v in COMPONENTS]
-    return _literal(spark, rows, "component int, pro double, mean array<double>, cov array<array<double>>")
+def _components(spark, sf) -> DataFrame:
+    placed, summary = _placed(spark, sf)
+    start = coreset.initial_mixture(placed, summary, LINE, components=MERGED, smallest=50)
+    return em.Mixture.collect(start, LINE).table(spark)
 
 
-def _mapping(spark) -> DataFrame:
-    return merge.component_clusters(_components(spark), MARKERS, MARKER_CUTS)
+def _merged(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Components, and which cluster each belongs to."""
+    components = _components(spark, sf)
+    return components, merge.component_clusters(components, LINE, MERGE_CUTS)
 
 
-def _clusters(spark) -> DataFrame:
-    return _literal(spark, CLUSTERS, "cluster int, m1 int, m2 int, m3 int")
+def _mapping(spark, sf) -> DataFrame:
+    return _merged(spark, sf)[1]
 
 
 def _rules(spark) -> DataFrame:
-    return _literal(spark, RULES, "rule_order int, label string, m1 string, m2 string")
+    return _literal(spark, RULES, "rule_order int, label string, qty string, price string")
 
 
 def _values(rows, names: str) -> str:
@@ -119,10 +123,15 @@ def _values(rows, names: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(cell(x) for x in r) + ')' for r in rows)}) AS t({names})"
 
 
-_COMPONENT_SQL = "c AS (SELECT * FROM " + _values([(k, p, *m, *v) for k, p, m, v in COMPONENTS], "component, pro, a1, a2, a3, v1, v2, v3") + ")"
-_KEY = ", ".join(_level_sql(f"a{i + 1}", MARKER_CUTS.get(m, [])) for i, m in enumerate(MARKERS))
+_COMPONENT_SQL = (
+    f"{LINES}, {_binned_sql(LINE_CUTS)}, {_BINS}, q AS (SELECT * FROM r WHERE size_rank <= {MERGED} AND n > 50), u AS (SELECT size_rank AS component, count(*) AS n, "
+    + ", ".join(f"avg({p}) AS a{i + 1}, coalesce(var_samp({p}), 0) + 0.01 AS v{i + 1}" for i, p in enumerate(LINE))
+    + " FROM b JOIN q ON b.bin_key = q.bin_key GROUP BY 1), c AS (SELECT *, n / sum(n) OVER () AS pro FROM u)"
+)
+_KEY = ", ".join(_level_sql(f"a{i + 1}", MERGE_CUTS.get(m, [])) for i, m in enumerate(LINE))
 _MAP_SQL = f"{_COMPONENT_SQL}, k AS (SELECT *, [{_KEY}] AS levels FROM c), f AS (SELECT *, min(component) OVER (PARTITION BY levels) AS first FROM k), g AS (SELECT *, dense_rank() OVER (ORDER BY first) AS cluster FROM f)"
-_LONG_SQL = f"{_MAP_SQL}, l AS (" + " UNION ALL ".join(f"SELECT cluster, pro, '{m}' AS marker, a{i + 1} AS mean, v{i + 1} AS var FROM g" for i, m in enumerate(MARKERS)) + "), ctr AS (SELECT cluster, marker, sum(pro * mean) / sum(pro) AS center FROM l GROUP BY 1, 2)"
+_CLUSTER_SQL = f"{_MAP_SQL}, cl AS (SELECT DISTINCT cluster, levels[1] AS m1, levels[2] AS m2, levels[3] AS m3 FROM g)"
+_LONG_SQL = f"{_MAP_SQL}, l AS (" + " UNION ALL ".join(f"SELECT cluster, pro, '{m}' AS marker, a{i + 1} AS mean, v{i + 1} AS var FROM g" for i, m in enumerate(LINE)) + "), ctr AS (SELECT cluster, marker, sum(pro * mean) / sum(pro) AS center FROM l GROUP BY 1, 2)"
 _SD_SQL = f"{_LONG_SQL}, sd AS (SELECT l.cluster, l.marker, any_value(center) AS center, sqrt(sum(pro * (var + (mean - center) * (mean - center))) / sum(pro)) AS sd FROM l JOIN ctr ON l.cluster = ctr.cluster AND l.marker = ctr.marker GROUP BY 1, 2)"
 
 
@@ -245,7 +254,7 @@ def _value_curves(spark, sf) -> DataFrame:
 
 
 def _cut_table(spark) -> DataFrame:
-    return _literal(spark, [(m, i + 1, c) for m, cs in MARKER_CUTS.items() for i, c in enumerate(cs)], "marker string, cut_idx int, cutoff double")
+    return _literal(spark, [(m, i + 1, c) for m, cs in MERGE_CUTS.items() for i, c in enumerate(cs)], "marker string, cut_idx int, cutoff double")
 
 
 def _embedding_centers(spark, sf) -> DataFrame:
@@ -263,28 +272,11 @@ def kmeans_coreset(spark, sf):
     return coreset.coreset(placed, DIMS, smallest=5, largest=50).select("bin_id", "piece", "weight", *[F.col("mean")[i].alias(f"mean_{d}") for i, d in enumerate(DIMS)])
 
 
-def cutoff_bisection(spark, sf):
-    return _literal(spark, [(i, cutoff(*args)) for i, *args in CROSSINGS], "id int, cutoff double")
-
-
 def _fx(at: str) -> str:
     one = lambda p, m, s: f"{p} * exp(-0.5 * pow(({at} - {m}) / {s}, 2)) / ({s} * sqrt(2 * pi()))"
     return f"({one('p1', 'm1', 's1')} - {one('p2', 'm2', 's2')})"
 
 
-_BISECTION = f"""WITH RECURSIVE args AS (SELECT * FROM {_values(CROSSINGS, "id, p1, m1, s1, p2, m2, s2")}),
-s AS (SELECT id, p1, m1, s1, p2, m2, s2, 1 AS stage, m1 AS lo, m2 AS hi, CAST(NULL AS DOUBLE) AS found FROM args
-UNION ALL
-SELECT id, p1, m1, s1, p2, m2, s2,
-  CASE WHEN got IS NULL THEN stage WHEN stage = 1 AND abs(got - m1) < 1e-4 THEN 2 WHEN stage < 3 AND abs(got - m2) < 1e-4 THEN 3 ELSE stage END,
-  CASE WHEN got IS NULL THEN CASE WHEN right_half THEN mid ELSE lo END WHEN stage = 1 AND abs(got - m1) < 1e-4 THEN m1 - s1 WHEN stage < 3 AND abs(got - m2) < 1e-4 THEN m2 ELSE lo END,
-  CASE WHEN got IS NULL THEN CASE WHEN right_half THEN hi ELSE mid END WHEN stage = 1 AND abs(got - m1) < 1e-4 THEN m1 WHEN stage < 3 AND abs(got - m2) < 1e-4 THEN m2 + s2 ELSE hi END,
-  CASE WHEN got IS NULL OR stage = 1 AND abs(got - m1) < 1e-4 OR stage < 3 AND abs(got - m2) < 1e-4 THEN NULL ELSE got END
-FROM (SELECT *, CASE WHEN abs(fm) < 1e-4 THEN mid WHEN hi - mid < 1e-4 THEN hi WHEN mid - lo < 1e-4 THEN lo END AS got, (CASE WHEN fh >= fl THEN 1 ELSE -1 END) * fm < 0 AS right_half
-  FROM (SELECT *, {_fx("mid")} AS fm, {_fx("hi")} AS fh, {_fx("lo")} AS fl FROM (SELECT *, (lo + hi) / 2 AS mid FROM s WHERE found IS NULL))))
-SELECT CAST(id AS INTEGER) AS id, found AS cutoff FROM s WHERE found IS NOT NULL"""
-
-
 def bic_bias(spark, sf):
     counts = _events(spark, sf).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each of a few kinds
     return _literal(spark, [(r.event_type, r.n, k, round(complexity_bias(r.n, k), 6)) for r in counts for k in (1, 2, 3)], "event_type string, n long, k int, bias double")
@@ -366,7 +358,7 @@ def _whole_fit_sql() -> str:
 
 def whole_refit(spark, sf):
     """Two components for the positive values and one for the negative ones, beside the mixtures of other markers."""
-    fits = univariate.refit_univariate(_read(spark, sf, "customer").select("c_acctbal"), {"c_acctbal": 2}, _mixtures(spark), sample_fraction=1.0, separate_negative=True)
+    fits = univariate.refit_univariate(_read(spark, sf, "customer").select("c_acctbal"), {"c_acctbal": 2}, _literal(spark, OTHER, univariate.SCHEMA), sample_fraction=1.0, separate_negative=True)
     return fits.select("marker", "comp", F.round("pro", 6).alias("pro"), F.round("mean", 4).alias("mean"), F.round("var", 2).alias("var"))
 
 
@@ -374,10 +366,50 @@ def _whole_refit_sql() -> str:
     tables, rows = _fit_sql("SELECT CAST(c_acctbal AS DOUBLE) AS x FROM customer WHERE c_acctbal > 0", (2,))
     low = "low AS (SELECT count(*) AS n, avg(x) AS mean, var_samp(x) AS var FROM (SELECT CAST(c_acctbal AS DOUBLE) AS x FROM customer WHERE c_acctbal < 0)), share AS (SELECT low.n / (low.n + c.n) AS low FROM low, c)"
     every = f"SELECT pro * (1 - low) AS pro, mean, var FROM ({rows}), share UNION ALL SELECT share.low, mean, var FROM low, share"
-    kept = f"SELECT marker, CAST(comp AS INTEGER) AS comp, pro, mean, var FROM {_values(MIXTURES, 'marker, comp, pro, mean, var')}"
+    kept = f"SELECT marker, CAST(comp AS INTEGER) AS comp, pro, mean, var FROM {_values(OTHER, 'marker, comp, pro, mean, var')}"
     return f"WITH RECURSIVE {tables}, {low} SELECT 'c_acctbal' AS marker, {_COMPS} FROM ({every}) UNION ALL {kept}"
 
 
+def _fitted_sql() -> str:
+    """Table mix: what ``_mixtures`` fits."""
+    parts = []
+    for marker, table, expression, k in COLUMNS:
+        tables, rows = _fit_sql(f"SELECT {expression} AS x FROM {table} WHERE {'value IS NOT NULL AND NOT isnan(value)' if marker == 'amount' else f'{expression} > 0' if k else 'o_totalprice IS NOT NULL'}", (k,) if k else (1, 2, 3))
+        if k:
+            low = f"low AS (SELECT count(*) AS n, avg(x) AS mean, var_samp(x) AS var FROM (SELECT {expression} AS x FROM {table}) WHERE x < 0), share AS (SELECT low.n / (low.n + c.n) AS low FROM low, c)"
+            tables, rows = f"{tables}, {low}", f"SELECT pro * (1 - low) AS pro, mean, var FROM ({rows}), share UNION ALL SELECT share.low, mean, var FROM low, share"
+        parts.append(f"SELECT '{marker}' AS marker, row_number() OVER (ORDER BY mean) AS comp, pro, mean, var FROM (WITH RECURSIVE {tables} {rows})")
+    return f"mix AS MATERIALIZED ({' UNION ALL '.join(parts)})"
+
+
+_MIX = _fitted_sql()
+_ADJACENT = _MIX + ", adj AS (SELECT * FROM (SELECT marker, CAST(comp AS INTEGER) AS comp, pro, mean, var, " + ", ".join(f"lead({c}) OVER (PARTITION BY marker ORDER BY comp) AS next_{c}" for c in ("pro", "mean", "var")) + " FROM mix) WHERE next_mean IS NOT NULL)"
+_BISECTION = f"""WITH RECURSIVE {_ADJACENT}, args AS (SELECT marker, comp, pro AS p1, mean AS m1, sqrt(var) AS s1, next_pro AS p2, next_mean AS m2, sqrt(next_var) AS s2 FROM adj),
+s AS (SELECT marker, comp, p1, m1, s1, p2, m2, s2, 1 AS stage, m1 AS lo, m2 AS hi, CAST(NULL AS DOUBLE) AS found FROM args
+UNION ALL
+SELECT marker, comp, p1, m1, s1, p2, m2, s2,
+  CASE WHEN got IS NULL THEN stage WHEN stage = 1 AND abs(got - m1) < 1e-4 THEN 2 WHEN stage < 3 AND abs(got - m2) < 1e-4 THEN 3 ELSE stage END,
+  CASE WHEN got IS NULL THEN CASE WHEN right_half THEN mid ELSE lo END WHEN stage = 1 AND abs(got - m1) < 1e-4 THEN m1 - s1 WHEN stage < 3 AND abs(got - m2) < 1e-4 THEN m2 ELSE lo END,
+  CASE WHEN got IS NULL THEN CASE WHEN right_half THEN hi ELSE mid END WHEN stage = 1 AND abs(got - m1) < 1e-4 THEN m1 WHEN stage < 3 AND abs(got - m2) < 1e-4 THEN m2 + s2 ELSE hi END,
+  CASE WHEN got IS NULL OR stage = 1 AND abs(got - m1) < 1e-4 OR stage < 3 AND abs(got - m2) < 1e-4 THEN NULL ELSE got END
+FROM (SELECT *, CASE WHEN abs(fm) < 1e-4 THEN mid WHEN hi - mid < 1e-4 THEN hi WHEN mid - lo < 1e-4 THEN lo END AS got, (CASE WHEN fh >= fl THEN 1 ELSE -1 END) * fm < 0 AS right_half
+  FROM (SELECT *, {_fx("mid")} AS fm, {_fx("hi")} AS fh, {_fx("lo")} AS fl FROM (SELECT *, (lo + hi) / 2 AS mid FROM s WHERE found IS NULL)))), pos AS (SELECT marker, CAST(comp AS INTEGER) AS comp, found AS pos FROM s WHERE found IS NOT NULL)"""
+_SIX = ("pro", "mean", "var", "next_pro", "next_mean", "next_var")
+
+
+def curves(spark, sf):
+    """All panels: the density estimate, the mixture and its components."""
+    out = summaries.univariate_curves(_events(spark, sf).select("value"), _literal(spark, VALUE_MIX, univariate.SCHEMA), ["value"])
+    return out.select("panel", "component", *_xy())
+
+
+def labels(spark, sf):
+    components, mapping = _merged(spark, sf)
+    clusters = merge.phenotypes(mapping, LINE)
+    rules = _rules(spark)
+    return labeling.label_strings(clusters, labeling.first_match(clusters, rules, ["qty", "price"]), rules, ["qty", "price"])
+
+
 QUERIES = {
     "project_features": lambda spark, sf: frame.features(_vectors(spark, sf), DIMS, "vec_id"),
     "sample_topk_hash": lambda spark, sf: _events(spark, sf).withColumn("h", (F.col("event_id") * 7919) % 100003).transform(frame.first_rows, 500, "h", "event_id").select("event_id", "value"),
@@ -393,27 +425,27 @@ QUERIES = {
     "median_split_coreset": median_split,
     "kmeans_coreset": kmeans_coreset,
     "init_mixture": lambda spark, sf: (lambda p: _flat(coreset.initial_mixture(p[0], p[1], LINE, components=6, smallest=50), "component", "pro"))(_placed(spark, sf)),
-    "adjacent_pairs": lambda spark, sf: univariate.adjacent_pairs(_mixtures(spark)),
-    "cutoff_filter": lambda spark, sf: univariate.kept_cutoffs(_literal(spark, CANDIDATES, "marker string, comp int, pos double")),
-    "cutoff_bisection": cutoff_bisection,
+    "adjacent_pairs": lambda spark, sf: univariate.adjacent_pairs(_mixtures(spark, sf)).select("marker", "comp", *[F.round(c, 5).alias(c) for c in _SIX]),
+    "cutoff_filter": lambda spark, sf: univariate.kept_cutoffs(univariate.crossings(_mixtures(spark, sf))).select("marker", "comp", F.round("pos", 5).alias("pos")),
+    "cutoff_bisection": lambda spark, sf: univariate.crossings(_mixtures(spark, sf)).select("marker", "comp", F.round("pos", 5).alias("pos")),
     "gmm1d_bic_bias": bic_bias,
     "gmm1d_fit": _gmm1d,
     "gmm1d_whole": whole_fit,
     "gmm1d_whole_refit": whole_refit,
-    "gmm1d_refit": lambda spark, sf: univariate.refit_univariate(_read(spark, sf, "customer").select("c_acctbal"), {"c_acctbal": 2}, _mixtures(spark), separate_negative=True),
+    "gmm1d_refit": lambda spark, sf: univariate.refit_univariate(_read(spark, sf, "customer").select("c_acctbal"), {"c_acctbal": 2}, _literal(spark, OTHER, univariate.SCHEMA), separate_negative=True),
     "neg_split_moments": neg_split,
-    "find_to_merge": lambda spark, sf: univariate.merge_candidates(_mixtures(spark)).select("marker", F.array_join(F.transform("comps", lambda x: x.cast("string")), ",").alias("comps")),
+    "find_to_merge": lambda spark, sf: univariate.merge_candidates(_mixtures(spark, sf)).select("marker", F.array_join(F.transform("comps", lambda x: x.cast("string")), ",").alias("comps")),
     "e_step": e_step,
     "weighted_loglik": weighted_loglik,
     "m_step": m_step,
     "variance_correction": variance_correction,
     "em_fit": em_fit,
-    "categorical_merge": lambda spark, sf: _mapping(spark).select("component", F.array_join(F.transform("levels", lambda x: x.cast("string")), "").alias("key"), "cluster"),
-    "cluster_centers": lambda spark, sf: merge.cluster_centers(_components(spark), _mapping(spark), MARKERS).select("cluster", "marker", F.round("center", 8).alias("center")),
-    "cluster_sds": lambda spark, sf: merge.cluster_sds(_components(spark), _mapping(spark), MARKERS).select("cluster", "marker", F.round("center", 8).alias("center"), F.round("sd", 8).alias("sd")),
-    "phenotypes": lambda spark, sf: merge.phenotypes(_mapping(spark), MARKERS),
-    "rule_label": lambda spark, sf: labeling.first_match(_clusters(spark), _rules(spark), ["m1", "m2"]),
-    "label_string": lambda spark, sf: labeling.label_strings(_clusters(spark), labeling.first_match(_clusters(spark), _rules(spark), ["m1", "m2"]), _rules(spark), ["m1", "m2"]),
+    "categorical_merge": lambda spark, sf: _mapping(spark, sf).select("component", F.array_join(F.transform("levels", lambda x: x.cast("string")), "").alias("key"), "cluster"),
+    "cluster_centers": lambda spark, sf: merge.cluster_centers(*_merged(spark, sf), LINE).select("cluster", "marker", F.round("center", 8).alias("center")),
+    "cluster_sds": lambda spark, sf: merge.cluster_sds(*_merged(spark, sf), LINE).select("cluster", "marker", F.round("center", 8).alias("center"), F.round("sd", 8).alias("sd")),
+    "phenotypes": lambda spark, sf: merge.phenotypes(_mapping(spark, sf), LINE),
+    "rule_label": lambda spark, sf: labeling.first_match(merge.phenotypes(_mapping(spark, sf), LINE), _rules(spark), ["qty", "price"]),
+    "label_string": labels,
     "predict_component": lambda spark, sf: predict.with_component(_vectors(spark, sf), MODEL).select("vec_id", "component"),
     "predict_cluster": lambda spark, sf: predict.with_cluster(predict.with_component(_vectors(spark, sf), MODEL), CLUSTER_OF).select("vec_id", "component", "cluster"),
     "cluster_counts": lambda spark, sf: predict.with_cluster(predict.with_component(_vectors(spark, sf), MODEL), CLUSTER_OF).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")),
@@ -423,10 +455,10 @@ QUERIES = {
     "kde_with_cutoffs": lambda spark, sf: summaries.kde_with_cutoffs(_events(spark, sf), {"value": [40.0, 90.0]}, ["value"]).select("marker", "grid_idx", *_xy(), F.size("cutoffs").alias("n_cutoffs")),
     "mixture_curve": lambda spark, sf: _value_curves(spark, sf).filter("component = 0").select("marker", "idx", *_xy()),
     "component_curves": lambda spark, sf: _value_curves(spark, sf).filter("component > 0").select("marker", "component", "idx", *_xy()),
-    "univariate_curves": lambda spark, sf: summaries.univariate_curves(_events(spark, sf).select("value"), _literal(spark, VALUE_MIX, univariate.SCHEMA), ["value"]).groupBy("panel", "component").agg(F.count(F.lit(1)).alias("points")),
-    "cluster_logsize": lambda spark, sf: summaries.log_sizes(_components(spark), _mapping(spark), 9.0).select("cluster", F.round("share", 8).alias("share"), F.round("logsize", 8).alias("logsize")),
-    "legend_marker": lambda spark, sf: summaries.legend_marker(merge.cluster_centers(_components(spark), _mapping(spark), MARKERS)).select("marker", F.round("amplitude", 8).alias("amplitude")),
-    "phenobars": lambda spark, sf: summaries.bars(merge.cluster_sds(_components(spark), _mapping(spark), MARKERS), _cut_table(spark), ["m1", "m2"], [1, 2]).select("cluster", "name", "marker", *[F.round(c, 6).alias(c) for c in ("mfi", "sd", "lo", "hi", "midpt", "ymin", "ymax")]),
+    "univariate_curves": curves,
+    "cluster_logsize": lambda spark, sf: summaries.log_sizes(*_merged(spark, sf), 9.0).select("cluster", F.round("share", 8).alias("share"), F.round("logsize", 8).alias("logsize")),
+    "legend_marker": lambda spark, sf: summaries.legend_marker(merge.cluster_centers(*_merged(spark, sf), LINE)).select("marker", F.round("amplitude", 8).alias("amplitude")),
+    "phenobars": lambda spark, sf: summaries.bars(merge.cluster_sds(*_merged(spark, sf), LINE), _cut_table(spark), ["qty", "price"], [1, 2]).select("cluster", "name", "marker", *[F.round(c, 6).alias(c) for c in ("mfi", "sd", "lo", "hi", "midpt", "ymin", "ymax")]),
     "cluster_vs_global_kde": lambda spark, sf: summaries.cluster_against_all(_events(spark, sf).withColumn("cluster", (F.col("event_id") % 3).cast("int")), [1], ["value"]).select("series", "marker", "grid_idx", F.round("scaled", 7).alias("scaled")),
     "pairwise_center_dist": lambda spark, sf: summaries.center_distances(_embedding_centers(spark, sf)).select("a", "b", F.round("distance", 6).alias("distance")),
     "tsne_clusters": lambda spark, sf: summaries.embedding(_embedding_centers(spark, sf)),
@@ -453,14 +485,14 @@ SELECT bin_id, CAST(row_number() OVER (PARTITION BY bin_id ORDER BY up) AS INTEG
     "init_mixture": f"{_LINE_BINS}, q AS (SELECT * FROM r WHERE size_rank <= 6 AND n > 50) SELECT CAST(size_rank AS INTEGER) AS component, CAST(count(*) AS DOUBLE) AS pro, "
     + ", ".join([*[f"round(avg({p}), 6) AS mean_{p}" for p in LINE], *[f"round(coalesce(covar_samp({LINE[i]}, {LINE[j]}), 0) + {0.01 if i == j else 0.0}, 6) AS cov_{LINE[i]}_{LINE[j]}" for i in range(3) for j in range(i, 3)]])
     + " FROM b JOIN q ON b.bin_key = q.bin_key GROUP BY 1",
-    "adjacent_pairs": "SELECT * FROM (SELECT marker, CAST(comp AS INTEGER) AS comp, pro, mean, var, " + ", ".join(f"lead({c}) OVER (PARTITION BY marker ORDER BY comp) AS next_{c}" for c in ("pro", "mean", "var")) + f" FROM {_values(MIXTURES, 'marker, comp, pro, mean, var')}) WHERE next_mean IS NOT NULL",
-    "cutoff_filter": f"SELECT marker, CAST(comp AS INTEGER) AS comp, pos FROM (SELECT *, max(pos) OVER (PARTITION BY marker ORDER BY comp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {_values(CANDIDATES, 'marker, comp, pos')} WHERE pos >= 0.5) WHERE before IS NULL OR pos > before",
-    "cutoff_bisection": _BISECTION,
+    "adjacent_pairs": f"WITH RECURSIVE {_ADJACENT} SELECT marker, comp, {', '.join(f'round({c}, 5) AS {c}' for c in _SIX)} FROM adj",
+    "cutoff_filter": f"{_BISECTION} SELECT marker, comp, round(pos, 5) AS pos FROM (SELECT *, max(pos) OVER (PARTITION BY marker ORDER BY comp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM pos WHERE pos >= 0.5) WHERE before IS NULL OR pos > before",
+    "cutoff_bisection": f"{_BISECTION} SELECT marker, comp, round(pos, 5) AS pos FROM pos",
     "gmm1d_bic_bias": "SELECT event_type, n, CAST(k AS INTEGER) AS k, round(exp(-3.7 + 0.732 * ln(n)) * k * ln(n) / ln(2.0), 6) AS bias FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1), (VALUES (1), (2), (3)) AS t(k)",
     "neg_split_moments": """WITH x AS (SELECT CAST(c_acctbal AS DOUBLE) AS x FROM customer), n AS (SELECT count(*) FILTER (x < 0) AS low, count(*) FILTER (x <> 0) AS every FROM x)
 SELECT CAST(1 AS INTEGER) AS comp, round(any_value(low / every), 8) AS pro, round(avg(x), 5) AS mean, round(var_samp(x), 2) AS var FROM x, n WHERE x < 0
 UNION ALL SELECT CAST(2 AS INTEGER), round(any_value(1 - low / every), 8), round(avg(x), 5), round(var_pop(x), 2) FROM x, n WHERE x > 0""",
-    "find_to_merge": f"SELECT marker, string_agg(CAST(comp AS VARCHAR), ',' ORDER BY comp) AS comps FROM {_values(MIXTURES, 'marker, comp, pro, mean, var')} WHERE mean < 0.5 GROUP BY 1 HAVING count(*) > 1",
+    "find_to_merge": f"WITH RECURSIVE {_MIX} SELECT marker, string_agg(CAST(comp AS VARCHAR), ',' ORDER BY comp) AS comps FROM mix WHERE mean < 0.5 GROUP BY 1 HAVING count(*) > 1",
     "e_step": f"{_R} SELECT vec_id, CAST(component AS INTEGER) AS component, round(r, 6) AS r FROM r",
     "weighted_loglik": f"{_Z}, {_TOTAL} SELECT round(sum(total * (1 + vec_id % 3)), 5) AS loglik FROM t",
     "m_step": f"""{_R}, n AS (SELECT count(*) / 3 AS m, sum(w) / 3 AS total FROM r), q AS (SELECT r.*, w * r / total AS wr, m FROM r, n),
@@ -478,13 +510,13 @@ SELECT CAST(component AS INTEGER) AS component, round(s0, 6) AS pro, round(a / s
     "categorical_merge": f"WITH {_MAP_SQL} SELECT CAST(component AS INTEGER) AS component, array_to_string(levels, '') AS key, CAST(cluster AS INTEGER) AS cluster FROM g",
     "cluster_centers": f"WITH {_LONG_SQL} SELECT CAST(cluster AS INTEGER) AS cluster, marker, round(center, 8) AS center FROM ctr",
     "cluster_sds": f"WITH {_SD_SQL} SELECT CAST(cluster AS INTEGER) AS cluster, marker, round(center, 8) AS center, round(sd, 8) AS sd FROM sd",
-    "phenotypes": f"WITH {_MAP_SQL} SELECT DISTINCT CAST(cluster AS INTEGER) AS cluster, CAST(levels[1] AS INTEGER) AS m1, CAST(levels[2] AS INTEGER) AS m2 FROM g",
-    "rule_label": f"WITH c AS (SELECT * FROM {_values(CLUSTERS, 'cluster, m1, m2, m3')}), r AS (SELECT * FROM {_values(RULES, 'rule_order, label, m1, m2')}) SELECT CAST(c.cluster AS INTEGER) AS cluster, coalesce(arg_min(r.label, r.rule_order), 'UNK') AS func FROM c LEFT JOIN r ON NOT (r.m1 = 'hi' AND c.m1 = 1 OR r.m1 = 'lo' AND c.m1 > 1 OR r.m2 = 'hi' AND c.m2 = 1 OR r.m2 = 'lo' AND c.m2 > 1) GROUP BY 1",
-    "label_string": f"""WITH c AS (SELECT * FROM {_values(CLUSTERS, "cluster, m1, m2, m3")}), r AS (SELECT * FROM {_values(RULES, "rule_order, label, m1, m2")}),
-f AS (SELECT c.cluster, c.m1, c.m2, c.m3, arg_min(r.label, r.rule_order) AS func, arg_min(r.m1, r.rule_order) AS r1, arg_min(r.m2, r.rule_order) AS r2 FROM c LEFT JOIN r ON NOT (r.m1 = 'hi' AND c.m1 = 1 OR r.m1 = 'lo' AND c.m1 > 1 OR r.m2 = 'hi' AND c.m2 = 1 OR r.m2 = 'lo' AND c.m2 > 1) GROUP BY ALL),
-o AS (SELECT cluster, coalesce(func, 'UNK') AS func, CASE WHEN func IS NOT NULL AND r1 = 'dc' THEN m1 END AS l1, CASE WHEN func IS NOT NULL AND r2 = 'dc' THEN m2 END AS l2, m3 AS l3 FROM f),
-n AS (SELECT *, coalesce(l1 = 2, FALSE) OR coalesce(l2 = 2, FALSE) OR l3 = 2 AS mid FROM o)
-SELECT CAST(cluster AS INTEGER) AS cluster, func, func || CASE WHEN mid THEN CASE WHEN l1 = 2 THEN ' m1+' ELSE '' END || CASE WHEN l2 = 2 THEN ' m2+' ELSE '' END || CASE WHEN l3 = 2 THEN ' m3+' ELSE '' END ELSE CASE WHEN l1 = 3 THEN ' m1++' ELSE '' END || CASE WHEN l2 = 3 THEN ' m2++' ELSE '' END || CASE WHEN l3 = 3 THEN ' m3++' ELSE '' END END AS label FROM n""",
+    "phenotypes": f"WITH {_CLUSTER_SQL} SELECT CAST(cluster AS INTEGER) AS cluster, CAST(m1 AS INTEGER) AS qty, CAST(m2 AS INTEGER) AS price, CAST(m3 AS INTEGER) AS disc FROM cl",
+    "rule_label": f"WITH {_CLUSTER_SQL}, ru AS (SELECT * FROM {_values(RULES, 'rule_order, label, m1, m2')}) SELECT CAST(c.cluster AS INTEGER) AS cluster, coalesce(arg_min(r.label, r.rule_order), 'UNK') AS func FROM cl c LEFT JOIN ru r ON NOT (r.m1 = 'hi' AND c.m1 = 1 OR r.m1 = 'lo' AND c.m1 > 1 OR r.m2 = 'hi' AND c.m2 = 1 OR r.m2 = 'lo' AND c.m2 > 1) GROUP BY 1",
+    "label_string": f"""WITH {_CLUSTER_SQL}, ru AS (SELECT * FROM {_values(RULES, "rule_order, label, m1, m2")}),
+fu AS (SELECT c.cluster, c.m1, c.m2, c.m3, arg_min(r.label, r.rule_order) AS func, arg_min(r.m1, r.rule_order) AS r1, arg_min(r.m2, r.rule_order) AS r2 FROM cl c LEFT JOIN ru r ON NOT (r.m1 = 'hi' AND c.m1 = 1 OR r.m1 = 'lo' AND c.m1 > 1 OR r.m2 = 'hi' AND c.m2 = 1 OR r.m2 = 'lo' AND c.m2 > 1) GROUP BY ALL),
+o AS (SELECT cluster, coalesce(func, 'UNK') AS func, CASE WHEN func IS NOT NULL AND r1 = 'dc' THEN m1 END AS l1, CASE WHEN func IS NOT NULL AND r2 = 'dc' THEN m2 END AS l2, m3 AS l3 FROM fu),
+nn AS (SELECT *, coalesce(l1 = 2, FALSE) OR coalesce(l2 = 2, FALSE) OR l3 = 2 AS mid FROM o)
+SELECT CAST(cluster AS INTEGER) AS cluster, func, func || CASE WHEN mid THEN CASE WHEN l1 = 2 THEN ' qty+' ELSE '' END || CASE WHEN l2 = 2 THEN ' price+' ELSE '' END || CASE WHEN l3 = 2 THEN ' disc+' ELSE '' END ELSE CASE WHEN l1 = 3 THEN ' qty++' ELSE '' END || CASE WHEN l2 = 3 THEN ' price++' ELSE '' END || CASE WHEN l3 = 3 THEN ' disc++' ELSE '' END END AS label FROM nn""",
     "predict_component": f"{_Z} SELECT vec_id, CAST({_WHICH} AS INTEGER) AS component FROM z",
     "predict_cluster": f"{_Z} SELECT vec_id, CAST({_WHICH} AS INTEGER) AS component, CAST(CASE WHEN {_WHICH} = 2 THEN 1 ELSE 2 END AS INTEGER) AS cluster FROM z",
     "cluster_counts": f"{_Z} SELECT CAST(CASE WHEN {_WHICH} = 2 THEN 1 ELSE 2 END AS INTEGER) AS cluster, count(*) AS n FROM z GROUP BY 1",
@@ -494,12 +526,12 @@ SELECT CAST(cluster AS INTEGER) AS cluster, func, func || CASE WHEN mid THEN CAS
     "kde_with_cutoffs": f"WITH {_KDE}, {_kde_sql('k')} SELECT marker, grid_idx, {_ROUND_XY}, CAST(2 AS INTEGER) AS n_cutoffs FROM k",
     "mixture_curve": f"{_CURVES}, s AS (SELECT marker, idx, any_value(x) AS x, sum(y) AS y FROM d GROUP BY 1, 2) SELECT marker, idx, {_ROUND_XY} FROM s",
     "component_curves": f"{_CURVES} SELECT marker, CAST(component AS INTEGER) AS component, idx, {_ROUND_XY} FROM d",
-    "univariate_curves": "SELECT panel, CAST(component AS INTEGER) AS component, CAST(points AS BIGINT) AS points FROM (VALUES ('kde', 0, 401), ('mixture', 0, 500), ('components', 1, 500), ('components', 2, 500)) AS t(panel, component, points)",
-    "cluster_logsize": f"WITH {_MAP_SQL}, s AS (SELECT cluster, sum(pro) AS share FROM g GROUP BY 1), m AS (SELECT avg(ln(share)) AS mean FROM s) SELECT CAST(cluster AS INTEGER) AS cluster, round(share, 8) AS share, round(ln(share) * 9.0 / mean, 8) AS logsize FROM s, m",
+    "univariate_curves": f"{_CURVES}, ev{_KDE[1:]}, {_kde_sql('kd').replace('FROM e WHERE', 'FROM ev WHERE')}, su AS (SELECT idx, any_value(x) AS x, sum(y) AS y FROM d GROUP BY 1) SELECT 'kde' AS panel, CAST(0 AS INTEGER) AS component, {_ROUND_XY} FROM kd UNION ALL SELECT 'mixture', CAST(0 AS INTEGER), {_ROUND_XY} FROM su UNION ALL SELECT 'components', CAST(component AS INTEGER), {_ROUND_XY} FROM d",
+    "cluster_logsize": f"WITH {_MAP_SQL}, sh AS (SELECT cluster, sum(pro) AS share FROM g GROUP BY 1), me AS (SELECT avg(ln(share)) AS mean FROM sh) SELECT CAST(cluster AS INTEGER) AS cluster, round(share, 8) AS share, round(ln(share) * 9.0 / mean, 8) AS logsize FROM sh, me",
     "legend_marker": f"WITH {_LONG_SQL} SELECT marker, round(max(center) - min(center), 8) AS amplitude FROM ctr GROUP BY 1 ORDER BY max(center) - min(center) DESC, marker LIMIT 1",
-    "phenobars": f"WITH {_SD_SQL}, b AS (SELECT cluster, marker, center AS mfi, sd, center - sd AS lo, center + sd AS hi, CASE marker WHEN 'm1' THEN 1.75 ELSE 1.0 END AS midpt FROM sd WHERE cluster IN (1, 2) AND marker IN ('m1', 'm2')), a AS (SELECT least(0, min(lo)) AS ymin, max(hi) AS ymax FROM b) SELECT CAST(cluster AS INTEGER) AS cluster, CAST(cluster AS VARCHAR) AS name, marker, "
+    "phenobars": f"WITH {_SD_SQL}, ba AS (SELECT cluster, marker, center AS mfi, sd, center - sd AS lo, center + sd AS hi, CASE marker WHEN 'qty' THEN 2.25 ELSE 2.0 END AS midpt FROM sd WHERE cluster IN (1, 2) AND marker IN ('qty', 'price')), ax AS (SELECT least(0, min(lo)) AS ymin, max(hi) AS ymax FROM ba) SELECT CAST(cluster AS INTEGER) AS cluster, CAST(cluster AS VARCHAR) AS name, marker, "
     + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in ("mfi", "sd", "lo", "hi", "midpt", "ymin", "ymax"))
-    + " FROM b, a",
+    + " FROM ba, ax",
     "cluster_vs_global_kde": f"WITH {_KDE.replace('event_type FROM', 'event_type, event_id % 3 AS cluster FROM')}, {_kde_sql('k')}, {_kde_sql('o', 'cluster = 1')} SELECT 'all' AS series, marker, grid_idx, round(0.8 * y / max(y) OVER (PARTITION BY marker), 7) AS scaled FROM k UNION ALL SELECT 'cluster 1', marker, grid_idx, round(0.8 * y / max(y) OVER (PARTITION BY marker), 7) FROM o",
     "pairwise_center_dist": "WITH c AS (SELECT CAST(label + 1 AS INTEGER) AS cluster, " + ", ".join(f"avg(CAST(embedding[{i + 1}] AS DOUBLE)) AS c{i}" for i in range(4)) + " FROM embeddings GROUP BY 1) SELECT a.cluster AS a, b.cluster AS b, round(sqrt(" + " + ".join(f"pow(a.c{i} - b.c{i}, 2)" for i in range(4)) + "), 6) AS distance FROM c a JOIN c b ON a.cluster < b.cluster",
 }

@@ -3,10 +3,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratamix.operators import binning, coreset, em, labeling, merge, predict
-from stratamix.plans.catalog import _clusters, _components, _mapping, _rules
 from stratamix.plans.model import MixtureClusterer, MixtureModel
 from stratamix.sources import frame
 
+from model_tables import clusters as _clusters
+from model_tables import components as _components
+from model_tables import mapping as _mapping
+from model_tables import rules as _rules
+
 
 @pytest.fixture(scope="module")
 def planted(spark):

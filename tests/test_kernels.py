@@ -3,12 +3,13 @@ import math
 import numpy as np
 import pytest
 
-from stratamix.functions.normal import best_1d, choose_1d, complexity_bias, cutoff, cutoffs, em_1d, stepped_1d, sums_1d, tsne, with_negative
+from stratamix.functions.normal import best_1d, choose_1d, complexity_bias, cutoff, em_1d, stepped_1d, sums_1d, tsne, with_negative
 from stratamix.operators.coreset import kmeans, median_pieces
 from stratamix.operators.em import Mixture, sums, updated
-from stratamix.plans.catalog import CROSSINGS
 from stratamix.sources.frame import default_fraction, sample_size
 
+from model_tables import CROSSINGS
+
 GOLDEN = [1.0, 1.017578125, 1.5, 1.5, 1.5, 0.6]
 
 
@@ -17,11 +18,6 @@ def test_crossings(row, expected):
     assert cutoff(*row[1:]) == pytest.approx(expected, abs=1e-9)
 
 
-def test_cutoffs_keep_floor_and_order():
-    assert cutoffs([(0.5, 0.0, 1.0), (0.5, 0.4, 1.0)]) == []
-    assert cutoffs([(0.5, 0.0, 1.0), (0.5, 2.0, 1.0)]) == [1.0]
-
-
 def test_bias_dominates_the_plain_penalty():
     assert complexity_bias(1e4, 1) == pytest.approx(278.3, abs=0.5)
 
