@@ -52,9 +52,14 @@ def _mixed(h: np.ndarray, bits: int) -> np.ndarray:
     return h >> np.uint64(64 - bits)
 
 
+def _hashed(strings: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(strings.to_numpy(zero_copy_only=False), categorize=False)
+
+
 def _words_hashed(langs: pa.Array, words: pa.Array) -> np.ndarray:
-    one = lambda a: pd.util.hash_array(np.asarray(a.to_pylist(), object), categorize=False)
-    return one(words) + np.uint64(3) * one(langs)
+    """Hashes of words, each of a language; few languages are told apart first."""
+    coded = langs.dictionary_encode()
+    return _hashed(words) + np.uint64(3) * _hashed(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
 
 
 def _joined(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -84,7 +89,7 @@ def grams(held: pa.Table, sizes: Sequence[int], singles: np.ndarray | None, pair
     lang, word = langs.indices.to_numpy(zero_copy_only=False)[piece].astype(np.int64), coded.indices.to_numpy(zero_copy_only=False)
     weight = held["times"].chunk(0).to_numpy()[piece]
     units, first, unit = np.unique(lang * len(coded.dictionary) + word, return_index=True, return_inverse=True)
-    own = _words_hashed(langs.dictionary.take(pa.array(lang[first])), coded.dictionary.take(pa.array(word[first])))
+    own = _hashed(coded.dictionary)[word[first]] + np.uint64(3) * _hashed(langs.dictionary)[lang[first]]
     n = len(piece)
     within = lambda k: piece[: n - k + 1] == piece[k - 1 :] if k <= n else np.zeros(0, bool)
     single = np.ones(n, bool) if singles is None else _has(singles, own)[unit]
