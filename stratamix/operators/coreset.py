@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .medians import halves, median_tree, with_pieces
+
 SCHEMA = "bin_id int, piece long, weight long, mean array<double>, cov array<double>"
 #: Bins beyond this many rows are first cut along their widest column, so that no task holds more distinct rows.
 MOST_ROWS = 100_000
@@ -65,43 +67,45 @@ def kmeans(x: np.ndarray, k: int, seed: int, most: int, times: np.ndarray | None
     return np.unique(label, return_inverse=True)[1]
 
 
-def median(v: np.ndarray, times: np.ndarray) -> float:
-    """Median of values that each stand for ``times`` equal ones."""
-    order = np.argsort(v, kind="stable")
-    reach, n = np.cumsum(times[order]), int(times.sum())
-    at = np.searchsorted(reach, [(n - 1) // 2, n // 2], side="right")
-    return float(v[order][at].mean())
-
-
-def median_pieces(x: np.ndarray, depth: int, times: np.ndarray | None = None) -> np.ndarray:
-    """Halves at the median of the widest column, ``depth`` times; below the median comes first."""
-    times = np.ones(len(x), int) if times is None else times
-    label = np.zeros(len(x), int)
-    for _ in range(depth):
-        new = label.copy()
-        for piece in np.unique(label):
-            at = np.flatnonzero(label == piece)
-            mean = np.average(x[at], axis=0, weights=times[at])
-            v = x[at, np.average((x[at] - mean) ** 2, axis=0, weights=times[at]).argmax()]
-            new[at] = 2 * piece + ((v >= median(v, times[at])) & (times[at].sum() > 1))
-        label = new
-    return np.unique(label, return_inverse=True)[1]
+def halving_depth(n: int, largest: int) -> int:
+    """How often a bin of n rows is halved so that ceil(n / largest) pieces are there at least."""
+    return (math.ceil(n / largest) - 1).bit_length()
+
+
+def _stats(x: np.ndarray) -> tuple[int, list[float], list[float]]:
+    cov = np.cov(x.T, ddof=1).reshape(-1) if len(x) > 1 else np.zeros(x.shape[1] ** 2)
+    return len(x), x.mean(axis=0).tolist(), cov.tolist()
 
 
-def median_halves(binned: DataFrame, params: Sequence[str]) -> DataFrame:
-    """(bin_id, piece, weight, mean): halves of each bin, of any size, at the exact median of its widest column.
+def median_pieces(rows: DataFrame, params: Sequence[str], largest: int) -> DataFrame:
+    """(bin_id, piece, weight, mean, cov) of rows of bins, of any size, halved at the exact medians of the widest columns.
 
-    A bin whose rows all lie on one side is one piece. Aggregations and joins only.
+    ``rows``: bin_id, bin_n above ``largest``, and the columns. Bins and pieces of up to MOST_ROWS rows are halved by the
+    task that holds them, larger ones by ``medians.median_tree``; the cuts are the same. Pieces without rows don't count.
     """
-    rows = binned.select("bin_id", "bin_n", *params)
-    spread = F.array(*[F.struct(F.stddev_pop(p).alias("sd"), F.lit(-i).alias("i")) for i, p in enumerate(params)])
-    axes = rows.groupBy("bin_id").agg((-F.array_max(spread)["i"]).alias("axis"))
-    wide = rows.join(axes, "bin_id").withColumn("wide", F.array(*params)[F.col("axis")])
-    cuts = wide.groupBy("bin_id").agg(F.median("wide").alias("cut"))
-    halves = wide.join(cuts, "bin_id").withColumn("up", (F.col("bin_n") > 1) & (F.col("wide") >= F.col("cut")))
-    pieces = halves.groupBy("bin_id", "up").agg(F.count(F.lit(1)).alias("weight"), F.array(*[F.avg(p) for p in params]).alias("mean"))
-    # two rows a bin at most
-    return pieces.withColumn("piece", F.row_number().over(W.partitionBy("bin_id").orderBy("up"))).select("bin_id", "piece", "weight", "mean")
+    sizes = {r.bin_id: r.bin_n for r in rows.filter(F.col("bin_n") > MOST_ROWS).select("bin_id", "bin_n").distinct().collect()}  # bins above MOST_ROWS rows
+    todo = F.length(F.bin(F.ceil(F.col("bin_n") / largest) - 1)).cast("int")
+    ready = rows.filter(F.col("bin_n") <= MOST_ROWS).select(F.col("bin_id").cast("int").alias("bin_id"), F.lit(0).cast("long").alias("path"), todo.alias("todo"), *params)
+    done = None
+    if sizes:
+        huge = rows.filter(F.col("bin_n") > MOST_ROWS).select("bin_id", *params).persist()
+        cut = with_pieces(huge, params, median_tree(huge, params, {b: halving_depth(n, largest) for b, n in sizes.items()}, MOST_ROWS)).persist()
+        ready = ready.unionByName(cut.filter("todo > 0"))
+        done = moments(cut.filter("todo = 0"), ["bin_id", "path"], params).withColumn("weight", F.col("weight").cast("long"))
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, first = pdf[list(params)].to_numpy(float), pdf.iloc[0]
+        label = halves(x, int(first.todo))
+        order = np.argsort(label, kind="stable")
+        pieces, begin = np.unique(label[order], return_index=True)
+        rows = [(int(first.bin_id), (int(first.path) << int(first.todo)) + int(k), *_stats(x[at])) for k, at in zip(pieces, np.split(order, begin[1:]), strict=True)]
+        return pd.DataFrame(rows, columns=["bin_id", "path", "weight", "mean", "cov"])
+
+    out = ready.groupBy("bin_id", "path", "todo").applyInPandas(split, "bin_id int, path long, weight long, mean array<double>, cov array<double>")
+    out = out if done is None else out.unionByName(done)
+    # as many rows as pieces
+    piece = F.row_number().over(W.partitionBy("bin_id").orderBy("path")).cast("long")
+    return out.select("bin_id", piece.alias("piece"), "weight", "mean", "cov")
 
 
 def _huge(rows: DataFrame, params: Sequence[str]) -> DataFrame:
@@ -135,23 +139,21 @@ def coreset(binned: DataFrame, params: Sequence[str], *, smallest: int, largest:
     whole = moments(kept.filter(F.col("bin_n") <= largest), ["bin_id"], params)
     whole = whole.select("bin_id", F.lit(1).cast("long").alias("piece"), F.col("weight").cast("long").alias("weight"), "mean", "cov")
     large = kept.filter(F.col("bin_n") > largest).select("bin_id", "bin_n", *params)
+    if splitter == "median":
+        return whole.unionByName(median_pieces(large, params, largest))
     middle = large.filter(F.col("bin_n") <= MOST_ROWS).select("bin_id", F.lit(0).cast("long").alias("part"), *params, F.lit(1).cast("long").alias("times"))
     large = middle.unionByName(_huge(large.filter(F.col("bin_n") > MOST_ROWS), params))
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         x, times = pdf[list(params)].to_numpy(float), pdf.times.to_numpy()
-        k = math.ceil(times.sum() / largest)
-        if splitter == "median":
-            label, centers_of = median_pieces(x, math.ceil(math.log2(k)) if k > 1 else 0, times), x
-        else:
-            rounded = np.round(x, 3)
-            label, centers_of = kmeans(rounded, k, seed + int(pdf.bin_id.iloc[0]), 3 if len(x) > MOST_ROWS else 10, times), rounded
+        rounded = np.round(x, 3)
+        label = kmeans(rounded, math.ceil(times.sum() / largest), seed + int(pdf.bin_id.iloc[0]), 3 if len(x) > MOST_ROWS else 10, times)
         rows = []
         for piece in range(label.max() + 1):
             at = label == piece
             weight = int(times[at].sum())
             cov = np.cov(x[at].T, ddof=1, fweights=times[at]).reshape(-1) if weight > 1 else np.zeros(x.shape[1] ** 2)
-            rows.append((int(pdf.bin_id.iloc[0]), int(pdf.part.iloc[0]) * 1_000_000 + piece + 1, weight, np.average(centers_of[at], axis=0, weights=times[at]).tolist(), cov.tolist()))
+            rows.append((int(pdf.bin_id.iloc[0]), int(pdf.part.iloc[0]) * 1_000_000 + piece + 1, weight, np.average(rounded[at], axis=0, weights=times[at]).tolist(), cov.tolist()))
         return pd.DataFrame(rows, columns=["bin_id", "piece", "weight", "mean", "cov"])
 
     return whole.unionByName(large.groupBy("bin_id", "part").applyInPandas(split, SCHEMA))

@@ -263,8 +263,27 @@ def _embedding_centers(spark, sf) -> DataFrame:
 
 
 def median_split(spark, sf):
-    pieces = coreset.median_halves(_placed(spark, sf)[0], LINE)
-    return pieces.select("bin_id", "piece", "weight", *[F.round(F.col("mean")[i], 5).alias(f"mean_{p}") for i, p in enumerate(LINE)])
+    """The weighted set of lineitem's bins, large ones halved at medians down to the default size."""
+    placed, summary = _placed(spark, sf)
+    n = int(summary.agg(F.sum("n")).first()[0])
+    pieces = coreset.coreset(placed, LINE, smallest=1, largest=coreset.max_bin_size(n), splitter="median")
+    return pieces.select("bin_id", "piece", "weight", *[F.round(F.col("mean")[i] * F.col("weight"), 6).alias(f"total_{p}") for i, p in enumerate(LINE)])
+
+
+def _median_sql(levels: int = 12) -> str:
+    """Level by level, as deep as each bin's size asks for."""
+    depth = "CASE " + " ".join(f"WHEN k <= {1 << i} THEN {i}" for i in range(levels)) + f" ELSE {levels} END"
+    out = [
+        f"{_LINE_BINS}, t AS (SELECT greatest(50, ceil(count(*) / 10000.0)) AS largest FROM b)",
+        f"p0 AS MATERIALIZED (SELECT CAST(bin_id AS INTEGER) AS bin_id, qty, price, disc, 0 AS path, {depth} AS depth FROM (SELECT b.*, bin_id, ceil(n / largest) AS k FROM b JOIN s ON b.bin_key = s.bin_key, t))",
+    ]
+    for i in range(levels):
+        out += [
+            f"w{i} AS MATERIALIZED (SELECT bin_id, path, count(*) AS m, stddev_pop(qty) AS a, stddev_pop(price) AS c, stddev_pop(disc) AS d, median(qty) AS ma, median(price) AS mc, median(disc) AS md FROM p{i} WHERE depth > {i} GROUP BY 1, 2)",
+            f"p{i + 1} AS MATERIALIZED (SELECT p.bin_id, qty, price, disc, CASE WHEN m IS NULL THEN p.path WHEN m = 1 THEN 2 * p.path ELSE 2 * p.path + CAST(CASE WHEN a >= c AND a >= d THEN qty >= ma WHEN c >= d THEN price >= mc ELSE disc >= md END AS INTEGER) END AS path, depth FROM p{i} AS p LEFT JOIN w{i} AS w ON p.bin_id = w.bin_id AND p.path = w.path AND depth > {i})",
+        ]
+    last = f"SELECT bin_id, path, count(*) AS weight, round(sum(qty), 6) AS total_qty, round(sum(price), 6) AS total_price, round(sum(disc), 6) AS total_disc FROM p{levels} GROUP BY 1, 2"
+    return ",\n".join(out) + f"\nSELECT bin_id, row_number() OVER (PARTITION BY bin_id ORDER BY path) AS piece, weight, total_qty, total_price, total_disc FROM ({last})"
 
 
 def kmeans_coreset(spark, sf):
@@ -477,11 +496,7 @@ ORACLES = {
     "bin_filter_semi": f"{_LINE_BINS} SELECT CAST(bin_id AS INTEGER) AS bin_id, count(*) AS n, round(sum(qty), 4) AS total_qty FROM b JOIN s ON b.bin_key = s.bin_key WHERE s.n >= 2000 GROUP BY 1",
     "bin_moments": f"{_LINE_BINS} SELECT CAST(bin_id AS INTEGER) AS bin_id, count(*) AS weight, {_MOMENTS} FROM b JOIN s ON b.bin_key = s.bin_key GROUP BY 1",
     "n_repr": f"{_LINE_BINS} SELECT CAST(bin_id AS INTEGER) AS bin_id, n, CAST(ceil(n / {LARGEST}.0) AS BIGINT) AS n_repr FROM s",
-    "median_split_coreset": f"""{_LINE_BINS}, j AS (SELECT CAST(bin_id AS INTEGER) AS bin_id, qty, price, disc FROM b JOIN s ON b.bin_key = s.bin_key),
-w AS (SELECT bin_id, count(*) AS n, stddev_pop(qty) AS a, stddev_pop(price) AS b, stddev_pop(disc) AS c, median(qty) AS ma, median(price) AS mb, median(disc) AS mc FROM j GROUP BY 1),
-h AS (SELECT j.*, CASE WHEN n = 1 THEN FALSE WHEN a >= b AND a >= c THEN qty >= ma WHEN b >= c THEN price >= mb ELSE disc >= mc END AS up FROM j JOIN w ON j.bin_id = w.bin_id),
-p AS (SELECT bin_id, up, count(*) AS weight, round(avg(qty), 5) AS mean_qty, round(avg(price), 5) AS mean_price, round(avg(disc), 5) AS mean_disc FROM h GROUP BY 1, 2)
-SELECT bin_id, CAST(row_number() OVER (PARTITION BY bin_id ORDER BY up) AS INTEGER) AS piece, weight, mean_qty, mean_price, mean_disc FROM p""",
+    "median_split_coreset": _median_sql(),
     "init_mixture": f"{_LINE_BINS}, q AS (SELECT * FROM r WHERE size_rank <= 6 AND n > 50) SELECT CAST(size_rank AS INTEGER) AS component, CAST(count(*) AS DOUBLE) AS pro, "
     + ", ".join([*[f"round(avg({p}), 6) AS mean_{p}" for p in LINE], *[f"round(coalesce(covar_samp({LINE[i]}, {LINE[j]}), 0) + {0.01 if i == j else 0.0}, 6) AS cov_{LINE[i]}_{LINE[j]}" for i in range(3) for j in range(i, 3)]])
     + " FROM b JOIN q ON b.bin_key = q.bin_key GROUP BY 1",

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 
 from stratamix.functions.normal import best_1d, choose_1d, complexity_bias, cutoff, em_1d, stepped_1d, sums_1d, tsne, with_negative
-from stratamix.operators.coreset import kmeans, median_pieces
+from stratamix.operators.coreset import halving_depth, kmeans
 from stratamix.operators.em import Mixture, sums, updated
+from stratamix.operators.medians import halves, ordered_bits
 from stratamix.sources.frame import default_fraction, sample_size
 
 from model_tables import CROSSINGS
@@ -116,7 +117,6 @@ def test_empty_component_is_dropped():
 
 def test_splitters_cover_all_rows():
     x = np.random.default_rng(5).normal(size=(300, 2))
-    assert sorted(set(median_pieces(x, 2))) == [0, 1, 2, 3]
     label = kmeans(x, 7, 0, 10)
     assert len(label) == 300 and label.max() <= 6
 
@@ -133,3 +133,18 @@ def test_tsne_is_finite_and_seeded():
     y = tsne(x, seed=1)
     assert np.isfinite(y).all() and np.array_equal(y, tsne(x, seed=1))
     assert math.isfinite(tsne(x[:2]).sum())
+
+
+def test_halves_at_medians():
+    x = np.random.default_rng(5).normal(size=(301, 2)) * [1, 3]
+    label = halves(x, 1)
+    assert (label == (x[:, 1] >= np.median(x[:, 1]))).all()
+    assert np.bincount(halves(x, 3)).tolist() == [37, 38, 37, 38, 37, 38, 38, 38]
+    assert halves(np.zeros((5, 2)), 2).tolist() == [3] * 5 and halves(np.zeros((1, 2)), 2).tolist() == [0]
+    assert [halving_depth(n, 10) for n in (10, 11, 20, 21, 40, 41, 160)] == [0, 1, 1, 2, 2, 3, 4]
+
+
+def test_ordered_bits_keep_the_order():
+    v = np.array([-np.inf, -1e300, -2.0, -1.0, -5e-324, -0.0, 0.0, 5e-324, 1.0, 1.0000000000000002, 1e300, np.inf])
+    b = ordered_bits(v)
+    assert (np.sort(b) == b).all() and b[5] == b[6] and len(np.unique(b)) == len(v) - 1

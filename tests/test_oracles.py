@@ -42,9 +42,3 @@ def test_entry_works_without_the_training_data_operators(tmp_path):
     code = "import __spark_entry__ as e, stratamix.plans.model, stratamix.streaming.score; print(len(e.queries()), len(e.oracle_sql()), sum(n.startswith('op') for n in e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""}, check=True)
     assert out.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLES)), "0"]
-
-
-@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
-def test_median_split_keeps_bins_of_any_size(spark, duck, monkeypatch):
-    monkeypatch.setattr(catalog.coreset, "MOST_ROWS", 100)
-    assert rows(catalog.median_split(spark, SF).toPandas()) == rows(duck.sql(catalog.ORACLES["median_split_coreset"]).df())
