@@ -11,13 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .clouds import kmeans_centers, nearest, with_centers
 from .medians import halves, median_tree, with_pieces
 
 SCHEMA = "bin_id int, piece long, weight long, mean array<double>, cov array<double>"
-#: Bins beyond this many rows are first cut along their widest column, so that no task holds more distinct rows.
+#: Rows of a bin that one task may hold; larger bins are split by passes over all rows.
 MOST_ROWS = 100_000
-#: Rows whose distances to all centres are held at once.
-CHUNK = 2048
 RIDGE = 0.01
 
 
@@ -29,11 +28,15 @@ def max_bin_size(n: int) -> int:
     return max(50, math.ceil(n / 1e4))
 
 
-def moments(rows: DataFrame, keys: Sequence[str], params: Sequence[str]) -> DataFrame:
-    """Keys, weight, mean array and row-major sample covariance array (zeros for a single row) in one aggregation."""
+def moments(rows: DataFrame, keys: Sequence[str], params: Sequence[str], digits: int | None = None) -> DataFrame:
+    """Keys, weight, mean array and row-major sample covariance array (zeros for a single row) in one aggregation.
+
+    With ``digits`` the means are those of values rounded to so many decimals.
+    """
     d = len(params)
     names = {(i, j): f"_c{i}_{j}" for i in range(d) for j in range(i, d)}
-    means = [F.avg(F.col(f"`{p}`")).alias(f"_m{i}") for i, p in enumerate(params)]
+    shown = lambda c: c if digits is None else F.round(c, digits)
+    means = [F.avg(shown(F.col(f"`{p}`"))).alias(f"_m{i}") for i, p in enumerate(params)]
     covs = [F.covar_samp(F.col(f"`{params[i]}`"), F.col(f"`{params[j]}`")).alias(name) for (i, j), name in names.items()]
     out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("weight"), *means, *covs)
     cov = [F.coalesce(F.col(names[min(i, j), max(i, j)]), F.lit(0.0)) for i in range(d) for j in range(d)]
@@ -45,21 +48,15 @@ def piece_count(n: Column, largest: int) -> Column:
     return F.ceil(n / largest).cast("long")
 
 
-def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    own = (centers * centers).sum(axis=1)
-    return np.concatenate([(own - 2 * x[i : i + CHUNK] @ centers.T).argmin(axis=1) for i in range(0, len(x), CHUNK)])
-
-
-def kmeans(x: np.ndarray, k: int, seed: int, most: int, times: np.ndarray | None = None) -> np.ndarray:
-    """Lloyd's algorithm from seeded rows, each standing for ``times`` equal ones; returns each row's piece."""
-    times = np.ones(len(x)) if times is None else times
+def kmeans(x: np.ndarray, k: int, seed: int, most: int) -> np.ndarray:
+    """Lloyd's algorithm from seeded rows; returns each row's piece."""
     unique = np.unique(x, axis=0)
     k = min(k, len(unique))
     centers = unique[np.random.default_rng(seed).choice(len(unique), k, replace=False)]
     for _ in range(most):
-        label = _nearest(x, centers)
-        size = np.bincount(label, times, k)
-        new = np.stack([np.bincount(label, times * x[:, j], k) for j in range(x.shape[1])], axis=1) / np.maximum(size, 1)[:, None]
+        label, _ = nearest(x, centers)
+        size = np.bincount(label, minlength=k)
+        new = np.stack([np.bincount(label, x[:, j], k) for j in range(x.shape[1])], axis=1) / np.maximum(size, 1)[:, None]
         new = np.where(size[:, None] > 0, new, centers)
         if np.allclose(new, centers):
             break
@@ -72,9 +69,9 @@ def halving_depth(n: int, largest: int) -> int:
     return (math.ceil(n / largest) - 1).bit_length()
 
 
-def _stats(x: np.ndarray) -> tuple[int, list[float], list[float]]:
+def _stats(x: np.ndarray) -> tuple[int, list[float], np.ndarray]:
     cov = np.cov(x.T, ddof=1).reshape(-1) if len(x) > 1 else np.zeros(x.shape[1] ** 2)
-    return len(x), x.mean(axis=0).tolist(), cov.tolist()
+    return len(x), x.mean(axis=0).tolist(), cov
 
 
 def median_pieces(rows: DataFrame, params: Sequence[str], largest: int) -> DataFrame:
@@ -108,24 +105,14 @@ def median_pieces(rows: DataFrame, params: Sequence[str], largest: int) -> DataF
     return out.select("bin_id", piece.alias("piece"), "weight", "mean", "cov")
 
 
-def _huge(rows: DataFrame, params: Sequence[str]) -> DataFrame:
-    """(bin_id, part, params, times) of bins beyond MOST_ROWS: parts of at most about MOST_ROWS distinct rows.
-
-    Equal rows become one. A bin is cut at quantiles of its widest column; a slice that still has too many rows, as the
-    bin is very large or the column has few values, is cut by the rows' hash into as many parts as it takes.
-    """
-    spread = F.array(*[F.struct(F.coalesce(F.stddev_samp(p), F.lit(0.0)).alias("sd"), F.lit(-i).alias("i")) for i, p in enumerate(params)])
-    cuts = [F.percentile_approx(p, F.array(*[F.lit(q / 64) for q in range(1, 64)])) for p in params]
-    axes = rows.groupBy("bin_id").agg(spread.alias("sds"), F.array(*cuts).alias("q")).select("bin_id", (-F.array_max("sds")["i"]).alias("axis"), "q")
-    axes = axes.select("bin_id", "axis", F.col("q")[F.col("axis")].alias("q"))
-    equal = rows.groupBy("bin_id", "bin_n", *params).agg(F.count(F.lit(1)).alias("times")).join(axes, "bin_id")
-    value = F.array(*params)[F.col("axis")]
-    slices = F.least(F.lit(64), F.ceil(F.col("bin_n") / MOST_ROWS * 2))
-    equal = equal.withColumn("slice", F.floor(F.size(F.filter("q", lambda c: value >= c)) * slices / 64)).drop("q", "axis", "bin_n")
-    size = equal.groupBy("bin_id", "slice").agg(F.ceil(F.count(F.lit(1)) / MOST_ROWS).alias("parts"))
-    equal = equal.join(size, ["bin_id", "slice"])
-    part = F.col("slice") * 1_000_000_000 + F.pmod(F.xxhash64(*params), F.col("parts"))
-    return equal.select("bin_id", part.cast("long").alias("part"), *params, "times")
+def kmeans_pieces(rows: DataFrame, params: Sequence[str], largest: int, seed: int = 0) -> DataFrame:
+    """(bin_id, piece, weight, mean, cov) of rows of bins of more than MOST_ROWS rows, by ``clouds``: at most ceil(n / largest) pieces a bin."""
+    wanted = {int(r.bin_id): math.ceil(r.bin_n / largest) for r in rows.select("bin_id", "bin_n").distinct().collect()}  # bins above MOST_ROWS rows
+    if not wanted:
+        return rows.sparkSession.createDataFrame([], SCHEMA)
+    rows = rows.select("bin_id", *params).persist()
+    out = moments(with_centers(rows, params, kmeans_centers(rows, params, wanted, seed=seed)), ["bin_id", "piece"], params, digits=3)
+    return out.select("bin_id", "piece", F.col("weight").cast("long").alias("weight"), "mean", "cov")
 
 
 def coreset(binned: DataFrame, params: Sequence[str], *, smallest: int, largest: int, splitter: str = "kmeans", seed: int = 0) -> DataFrame:
@@ -133,7 +120,7 @@ def coreset(binned: DataFrame, params: Sequence[str], *, smallest: int, largest:
 
     Bins of fewer than ``smallest`` rows go. A bin is cut into ceil(n / largest) pieces by k-means on values rounded
     to three decimals (the means are those of the rounded values, the covariances of the plain ones), or by halves
-    at medians.
+    at medians. Bins of up to MOST_ROWS rows are split in a task each.
     """
     kept = binned.filter(F.col("bin_n") >= smallest)
     whole = moments(kept.filter(F.col("bin_n") <= largest), ["bin_id"], params)
@@ -141,22 +128,20 @@ def coreset(binned: DataFrame, params: Sequence[str], *, smallest: int, largest:
     large = kept.filter(F.col("bin_n") > largest).select("bin_id", "bin_n", *params)
     if splitter == "median":
         return whole.unionByName(median_pieces(large, params, largest))
-    middle = large.filter(F.col("bin_n") <= MOST_ROWS).select("bin_id", F.lit(0).cast("long").alias("part"), *params, F.lit(1).cast("long").alias("times"))
-    large = middle.unionByName(_huge(large.filter(F.col("bin_n") > MOST_ROWS), params))
+    huge = kmeans_pieces(large.filter(F.col("bin_n") > MOST_ROWS), params, largest, seed)
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, times = pdf[list(params)].to_numpy(float), pdf.times.to_numpy()
+        x, b = pdf[list(params)].to_numpy(float), int(pdf.bin_id.iloc[0])
         rounded = np.round(x, 3)
-        label = kmeans(rounded, math.ceil(times.sum() / largest), seed + int(pdf.bin_id.iloc[0]), 3 if len(x) > MOST_ROWS else 10, times)
+        label = kmeans(rounded, math.ceil(len(x) / largest), seed + b, 10)
         rows = []
         for piece in range(label.max() + 1):
-            at = label == piece
-            weight = int(times[at].sum())
-            cov = np.cov(x[at].T, ddof=1, fweights=times[at]).reshape(-1) if weight > 1 else np.zeros(x.shape[1] ** 2)
-            rows.append((int(pdf.bin_id.iloc[0]), int(pdf.part.iloc[0]) * 1_000_000 + piece + 1, weight, np.average(rounded[at], axis=0, weights=times[at]).tolist(), cov.tolist()))
+            weight, _, cov = _stats(x[label == piece])
+            rows.append((b, piece + 1, weight, rounded[label == piece].mean(axis=0).tolist(), cov.tolist()))
         return pd.DataFrame(rows, columns=["bin_id", "piece", "weight", "mean", "cov"])
 
-    return whole.unionByName(large.groupBy("bin_id", "part").applyInPandas(split, SCHEMA))
+    middle = large.filter(F.col("bin_n") <= MOST_ROWS).select("bin_id", *params)
+    return whole.unionByName(middle.groupBy("bin_id").applyInPandas(split, SCHEMA)).unionByName(huge)
 
 
 def initial_bins(summary: DataFrame, components: int, smallest: int) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratamix.operators import binning, coreset, em, labeling, merge, predict
+from stratamix.operators import binning, clouds, coreset, em, labeling, merge, predict
 from stratamix.plans.model import MixtureClusterer, MixtureModel
 from stratamix.sources import frame
 
@@ -56,35 +56,43 @@ def test_coreset_weights_sum_to_the_kept_rows(spark, planted):
         assert core.agg(F.sum("weight")).first()[0] == 5000
 
 
-def test_huge_bins_are_cut_first(spark, planted, monkeypatch):
+def test_huge_bins_are_split_by_passes_over_all_rows(spark, planted, monkeypatch):
     monkeypatch.setattr(coreset, "MOST_ROWS", 400)
     placed = binning.with_bins(planted, {"a": [1.5]})
     placed = binning.with_bin_ids(placed, binning.bin_summary(placed))
-    core = coreset.coreset(placed, ["a", "b"], smallest=5, largest=200)
-    assert core.agg(F.sum("weight")).first()[0] == 5000
-    assert core.select("bin_id", "piece").distinct().count() == core.count()
+    core = coreset.coreset(placed, ["a", "b"], smallest=5, largest=200).toPandas()
+    assert core.weight.sum() == 5000 and not core.duplicated(["bin_id", "piece"]).any()
+    assert core.groupby("bin_id").size().to_dict() == {1: 8, 2: 18}
+    mean = np.average(np.stack(core["mean"]), axis=0, weights=core.weight)
+    assert np.allclose(mean, list(planted.agg(F.avg("a"), F.avg("b")).first()), atol=1e-3)
 
 
 @pytest.mark.parametrize("splitter", ["kmeans", "median"])
-def test_huge_bins_of_few_values_are_cut_too(spark, monkeypatch, splitter):
-    """A third of the rows are equal, and the widest column has two values: quantiles alone could not cut them."""
+def test_huge_bins_of_few_values_are_split_too(spark, monkeypatch, splitter):
+    """A third of the rows are equal, and the widest column has two values."""
     monkeypatch.setattr(coreset, "MOST_ROWS", 300)
     i = F.col("id")
     rows = spark.range(9000).select(F.when(i < 3000, 0.0).otherwise(10.0 * (i % 2)).alias("a"), F.when(i < 3000, 0.0).otherwise((i % 701) / 701).alias("b"), F.lit(1).alias("bin_id"), F.lit(9000).cast("long").alias("bin_n"))
-    parts = coreset._huge(rows, ["a", "b"])
-    assert parts.agg(F.sum("times")).first()[0] == 9000
-    assert parts.groupBy("part").count().agg(F.max("count")).first()[0] <= 2 * coreset.MOST_ROWS
     core = coreset.coreset(rows, ["a", "b"], smallest=5, largest=1000, splitter=splitter).toPandas()
     assert core.weight.sum() == 9000 and not core.duplicated(["bin_id", "piece"]).any()
     mean = rows.agg(F.avg("a"), F.avg("b")).first()
     assert np.allclose((np.stack(core["mean"]) * core.weight.to_numpy()[:, None]).sum(axis=0) / 9000, list(mean), atol=1e-3)
 
 
-def test_weighted_pieces_are_those_of_repeated_rows():
-    r = np.random.default_rng(8)
-    x, times = r.normal(size=(40, 2)).round(1), r.integers(1, 5, 40)
-    again = np.repeat(np.arange(40), times)
-    assert (coreset.kmeans(x[again], 5, 1, 10) == coreset.kmeans(x, 5, 1, 10, times)[again]).all()
+def test_parallel_seeding_is_as_good_as_one_task(spark, monkeypatch):
+    """Pieces of bins that are split by passes are no wider than those of k-means in one task, and don't overlap."""
+    r = np.random.default_rng(31)
+    x = np.concatenate([r.normal(c, 0.2, (300, 2)) for c in r.uniform(-20, 20, (12, 2))])
+    rows = spark.createDataFrame([(b, float(p), float(q)) for b in (1, 2) for p, q in x * b], "bin_id int, a double, b double").repartition(6)
+    centers = clouds.kmeans_centers(rows, ["a", "b"], {1: 12, 2: 12})
+    label, far = clouds.nearest(np.round(x, 3), centers[1])
+    one = coreset.kmeans(np.round(x, 3), 12, 3, 3)
+    within = sum(((x[one == k] - x[one == k].mean(axis=0)) ** 2).sum() for k in np.unique(one))
+    assert len(centers[1]) <= 12 and far.sum() <= within * 1.02
+    placed = clouds.with_centers(rows, ["a", "b"], centers).filter("bin_id = 1").toPandas()
+    again, _ = clouds.nearest(np.round(placed[["a", "b"]].to_numpy(), 3), centers[1])
+    assert (placed.piece.to_numpy() == again + 1).all()
+    assert [len(c) for c in clouds.kmeans_centers(rows.filter("a = 1e9 or bin_id = 1 and a < 1e9").withColumns({"a": F.lit(1.0), "b": F.lit(2.0)}), ["a", "b"], {1: 5}).values()] == [1]
 
 
 def test_bins_are_joined_the_same_way_beyond_the_bound(spark, planted, monkeypatch):
