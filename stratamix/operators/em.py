@@ -1,20 +1,24 @@
-"""Weighted EM on representatives: each step is one job that reduces partitions to K rows of sums."""
+"""Weighted EM on representatives: each step is one job that reduces partitions to sums for each component, and may be kept in a journal."""
 
 from __future__ import annotations
 
+import json
 import logging
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normal import log_normal
 
 log = logging.getLogger(__name__)
 RIDGE = 0.01
+#: Representatives in a partition of a step, so that few rows of sums reach the driver.
+REPRESENTATIVES = 10_000
 
 
 @dataclass
@@ -105,18 +109,50 @@ def _distributed(core: DataFrame, model: Mixture, total: float) -> Sums:
     return Sums(s0, s1.reshape(k, d), s2.reshape(k, d, d), t1.reshape(k, d), v.reshape(k, d, d), float(rest[0]), int(rest[1]))
 
 
-def weighted_em(core: DataFrame, initial: Mixture, *, ridge: float = RIDGE, steps: int = 10, threshold: float = 5e-3, correct: bool = True, always_correct: bool = False) -> Mixture:
+@dataclass
+class Journal:
+    """The mixtures of a run's steps, in a folder that a later run can read: a row a step."""
+
+    spark: SparkSession
+    folder: str
+
+    def _path(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder.rstrip('/')}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def write(self, step: int, model: Mixture) -> None:
+        text = json.dumps({"step": step, "params": model.params, "pro": model.pro.tolist(), "mean": model.mean.tolist(), "cov": model.cov.tolist()})
+        self.spark.createDataFrame([(text,)], "model string").coalesce(1).write.mode("overwrite").parquet(f"{self.folder.rstrip('/')}/step={step}")
+
+    def last(self) -> tuple[int, Mixture] | None:
+        """The last step that was written whole."""
+        fs, path = self._path()
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        for step in sorted((int(n.removeprefix("step=")) for n in names if n.startswith("step=")), reverse=True):
+            fs, done = self._path(f"step={step}/_SUCCESS")
+            if fs.exists(done):
+                x = json.loads(self.spark.read.parquet(f"{self.folder.rstrip('/')}/step={step}").first().model)
+                return step, Mixture(x["params"], *(np.array(x[c]) for c in ("pro", "mean", "cov")))
+        return None
+
+
+def weighted_em(core: DataFrame, initial: Mixture, *, ridge: float = RIDGE, steps: int = 10, threshold: float = 5e-3, correct: bool = True, always_correct: bool = False, journal: str | None = None) -> Mixture:
     """The fitted mixture of representatives (weight, mean, cov).
 
     From the second step on, a relative change of the log-likelihood below ten times ``threshold`` ends the loop
     with the mixture before the last step, its covariances widened by the representatives' own. After ``steps``
     steps the last mixture is returned, unwidened unless ``always_correct``.
+
+    ``journal`` names a folder that all machines share: each step is written there, and a run over the same
+    representatives goes on after the last one that it finds. A new run needs a new folder.
     """
-    total = float(core.agg(F.sum("weight")).first()[0])
-    now = Mixture(initial.params, initial.pro / initial.pro.sum(), initial.mean, initial.cov)
+    n, total = core.agg(F.count(F.lit(1)), F.sum("weight").cast("double")).first()
+    core = core.coalesce(max(1, math.ceil(n / REPRESENTATIVES)))
+    log_ = Journal(core.sparkSession, journal) if journal else None
+    first, now = (log_ and log_.last()) or (0, Mixture(initial.params, initial.pro / initial.pro.sum(), initial.mean, initial.cov))
     s = _distributed(core, now, total)
     widened = lambda m, x: Mixture(m.params, m.pro, m.mean, m.cov + x.v / m.pro[:, None, None])
-    for step in range(1, steps + 1):
+    for step in range(first + 1, steps + 1):
         before, before_sums = now, s
         now = updated(s, now.params, ridge)
         s = _distributed(core, now, total)
@@ -124,6 +160,8 @@ def weighted_em(core: DataFrame, initial: Mixture, *, ridge: float = RIDGE, step
         log.info("step %d: log-likelihood %.6g, relative change %.3g", step, s.loglik, change)
         if step > 1 and change < 10 * threshold:
             return widened(before, before_sums) if correct else before
+        if log_:
+            log_.write(step, now)
     return widened(now, s) if correct and always_correct else now
 
 

@@ -35,6 +35,8 @@ class MixtureClusterer:
     min_cutoff: float = 0.5
     ridge: float = 0.01
     seed: int = 0
+    #: A shared folder from which the mixture's loop goes on if its run was cut off; see ``em.weighted_em``.
+    journal: str | None = None
 
     def fit(self, df: DataFrame) -> MixtureModel:
         params = list(self.params or numeric_columns(df))
@@ -62,7 +64,7 @@ class MixtureClusterer:
             initial = em.Mixture.collect(start, params)
             log.info("%d initial components of %d wanted", len(initial.pro), self.components)
             core = coreset.coreset(placed, params, smallest=self.min_bin_size or coreset.min_bin_size(n), largest=self.max_bin_size or coreset.max_bin_size(n), splitter=self.splitter, seed=self.seed).persist()
-            fitted = em.weighted_em(core, initial, ridge=self.ridge)
+            fitted = em.weighted_em(core, initial, ridge=self.ridge, journal=self.journal)
             core.unpersist()
             summary.unpersist()
             return MixtureModel.of(df.sparkSession, fitted, [tuple(r) for r in mixtures.orderBy("marker", "comp").collect()], cuts)

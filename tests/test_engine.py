@@ -155,6 +155,48 @@ def test_variance_correction_only_when_stopped(spark):
     assert np.allclose(wide.cov - plain.cov, np.eye(2)[None])
 
 
+def test_a_lost_run_goes_on_from_its_journal(spark, planted, tmp_path, monkeypatch):
+    core = planted.select(F.lit(1.0).alias("weight"), F.array("a", "b").alias("mean"), F.array(*[F.lit(0.0)] * 4).alias("cov")).persist()
+    start = em.random_mixture(core, ["a", "b"], 3, seed=4)
+    whole = em.weighted_em(core, start, steps=7, threshold=0.0)
+    passes, plain = [], em._distributed
+
+    def fails(*args):
+        passes.append(1)
+        if len(passes) == 5:
+            raise RuntimeError("the driver is lost")
+        return plain(*args)
+
+    monkeypatch.setattr(em, "_distributed", fails)
+    with pytest.raises(RuntimeError):
+        em.weighted_em(core, start, steps=7, threshold=0.0, journal=str(tmp_path / "j"))
+    assert em.Journal(spark, str(tmp_path / "j")).last()[0] == 3
+    (tmp_path / "j" / "step=9").mkdir()  # begun, never finished
+    again = em.weighted_em(core, start, steps=7, threshold=0.0, journal=str(tmp_path / "j"))
+    assert len(passes) == 5 + 5 and np.allclose(again.mean, whole.mean) and np.allclose(again.cov, whole.cov) and np.allclose(again.pro, whole.pro)
+
+
+def test_few_rows_of_sums_reach_the_driver(spark, planted, monkeypatch):
+    core = planted.repartition(40).select(F.lit(1.0).alias("weight"), F.array("a", "b").alias("mean"), F.array(*[F.lit(0.0)] * 4).alias("cov"))
+    parts, plain = [], em._distributed
+    monkeypatch.setattr(em, "_distributed", lambda c, *rest: parts.append(c.rdd.getNumPartitions()) or plain(c, *rest))
+    em.weighted_em(core, em.random_mixture(core, ["a", "b"], 2), steps=1)
+    monkeypatch.setattr(em, "REPRESENTATIVES", 1000)
+    em.weighted_em(core, em.random_mixture(core, ["a", "b"], 2), steps=1)
+    assert parts == [1, 1, 5, 5]
+
+
+def test_random_start_is_seeded_and_finds_planted_clusters(planted):
+    """Rows as means, equal shares, identity covariances; on raw rows of weight one."""
+    core = planted.select(F.lit(1.0).alias("weight"), F.array("a", "b").alias("mean"), F.array(*[F.lit(0.0)] * 4).alias("cov")).persist()
+    start = em.random_mixture(core, ["a", "b"], 3, seed=2)
+    rows = {(r.a, r.b) for r in planted.select("a", "b").collect()}
+    assert all(tuple(m) in rows for m in start.mean) and (start.cov == np.eye(2)).all() and start.pro.tolist() == [1 / 3] * 3
+    assert (em.random_mixture(core.repartition(3), ["a", "b"], 3, seed=2).mean == start.mean).all()
+    best = min((em.weighted_em(core, em.random_mixture(core, ["a", "b"], 3, seed=s), steps=60, threshold=1e-6).mean for s in range(4)), key=lambda m: sum(((m - c) ** 2).sum(axis=1).min() for c in ([0, 0], [3, 0], [3, 3])))
+    assert sum(((best - c) ** 2).sum(axis=1).min() for c in ([0, 0], [3, 0], [3, 3])) < 0.05
+
+
 def test_cluster_ids_follow_first_appearance(spark):
     rows = sorted((r.component, r.cluster) for r in _mapping(spark).collect())
     assert rows[0] == (1, 1) and [c for _, c in rows] == [1, 2, 1, 3, 2]
