@@ -133,6 +133,36 @@ def choose_1d(x: np.ndarray, most: int = 3, criterion: str = "bic", weights: np.
     return best_1d([em_1d(x, k, weights) for k in range(1, min(most, len(np.unique(x))) + 1)], n, criterion, prior_bic)
 
 
+Component = tuple[float, float, float]
+
+
+def pooled(a: Component, b: Component) -> Component:
+    """The share, mean and variance of two components together."""
+    (p1, m1, v1), (p2, m2, v2) = a, b
+    p = p1 + p2
+    m = (p1 * m1 + p2 * m2) / p
+    return p, m, (p1 * (v1 + (m1 - m) ** 2) + p2 * (v2 + (m2 - m) ** 2)) / p
+
+
+def merge_cost(a: Component, b: Component) -> float:
+    """A bound on how far, in nats, the mixture moves from itself (Kullback and Leibler's divergence) if two components become one."""
+    p, _, v = pooled(a, b)
+    return 0.5 * (p * math.log(v) - a[0] * math.log(a[2]) - b[0] * math.log(b[2]))
+
+
+def reduced(components: Sequence[Component], most: float) -> list[Component]:
+    """Components after the cheapest pair has become one, again and again, as long as that costs at most ``most``. The first of equal pairs counts."""
+    out = list(components)
+    while len(out) > 1:
+        cost, i, j = min((merge_cost(out[i], out[j]), i, j) for i in range(len(out)) for j in range(i + 1, len(out)))
+        if cost > most:
+            break
+        both = pooled(out[i], out[j])
+        out = [c for k, c in enumerate(out) if k not in (i, j)] + [both]
+        out.sort(key=lambda c: c[1])
+    return out
+
+
 def with_negative(fit: Fit1D, low: tuple[float, float, float | None], high: float) -> Fit1D:
     """A fit of ``high`` positive values, with one component more in front for the negative ones: their number, mean and sample variance."""
     n, mean, variance = low

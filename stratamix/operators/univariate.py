@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.normal import Fit1D, best_1d, cutoff, em_1d, least_variance, settled, stepped_1d, sums_1d, with_negative
+from ..functions.normal import Fit1D, best_1d, cutoff, em_1d, least_variance, reduced, settled, stepped_1d, sums_1d, with_negative
 from ..sources.frame import default_fraction, features, sample_rows, sample_size
 
 SCHEMA = "marker string, comp int, pro double, mean double, var double"
@@ -160,13 +160,14 @@ def _table(spark, chosen: dict[str, Fit1D]) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def fit_univariate(df: DataFrame, params: Sequence[str], max_mixture: int = 3, criterion: str = "bic", sample_fraction: float = 0.05, seed: int = 0, prior_bic: float | None = None) -> DataFrame:
+def fit_univariate(df: DataFrame, params: Sequence[str], max_mixture: int = 3, criterion: str = "bic", sample_fraction: float = 0.05, seed: int = 0, prior_bic: float | None = None, n: int | None = None) -> DataFrame:
     """A mixture for each column: (marker, comp from 1 by ascending mean, pro, mean, var).
 
-    The number of components is the best by biased BIC (``prior_bic`` sets another bias), or by ICL. See ``fitted``.
+    The number of components is the best by biased BIC (``prior_bic`` sets another bias), or by ICL. ``n`` is the number of rows,
+    where it is known. See ``fitted``.
     """
     rows = features(df, params)
-    n = rows.count()
+    n = rows.count() if n is None else n
     rows = sample_rows(rows, sample_size(n, sample_fraction), n, seed).persist()
     fits = fitted(rows, {p: range(1, max_mixture + 1) for p in params})
     rows.unpersist()
@@ -175,7 +176,8 @@ def fit_univariate(df: DataFrame, params: Sequence[str], max_mixture: int = 3, c
 
 def fit_univariate_default(df: DataFrame, params: Sequence[str], seed: int = 0) -> DataFrame:
     """``fit_univariate`` with up to three components and the share of rows that their number calls for."""
-    return fit_univariate(df, params, 3, "bic", default_fraction(df.count()), seed)
+    n = df.count()
+    return fit_univariate(df, params, 3, "bic", default_fraction(n), seed, n=n)
 
 
 def refit_univariate(df: DataFrame, components: dict[str, int], mixtures: DataFrame, sample_fraction: float = 0.2, separate_negative: bool = False, seed: int = 0) -> DataFrame:
@@ -199,6 +201,25 @@ def merge_candidates(mixtures: DataFrame, threshold: float = 0.5) -> DataFrame:
     return low.filter(F.size("comps") > 1)
 
 
+def reduce_low(mixtures: DataFrame, threshold: float = 0.5, most: float = 0.05) -> DataFrame:
+    """``mixtures`` in which a marker's ``merge_candidates`` have become fewer: pairs are pooled, moments kept, while that costs at most ``most`` nats.
+
+    Components that describe one mode then leave no cutoff between them. Markers without candidates stay; components are
+    numbered anew by ascending mean.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = pdf.comp.isin(pdf.comps.iloc[0]) if pdf.comps.iloc[0] is not None else pdf.comp < 0
+        cells = ["pro", "mean", "var"]
+        pdf = pdf.sort_values("comp")
+        rest = [tuple(r) for r in pdf.loc[~low, cells].to_numpy(float)]
+        rows = sorted([*reduced([tuple(r) for r in pdf.loc[low, cells].to_numpy(float)], most), *rest], key=lambda c: c[1])
+        return pd.DataFrame([(pdf.marker.iloc[0], i, *c) for i, c in enumerate(rows, 1)], columns=["marker", "comp", *cells])
+
+    both = mixtures.join(merge_candidates(mixtures, threshold), "marker", "left")
+    return both.groupBy("marker").applyInPandas(run, SCHEMA)  # a few rows a marker
+
+
 def adjacent_pairs(mixtures: DataFrame) -> DataFrame:
     """Each component with the next of its marker."""
     w = W.partitionBy("marker").orderBy("comp")

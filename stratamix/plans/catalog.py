@@ -429,6 +429,21 @@ def labels(spark, sf):
     return labeling.label_strings(clusters, labeling.first_match(clusters, rules, ["qty", "price"]), rules, ["qty", "price"])
 
 
+def _reduce_sql(threshold: float = 1.0, most: float = 0.45, rounds: int = 2) -> str:
+    """Low components, at most three a marker, pooled pair by pair: the cheapest first."""
+    out = [f"WITH RECURSIVE {_MIX}", f"r0 AS (SELECT *, mean < {threshold} AND count(*) FILTER (mean < {threshold}) OVER (PARTITION BY marker) > 1 AS low FROM mix)"]
+    for i in range(rounds):
+        out += [
+            f"x{i} AS (SELECT a.marker, a.comp AS i, b.comp AS j, a.pro + b.pro AS p, (a.pro * a.mean + b.pro * b.mean) / (a.pro + b.pro) AS m, a.pro AS p1, a.mean AS m1, a.var AS v1, b.pro AS p2, b.mean AS m2, b.var AS v2 FROM r{i} a JOIN r{i} b ON a.marker = b.marker AND a.comp < b.comp AND a.low AND b.low)",
+            f"y{i} AS (SELECT *, (p1 * (v1 + pow(m1 - m, 2)) + p2 * (v2 + pow(m2 - m, 2))) / p AS v FROM x{i})",
+            f"w{i} AS (SELECT *, 0.5 * (p * ln(v) - p1 * ln(v1) - p2 * ln(v2)) AS cost FROM y{i} QUALIFY row_number() OVER (PARTITION BY marker ORDER BY cost, i, j) = 1)",
+            f"g{i} AS (SELECT * FROM w{i} WHERE cost <= {most})",
+            f"u{i} AS (SELECT r.marker, r.pro, r.mean, r.var, r.low FROM r{i} r LEFT JOIN g{i} g ON r.marker = g.marker AND r.comp IN (g.i, g.j) WHERE g.marker IS NULL UNION ALL SELECT marker, p, m, v, TRUE FROM g{i})",
+            f"r{i + 1} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY marker ORDER BY mean) AS comp FROM u{i})",
+        ]
+    return ",\n".join(out) + f" SELECT marker, CAST(comp AS INTEGER) AS comp, round(pro, 5) AS pro, round(mean, 5) AS mean, round(var, 5) AS var FROM r{rounds}"
+
+
 QUERIES = {
     "project_features": lambda spark, sf: frame.features(_vectors(spark, sf), DIMS, "vec_id"),
     "sample_topk_hash": lambda spark, sf: _events(spark, sf).withColumn("h", (F.col("event_id") * 7919) % 100003).transform(frame.first_rows, 500, "h", "event_id").select("event_id", "value"),
@@ -454,6 +469,7 @@ QUERIES = {
     "gmm1d_refit": lambda spark, sf: univariate.refit_univariate(_read(spark, sf, "customer").select("c_acctbal"), {"c_acctbal": 2}, _literal(spark, OTHER, univariate.SCHEMA), separate_negative=True),
     "neg_split_moments": neg_split,
     "find_to_merge": lambda spark, sf: univariate.merge_candidates(_mixtures(spark, sf)).select("marker", F.array_join(F.transform("comps", lambda x: x.cast("string")), ",").alias("comps")),
+    "reduce_low": lambda spark, sf: univariate.reduce_low(_mixtures(spark, sf), 1.0, 0.45).select("marker", "comp", F.round("pro", 5).alias("pro"), F.round("mean", 5).alias("mean"), F.round("var", 5).alias("var")),
     "e_step": e_step,
     "weighted_loglik": weighted_loglik,
     "m_step": m_step,
@@ -508,6 +524,7 @@ ORACLES = {
 SELECT CAST(1 AS INTEGER) AS comp, round(any_value(low / every), 8) AS pro, round(avg(x), 5) AS mean, round(var_samp(x), 2) AS var FROM x, n WHERE x < 0
 UNION ALL SELECT CAST(2 AS INTEGER), round(any_value(1 - low / every), 8), round(avg(x), 5), round(var_pop(x), 2) FROM x, n WHERE x > 0""",
     "find_to_merge": f"WITH RECURSIVE {_MIX} SELECT marker, string_agg(CAST(comp AS VARCHAR), ',' ORDER BY comp) AS comps FROM mix WHERE mean < 0.5 GROUP BY 1 HAVING count(*) > 1",
+    "reduce_low": _reduce_sql(),
     "e_step": f"{_R} SELECT vec_id, CAST(component AS INTEGER) AS component, round(r, 6) AS r FROM r",
     "weighted_loglik": f"{_Z}, {_TOTAL} SELECT round(sum(total * (1 + vec_id % 3)), 5) AS loglik FROM t",
     "m_step": f"""{_R}, n AS (SELECT count(*) / 3 AS m, sum(w) / 3 AS total FROM r), q AS (SELECT r.*, w * r / total AS wr, m FROM r, n),

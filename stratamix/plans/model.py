@@ -33,6 +33,8 @@ class MixtureClusterer:
     univariate: DataFrame | None = None
     splitter: str = "kmeans"
     min_cutoff: float = 0.5
+    #: Nats that pooling two one-dimensional components below ``min_cutoff`` may cost (see ``univariate.reduce_low``); None pools none.
+    pooling: float | None = None
     ridge: float = 0.01
     seed: int = 0
     #: A shared folder from which the mixture's loop goes on if its run was cut off; see ``em.weighted_em``.
@@ -54,6 +56,8 @@ class MixtureClusterer:
             if not n:
                 raise ValueError("no rows")
             mixtures = self.univariate if self.univariate is not None else univariate.fit_univariate_default(rows, params, self.seed)
+            if self.pooling is not None:
+                mixtures = univariate.reduce_low(mixtures, self.min_cutoff, self.pooling)
             mixtures = mixtures.persist()
             cuts = univariate.cutoffs_of(mixtures, params, self.min_cutoff)
             binned = binning.with_bins(rows, cuts)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratamix.functions.normal import choose_1d, em_1d
+from stratamix.functions.normal import choose_1d, em_1d, merge_cost, pooled, reduced
 from stratamix.operators import univariate
 
 COLUMNS = "marker string, comp int, pro double, mean double, var double"
@@ -64,3 +64,29 @@ def test_a_pass_is_one_aggregation_of_rows_for_components(spark, columns):
     sums = univariate._pass(df.select("a", "b"), fits)
     assert len(sums) == 4 and [len(s[0]) for s in sums.values()] == [1, 2, 3, 2]
     assert sums[0][0][0, 0] == pytest.approx(9000) and sums[3][0][:, 0].sum() == pytest.approx(8100)
+
+
+def test_low_components_of_one_mode_are_pooled(spark):
+    """One skewed mode that took two components leaves no cutoff once they are pooled; the others stay, and so do the moments."""
+    rows = [("a", 1, 0.35, 0.10, 0.02), ("a", 2, 0.25, 0.30, 0.04), ("a", 3, 0.40, 3.0, 0.2), ("b", 1, 0.5, 0.0, 0.01), ("b", 2, 0.5, 0.45, 0.0001), ("c", 1, 0.6, 0.2, 0.1), ("c", 2, 0.4, 2.0, 0.1)]
+    mixtures = spark.createDataFrame(rows, COLUMNS)
+    got = univariate.reduce_low(mixtures, 0.5, 0.2).orderBy("marker", "comp").collect()
+    assert [(r.marker, r.comp) for r in got] == [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 1), ("c", 2)]
+    assert got[0].pro == pytest.approx(0.6) and got[0].mean == pytest.approx((0.035 + 0.075) / 0.6)
+    second = (0.35 * (0.02 + 0.01) + 0.25 * (0.04 + 0.09)) / 0.6
+    assert got[0]["var"] == pytest.approx(second - got[0].mean ** 2)
+    assert len(univariate.cutoffs_of(mixtures, floor=0.0)["a"]) == 2 and len(univariate.cutoffs_of(univariate.reduce_low(mixtures, 0.5, 0.2), floor=0.0)["a"]) == 1
+    assert univariate.reduce_low(mixtures, 0.5, 0.0).orderBy("marker", "comp").collect() == mixtures.orderBy("marker", "comp").collect()
+
+
+def test_the_cost_of_pooling_bounds_the_divergence():
+    x = np.linspace(-12, 12, 40_001)
+    density = lambda parts: sum(p * np.exp(-0.5 * (x - m) ** 2 / v) / np.sqrt(2 * np.pi * v) for p, m, v in parts)
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        p = r.dirichlet([1, 1, 1])
+        parts = [(float(a), float(r.normal(0, 2)), float(r.uniform(0.3, 2))) for a in p]
+        before, after = density(parts), density([pooled(parts[0], parts[1]), parts[2]])
+        apart = (before * np.log(before / after)).sum() * (x[1] - x[0])
+        assert -1e-6 < apart <= merge_cost(parts[0], parts[1]) + 1e-6
+    assert len(reduced([(0.5, 0.0, 1.0), (0.3, 0.1, 1.0), (0.2, 9.0, 1.0)], 0.05)) == 2
