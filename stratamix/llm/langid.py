@@ -10,7 +10,6 @@ For prediction the first layer is folded into tables over byte pairs, so a windo
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,18 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship, table
+from .common import crc_mod, fresh, sent_if_small, ship, table
 
 WIDTHS = (2, 3, 4)
 FILTERS, EMBEDDING = 16, 8
 WINDOW = 256
-#: Bound of the training sample: texts for each language, and windows for each text.
-TEXTS_PER_LANGUAGE, WINDOWS_PER_TEXT = 800, 4
-#: The most frequent values of the language column are learnt, at most so many.
-LANGUAGES = 300
+#: Bounds of the training sample: texts for each language and in all, and windows for each text.
+TEXTS_PER_LANGUAGE, TEXTS, WINDOWS_PER_TEXT = 800, 240_000, 4
 EPOCHS, BATCH, RATE = 6, 64, 4e-3
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = r"\p{L}"
 
 
 @dataclass
@@ -133,17 +130,17 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: i
 
 
 def training_windows(docs: DataFrame) -> DataFrame:
-    """(lang, window) of at most about TEXTS_PER_LANGUAGE texts a language, WINDOWS_PER_TEXT windows each.
+    """(lang, window) of at most about TEXTS_PER_LANGUAGE texts a language and TEXTS in all, WINDOWS_PER_TEXT windows each.
 
-    Texts are drawn by a hash of their id; windows lie anywhere in the text, drawn by a hash as well. The
-    counts of the LANGUAGES most frequent languages set each one's share.
+    Texts are drawn by a hash of their id; windows lie anywhere in the text, drawn by a hash as well. All languages have the
+    same number of texts if they have as many.
     """
-    counts = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+    counts = sent_if_small(docs.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "languages")
+    kinds = counts.count()
+    if not kinds:
         return docs.sparkSession.createDataFrame([], "lang string, window binary")
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, TEXTS_PER_LANGUAGE / n))])
-    drawn = docs.filter(unit < share[F.col("lang")])
+    drawn = docs.join(counts, "lang").filter(unit < min(TEXTS_PER_LANGUAGE, TEXTS / kinds) / F.col("_n")).select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,7 +160,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """Trains on the rows of ``docs`` with a text that has a letter and a language; None if there are none."""
     ship(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"))
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(_LETTER))
     sample = sorted((r.lang, bytes(r.window)) for r in training_windows(rows).collect())
     if not sample:
         return None
@@ -192,9 +189,8 @@ def predict(docs: DataFrame, network: Network | None, *, id_col: str = "doc_id",
                 b = whole.slice(k, 256)
                 names, scores = [UNKNOWN] * b.num_rows, [0.0] * b.num_rows
                 for i, text in enumerate(b.column("text")):
-                    text = text.as_py()
-                    if net and text and _LETTER.search(text):
-                        raw = text.encode()
+                    if net and b.column(letter)[i].as_py():
+                        raw = text.as_py().encode()
                         w = windows_of(raw)
                         weight = np.full(len(w), WINDOW, float)
                         weight[-1] = len(raw) - WINDOW * (len(w) - 1)
@@ -202,11 +198,13 @@ def predict(docs: DataFrame, network: Network | None, *, id_col: str = "doc_id",
                         p = np.exp(z - z.max())
                         best = int(p.argmax())
                         names[i], scores[i] = net.languages[best], float(p[best] / p.sum())
-                rest = [c for c in b.schema.names if c != "text"]
+                rest = [c for c in b.schema.names if c not in ("text", letter)]
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*rest, "lang_pred", "score"])
 
     rows = docs.select(docs[id_col].alias("doc_id"), *[docs[c] for c in keep], docs[text_col].cast("string").alias("text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
+    letter = fresh(rows.columns, "letter")
+    rows = rows.withColumn(letter, F.coalesce(F.col("text").rlike(_LETTER), F.lit(False)))
     return rows.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
 
 

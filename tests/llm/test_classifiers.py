@@ -179,3 +179,22 @@ def test_toxicity_held_out_recall(spark):
     rows = toxicity.op4_toxicity(spark, sf).join(labels, "doc_id").filter("held_out").toPandas()
     hit, pos = rows.predicted == 1, rows.toxic == 1
     assert (hit & pos).sum() >= 0.85 * pos.sum() and (hit & ~pos).sum() <= 0.01 * (~pos).sum()
+
+
+def test_numerals_are_no_letters(spark, languages):
+    odd = spark.createDataFrame([(1, "½ ² ٣ Ⅷ ①"), (2, "_ 12 .,"), (3, "ª"), (4, "½ a")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(odd, langid.fit(languages)).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and got[3][0] != "und" and got[4][0] != "und"
+
+
+def test_every_language_is_learnt(spark, monkeypatch):
+    """301 languages, one of them with most of the texts: all can be predicted, and the number of texts is bounded."""
+    word = lambda i: "".join(chr(97 + (i * 7 + j * j * (i % 13 + 1)) % 26) for j in range(6))
+    rows = [(i * 10 + k, f"{word(i)} {word(i + 301)} {k} {word(i)}", f"l{i}") for i in range(301) for k in range(3)]
+    rows += [(10_000 + k, f"common {k} words", "l0") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = langid.fit(docs)
+    assert len(net.languages) == 301
+    monkeypatch.setattr(langid, "TEXTS", 602)
+    drawn = langid.training_windows(docs).groupBy("lang").count().toPandas()
+    assert len(drawn) > 250 and drawn["count"].max() < 12 and drawn["count"].sum() < 800
