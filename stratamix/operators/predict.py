@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.balls import BallTree
 from .em import Mixture
 
-#: Up to this many products for a row the densities are plain expressions; beyond, numpy on Arrow batches.
+#: Up to this many products for a row the densities are plain expressions; beyond, a ball tree on Arrow batches. The result is the same.
 NATIVE_PRODUCTS = 500
 
 
@@ -42,12 +43,13 @@ def with_component(df: DataFrame, model: Mixture) -> DataFrame:
         return df.withColumn("_z", F.when(whole, z)).withColumn("component", F.array_position("_z", F.array_max("_z")).cast("int")).drop("_z")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = BallTree(model.pro, model.mean, model.cov)
         for b in batches:
             x = np.stack([b.column(f"_x{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(d)], axis=1)
             ok = ~np.isnan(x).any(axis=1)
             best = np.zeros(len(x), np.int32)
             if ok.any():
-                best[ok] = model.log_weighted(x[ok]).argmax(axis=1) + 1
+                best[ok] = tree.best(x[ok])[0] + 1
             keep = [i for i, n in enumerate(b.schema.names) if n not in names]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(best, pa.int32(), mask=~ok)], names=[*[b.schema.names[i] for i in keep], "component"])
 

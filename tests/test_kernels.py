@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 
+from stratamix.functions.balls import BallTree
 from stratamix.functions.normal import best_1d, choose_1d, complexity_bias, cutoff, em_1d, stepped_1d, sums_1d, tsne, with_negative
 from stratamix.operators.coreset import halving_depth, kmeans
 from stratamix.operators.em import Mixture, sums, updated
@@ -148,3 +149,23 @@ def test_ordered_bits_keep_the_order():
     v = np.array([-np.inf, -1e300, -2.0, -1.0, -5e-324, -0.0, 0.0, 5e-324, 1.0, 1.0000000000000002, 1e300, np.inf])
     b = ordered_bits(v)
     assert (np.sort(b) == b).all() and b[5] == b[6] and len(np.unique(b)) == len(v) - 1
+
+
+@pytest.mark.parametrize(("k", "d", "spread"), [(1, 2, 1.0), (7, 3, 3.0), (120, 4, 40.0), (60, 2, 0.5)])
+def test_ball_tree_finds_the_densest_component(k, d, spread):
+    r = np.random.default_rng(k)
+    root = r.normal(size=(k, d, d)) * 0.5
+    cov = root @ root.transpose(0, 2, 1) + 0.05 * np.eye(d)
+    model = Mixture([str(i) for i in range(d)], r.dirichlet(np.ones(k)), r.normal(size=(k, d)) * spread, cov)
+    x = np.concatenate([model.mean[r.integers(0, k, 3000)] + r.normal(size=(3000, d)), r.normal(size=(50, d)) * 1e4])
+    which, count = BallTree(model.pro, model.mean, model.cov).best(x)
+    z = model.log_weighted(x)
+    assert (which == z.argmax(axis=1)).all()
+    if spread > 10:
+        assert count < 0.3 * len(x) * k
+
+
+def test_equal_components_give_the_first():
+    model = (np.full(30, 1 / 30), np.zeros((30, 2)), np.stack([np.eye(2)] * 30))
+    assert BallTree(*model).best(np.array([[0.0, 1.0], [5.0, 5.0]]))[0].tolist() == [0, 0]
+    assert len(BallTree(*model).best(np.zeros((0, 2)))[0]) == 0
