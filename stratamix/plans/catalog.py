@@ -209,6 +209,31 @@ def fit_predict_flagship(spark, sf):
     return scored.groupBy("component", "cluster").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(d), 6).alias(f"mean_{d}") for d in DIMS])
 
 
+PLANE = ["x0", "x1"]
+
+
+def fit_predict_whole(spark, sf):
+    """Fit and predict end to end, deterministic: two components a column, halves at medians, all rows."""
+    rows = _vectors(spark, sf).select("vec_id", *[(F.col(d) * 10).alias(d) for d in PLANE])
+    two = univariate.refit_univariate(rows, dict.fromkeys(PLANE, 2), spark.createDataFrame([], univariate.SCHEMA), sample_fraction=1.0)
+    model = MixtureClusterer(params=PLANE, components=12, min_cluster_fraction=0.005, min_bin_size=5, max_bin_size=50, univariate=two, splitter="median", min_cutoff=-10.0).fit(rows)
+    found = model.components().select("component", F.round("pro", 4).alias("pro"), *[F.round(F.col("mean")[i], 4).alias(f"mean_{d}") for i, d in enumerate(PLANE)])
+    return model.transform(rows).groupBy("component", "cluster").agg(F.count(F.lit(1)).alias("n")).join(found, "component", "right").select("component", "cluster", "n", "pro", "mean_x0", "mean_x1")
+
+
+#: Cutoffs that make some hundreds of bins of lineitem, so that many components start.
+FINE_CUTS = {"qty": [1.0, 2.0, 3.0, 4.0], "price": [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0], "disc": [0.5, 1.0, 1.5]}
+
+
+def predict_many(spark, sf):
+    """Rows of lineitem by the densest of up to a hundred components."""
+    binned = binning.with_bins(_lines(spark, sf), FINE_CUTS)
+    summary = binning.bin_summary(binned)
+    placed = binning.with_bin_ids(binned, summary, FINE_CUTS)
+    model = em.Mixture.collect(coreset.initial_mixture(placed, summary, LINE, components=100, smallest=50), LINE)
+    return predict.with_component(_lines(spark, sf), model).groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("qty"), 4).alias("total_qty"))
+
+
 def _events(spark, sf) -> DataFrame:
     return _read(spark, sf, "events").select("event_id", "event_type", F.col("value").cast("double").alias("value"))
 
@@ -307,26 +332,36 @@ def neg_split(spark, sf):
     return fits.select("comp", F.round("pro", 8).alias("pro"), F.round("mean", 5).alias("mean"), F.round("var", 2).alias("var"))
 
 
-def _em_sql(steps: int = 10, threshold: float = 0.05, ridge: float = 0.01) -> str:
-    """The whole weighted EM from MODEL: all steps are written out, and the one that ends the loop is chosen."""
-    start = _values([(k + 1, float(MODEL.pro[k] / MODEL.pro.sum()), *map(float, MODEL.mean[k]), *map(float, (MODEL.cov[k, 0, 0], MODEL.cov[k, 0, 1], MODEL.cov[k, 1, 1]))) for k in range(len(MODEL.pro))], "component, pro, a, b, c00, c01, c11")
-    out = [f"WITH {VECTORS}", "p AS MATERIALIZED (SELECT vec_id, 1.0 + vec_id % 3 AS w, x0, x1 FROM v)", "n AS MATERIALIZED (SELECT count(*) AS m, sum(w) AS total FROM p)", f"m0 AS MATERIALIZED (SELECT * FROM {start})"]
+def _em_tables(core: str, start: str, steps: int = 10, threshold: float = 0.05, ridge: float = 0.01) -> list[str]:
+    """The whole weighted EM in two dimensions: all steps are written out, and the one that ends the loop is chosen. The last table, ``fitted``, is the result.
+
+    ``core``: a query of id, w, x0, x1 and the representatives' own covariances o00, o01, o11; ``start``: one of component,
+    pro, a, b, c00, c01, c11.
+    """
+    out = [f"p AS MATERIALIZED ({core})", "n AS MATERIALIZED (SELECT count(*) AS m, sum(w) AS total FROM p)", f"m0 AS MATERIALIZED ({start})"]
     scatter = lambda u, v: f"m / s0 * (({u}{v} - t{u} * t{v} / m) / (m - 1) + t{u} * t{v} / (m * m)) - s{u} * s{v} / (s0 * s0)"
     for i in range(steps + 1):
         out += [
             f"z{i} AS MATERIALIZED (SELECT p.*, component, ln(pro) - ln(2 * pi()) - 0.5 * ln(c00 * c11 - c01 * c01) - 0.5 * (c11 * pow(x0 - a, 2) - 2 * c01 * (x0 - a) * (x1 - b) + c00 * pow(x1 - b, 2)) / (c00 * c11 - c01 * c01) AS z FROM p, m{i})",
-            f"t{i} AS MATERIALIZED (SELECT vec_id, any_value(w) AS w, any_value(top) + ln(sum(exp(z - top))) AS whole FROM (SELECT *, max(z) OVER (PARTITION BY vec_id) AS top FROM z{i}) GROUP BY vec_id)",
+            f"t{i} AS MATERIALIZED (SELECT id, any_value(w) AS w, any_value(top) + ln(sum(exp(z - top))) AS whole FROM (SELECT *, max(z) OVER (PARTITION BY id) AS top FROM z{i}) GROUP BY id)",
             f"l{i} AS MATERIALIZED (SELECT sum(w * whole) / any_value(total) AS l FROM t{i}, n)",
-            f"q{i} AS (SELECT component, x0, x1, m, z.w * exp(z - whole) / total AS wr FROM z{i} AS z JOIN t{i} AS t ON z.vec_id = t.vec_id, n)",
-            f"s{i} AS MATERIALIZED (SELECT component, any_value(m) AS m, sum(wr) AS s0, sum(wr * x0) AS sa, sum(wr * x1) AS sb, sum(wr * x0 * x0) AS aa, sum(wr * x0 * x1) AS ab, sum(wr * x1 * x1) AS bb, sum(sqrt(wr) * x0) AS ta, sum(sqrt(wr) * x1) AS tb FROM q{i} GROUP BY 1)",
+            f"q{i} AS (SELECT component, x0, x1, o00, o01, o11, m, z.w * exp(z - whole) / total AS wr FROM z{i} AS z JOIN t{i} AS t ON z.id = t.id, n)",
+            f"s{i} AS MATERIALIZED (SELECT component, any_value(m) AS m, sum(wr) AS s0, sum(wr * x0) AS sa, sum(wr * x1) AS sb, sum(wr * x0 * x0) AS aa, sum(wr * x0 * x1) AS ab, sum(wr * x1 * x1) AS bb, sum(sqrt(wr) * x0) AS ta, sum(sqrt(wr) * x1) AS tb, sum(wr * o00) AS v00, sum(wr * o01) AS v01, sum(wr * o11) AS v11 FROM q{i} GROUP BY 1)",
             f"m{i + 1} AS MATERIALIZED (SELECT component, s0 AS pro, sa / s0 AS a, sb / s0 AS b, {scatter('a', 'a')} + {ridge} AS c00, {scatter('a', 'b')} AS c01, {scatter('b', 'b')} + {ridge} AS c11 FROM s{i})",
         ]
     ends = " UNION ALL ".join(f"SELECT {t} AS t, abs((y.l - x.l) / x.l) < {threshold} AS over FROM l{t - 1} AS x, l{t} AS y" for t in range(2, steps + 1))
     out.append(f"e AS MATERIALIZED (SELECT min(t) AS t FROM ({ends}) WHERE over)")
-    shown = lambda w0, w1: f"CAST(m.component AS INTEGER) AS component, round(pro, 6) AS pro, round(a, 6) AS mean_0, round(b, 6) AS mean_1, round(c00 + {w0}, 6) AS cov_00, round(c01, 6) AS cov_01, round(c11 + {w1}, 6) AS cov_11"
-    chosen = [f"SELECT {shown('0.001 * s0 / pro', '0.002 * s0 / pro')} FROM m{t - 1} AS m JOIN s{t - 1} AS s ON m.component = s.component, e WHERE e.t = {t}" for t in range(2, steps + 1)]
-    chosen.append(f"SELECT {shown('0.0', '0.0')} FROM m{steps} AS m, e WHERE e.t IS NULL")
-    return ",\n".join(out) + "\n" + "\nUNION ALL ".join(chosen)
+    chosen = [f"SELECT m.component, pro, a, b, c00 + v00 / pro AS c00, c01 + v01 / pro AS c01, c11 + v11 / pro AS c11 FROM m{t - 1} AS m JOIN s{t - 1} AS s ON m.component = s.component, e WHERE e.t = {t}" for t in range(2, steps + 1)]
+    chosen.append(f"SELECT m.* FROM m{steps} AS m, e WHERE e.t IS NULL")
+    out.append(f"fitted AS MATERIALIZED ({' UNION ALL '.join(chosen)})")
+    return out
+
+
+def _em_sql() -> str:
+    start = _values([(k + 1, float(MODEL.pro[k] / MODEL.pro.sum()), *map(float, MODEL.mean[k]), *map(float, (MODEL.cov[k, 0, 0], MODEL.cov[k, 0, 1], MODEL.cov[k, 1, 1]))) for k in range(len(MODEL.pro))], "component, pro, a, b, c00, c01, c11")
+    tables = _em_tables("SELECT vec_id AS id, 1.0 + vec_id % 3 AS w, x0, x1, 0.001 AS o00, 0.0 AS o01, 0.002 AS o11 FROM v", f"SELECT * FROM {start}")
+    shown = ", ".join(f"round({c}, 6) AS {name}" for c, name in (("pro", "pro"), ("a", "mean_0"), ("b", "mean_1"), ("c00", "cov_00"), ("c01", "cov_01"), ("c11", "cov_11")))
+    return f"WITH {VECTORS}, " + ",\n".join(tables) + f" SELECT CAST(component AS INTEGER) AS component, {shown} FROM fitted"
 
 
 def whole_fit(spark, sf):
@@ -444,6 +479,51 @@ def _reduce_sql(threshold: float = 1.0, most: float = 0.45, rounds: int = 2) ->
     return ",\n".join(out) + f" SELECT marker, CAST(comp AS INTEGER) AS comp, round(pro, 5) AS pro, round(mean, 5) AS mean, round(var, 5) AS var FROM r{rounds}"
 
 
+def _whole_flagship_sql(largest: int = 50, smallest: int = 5, levels: int = 8) -> str:
+    """Every stage of ``fit_predict_whole``."""
+    mixes = []
+    for d in PLANE:
+        tables, rows = _fit_sql(f"SELECT {d} AS x FROM v10", (2,))
+        mixes.append(f"SELECT '{d}' AS marker, row_number() OVER (ORDER BY mean) AS comp, pro, mean, var FROM (WITH RECURSIVE {tables} {rows})")
+    bisection = _BISECTION.replace("WITH RECURSIVE ", "", 1).replace(_MIX, f"mix AS MATERIALIZED ({' UNION ALL '.join(mixes)})").replace("s AS (SELECT marker, comp, p1", "bs AS (SELECT marker, comp, p1").replace("FROM s WHERE found", "FROM bs WHERE found")
+    depth = "CASE " + " ".join(f"WHEN k <= {1 << i} THEN {i}" for i in range(levels)) + f" ELSE {levels} END"
+    out = [
+        f"{VECTORS}, v10 AS MATERIALIZED (SELECT vec_id, x0 * 10 AS x0, x1 * 10 AS x1 FROM v)",
+        bisection,
+        "cuts AS MATERIALIZED (SELECT max(pos) FILTER (marker = 'x0') AS cut0, max(pos) FILTER (marker = 'x1') AS cut1 FROM pos WHERE pos >= -10)",
+        "lv AS MATERIALIZED (SELECT v10.*, 1 + CASE WHEN x0 > cut0 THEN 1 ELSE 0 END AS l0, 1 + CASE WHEN x1 > cut1 THEN 1 ELSE 0 END AS l1 FROM v10, cuts)",
+        "bn AS (SELECT l0, l1, count(*) AS bn, row_number() OVER (ORDER BY l0, l1) AS bin_id FROM lv GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (ORDER BY bn DESC, bin_id DESC) AS size_rank FROM bn)",
+        f"h0 AS MATERIALIZED (SELECT lv.*, bin_id, bn, size_rank, 0 AS path, {depth} AS depth FROM (SELECT *, ceil(bn / {largest}.0) AS k FROM rk) AS rk JOIN lv ON lv.l0 = rk.l0 AND lv.l1 = rk.l1)",
+    ]
+    for i in range(levels):
+        out += [
+            f"w{i} AS MATERIALIZED (SELECT bin_id, path, count(*) AS m, stddev_pop(x0) AS a, stddev_pop(x1) AS c, median(x0) AS ma, median(x1) AS mc FROM h{i} WHERE depth > {i} GROUP BY 1, 2)",
+            f"h{i + 1} AS MATERIALIZED (SELECT h.* REPLACE (CASE WHEN m IS NULL THEN h.path WHEN m = 1 THEN 2 * h.path ELSE 2 * h.path + CAST(CASE WHEN a >= c THEN x0 >= ma ELSE x1 >= mc END AS INTEGER) END AS path) FROM h{i} AS h LEFT JOIN w{i} AS w ON h.bin_id = w.bin_id AND h.path = w.path AND depth > {i})",
+        ]
+    core = f"SELECT row_number() OVER () AS id, CAST(count(*) AS DOUBLE) AS w, avg(x0) AS x0, avg(x1) AS x1, coalesce(var_samp(x0), 0) AS o00, coalesce(covar_samp(x0, x1), 0) AS o01, coalesce(var_samp(x1), 0) AS o11 FROM h{levels} WHERE bn >= {smallest} GROUP BY bin_id, path"
+    least = "(SELECT ceil(0.005 * count(*)) FROM v10)"
+    start = f"SELECT size_rank AS component, count(*) / sum(count(*)) OVER () AS pro, avg(x0) AS a, avg(x1) AS b, var_samp(x0) + 0.01 AS c00, covar_samp(x0, x1) AS c01, var_samp(x1) + 0.01 AS c11 FROM h0 WHERE size_rank <= 12 AND bn > {least} GROUP BY 1"
+    out += _em_tables(core, start)
+    out += [
+        "fk AS (SELECT fitted.*, [1 + CASE WHEN a > cut0 THEN 1 ELSE 0 END, 1 + CASE WHEN b > cut1 THEN 1 ELSE 0 END] AS lev, row_number() OVER (ORDER BY component) AS kk FROM fitted, cuts), ff AS (SELECT *, min(kk) OVER (PARTITION BY lev) AS first FROM fk), fc AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY first) AS cluster FROM ff)",
+        "best AS (SELECT kk, count(*) AS n FROM (SELECT vec_id, kk FROM v10, fc QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY ln(pro) - 0.5 * ln(c00 * c11 - c01 * c01) - 0.5 * (c11 * pow(x0 - a, 2) - 2 * c01 * (x0 - a) * (x1 - b) + c00 * pow(x1 - b, 2)) / (c00 * c11 - c01 * c01) DESC, kk) = 1) GROUP BY 1)",
+    ]
+    return "WITH RECURSIVE " + ",\n".join(out) + " SELECT CAST(fc.kk AS INTEGER) AS component, CASE WHEN n IS NOT NULL THEN CAST(cluster AS INTEGER) END AS cluster, n, round(pro, 4) AS pro, round(a, 4) AS mean_x0, round(b, 4) AS mean_x1 FROM fc LEFT JOIN best ON fc.kk = best.kk"
+
+
+def _many_sql() -> str:
+    cov = ", ".join(f"coalesce(covar_samp({LINE[i]}, {LINE[j]}), 0) + {0.01 if i == j else 0.0} AS c{i}{j}" for i in range(3) for j in range(i, 3))
+    det = "c00 * (c11 * c22 - c12 * c12) - c01 * (c01 * c22 - c12 * c02) + c02 * (c01 * c12 - c11 * c02)"
+    x, y, w = "(qty - m0)", "(price - m1)", "(disc - m2)"
+    form = f"(c11 * c22 - c12 * c12) * {x} * {x} + (c00 * c22 - c02 * c02) * {y} * {y} + (c00 * c11 - c01 * c01) * {w} * {w} + 2 * (c02 * c12 - c01 * c22) * {x} * {y} + 2 * (c01 * c12 - c02 * c11) * {x} * {w} + 2 * (c01 * c02 - c00 * c12) * {y} * {w}"
+    return f"""WITH {LINES}, {_binned_sql(FINE_CUTS)}, {_BINS}, q AS (SELECT * FROM r WHERE size_rank <= 100 AND n > 50),
+u AS (SELECT size_rank AS component, count(*) AS n, avg(qty) AS m0, avg(price) AS m1, avg(disc) AS m2, {cov} FROM b JOIN q ON b.bin_key = q.bin_key GROUP BY 1),
+c AS MATERIALIZED (SELECT *, ln(n / sum(n) OVER ()) AS lp, {det} AS det, row_number() OVER (ORDER BY component) AS k FROM u),
+i AS (SELECT *, row_number() OVER () AS row FROM v),
+z AS (SELECT row, any_value(qty) AS qty, arg_max(k, lp - 0.5 * ln(det) - 0.5 * ({form}) / det) AS k FROM i, c GROUP BY row)
+SELECT CAST(k AS INTEGER) AS component, count(*) AS n, round(sum(qty), 4) AS total_qty FROM z GROUP BY 1"""
+
+
 QUERIES = {
     "project_features": lambda spark, sf: frame.features(_vectors(spark, sf), DIMS, "vec_id"),
     "sample_topk_hash": lambda spark, sf: _events(spark, sf).withColumn("h", (F.col("event_id") * 7919) % 100003).transform(frame.first_rows, 500, "h", "event_id").select("event_id", "value"),
@@ -498,6 +578,8 @@ QUERIES = {
     "pairwise_center_dist": lambda spark, sf: summaries.center_distances(_embedding_centers(spark, sf)).select("a", "b", F.round("distance", 6).alias("distance")),
     "tsne_clusters": lambda spark, sf: summaries.embedding(_embedding_centers(spark, sf)),
     "fit_predict_flagship": fit_predict_flagship,
+    "fit_predict_whole": fit_predict_whole,
+    "predict_many": predict_many,
 }
 
 ORACLES = {
@@ -549,6 +631,8 @@ fu AS (SELECT c.cluster, c.m1, c.m2, c.m3, arg_min(r.label, r.rule_order) AS fun
 o AS (SELECT cluster, coalesce(func, 'UNK') AS func, CASE WHEN func IS NOT NULL AND r1 = 'dc' THEN m1 END AS l1, CASE WHEN func IS NOT NULL AND r2 = 'dc' THEN m2 END AS l2, m3 AS l3 FROM fu),
 nn AS (SELECT *, coalesce(l1 = 2, FALSE) OR coalesce(l2 = 2, FALSE) OR l3 = 2 AS mid FROM o)
 SELECT CAST(cluster AS INTEGER) AS cluster, func, func || CASE WHEN mid THEN CASE WHEN l1 = 2 THEN ' qty+' ELSE '' END || CASE WHEN l2 = 2 THEN ' price+' ELSE '' END || CASE WHEN l3 = 2 THEN ' disc+' ELSE '' END ELSE CASE WHEN l1 = 3 THEN ' qty++' ELSE '' END || CASE WHEN l2 = 3 THEN ' price++' ELSE '' END || CASE WHEN l3 = 3 THEN ' disc++' ELSE '' END END AS label FROM nn""",
+    "fit_predict_whole": _whole_flagship_sql(),
+    "predict_many": _many_sql(),
     "predict_component": f"{_Z} SELECT vec_id, CAST({_WHICH} AS INTEGER) AS component FROM z",
     "predict_cluster": f"{_Z} SELECT vec_id, CAST({_WHICH} AS INTEGER) AS component, CAST(CASE WHEN {_WHICH} = 2 THEN 1 ELSE 2 END AS INTEGER) AS cluster FROM z",
     "cluster_counts": f"{_Z} SELECT CAST(CASE WHEN {_WHICH} = 2 THEN 1 ELSE 2 END AS INTEGER) AS cluster, count(*) AS n FROM z GROUP BY 1",
