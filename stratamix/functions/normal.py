@@ -1,4 +1,4 @@
-"""Numeric kernels on model-sized input: crossings of densities, one-dimensional EM, t-SNE. numpy only."""
+"""Numeric kernels on model-sized input: crossings of densities, one-dimensional EM. numpy only."""
 
 from __future__ import annotations
 
@@ -181,40 +181,3 @@ def log_normal(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
     root = np.linalg.cholesky(cov)
     z = np.linalg.solve(root, (x - mean).T)
     return -0.5 * (z * z).sum(axis=0) - np.log(np.diag(root)).sum() - 0.5 * len(mean) * math.log(2 * math.pi)
-
-
-def tsne(points: np.ndarray, perplexity: float | None = None, *, seed: int = 0, steps: int = 750) -> np.ndarray:
-    """Exact t-SNE to two dimensions for a few hundred points at most; perplexity at most (n - 1) / 3 and 30."""
-    n = len(points)
-    if n < 3:
-        return np.stack([np.arange(n, dtype=float), np.zeros(n)], axis=1)
-    perplexity = min((n - 1) / 3, 30) if perplexity is None else perplexity
-    d2 = ((points[:, None] - points[None]) ** 2).sum(axis=2)
-    p = np.zeros((n, n))
-    goal = math.log(max(perplexity, 1.0 + 1e-9))
-    for i in range(n):
-        low, high, beta = 0.0, np.inf, 1.0
-        d = np.delete(d2[i], i)
-        for _ in range(60):
-            e = np.exp(-(d - d.min()) * beta)
-            q = e / e.sum()
-            entropy = -(q * np.log(np.maximum(q, 1e-300))).sum()
-            if abs(entropy - goal) < 1e-6:
-                break
-            low, high = (beta, high) if entropy > goal else (low, beta)
-            beta = beta * 2 if np.isinf(high) else (low + high) / 2
-        p[i, np.arange(n) != i] = q
-    p = np.maximum((p + p.T) / (2 * n), 1e-12)
-    y = np.random.default_rng(seed).normal(0, 1e-4, (n, 2))
-    velocity, gains = np.zeros_like(y), np.ones_like(y)
-    for step in range(steps):
-        t = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(axis=2))
-        np.fill_diagonal(t, 0)
-        q = np.maximum(t / t.sum(), 1e-12)
-        pull = (p * (12 if step < 250 else 1) - q) * t
-        g = 4 * (pull.sum(axis=1)[:, None] * y - pull @ y)
-        gains = np.where(np.sign(g) == np.sign(velocity), gains * 0.8, gains + 0.2).clip(0.01)
-        velocity = (0.5 if step < 250 else 0.8) * velocity - max(n / 12, 10.0) * gains * g
-        y = y + velocity
-        y -= y.mean(axis=0)
-    return y

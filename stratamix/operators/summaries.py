@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normal import tsne
+from ..functions.tsne import tsne
 from ..sources.frame import features
 
 GRID = 401

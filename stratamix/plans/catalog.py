@@ -70,7 +70,7 @@ _MOMENTS = ", ".join([*[f"round(avg({p}), 6) AS mean_{p}" for p in LINE], *[f"ro
 def _placed(spark, sf, vectors: bool = False) -> tuple[DataFrame, DataFrame]:
     rows, cuts = (_vectors(spark, sf), CUTS) if vectors else (_lines(spark, sf), LINE_CUTS)
     binned = binning.with_bins(rows, cuts)
-    summary = binning.bin_summary(binned)
+    summary = binning.bin_summary(binned, cuts)
     return binning.with_bin_ids(binned, summary, cuts), summary
 
 
@@ -228,7 +228,7 @@ FINE_CUTS = {"qty": [1.0, 2.0, 3.0, 4.0], "price": [1.0, 2.0, 3.0, 4.0, 5.0, 6.0
 def predict_many(spark, sf):
     """Rows of lineitem by the densest of up to a hundred components."""
     binned = binning.with_bins(_lines(spark, sf), FINE_CUTS)
-    summary = binning.bin_summary(binned)
+    summary = binning.bin_summary(binned, FINE_CUTS)
     placed = binning.with_bin_ids(binned, summary, FINE_CUTS)
     model = em.Mixture.collect(coreset.initial_mixture(placed, summary, LINE, components=100, smallest=50), LINE)
     return predict.with_component(_lines(spark, sf), model).groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("qty"), 4).alias("total_qty"))
@@ -364,14 +364,14 @@ def _em_sql() -> str:
     return f"WITH {VECTORS}, " + ",\n".join(tables) + f" SELECT CAST(component AS INTEGER) AS component, {shown} FROM fitted"
 
 
-def whole_fit(spark, sf):
+def whole_fit(spark, sf, criterion: str = "bic"):
     """The choice between one, two and three components on all values."""
-    fits = univariate.fit_univariate(_events(spark, sf).select("value"), ["value"], 3, sample_fraction=1.0)
+    fits = univariate.fit_univariate(_events(spark, sf).select("value"), ["value"], 3, criterion, sample_fraction=1.0)
     return fits.select("marker", "comp", F.round("pro", 6).alias("pro"), F.round("mean", 4).alias("mean"), F.round("var", 2).alias("var"))
 
 
-def _fit_sql(values: str, ks: Sequence[int] = (1, 2, 3)) -> tuple[str, str]:
-    """EM for each number of normals, on a histogram and from there on all values, and the choice by biased BIC: tables, and a query of pro, mean and var.
+def _fit_sql(values: str, ks: Sequence[int] = (1, 2, 3), icl: bool = False) -> tuple[str, str]:
+    """EM for each number of normals, on a histogram and from there on all values, and the choice by biased BIC or by ICL: tables, and a query of pro, mean and var.
 
     ``values``: a table of x without nulls. A row of ``em`` is a step of the fit with k components to the cells of the
     histogram, one of ``em2`` a step on the values; components beyond k have no density.
@@ -383,7 +383,7 @@ def _fit_sql(values: str, ks: Sequence[int] = (1, 2, 3)) -> tuple[str, str]:
     whole = f"{top} + ln({each(lambda j: f'exp(z{j} - {top})', ' + ')})"
     held = each(lambda j: f"any_value(s{j}) AS s{j}, any_value(m{j}) AS m{j}, any_value(v{j}) AS v{j}")
     moments = each(lambda j: f"sum(r{j}) / any_value(n) AS s{j}, sum(r{j} * x) / sum(r{j}) AS m{j}, greatest(sum(r{j} * x * x) / sum(r{j}) - pow(sum(r{j} * x) / sum(r{j}), 2), any_value(least_var)) AS v{j}")
-    scored = lambda points, source, before: f"SELECT k, any_value(t) AS t, {held}, sum(w * ({whole})) AS l, any_value({before}) AS before FROM (SELECT q.*, {z} FROM (SELECT * FROM ({source}) AS n, {points}) AS q) GROUP BY k"
+    scored = lambda points, source, before: f"SELECT k, any_value(t) AS t, {held}, sum(w * ({whole})) AS l, sum(w * ({top} - ({whole}))) AS ce, any_value({before}) AS before FROM (SELECT q.*, {z} FROM (SELECT * FROM ({source}) AS n, {points}) AS q) GROUP BY k"
     hard = each(lambda j: f"CASE WHEN least(floor((reach - w / 2) / n * k), k - 1) = {j - 1} THEN w ELSE 0.0 END AS r{j}")
     start = f"SELECT k, 1 AS t, {moments} FROM (SELECT h.*, k, {hard} FROM h, (SELECT unnest({list(ks)}) AS k)) GROUP BY k"
     soft = each(lambda j: f"CASE WHEN k >= {j} THEN w * exp(z{j} - ({whole})) ELSE 0.0 END AS r{j}")
@@ -398,15 +398,15 @@ h AS MATERIALIZED (SELECT x - centre AS x, w, least_var, n, sum(w) OVER (ORDER B
 em AS ({scored("h", start, none)} UNION ALL {scored("h", again("em", "h"), "l0")}),
 em2 AS ({scored("p", f"SELECT k, 0 AS t, {each(lambda j: f's{j}, m{j}, v{j}')} FROM ({last('em')})", none)} UNION ALL {scored("p", again("em2", "p"), "l0")}),
 done AS ({last("em2")}),
-best AS (SELECT done.* FROM done, c ORDER BY 2 * l - (3 * k - 1) * ln(n) - exp(-3.7 + 0.732 * ln(n)) * k * log2(n) DESC, k LIMIT 1)"""
+best AS (SELECT done.* FROM done, c ORDER BY 2 * l - (3 * k - 1) * ln(n) {"+ 2 * ce" if icl else "- exp(-3.7 + 0.732 * ln(n)) * k * log2(n)"} DESC, k LIMIT 1)"""
     return tables, rows
 
 
 _COMPS = "CAST(row_number() OVER (ORDER BY mean) AS INTEGER) AS comp, round(pro, 6) AS pro, round(mean, 4) AS mean, round(var, 2) AS var"
 
 
-def _whole_fit_sql() -> str:
-    tables, rows = _fit_sql("SELECT CAST(value AS DOUBLE) AS x FROM events WHERE value IS NOT NULL AND NOT isnan(value)")
+def _whole_fit_sql(icl: bool = False) -> str:
+    tables, rows = _fit_sql("SELECT CAST(value AS DOUBLE) AS x FROM events WHERE value IS NOT NULL AND NOT isnan(value)", icl=icl)
     return f"WITH RECURSIVE {tables} SELECT 'value' AS marker, {_COMPS} FROM ({rows})"
 
 
@@ -533,6 +533,7 @@ QUERIES = {
     "level_map": lambda spark, sf: binning.with_bins(_vectors(spark, sf), CUTS).select("vec_id", *[F.col("levels")[i].alias(f"level_{m}") for i, m in enumerate(CUTS)], "bin_key"),
     "bin_summary": _summary_query(True),
     "bin_summary_lines": _summary_query(False),
+    "bin_ranks_by_range": lambda spark, sf: binning.bin_summary(binning.with_bins(_lines(spark, sf), FINE_CUTS)).drop("levels"),
     "bin_filter_semi": lambda spark, sf: _placed(spark, sf)[0].filter(F.col("bin_n") >= 2000).groupBy("bin_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("qty"), 4).alias("total_qty")),
     "bin_moments": lambda spark, sf: _flat(coreset.moments(_placed(spark, sf)[0], ["bin_id"], LINE), "bin_id", "weight"),
     "n_repr": lambda spark, sf: _placed(spark, sf)[1].select("bin_id", "n", coreset.piece_count(F.col("n"), LARGEST).alias("n_repr")),
@@ -545,6 +546,7 @@ QUERIES = {
     "gmm1d_bic_bias": bic_bias,
     "gmm1d_fit": _gmm1d,
     "gmm1d_whole": whole_fit,
+    "gmm1d_whole_icl": lambda spark, sf: whole_fit(spark, sf, "icl"),
     "gmm1d_whole_refit": whole_refit,
     "gmm1d_refit": lambda spark, sf: univariate.refit_univariate(_read(spark, sf, "customer").select("c_acctbal"), {"c_acctbal": 2}, _literal(spark, OTHER, univariate.SCHEMA), separate_negative=True),
     "neg_split_moments": neg_split,
@@ -591,6 +593,7 @@ ORACLES = {
     "level_map": f"WITH {VECTORS} SELECT vec_id, " + ", ".join(f"CAST({_level_sql(m, c)} AS INTEGER) AS level_{m}" for m, c in CUTS.items()) + f", {' || '.join(f'CAST({_level_sql(m, c)} AS VARCHAR)' for m, c in CUTS.items())} AS bin_key FROM v",
     "bin_summary": f"WITH {VECTORS}, {_binned_sql(CUTS)}, {_SUMMARY}",
     "bin_summary_lines": f"WITH {LINES}, {_binned_sql(LINE_CUTS)}, {_SUMMARY}",
+    "bin_ranks_by_range": f"WITH {LINES}, {_binned_sql(FINE_CUTS)}, {_SUMMARY}",
     "bin_filter_semi": f"{_LINE_BINS} SELECT CAST(bin_id AS INTEGER) AS bin_id, count(*) AS n, round(sum(qty), 4) AS total_qty FROM b JOIN s ON b.bin_key = s.bin_key WHERE s.n >= 2000 GROUP BY 1",
     "bin_moments": f"{_LINE_BINS} SELECT CAST(bin_id AS INTEGER) AS bin_id, count(*) AS weight, {_MOMENTS} FROM b JOIN s ON b.bin_key = s.bin_key GROUP BY 1",
     "n_repr": f"{_LINE_BINS} SELECT CAST(bin_id AS INTEGER) AS bin_id, n, CAST(ceil(n / {LARGEST}.0) AS BIGINT) AS n_repr FROM s",
@@ -620,6 +623,7 @@ SELECT CAST(component AS INTEGER) AS component, round(s0, 6) AS pro, round(a / s
     + ") SELECT CAST(p.component AS INTEGER) AS component, round(pro, 6) AS pro, round(mean_0, 6) AS mean_0, round(mean_1, 6) AS mean_1, round(c00 + 0.001 * s0 / pro, 6) AS cov_00, round(c01, 6) AS cov_01, round(c11 + 0.002 * s0 / pro, 6) AS cov_11 FROM p JOIN s ON p.component = s.component",
     "em_fit": _em_sql(),
     "gmm1d_whole": _whole_fit_sql(),
+    "gmm1d_whole_icl": _whole_fit_sql(icl=True),
     "gmm1d_whole_refit": _whole_refit_sql(),
     "categorical_merge": f"WITH {_MAP_SQL} SELECT CAST(component AS INTEGER) AS component, array_to_string(levels, '') AS key, CAST(cluster AS INTEGER) AS cluster FROM g",
     "cluster_centers": f"WITH {_LONG_SQL} SELECT CAST(cluster AS INTEGER) AS cluster, marker, round(center, 8) AS center FROM ctr",

@@ -61,8 +61,9 @@ class MixtureClusterer:
             mixtures = mixtures.persist()
             cuts = univariate.cutoffs_of(mixtures, params, self.min_cutoff)
             binned = binning.with_bins(rows, cuts)
-            summary = binning.bin_summary(binned).persist()
-            placed = binning.with_bin_ids(binned, summary, {p: cuts.get(p, []) for p in params})
+            levels = {p: cuts.get(p, []) for p in params}
+            summary = binning.bin_summary(binned, levels).persist()
+            placed = binning.with_bin_ids(binned, summary, levels)
             smallest = int(np.ceil(self.min_cluster_fraction * n))
             start = coreset.initial_mixture(placed, summary, params, components=self.components, smallest=smallest, ridge=self.ridge)
             initial = em.Mixture.collect(start, params)

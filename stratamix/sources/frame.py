@@ -80,6 +80,22 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """Adds ``name``: 1 for the first row by some columns, 2 for the next, and so on. No task holds more than its range of the rows.
+
+    The rows are dealt by ranges and made once; their numbers are the places in the ranges and the rows in the ranges before.
+    """
+    part, place, before = (f"_{name}_{x}" for x in ("part", "place", "before"))
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_ = kept(sorted_.withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = sorted_.groupBy(part).count().orderBy(part).collect()  # a row a partition
+    firsts = [0]
+    for r in sizes:
+        firsts.append(firsts[-1] + r["count"])
+    begin = df.sparkSession.createDataFrame([(r[part], n) for r, n in zip(sizes, firsts, strict=False)], f"{part} int, {before} long")
+    return sorted_.join(F.broadcast(begin), part).withColumn(name, F.col(before) + F.col(place) + 1).drop(part, place, before)
+
+
 def draws(df: DataFrame, seed: int = 0, by: Sequence[str] = ()) -> Column:
     """An even draw from [0, 2^DRAW_BITS) for each row: from the text of its ``by`` columns, or from the place where it is read."""
     if by:

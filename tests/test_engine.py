@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratamix.operators import binning, clouds, coreset, em, labeling, merge, predict
+from stratamix.operators import binning, clouds, coreset, em, labeling, merge, predict, summaries
 from stratamix.plans.model import MixtureClusterer, MixtureModel
 from stratamix.sources import frame
 
@@ -36,6 +36,20 @@ def test_equal_sizes_rank_by_falling_id(spark):
     assert s == {"1": (1, 2), "2": (2, 1), "3": (3, 3)}
 
 
+def test_many_bins_are_numbered_without_one_task(spark):
+    """200,000 bins by ranges: the ids and ranks that an ordering in one place gives, and no window in the plan."""
+    i = F.col("id")
+    rows = spark.range(200_000).select(F.pmod(i * 7919, F.lit(200_000)).alias("a"), F.lit(1).alias("b")).unionByName(spark.range(5000).select((i * 17).alias("a"), F.lit(1).alias("b")))
+    binned = rows.select(F.array("a").alias("levels"), F.col("a").cast("string").alias("bin_key"))
+    s = binning.bin_summary(binned)
+    assert "Window" not in s._jdf.queryExecution().executedPlan().toString()
+    got = s.toPandas().sort_values("bin_id")
+    assert got.bin_id.tolist() == list(range(1, 200_001)) and [x[0] for x in got.levels[:3]] == [0, 1, 2]
+    by = got.sort_values(["n", "bin_id"], ascending=False)
+    assert by.size_rank.tolist() == list(range(1, 200_001)) and by.n.iloc[0] == 2
+    assert frame.numbered(spark.range(0), "k", F.col("id")).count() == 0
+
+
 def test_bins_of_exactly_the_threshold_are_not_initial(spark):
     df = spark.createDataFrame([(0.0, 1.0)] * 3 + [(2.0, 1.0)] * 4, "x double, y double")
     s = binning.bin_summary(binning.with_bins(df, {"x": [1.0]}))
@@ -220,6 +234,15 @@ def test_rules_on_a_constant_marker_are_refused(spark):
         labeling.first_match(_clusters(spark), _rules(spark), ["m9"])
 
 
+def test_rows_are_embedded_by_a_sample(planted):
+    scored = planted.withColumn("cluster", F.when(F.col("id") < 1500, 1).when(F.col("id") < 3000, 2).otherwise(3))
+    got = summaries.row_embedding(scored, ["a", "b"], size=300, seed=1).toPandas()
+    assert len(got) == 300 and set(got.cluster) == {1, 2, 3}
+    centers = got.groupby("cluster")[["tsne_1", "tsne_2"]].mean()
+    d = ((got[["tsne_1", "tsne_2"]].to_numpy()[:, None] - centers.to_numpy()) ** 2).sum(axis=2)
+    assert (centers.index.to_numpy()[d.argmin(axis=1)] == got.cluster).mean() > 0.95
+
+
 def test_input_errors(spark, planted):
     with pytest.raises(ValueError, match="missing"):
         MixtureClusterer(params=["a", "zz"]).fit(planted)

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from stratamix.functions.balls import BallTree
-from stratamix.functions.normal import best_1d, choose_1d, complexity_bias, cutoff, em_1d, stepped_1d, sums_1d, tsne, with_negative
+from stratamix.functions.normal import best_1d, choose_1d, complexity_bias, cutoff, em_1d, stepped_1d, sums_1d, with_negative
+from stratamix.functions.tsne import affinities, gradient, tsne
 from stratamix.operators.coreset import halving_depth, kmeans
 from stratamix.operators.em import Mixture, sums, updated
 from stratamix.operators.medians import halves, ordered_bits
@@ -169,3 +170,27 @@ def test_equal_components_give_the_first():
     model = (np.full(30, 1 / 30), np.zeros((30, 2)), np.stack([np.eye(2)] * 30))
     assert BallTree(*model).best(np.array([[0.0, 1.0], [5.0, 5.0]]))[0].tolist() == [0, 0]
     assert len(BallTree(*model).best(np.zeros((0, 2)))[0]) == 0
+
+
+@pytest.mark.parametrize(("n", "spread"), [(5, 1e-4), (300, 60.0), (1200, 1e-4), (1200, 1.0), (1500, 15.0)])
+def test_gradient_is_close_to_that_of_all_pairs(n, spread):
+    r = np.random.default_rng(n)
+    y = r.normal(size=(n, 2)) * spread
+    i, j, p = affinities(r.normal(size=(n, 5)), min((n - 1) / 3, 10))
+    assert p.sum() == pytest.approx(1)
+    whole = np.zeros((n, n))
+    whole[i, j] = p
+    assert np.allclose(whole, whole.T)
+    t = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(t, 0)
+    pull = (whole - t / t.sum()) * t
+    exact = 4 * (pull.sum(axis=1)[:, None] * y - pull @ y)
+    assert np.abs(gradient(y, i, j, p) - exact).max() <= 0.01 * np.abs(exact).max()
+
+
+def test_tsne_keeps_planted_groups_apart():
+    r = np.random.default_rng(9)
+    group = np.repeat(np.arange(4), 500)
+    y = tsne(r.normal(size=(2000, 6)) + 12 * np.eye(6)[group], steps=300)
+    centers = np.stack([y[group == g].mean(axis=0) for g in range(4)])
+    assert (((y[:, None] - centers) ** 2).sum(axis=2).argmin(axis=1) == group).mean() > 0.99
