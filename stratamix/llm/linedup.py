@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, few, sent_if_small, table, written
+from .common import discard, few, fresh, sent_if_small, table, written
 
 THRESHOLD = 2
 #: Shorter lines are left alone.
@@ -216,15 +216,16 @@ def without_repeats(docs: DataFrame, *, threshold: int = THRESHOLD, min_chars: i
     left goes. Rows with a null id are kept as they are. Columns and their order stay.
     """
     gone = judged_lines(docs, threshold=threshold, min_chars=min_chars, id_col=id_col, text_col=text_col)
-    gone = gone.filter("removed").groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))  # a document's own lines at most
+    by, lost_, left = (fresh(docs.columns, name) for name in ("_gone_id", "_gone", "_left"))
+    gone = gone.filter("removed").groupBy(F.col("doc_id").alias(by)).agg(F.collect_set("line_no").alias(lost_))  # a document's own lines at most
     lines = F.split(docs[text_col], "\n")
-    joined = docs.join(gone, docs[id_col] == F.col("_gone_id"), "left")
-    joined = joined.withColumn("_left", F.when(F.col("_gone").isNotNull(), F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i))))
-    lost = F.array_join(F.filter(lines, lambda x, i: F.array_contains(F.col("_gone"), i)), "\n")
+    joined = docs.join(gone, docs[id_col] == F.col(by), "left")
+    joined = joined.withColumn(left, F.when(F.col(lost_).isNotNull(), F.filter(lines, lambda x, i: ~F.array_contains(F.col(lost_), i))))
+    lost = F.array_join(F.filter(lines, lambda x, i: F.array_contains(F.col(lost_), i)), "\n")
     copied = (3 * F.length(lost) >= 2 * F.length(docs[text_col])) & (F.size(F.split(lost, r"\s+")) >= MOST_WORDS)
-    stays = F.exists("_left", lambda x: F.length(x) >= min_chars) & ~copied if drop_copies else F.exists("_left", lambda x: x.rlike(r"\S"))
-    kept = joined.filter(F.col("_gone").isNull() | stays)
-    return kept.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join("_left", "\n"))).select(*docs.columns)
+    stays = F.exists(left, lambda x: F.length(x) >= min_chars) & ~copied if drop_copies else F.exists(left, lambda x: x.rlike(r"\S"))
+    kept = joined.filter(F.col(lost_).isNull() | stays)
+    return kept.withColumn(text_col, F.when(F.col(lost_).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
 
 
 def op10_linedup(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship, table
+from .common import crc_mod, fresh, ship, table
 
 _WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
@@ -236,8 +236,9 @@ def labelled_fit(spark, sf_dir: str, docs: DataFrame) -> Classifier:
 def without_toxic(docs: DataFrame, model: Classifier, *, text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score ``limit`` or more."""
     own = [c for c in docs.columns if c.lower() == "score"]
-    scored = score(docs.withColumnsRenamed({c: "_own_score" for c in own}), model, text_col=text_col).filter(F.col("score") < limit)
-    return scored.drop("score").withColumnsRenamed({"_own_score": c for c in own}).select(*docs.columns)
+    name = fresh(docs.columns, "_own_score")
+    scored = score(docs.withColumnsRenamed({c: name for c in own}), model, text_col=text_col).filter(F.col("score") < limit)
+    return scored.drop("score").withColumnsRenamed({name: c for c in own}).select(*docs.columns)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -162,7 +162,7 @@ def test_pipeline_stages_handle_odd_rows(spark, planted):
         (904, f"{line}\nfirst of its own lines here it is"), (904, f"{line}\nfirst of its own lines here it is"), (905, f"{line}\nsomething else that is said in this row"), (906, "x"),
         (907, long), (908, "clown moron scum idiot " * 30),
     ]
-    extra = ["rep", "h", "key", "grp", "Score", "d", "component", "first"]
+    extra = ["rep", "h", "key", "grp", "Score", "d", "component", "first", "_gone", "_gone_id", "_Left", "_own_score", "_cell"]
     docs = own.unionByName(spark.createDataFrame(odd, "doc_id long, text string")).select("doc_id", "text", *[F.lit(str(k)).alias(c) for k, c in enumerate(extra)])
     docs = docs.repartition(3).cache()
     for name, stage in corpus_pipeline.STAGES[:-1]:
