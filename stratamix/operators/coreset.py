@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.frame import holding
 from .clouds import kmeans_centers, nearest, with_centers
 from .medians import halves, median_tree, with_pieces
 
@@ -83,10 +84,11 @@ def median_pieces(rows: DataFrame, params: Sequence[str], largest: int) -> DataF
     sizes = {r.bin_id: r.bin_n for r in rows.filter(F.col("bin_n") > MOST_ROWS).select("bin_id", "bin_n").distinct().collect()}  # bins above MOST_ROWS rows
     todo = F.length(F.bin(F.ceil(F.col("bin_n") / largest) - 1)).cast("int")
     ready = rows.filter(F.col("bin_n") <= MOST_ROWS).select(F.col("bin_id").cast("int").alias("bin_id"), F.lit(0).cast("long").alias("path"), todo.alias("todo"), *params)
-    done = None
+    done, held = None, []
     if sizes:
         huge = rows.filter(F.col("bin_n") > MOST_ROWS).select("bin_id", *params).persist()
         cut = with_pieces(huge, params, median_tree(huge, params, {b: halving_depth(n, largest) for b, n in sizes.items()}, MOST_ROWS)).persist()
+        held = [huge, cut]
         ready = ready.unionByName(cut.filter("todo > 0"))
         done = moments(cut.filter("todo = 0"), ["bin_id", "path"], params).withColumn("weight", F.col("weight").cast("long"))
 
@@ -102,7 +104,7 @@ def median_pieces(rows: DataFrame, params: Sequence[str], largest: int) -> DataF
     out = out if done is None else out.unionByName(done)
     # as many rows as pieces
     piece = F.row_number().over(W.partitionBy("bin_id").orderBy("path")).cast("long")
-    return out.select("bin_id", piece.alias("piece"), "weight", "mean", "cov")
+    return holding(out.select("bin_id", piece.alias("piece"), "weight", "mean", "cov"), *held)
 
 
 def kmeans_pieces(rows: DataFrame, params: Sequence[str], largest: int, seed: int = 0) -> DataFrame:
@@ -112,7 +114,7 @@ def kmeans_pieces(rows: DataFrame, params: Sequence[str], largest: int, seed: in
         return rows.sparkSession.createDataFrame([], SCHEMA)
     rows = rows.select("bin_id", *params).persist()
     out = moments(with_centers(rows, params, kmeans_centers(rows, params, wanted, seed=seed)), ["bin_id", "piece"], params, digits=3)
-    return out.select("bin_id", "piece", F.col("weight").cast("long").alias("weight"), "mean", "cov")
+    return holding(out.select("bin_id", "piece", F.col("weight").cast("long").alias("weight"), "mean", "cov"), rows)
 
 
 def coreset(binned: DataFrame, params: Sequence[str], *, smallest: int, largest: int, splitter: str = "kmeans", seed: int = 0) -> DataFrame:
@@ -120,14 +122,16 @@ def coreset(binned: DataFrame, params: Sequence[str], *, smallest: int, largest:
 
     Bins of fewer than ``smallest`` rows go. A bin is cut into ceil(n / largest) pieces by k-means on values rounded
     to three decimals (the means are those of the rounded values, the covariances of the plain ones), or by halves
-    at medians. Bins of up to MOST_ROWS rows are split in a task each.
+    at medians. Bins of up to MOST_ROWS rows are split in a task each. What larger ones leave in Spark's storage goes with
+    ``release``.
     """
     kept = binned.filter(F.col("bin_n") >= smallest)
     whole = moments(kept.filter(F.col("bin_n") <= largest), ["bin_id"], params)
     whole = whole.select("bin_id", F.lit(1).cast("long").alias("piece"), F.col("weight").cast("long").alias("weight"), "mean", "cov")
     large = kept.filter(F.col("bin_n") > largest).select("bin_id", "bin_n", *params)
     if splitter == "median":
-        return whole.unionByName(median_pieces(large, params, largest))
+        pieces = median_pieces(large, params, largest)
+        return holding(whole.unionByName(pieces), *getattr(pieces, "_held", []))
     huge = kmeans_pieces(large.filter(F.col("bin_n") > MOST_ROWS), params, largest, seed)
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -141,7 +145,8 @@ def coreset(binned: DataFrame, params: Sequence[str], *, smallest: int, largest:
         return pd.DataFrame(rows, columns=["bin_id", "piece", "weight", "mean", "cov"])
 
     middle = large.filter(F.col("bin_n") <= MOST_ROWS).select("bin_id", *params)
-    return whole.unionByName(middle.groupBy("bin_id").applyInPandas(split, SCHEMA)).unionByName(huge)
+    out = whole.unionByName(middle.groupBy("bin_id").applyInPandas(split, SCHEMA)).unionByName(huge)
+    return holding(out, *getattr(huge, "_held", []))
 
 
 def initial_bins(summary: DataFrame, components: int, smallest: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.normal import Fit1D, best_1d, cutoff, em_1d, least_variance, reduced, settled, stepped_1d, sums_1d, with_negative
-from ..sources.frame import default_fraction, features, sample_rows, sample_size
+from ..sources.frame import default_fraction, features, release, sample_rows, sample_size
 
 SCHEMA = "marker string, comp int, pro double, mean double, var double"
 #: Cells of the histogram from which fits begin, and passes over the rows at most.
@@ -168,9 +168,11 @@ def fit_univariate(df: DataFrame, params: Sequence[str], max_mixture: int = 3, c
     """
     rows = features(df, params)
     n = rows.count() if n is None else n
-    rows = sample_rows(rows, sample_size(n, sample_fraction), n, seed).persist()
+    sample = sample_rows(rows, sample_size(n, sample_fraction), n, seed)
+    rows = sample.persist()
     fits = fitted(rows, {p: range(1, max_mixture + 1) for p in params})
     rows.unpersist()
+    release(sample)
     return _table(df.sparkSession, {p: best_1d(own, size, criterion, prior_bic) for p, (size, own) in fits.items()})
 
 
@@ -185,9 +187,11 @@ def refit_univariate(df: DataFrame, components: dict[str, int], mixtures: DataFr
     params = list(components)
     rows = features(df, params)
     n = rows.count()
-    rows = sample_rows(rows, sample_size(n, sample_fraction, floor=0), n, seed).persist()
+    sample = sample_rows(rows, sample_size(n, sample_fraction, floor=0), n, seed)
+    rows = sample.persist()
     fits = fitted(rows, {p: [k] for p, k in components.items()}, separate_negative=separate_negative)
     rows.unpersist()
+    release(sample)
     new = {}
     for p, (_, (f, *_)) in fits.items():
         by = np.argsort(f.means, kind="stable")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import binning, coreset, em, labeling, merge, predict, summaries, univariate
-from ..sources.frame import features, numeric_columns, require
+from ..sources.frame import features, numeric_columns, release, require
 
 log = logging.getLogger(__name__)
 
@@ -58,7 +58,8 @@ class MixtureClusterer:
             mixtures = self.univariate if self.univariate is not None else univariate.fit_univariate_default(rows, params, self.seed)
             if self.pooling is not None:
                 mixtures = univariate.reduce_low(mixtures, self.min_cutoff, self.pooling)
-            mixtures = mixtures.persist()
+            table = [tuple(r) for r in mixtures.select("marker", "comp", "pro", "mean", "var").orderBy("marker", "comp").collect()]  # a few rows a column
+            mixtures = df.sparkSession.createDataFrame(table, univariate.SCHEMA)
             cuts = univariate.cutoffs_of(mixtures, params, self.min_cutoff)
             binned = binning.with_bins(rows, cuts)
             levels = {p: cuts.get(p, []) for p in params}
@@ -71,8 +72,9 @@ class MixtureClusterer:
             core = coreset.coreset(placed, params, smallest=self.min_bin_size or coreset.min_bin_size(n), largest=self.max_bin_size or coreset.max_bin_size(n), splitter=self.splitter, seed=self.seed).persist()
             fitted = em.weighted_em(core, initial, ridge=self.ridge, journal=self.journal)
             core.unpersist()
+            release(core)
             summary.unpersist()
-            return MixtureModel.of(df.sparkSession, fitted, [tuple(r) for r in mixtures.orderBy("marker", "comp").collect()], cuts)
+            return MixtureModel.of(df.sparkSession, fitted, table, cuts)
         finally:
             rows.unpersist()
 

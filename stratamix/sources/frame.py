@@ -80,6 +80,18 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def holding(df: DataFrame, *frames: DataFrame) -> DataFrame:
+    """``df``, which reads ``frames`` that Spark stores; see ``release``."""
+    df._held = [*getattr(df, "_held", []), *frames]
+    return df
+
+
+def release(df: DataFrame) -> None:
+    """Frees what ``df`` held, once it is no longer read."""
+    for f in getattr(df, "_held", []):
+        f.unpersist()
+
+
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """Adds ``name``: 1 for the first row by some columns, 2 for the next, and so on. No task holds more than its range of the rows.
 
@@ -93,7 +105,7 @@ def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     for r in sizes:
         firsts.append(firsts[-1] + r["count"])
     begin = df.sparkSession.createDataFrame([(r[part], n) for r, n in zip(sizes, firsts, strict=False)], f"{part} int, {before} long")
-    return sorted_.join(F.broadcast(begin), part).withColumn(name, F.col(before) + F.col(place) + 1).drop(part, place, before)
+    return holding(sorted_.join(F.broadcast(begin), part).withColumn(name, F.col(before) + F.col(place) + 1).drop(part, place, before), sorted_)
 
 
 def draws(df: DataFrame, seed: int = 0, by: Sequence[str] = ()) -> Column:
@@ -135,9 +147,10 @@ def sample_rows(df: DataFrame, size: int, n: int | None = None, seed: int = 0, b
             before += r["count"]
         if edge is not None:
             break
+        near.unpersist()
         most = min(1.0 + 1.0 / SLOTS, 2 * most)  # by rare chance too few rows passed
     last = first_rows(near.filter(slot == edge), size - before, name)
-    return near.filter(slot < edge).unionByName(last).drop(name)
+    return holding(near.filter(slot < edge).unionByName(last).drop(name), near)
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:

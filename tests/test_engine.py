@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratamix.operators import binning, clouds, coreset, em, labeling, merge, predict, summaries
+from stratamix.operators import binning, clouds, coreset, em, labeling, merge, predict, summaries, univariate
 from stratamix.plans.model import MixtureClusterer, MixtureModel
 from stratamix.sources import frame
 
@@ -120,6 +120,17 @@ def test_bins_are_joined_the_same_way_beyond_the_bound(spark, planted, monkeypat
     assert joined.exceptAll(sent).count() == 0 and joined.count() == 5000
 
 
+def test_a_fit_leaves_nothing_in_storage(spark, planted, monkeypatch, tmp_path):
+    monkeypatch.setattr(coreset, "MOST_ROWS", 700)
+    planted.count()
+    before = spark._jsc.getPersistentRDDs().size()
+    for splitter in ("kmeans", "median"):
+        model = MixtureClusterer(params=["a", "b"], components=4, splitter=splitter, max_bin_size=300, pooling=0.1, journal=str(tmp_path / splitter)).fit(planted)
+        assert len(model.mixture.pro) >= 3 and any((tmp_path / splitter).iterdir())
+    univariate.fit_univariate(planted, ["a"], 2, sample_fraction=0.1)
+    assert spark._jsc.getPersistentRDDs().size() == before
+
+
 def test_one_feature_and_default_features(spark, planted):
     model = MixtureClusterer(params=["a"], components=3).fit(planted)
     assert model.mixture.cov.shape[1:] == (1, 1) and model.mixture.pro.sum() == pytest.approx(1, abs=1e-6)
