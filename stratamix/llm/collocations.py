@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, ship, table, written
+from .common import discard, ship, shuffled, table, written
 
 LEAST, LONGEST, TOP, COVERED, SCALE = 30, 4, 2000, 80, 2_000_000
 NO_LANG = "und"
@@ -215,7 +215,7 @@ def scored(counts: DataFrame, longest: int = LONGEST) -> DataFrame:
     cuts = candidates.select("*", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     sides = F.array(F.struct(F.lit(True).alias("front"), _part(words, F.lit(1), k).alias("part")), F.struct(F.lit(False).alias("front"), _part(words, k + 1, F.col("size") - k).alias("part")))
     asked = cuts.select("lang", "phrase", "a", "k", F.explode(sides).alias("side")).select("lang", "phrase", "a", "k", "side.*")
-    answered = asked.join(counts.select("lang", F.col("phrase").alias("part"), "f"), ["lang", "part"])
+    answered = asked.join(shuffled(counts.select("lang", F.col("phrase").alias("part"), "f")), ["lang", "part"])
     of = lambda i, front: F.max(F.when((k == i) & (F.col("front") == front), F.col("f")))
     both = answered.groupBy("lang", "phrase", "a").agg(*[of(i, front).alias(f"{side}{i}") for i in range(1, longest) for side, front in (("l", True), ("r", False))])
     score = lambda i: F.expr(f"cast({SCALE} as decimal(10,0)) * cast(a as decimal(20,0)) div (cast(l{i} as decimal(20,0)) + cast(r{i} as decimal(20,0)))")

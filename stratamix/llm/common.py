@@ -66,12 +66,19 @@ def discard(*frames: DataFrame) -> None:
 SENT_ROWS = 500_000
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join in which neither side is sent whole.
+
+    Spark takes a table for as large as its files and does not count what ``explode`` adds, so it would send small files of
+    which very many rows are made through the driver.
+    """
+    return df.hint("merge")
+
+
 def sent_if_small(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written and counted; marked for broadcast if it has at most SENT_ROWS rows, else left to a shuffle join."""
+    """``df``, written and counted; marked for broadcast if it has at most SENT_ROWS rows, else for a shuffle join."""
     df = written(df, name, small=True)
-    if df.limit(SENT_ROWS + 1).count() > SENT_ROWS:
-        return df
-    out = F.broadcast(df)
+    out = shuffled(df) if df.limit(SENT_ROWS + 1).count() > SENT_ROWS else F.broadcast(df)
     out._folder = df._folder
     return out
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import shuffled, table, written
 
 WINDOW, COVERAGE, CONSISTENCY = 5, 0.8, 0.8
 #: Tokens in a row that are a leak by themselves.
@@ -126,6 +126,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     unique = known.groupBy("i", "window").agg(F.count(F.lit(1)).alias("times"))
     if unique.limit(SENT_WINDOWS + 1).count() <= SENT_WINDOWS:
         unique = F.broadcast(unique)
+    else:
+        unique = shuffled(unique)
     met = with_windows(texts.select("d", "tokens")).select("d", "window").join(unique, "window")
     pairs = met.groupBy("d", "i", "window").agg(F.max("times").alias("times")).groupBy("d", "i").agg(F.sum("times").alias("places"))
     # fewer windows have neither RUN tokens in a row nor COVERAGE of the tokens

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, few, fresh, sent_if_small, table, written
+from .common import discard, few, fresh, sent_if_small, shuffled, table, written
 
 THRESHOLD = 2
 #: Shorter lines are left alone.
@@ -158,13 +158,13 @@ def similar_lines(lines: DataFrame, hot: DataFrame, threshold: int = THRESHOLD)
     # lines that meet another one at all: a row each, however many they meet; half of the hash is enough to tell apart those under one key
     i, p = keyed(first, index_places(threshold), threshold, "h1").alias("i"), keyed(first, probe_places(threshold), threshold, "h1").alias("p")
     meet = (F.col("i.key") == F.col("p.key")) & (F.col("i.h1") != F.col("p.h1"))
-    active = i.join(p, meet, "left_semi").select("h1").unionByName(p.join(i, meet, "left_semi").select("h1")).distinct()
+    active = i.join(shuffled(p), meet, "left_semi").select("h1").unionByName(p.join(shuffled(i), meet, "left_semi").select("h1")).distinct()
     active = sent_if_small(active, "active")
     own = written(with_counts(first.join(active, "h1", "left_semi").repartition("h1")), "own")
     keep = ("h", "counts", "ends")
     i, p = keyed(own, index_places(threshold), threshold, *keep).alias("i"), keyed(own, probe_places(threshold), threshold, *keep).alias("p")
     # the counts are compared inside the join, so that variants of one line that merely share a segment never become rows
-    met = i.join(p, (F.col("i.key") == F.col("p.key")) & (F.col("i.h") != F.col("p.h")) & counts_close("i", "p", threshold))
+    met = i.join(shuffled(p), (F.col("i.key") == F.col("p.key")) & (F.col("i.h") != F.col("p.h")) & counts_close("i", "p", threshold))
     pairs = written(met.select(F.least("i.h", "p.h").alias("a"), F.greatest("i.h", "p.h").alias("b")).distinct(), "candidates", small=True)
     wanted = sent_if_small(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct(), "wanted")
     texts = written(own.select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")), "lines", small=True)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import discard, likely, sent_if_small, ship, table, written
+from .common import discard, likely, sent_if_small, ship, shuffled, table, written
 from .graph import components
 
 ERRORS = 1
@@ -189,7 +189,7 @@ def _in_blocks(rows: DataFrame, docs: int, shingles: int | None = None) -> DataF
     size = each.groupBy("grp").agg(most, F.count(F.lit(1)).alias("comps"), F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles")).filter("comps > 1")
     blocks = lambda d, s: F.greatest(F.ceil(d / docs), F.ceil(s / shingles) if shingles else F.lit(0)).cast("int")
     size = size.select("grp", F.col("most.comp").alias("largest"), blocks(F.col("docs"), F.col("shingles")).alias("whole"), blocks(F.col("most.docs"), F.col("most.shingles")).alias("large"), blocks(F.col("docs") - F.col("most.docs"), F.col("shingles") - F.col("most.shingles")).alias("small"))
-    placed = rows.join(size, "grp")
+    placed = rows.join(shuffled(size), "grp")
     spread = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), n)).cast("int")
     large = (F.col("whole") > 1) & (F.col("comp") == F.col("largest"))
     block = F.when(F.col("whole") <= 1, 0).when(large, F.col("small") + spread(F.col("large"))).otherwise(spread(F.col("small")))
@@ -232,7 +232,7 @@ def _connected(met: DataFrame, reps: DataFrame, most: int) -> DataFrame:
             yield _links_of(close_edges(np.array(ids), np.array(comps), np.frombuffer(b"".join(sigs), "<u2").reshape(len(ids), -1), most))
 
     blocks = _in_blocks(met.withColumn("n", F.lit(0)), BLOCK_SIGNATURES)
-    return _grouped(blocks.join(reps.select("rep", "sig"), "rep").select(*_GROUP, "rep", "comp", "sig")).mapInArrow(run, "a long, b long").distinct()
+    return _grouped(blocks.join(shuffled(reps.select("rep", "sig")), "rep").select(*_GROUP, "rep", "comp", "sig")).mapInArrow(run, "a long, b long").distinct()
 
 
 def _confirmed(met: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -247,7 +247,7 @@ def _confirmed(met: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     if met.limit(common.SENT_ROWS + 1).count() <= common.SENT_ROWS:
         met = F.broadcast(met)
     else:
-        texts = likely(texts, "doc_id", met.select("rep"))
+        texts, met = likely(texts, "doc_id", met.select("rep")), shuffled(met)
     return _grouped(texts.join(met, F.col("doc_id") == F.col("rep")).select(*_GROUP, "rep", "comp", "text")).mapInArrow(run, "a long, b long")
 
 
@@ -255,10 +255,10 @@ def _stars(met: DataFrame, reps: DataFrame, values: int, most: int) -> DataFrame
     """(grp, low, high, rep, comp) from (key, rep, hub): hubs with those within the distance, in blocks of bounded size."""
     pairs = met.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     own = lambda name: reps.select(F.col("rep").alias(name), F.col("sig").alias(f"sig_{name}"), F.col("n").alias(f"n_{name}"))
-    pairs = pairs.join(own("a"), "a").join(own("b"), "b").filter(distance(F.col("sig_a"), F.col("sig_b"), values) <= most)
+    pairs = pairs.join(shuffled(own("a")), "a").join(shuffled(own("b")), "b").filter(distance(F.col("sig_a"), F.col("sig_b"), values) <= most)
     pairs = written(pairs.select("a", "b", "n_b"), "stars", small=True)
     size = pairs.groupBy("a").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n_b") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = pairs.join(size, "a").select(F.col("a").alias("grp"), F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("low"), F.lit(0).alias("high"), F.col("b").alias("rep"))
+    placed = pairs.join(shuffled(size), "a").select(F.col("a").alias("grp"), F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("low"), F.lit(0).alias("high"), F.col("b").alias("rep"))
     hubs = size.select(F.col("a").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("low"), F.lit(0).alias("high"), F.col("a").alias("rep"))
     return placed.unionByName(hubs).withColumn("comp", F.col("rep"))
 
@@ -284,19 +284,19 @@ def near_components(docs: DataFrame, *, shingle: int = 3, percent: int = 85, id_
     reps = written(reps, "classes")
     keys = keyed(reps, parts, part_size)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("rep").alias("hub")).filter("docs > 1").drop("docs")
-    met = written(keys.join(shared, "key"), "keys", small=True)
+    met = written(keys.join(shuffled(shared), "key"), "keys", small=True)
     first = components(_confirmed(_stars(met, reps, values, most), texts, shingle, percent))
     comp = F.coalesce("component", "rep").alias("comp")
-    rows = met.join(first, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("grp"), "rep", comp)
+    rows = met.join(shuffled(first), F.col("rep") == F.col("node"), "left").select(F.col("key").alias("grp"), "rep", comp)
     apart = rows.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("grp")
     rows = written(rows.join(apart, "grp"), "apart", small=True)
     joined = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
     clusters = components(_connected(rows, reps, most).unionByName(joined))
-    left = rows.select("rep", "comp").distinct().join(clusters, F.col("rep") == F.col("node")).join(reps.select("rep", "n"), "rep")
+    left = rows.select("rep", "comp").distinct().join(shuffled(clusters), F.col("rep") == F.col("node")).join(shuffled(reps.select("rep", "n")), "rep")
     blocks = _in_blocks(left.select(F.col("component").alias("grp"), "rep", "comp", "n"), BLOCK_DOCS, BLOCK_SHINGLES)
     found = components(joined.unionByName(_confirmed(blocks, texts, shingle, percent)))
     discard(met, rows)
-    classes = reps.select("h1", "h2", "rep").join(found, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
+    classes = reps.select("h1", "h2", "rep").join(shuffled(found), F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
