@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.frame import holding
 from .clouds import kmeans_centers, nearest, with_centers
-from .medians import halves, median_tree, with_pieces
+from .medians import TIMES, halves, median_tree, repeated, with_pieces
 
 SCHEMA = "bin_id int, piece long, weight long, mean array<double>, cov array<double>"
 #: Rows of a bin that one task may hold; larger bins are split by passes over all rows.
@@ -70,34 +70,40 @@ def halving_depth(n: int, largest: int) -> int:
     return (math.ceil(n / largest) - 1).bit_length()
 
 
-def _stats(x: np.ndarray) -> tuple[int, list[float], np.ndarray]:
-    cov = np.cov(x.T, ddof=1).reshape(-1) if len(x) > 1 else np.zeros(x.shape[1] ** 2)
-    return len(x), x.mean(axis=0).tolist(), cov
+def _stats(x: np.ndarray, times: np.ndarray | None = None) -> tuple[int, list[float], np.ndarray]:
+    """Weight, mean and sample covariance of rows, of which each may count several times."""
+    times = np.ones(len(x), np.int64) if times is None else times
+    n = int(times.sum())
+    cov = np.cov(x.T, ddof=1, fweights=times).reshape(-1) if n > 1 else np.zeros(x.shape[1] ** 2)
+    return n, (times @ x / n).tolist(), cov
 
 
 def median_pieces(rows: DataFrame, params: Sequence[str], largest: int) -> DataFrame:
     """(bin_id, piece, weight, mean, cov) of rows of bins, of any size, halved at the exact medians of the widest columns.
 
-    ``rows``: bin_id, bin_n above ``largest``, and the columns. Bins and pieces of up to MOST_ROWS rows are halved by the
-    task that holds them, larger ones by ``medians.median_tree``; the cuts are the same. Pieces without rows don't count.
+    ``rows``: bin_id, bin_n above ``largest``, and the columns. Equal rows are taken together first, so that the passes go over
+    the different ones. Bins and pieces of up to MOST_ROWS different rows are halved by the task that holds them, larger ones
+    by ``medians.median_tree``; the cuts are the same. Pieces without rows don't count.
     """
-    sizes = {r.bin_id: r.bin_n for r in rows.filter(F.col("bin_n") > MOST_ROWS).select("bin_id", "bin_n").distinct().collect()}  # bins above MOST_ROWS rows
+    points = rows.groupBy("bin_id", "bin_n", *params).agg(F.count(F.lit(1)).alias(TIMES)).persist()
+    sizes = {r.bin_id: (r.bin_n, r.points) for r in points.groupBy("bin_id", "bin_n").agg(F.count(F.lit(1)).alias("points")).collect()}  # a row a bin
+    huge = [b for b, (_, n) in sizes.items() if n > MOST_ROWS]
     todo = F.length(F.bin(F.ceil(F.col("bin_n") / largest) - 1)).cast("int")
-    ready = rows.filter(F.col("bin_n") <= MOST_ROWS).select(F.col("bin_id").cast("int").alias("bin_id"), F.lit(0).cast("long").alias("path"), todo.alias("todo"), *params)
-    done, held = None, []
-    if sizes:
-        huge = rows.filter(F.col("bin_n") > MOST_ROWS).select("bin_id", *params).persist()
-        cut = with_pieces(huge, params, median_tree(huge, params, {b: halving_depth(n, largest) for b, n in sizes.items()}, MOST_ROWS)).persist()
-        held = [huge, cut]
+    ready = points.filter(~F.col("bin_id").isin(huge)).select(F.col("bin_id").cast("int").alias("bin_id"), F.lit(0).cast("long").alias("path"), todo.alias("todo"), *params, TIMES)
+    done, held = None, [points]
+    if huge:
+        far = points.filter(F.col("bin_id").isin(huge)).select("bin_id", *params, TIMES)
+        cut = with_pieces(far, params, median_tree(far, params, {b: halving_depth(sizes[b][0], largest) for b in huge}, MOST_ROWS)).persist()
+        held.append(cut)
         ready = ready.unionByName(cut.filter("todo > 0"))
-        done = moments(cut.filter("todo = 0"), ["bin_id", "path"], params).withColumn("weight", F.col("weight").cast("long"))
+        done = moments(repeated(cut.filter("todo = 0")), ["bin_id", "path"], params).withColumn("weight", F.col("weight").cast("long"))
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, first = pdf[list(params)].to_numpy(float), pdf.iloc[0]
-        label = halves(x, int(first.todo))
+        x, times, first = pdf[list(params)].to_numpy(float), pdf[TIMES].to_numpy(), pdf.iloc[0]
+        label = halves(x, int(first.todo), times)
         order = np.argsort(label, kind="stable")
         pieces, begin = np.unique(label[order], return_index=True)
-        rows = [(int(first.bin_id), (int(first.path) << int(first.todo)) + int(k), *_stats(x[at])) for k, at in zip(pieces, np.split(order, begin[1:]), strict=True)]
+        rows = [(int(first.bin_id), (int(first.path) << int(first.todo)) + int(k), *_stats(x[at], times[at])) for k, at in zip(pieces, np.split(order, begin[1:]), strict=True)]
         return pd.DataFrame(rows, columns=["bin_id", "path", "weight", "mean", "cov"])
 
     out = ready.groupBy("bin_id", "path", "todo").applyInPandas(split, "bin_id int, path long, weight long, mean array<double>, cov array<double>")

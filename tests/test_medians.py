@@ -68,3 +68,21 @@ def test_pieces_weigh_all_rows_of_a_coreset(binned):
     _, df = binned
     core = coreset.coreset(df.filter("bin_id <> 6"), ["a", "b"], smallest=5, largest=50, splitter="median")
     assert core.agg(F.sum("weight")).first()[0] == 900 + 900 + 500 + 400 + 700
+
+
+def test_repeated_rows_are_held_and_passed_over_once(spark, monkeypatch):
+    """Twenty copies of each row give the pieces of the plain rows' halves, and no more passes over the rows than one copy takes."""
+    r = np.random.default_rng(5)
+    x = np.repeat(r.normal(size=(80, 2)).round(3), 20, axis=0)
+    x[:400, 1] = 0.5
+    df = spark.createDataFrame([(1, len(x), float(a), float(b)) for a, b in x], "bin_id int, bin_n long, a double, b double")
+    label = medians.halves(x, coreset.halving_depth(len(x), 30))
+    wanted = [(1, i + 1, int((label == k).sum()), shown(x[label == k].mean(axis=0))) for i, k in enumerate(np.unique(label))]
+    monkeypatch.setattr(coreset, "MOST_ROWS", 10)
+    assert table(coreset.median_pieces(df, ["a", "b"], 30)) == wanted
+    monkeypatch.setattr(coreset, "MOST_ROWS", 100)
+    monkeypatch.setattr(coreset, "median_tree", lambda *a: pytest.fail("80 different rows need no tree"))
+    got = coreset.median_pieces(df, ["a", "b"], 30)
+    assert table(got) == wanted
+    for piece, row in zip(np.unique(label), sorted(got.collect(), key=lambda g: g.piece), strict=True):
+        assert row["cov"] == pytest.approx(np.cov(x[label == piece].T, ddof=1).ravel(), abs=1e-12)
