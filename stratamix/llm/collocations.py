@@ -37,12 +37,47 @@ SALTS = 16
 COUNTED = "lang string, phrase string, size int, f long"
 
 
+#: What becomes of single bytes: A-Z are lowered, tabs become spaces, and all that ends a piece becomes a line feed. No other character has these bytes.
+_BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
+
+
+def _pieces(langs: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """(lang, piece, times): the different pieces of some texts. A null text has none."""
+    texts = texts.cast(pa.large_string())
+    known, offsets, data = texts.buffers()
+    data = pa.py_buffer(data.to_pybytes().translate(_BYTES)) if data else data
+    lists = pc.split_pattern(pa.Array.from_buffers(texts.type, len(texts), [known, offsets, data], offset=texts.offset), "\n")
+    pieces, lang = pc.list_flatten(lists), langs.take(pc.list_parent_indices(lists))
+    wide = pc.match_substring(pieces, "  ")
+    pieces = pc.replace_with_mask(pieces, wide, pc.replace_substring_regex(pieces.filter(wide), " {2,}", " "))
+    pieces = pc.ascii_trim(pieces, " ")
+    full = pc.not_equal(pieces, "")
+    rows = pa.table({"lang": lang.filter(full), "piece": pieces.filter(full)}).group_by(["lang", "piece"]).aggregate([([], "count_all")]).combine_chunks()
+    columns = [rows["lang"], rows["piece"].cast(pa.string()), rows["count_all"]]
+    return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=["lang", "piece", "times"])
+
+
 def pieces_of(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, piece, times, words): the different pieces, their words separated by one space, with their numbers."""
-    text = F.translate(docs[text_col].cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit(NO_LANG)).alias("lang"), F.explode(F.split(text, r"[.,;:!?\x0A-\x0D]")).alias("piece"))
-    rows = rows.withColumn("piece", F.trim(F.regexp_replace("piece", r"[\x20\x09]+", " "))).filter("piece <> ''")
-    return rows.groupBy("lang", "piece").agg(F.count(F.lit(1)).alias("times")).withColumn("words", F.size(F.split("piece", " ")))
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size >= CHUNK_BYTES:
+                yield from cut(held)
+                held, size = [], 0
+        yield from cut(held)
+
+    def cut(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if any(b.num_rows for b in held):
+            out = _pieces(*(pa.concat_arrays([b.column(i) for b in held]) for i in range(2)))
+            yield from (out.slice(i, ROWS) for i in range(0, out.num_rows, ROWS))
+
+    rows = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit(NO_LANG)).alias("lang"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "lang string, piece string, times long")
+    return rows.groupBy("lang", "piece").agg(F.sum("times").alias("times")).withColumn("words", F.size(F.split("piece", " ")))
 
 
 def _mixed(h: np.ndarray, bits: int) -> np.ndarray:

@@ -87,3 +87,21 @@ def test_scores_are_exact_beyond_64_bits(spark):
     row = co.scored(counts).first()
     assert (row.l, row.r, row.score) == (big + 1, big, 2_000_000 * big // (2 * big + 1))
     assert (co._mixed(np.array([1, 2**64 - 1], np.uint64), 25) < 1 << 25).all()
+
+
+def test_pieces_are_cut_in_tasks_by_bytes(spark, monkeypatch):
+    """All separators, tabs, runs of spaces, letters beyond A-Z, nulls and texts in slices of batches; no regular expression a text in the plan."""
+    texts = ["Aa\tB  É ;x,y.z:1!2?3\x0b4\x0c5\r6\n7", " \t ", None, "", "..", "ÀB C  d\u0085e", "Aa\tB  É ;x", "\x1f a", "日本 。 語"]
+    rows = [(t, lang) for t in texts for lang in ("en", None, "de")]
+    want = {}
+    for t, lang in rows:
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            if words := re.findall(r"[^\x20\x09]+", piece):
+                key = lang or "und", " ".join(words)
+                want[key] = (want.get(key, (0,))[0] + 1, len(words))
+    for chunk in (1, 1 << 22):
+        monkeypatch.setattr(co, "CHUNK_BYTES", chunk)
+        got = co.pieces_of(spark.createDataFrame(rows, "text string, lang string"))
+        assert {(r.lang, r.piece): (r.times, r.words) for r in got.collect()} == want
+    assert "regexp_replace" not in got._jdf.queryExecution().executedPlan().toString()
